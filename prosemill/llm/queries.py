@@ -12,7 +12,14 @@ def op1_token_files(spark, sf_dir):
     return token_files(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_token_files]
+def op3_near_duplicates(spark, sf_dir):
+    """Classes of documents with 2-word shingle similarity of 0.8 or more."""
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+QUERIES = [op1_token_files, op3_near_duplicates]
 
 
 def queries() -> dict:
