@@ -17,8 +17,10 @@ empty table gives no shard and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -238,25 +240,28 @@ class WordEncoder:
         self.lib, self.cache = Tokenizer.from_file(path), {}
 
     def _learn(self, words: set[bytes]) -> None:
-        cache, split, ask = self.cache, [], set()
+        cache, split, todo = self.cache, [], []
+        seen = set()
         for w in words:
-            # ASCII letters alone are lowered by the normaliser; a last full stop or comma is a token of its own
-            core, mark = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") and len(w) > 1 else (w, b"")
-            if core.isalpha() and (mark or core != core.lower()):
+            # a last full stop or comma after letters is a token of its own, and ASCII letters are lowered anyway
+            core, mark = (w[:-1], w[-1:]) if w[-1] == 46 or w[-1] == 44 else (w, b"")
+            if core.isalpha() or core.decode("utf-8", "replace").isalpha():
                 core = core.lower()
-                split.append((w, core, mark))
-                ask.add(core)
-                if mark:
-                    ask.add(mark)
+                if mark or core != w:
+                    split.append((w, core, mark))
+                    if mark and mark not in cache:
+                        seen.add(mark)
+                if core not in cache:
+                    seen.add(core)
             else:
-                ask.add(w)
-        todo = [w for w in ask if w not in cache]
-        for a in range(0, len(todo), 4096):
-            part = todo[a : a + 4096]
+                seen.add(w)
+        todo = list(seen)
+        for a in range(0, len(todo), 2048):
+            part = todo[a : a + 2048]
             for w, e in zip(part, self.lib.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+                cache[w] = array("I", e.ids).tobytes()
         for w, core, mark in split:
-            cache[w] = cache[core] + (cache[mark] if mark else b"")
+            cache[w] = cache[core] + cache[mark] if mark else cache[core]
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and each text's count with it."""
@@ -266,8 +271,8 @@ class WordEncoder:
             cache.clear()
         new = set()
         for words in split:
-            new.update(w for w in words if w not in cache)
-        self._learn(new)
+            new.update(words)
+        self._learn(new.difference(cache))
         out = [b"".join(map(cache.__getitem__, words)) + end for words in split]
         return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
@@ -288,6 +293,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     def write(batches):
         from pyspark import TaskContext
 
+        gc.disable()  # nothing here makes cycles, and scans of a large word cache cost much
         shard = TaskContext.get().partitionId()
         encoder, writer = held(f"words {tokenizer_path}", lambda: WordEncoder(tokenizer_path)), None
         for batch in batches:
