@@ -19,7 +19,21 @@ def op3_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES = [op1_token_files, op3_near_duplicates]
+def op4_quality_classifier(spark, sf_dir):
+    """Co-trained text and metadata views: scores of every document."""
+    from .cotrain import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark, sf_dir):
+    """Base counts and divergence from the language references, for every document."""
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_token_files, op3_near_duplicates, op4_quality_classifier, op10_quality_rules]
 
 
 def queries() -> dict:
