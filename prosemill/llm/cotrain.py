@@ -131,7 +131,7 @@ def train(rows: list[tuple], rounds: int = 3, per_round: float = 0.05, sure: flo
             weight = np.where(y[ids] >= 0, 1.0, 0.5)
             if view == 0:
                 x = Sparse([idx[i] for i in ids])
-                models[0] = fit(lambda w, x=x: x.dot(w * uneven), lambda e, x=x: x.back(e, DIM) * uneven, DIM, target, weight, 2e-6, 200 if r == 0 else 60, models[0])
+                models[0] = fit(lambda w, x=x: x.dot(w * uneven), lambda e, x=x: x.back(e, DIM) * uneven, DIM, target, weight, 1e-5, 150 if r == 0 else 40, models[0])
                 p.append(_sig(allx.dot(models[0][0] * uneven) + models[0][1]))
             else:
                 x = dense[ids]
