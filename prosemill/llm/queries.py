@@ -26,6 +26,40 @@ def op4_quality_classifier(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_url_filter(spark, sf_dir):
+    """Every capture against the list entries active on its fetch date."""
+    from .urls import dated, demo_list, filter_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(dated(pages), demo_list(pages))
+
+
+def op6_decontamination(spark, sf_dir):
+    """Benchmark items found in each whole document."""
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_mixing(spark, sf_dir):
+    """Documents taken, by epoch, for the target weights of the domain-language-source tree."""
+    from .mixing import LEVELS, WEIGHTS, mix
+
+    taken = mix(table(spark, sf_dir, "documents"), LEVELS, WEIGHTS)
+    return taken.select("doc_id", taken.mix_path[0].alias("domain"), taken.mix_path[1].alias("language"), taken.mix_path[2].alias("source"), taken.mix_tokens.alias("n_tokens"), taken.mix_epoch.alias("epoch"))
+
+
+def op9_personal_data(spark, sf_dir):
+    """Pattern spans and disclosing terms of every whole text."""
+    from pyspark.sql import functions as F
+
+    from .privacy import KINDS, find_private, span_list
+
+    found = find_private(table(spark, sf_dir, "documents"))
+    counts = [F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in [*KINDS, "term"]]
+    return found.select("doc_id", *counts[:4], F.sha2(span_list(list(KINDS)), 256).alias("base_sha256"), span_list([*KINDS, "term"]).alias("spans"), counts[4])
+
+
 def op10_quality_rules(spark, sf_dir):
     """Base counts and divergence from the language references, for every document."""
     from .quality_rules import quality_rules
@@ -33,7 +67,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_token_files, op3_near_duplicates, op4_quality_classifier, op10_quality_rules]
+QUERIES = [op1_token_files, op3_near_duplicates, op4_quality_classifier, op5_url_filter, op6_decontamination, op8_mixing, op9_personal_data, op10_quality_rules]
 
 
 def queries() -> dict:
@@ -41,4 +75,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    from .urls import SQL
+
+    return {"op5_url_filter": SQL}
