@@ -41,6 +41,13 @@ def op6_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    """Bytes left after removing every repeated 200-byte string of the whole collection."""
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op8_mixing(spark, sf_dir):
     """Documents taken, by epoch, for the target weights of the domain-language-source tree."""
     from .mixing import LEVELS, WEIGHTS, mix
@@ -67,7 +74,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_token_files, op3_near_duplicates, op4_quality_classifier, op5_url_filter, op6_decontamination, op8_mixing, op9_personal_data, op10_quality_rules]
+QUERIES = [op1_token_files, op3_near_duplicates, op4_quality_classifier, op5_url_filter, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_personal_data, op10_quality_rules]
 
 
 def queries() -> dict:
