@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .common import table
 
 
@@ -12,6 +14,13 @@ def op1_token_files(spark, sf_dir):
     return token_files(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_pitman_yor(spark, sf_dir):
+    """Hierarchical Pitman-Yor scores of every whole text, learnt outside the held-out fold."""
+    from .pitman_yor import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark, sf_dir):
     """Classes of documents with 2-word shingle similarity of 0.8 or more."""
     from .minhash import near_duplicates
@@ -74,14 +83,14 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_token_files, op3_near_duplicates, op4_quality_classifier, op5_url_filter, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_personal_data, op10_quality_rules]
+QUERIES = [op1_token_files, op2_pitman_yor, op3_near_duplicates, op4_quality_classifier, op5_url_filter, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_personal_data, op10_quality_rules]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
     from .urls import SQL
 
-    return {"op5_url_filter": SQL}
+    return {"op5_url_filter": SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
