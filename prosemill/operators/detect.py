@@ -129,7 +129,7 @@ def rhythm(text: Column, shortest: int = 1, longest: int = 200) -> tuple[Column,
     total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)
     squares = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n.cast("long") * n)
     n = F.size(lengths)
-    mean = total / n
+    mean = F.try_divide(total, n)
     # sd / mean = sqrt(n * squares - total^2) / total, whole numbers until the end
-    value = F.sqrt((n * squares - total * total).cast("double")) / total
+    value = F.try_divide(F.sqrt((n * squares - total * total).cast("double")), total)
     return F.when((n > 0) & mean.between(shortest, longest), value), n
