@@ -85,7 +85,7 @@ def figures(text: str | None, table: np.ndarray, common: dict, cache: dict, wind
 
 
 def _js(p: str, q: str) -> str:
-    """SQL: Jensen-Shannon distance of two histograms as arrays of counts; null where one is empty."""
+    """SQL: Jensen-Shannon distance of two histograms as arrays of counts; 0 where one is empty."""
     total = lambda x: f"aggregate({x}, 0D, (a, v) -> a + v)"
     norm = lambda x: f"transform({x}, v -> v / nullif({total(x)}, 0D))"
     term = "if(x > 0, x * log2(2 * x / (x + y)), 0D) + if(y > 0, y * log2(2 * y / (x + y)), 0D)"
