@@ -172,7 +172,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), batch.column(0).take(take), batch.column(2).take(take), *(pa.array(v.astype(np.int64)) for v in (lo, more, off))], ["hash", "seg", "doc_id", "mark", "lo", "more", "off"])
 
     occ = saved(text.mapInArrow(find, f"hash long, seg long, {PLACE}, lo long, more long, off long"), "segments")
-    twice = occ.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
+    # written out, so that the join shuffles both sides and a hot minimiser's partition can be split
+    twice = saved(occ.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "repeated-minimisers")
     occ = saved(occ.join(twice, "hash"), "shared-segments")
     distinct = occ.groupBy("hash", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "lo", "more", "off")).alias("at"))
     distinct = saved(distinct.select("hash", "seg", "n", "at.*"), "distinct-segments")
