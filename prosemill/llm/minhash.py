@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from .common import held, lower_words, partitions, saved, word_hashes
 
 T, ROWS = 128, 4
-#: Sketch agreement below which a pair at the threshold is ruled out: seven standard deviations of T draws.
-SLACK = 7
+#: Sketch agreement below which a pair is ruled out: so many standard deviations of T draws below the threshold
+#: (a linked pair is missed in 3 of a million cases, and a component seldom hangs on one link).
+SLACK = 4.5
+#: Members of a bucket are compared in blocks of about this many.
+CHUNK = 1000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -138,6 +141,49 @@ def _agreement(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
     return j.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _likely_in_buckets(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components whose sketches agree in a share of `least`.
+
+    rows: bucket, id, component. A bucket is cut into chunks, and each pair of chunks is one bounded piece of work that
+    emits likely pairs only, so neither a task nor the rows grow with the square of a bucket.
+    """
+    chunks = saved(rows.groupBy("bucket").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("c")), "bucket-chunks")
+    placed = rows.join(chunks, "bucket").withColumn("own", F.expr("cast(pmod(xxhash64(id), c) as int)"))
+    blocks = placed.select("bucket", "id", "component", "own", F.explode(F.expr("sequence(0, c - 1)")).alias("other"))
+    blocks = blocks.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component").join(sketches, "id")
+
+    def solve(group):
+        own, ids, comp = (np.array([g[k] for g in group]) for k in (3, 4, 5))
+        s = np.frombuffer(b"".join(g[6] for g in group), "<u2").reshape(len(group), T)
+        lo, hi = group[0][1], group[0][2]
+        left = np.flatnonzero(own == lo)
+        right = left if lo == hi else np.flatnonzero(own == hi)
+        out = []
+        for k in left.tolist():
+            near = right[((s[right] == s[k]).sum(axis=1) >= least * T) & (comp[right] != comp[k])]
+            out.extend((min(x, ids[k]), max(x, ids[k])) for x in ids[near].tolist())
+        return out
+
+    def run(batches):
+        group: list[tuple] = []
+        found: set = set()
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    found.update(solve(group))
+                    group = []
+                    if len(found) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                        found = set()
+                group.append(row)
+        if group:
+            found.update(solve(group))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = blocks.select("bucket", "lo", "hi", "own", "id", "component", "small").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets satisfy 100 * intersection >= percent * union."""
     j = pairs.join(sets.select(F.col("id").alias("a"), F.col("ids").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("ids").alias("ib")), "b")
@@ -242,12 +288,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         if comp is None or not found.isEmpty():
             comp = _merged(comp, found, turn)
 
-    # the exact rest: pairs of a bucket in different components
-    rest = saved(_open(candidates, comp), "open-buckets")
-    x = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-    found = saved(_verified(saved(_agreement(pairs, sketches, least), "likely-rest"), sets, percent), "links-rest")
+    # the exact rest: likely pairs of a bucket in different components
+    rest = saved(_open(candidates, comp).select("bucket", "id", "component"), "open-buckets")
+    found = saved(_verified(saved(_likely_in_buckets(rest, sketches, least), "likely-rest"), sets, percent), "links-rest")
     if not found.isEmpty():
         comp = _merged(comp, found, 9)
 
