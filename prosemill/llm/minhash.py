@@ -276,14 +276,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     comp = None
     for turn in range(2):
         if comp is None:
-            hubs = candidates.groupBy("bucket").agg(F.max(F.struct("met", F.expr("-id").alias("k"))).alias("h")).select("bucket", F.expr("-h.k").alias("hub"))
+            hubs = candidates.groupBy("bucket").agg(F.max(F.struct("met", F.expr("-id").alias("k"))).alias("h")).select("bucket", F.expr("-h.k").alias("hub"), F.col("h.met").alias("hub_met"))
             pairs = candidates.join(hubs, "bucket").where("id <> hub")
         else:
             now = _open(candidates, comp)
             main = now.groupBy("bucket").agg(F.min("component").alias("main"))
-            hubs = now.join(main, "bucket").where("component <> main").groupBy("bucket").agg(F.max(F.struct("met", F.expr("-id").alias("k"), "component")).alias("h")).select("bucket", F.expr("-h.k").alias("hub"), F.col("h.component").alias("hc"))
+            hubs = now.join(main, "bucket").where("component <> main").groupBy("bucket").agg(F.max(F.struct("met", F.expr("-id").alias("k"), "component")).alias("h")).select("bucket", F.expr("-h.k").alias("hub"), F.col("h.met").alias("hub_met"), F.col("h.component").alias("hc"))
             pairs = now.join(hubs, "bucket").where("component <> hc")
-        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        # one hub a member, the one that meets most; whatever that leaves apart is settled below
+        pairs = pairs.groupBy("id").agg(F.max(F.struct("hub_met", "hub")).alias("h")).select(F.least("id", "h.hub").alias("a"), F.greatest("id", "h.hub").alias("b")).distinct()
         found = saved(_verified(saved(_agreement(pairs, sketches, least), f"likely-{turn}"), sets, percent), f"links-{turn}")
         if comp is None or not found.isEmpty():
             comp = _merged(comp, found, turn)
