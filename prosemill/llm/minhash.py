@@ -10,9 +10,9 @@ Classes. Equal shingle sets form a class that the rest of the work sees once.
 Bands of ROWS coordinates put classes into buckets. In a bucket, members are
 compared with a hub (the member that meets most others) rather than with each
 other; a verified link joins components. What is still in different components
-after the hub rounds is compared pair by pair, except pairs whose sketches
-agree too rarely to reach the threshold, so no link between components is lost.
-Every link is confirmed on the full shingle sets.
+after the hub rounds is compared in bounded blocks on the full shingle sets, each
+of which gives a spanning forest of its links, so no link between components is
+lost. Every link is confirmed on the full shingle sets.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing; a text with fewer words than the shingle size is one shingle; repeated
@@ -33,8 +33,10 @@ T, ROWS = 128, 4
 #: Sketch agreement below which a pair is ruled out: so many standard deviations of T draws below the threshold
 #: (a linked pair is missed in 3 of a million cases, and a component seldom hangs on one link).
 SLACK = 4.5
-#: Members of a bucket are compared in blocks of about this many.
-CHUNK = 1000
+#: Members of a bucket are compared in chunks of about so many members and set elements.
+CHUNK, CHUNK_IDS = 1000, 1_000_000
+#: Ids of at most FEW sets of a block are counted pair by pair; TILE bounds the cells of a matrix of the others.
+FEW, TILE = 12, 8_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -141,46 +143,99 @@ def _agreement(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
     return j.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _likely_in_buckets(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components whose sketches agree in a share of `least`.
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of sets[left] with sets[right].
 
-    rows: bucket, id, component. A bucket is cut into chunks, and each pair of chunks is one bounded piece of work that
-    emits likely pairs only, so neither a task nor the rows grow with the square of a bucket.
+    Ids of few sets are counted pair by pair; the others (a small part of all) are the columns of 0/1 matrices whose
+    product, taken some columns at a time, counts what two sets share.
     """
-    chunks = saved(rows.groupBy("bucket").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("c")), "bucket-chunks")
+    m = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, m)
+    row = np.repeat(np.arange(m), sizes)
+    ids = np.concatenate(sets) if m else np.zeros(0, np.uint64)
+    order = np.argsort(ids, kind="stable")
+    ids, row = ids[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    held_by = np.diff(np.concatenate([start, [len(ids)]]))
+    each = np.repeat(held_by, held_by)
+    column = np.repeat(np.arange(len(start)), held_by)
+    few = (each > 1) & (each <= FEW)
+    r, c = row[few], column[few]
+    out = np.zeros(m * m, np.int64)
+    for shift in range(1, FEW):
+        same = c[shift:] == c[:-shift]
+        if not same.any():
+            break
+        out += np.bincount(r[:-shift][same] * m + r[shift:][same], minlength=m * m)
+    out = out.reshape(m, m)
+    out = (out + out.T)[np.ix_(left, right)]
+    many = each > FEW
+    if many.any():
+        r, c = row[many], column[many]
+        c = np.cumsum(np.concatenate([[0], c[1:] != c[:-1]]))
+        step = max(1, TILE // m)
+        for low in range(0, int(c[-1]) + 1, step):
+            a, b = np.searchsorted(c, [low, low + step])
+            x = np.zeros((m, min(step, int(c[-1]) + 1 - low)), np.float32)
+            x[r[a:b], c[a:b] - low] = 1
+            out += np.rint(x[left] @ x[right].T).astype(np.int64)
+    return out
+
+
+def joining_links(rows: list[tuple[int, int, np.ndarray]], own: np.ndarray, lo: int, hi: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links of a block of (id, component, set) that join its components, a spanning forest of them.
+
+    Only pairs of a row of chunk lo with one of chunk hi count.
+    """
+    left = np.flatnonzero(own == lo)
+    right = left if lo == hi else np.flatnonzero(own == hi)
+    label = np.array([r[1] for r in rows])
+    if not len(left) or not len(right) or (label == label[0]).all():
+        return []
+    sizes = np.array([len(r[2]) for r in rows])
+    both = common_counts([r[2] for r in rows], left, right)
+    linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+    out = []
+    for k, near in zip(left.tolist(), linked, strict=True):
+        other = right[near & (label[right] != label[k])]
+        joined, first = np.unique(label[other], return_index=True)
+        out.extend((min(rows[k][0], rows[x][0]), max(rows[k][0], rows[x][0])) for x in other[first].tolist())
+        if len(joined):
+            label[np.isin(label, joined)] = label[k]
+    return out
+
+
+def _links_in_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join the components of a bucket.
+
+    rows: bucket, id, n, component. A bucket is cut into chunks bounded in rows and in set elements, and each pair of
+    chunks is one bounded piece of work, which compares full sets where they are and gives at most one link for every
+    component it holds: neither a task nor the rows grow with the square of a bucket.
+    """
+    chunks = saved(rows.groupBy("bucket").agg(F.expr(f"cast(ceil(greatest(count(*) / {CHUNK}, sum(n) / {CHUNK_IDS})) as int)").alias("c")), "bucket-chunks")
     placed = rows.join(chunks, "bucket").withColumn("own", F.expr("cast(pmod(xxhash64(id), c) as int)"))
     blocks = placed.select("bucket", "id", "component", "own", F.explode(F.expr("sequence(0, c - 1)")).alias("other"))
-    blocks = blocks.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component").join(sketches, "id")
-
-    def solve(group):
-        own, ids, comp = (np.array([g[k] for g in group]) for k in (3, 4, 5))
-        s = np.frombuffer(b"".join(g[6] for g in group), "<u2").reshape(len(group), T)
-        lo, hi = group[0][1], group[0][2]
-        left = np.flatnonzero(own == lo)
-        right = left if lo == hi else np.flatnonzero(own == hi)
-        out = []
-        for k in left.tolist():
-            near = right[((s[right] == s[k]).sum(axis=1) >= least * T) & (comp[right] != comp[k])]
-            out.extend((min(x, ids[k]), max(x, ids[k])) for x in ids[near].tolist())
-        return out
+    blocks = blocks.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component").join(sets, "id")
 
     def run(batches):
-        group: list[tuple] = []
-        found: set = set()
+        key, own, group = None, [], []
+
+        def links():
+            found = joining_links(group, np.array(own), key[1], key[2], percent) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    found.update(solve(group))
-                    group = []
-                    if len(found) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-                        found = set()
-                group.append(row)
-        if group:
-            found.update(solve(group))
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    dealt = blocks.select("bucket", "lo", "hi", "own", "id", "component", "small").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+            for *now, mine, id_, comp, ids in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if now != key:
+                    if len(group) > 1:
+                        yield links()
+                    key, own, group = now, [], []
+                own.append(mine)
+                group.append((id_, comp, np.frombuffer(ids, "<u8")))
+        if len(group) > 1:
+            yield links()
+
+    dealt = blocks.select("bucket", "lo", "hi", "own", "id", "component", "ids").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -289,9 +344,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         if comp is None or not found.isEmpty():
             comp = _merged(comp, found, turn)
 
-    # the exact rest: likely pairs of a bucket in different components
-    rest = saved(_open(candidates, comp).select("bucket", "id", "component"), "open-buckets")
-    found = saved(_verified(saved(_likely_in_buckets(rest, sketches, least), "likely-rest"), sets, percent), "links-rest")
+    # the exact rest: full sets of a bucket in different components
+    rest = saved(_open(candidates, comp).join(sk.select("id", "n"), "id").select("bucket", "id", "n", "component"), "open-buckets")
+    found = saved(_links_in_buckets(rest, sets, percent), "links-rest")
     if not found.isEmpty():
         comp = _merged(comp, found, 9)
 

@@ -145,6 +145,45 @@ def test_near_duplicates(docs, rows, empty, size):
     assert minhash.near_duplicates(empty, size).count() == 0
 
 
+@pytest.mark.parametrize("few, tile", [(12, 8_000_000), (2, 64), (1, 1)])
+def test_blocks_of_full_sets(few, tile, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "TILE", tile)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in rng.integers(1, 60, 40)] + [np.zeros(0, np.uint64)]
+    own = rng.integers(0, 2, len(sets))
+    left, right = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
+    assert minhash.common_counts(sets, left, right).tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+    rows = [(100 + k, 100 + k // 2, s) for k, s in enumerate(sets[:-1])]
+    found = minhash.joining_links(rows, own[:-1], 0, 1, 40)
+    parent = {r[1]: r[1] for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in found:
+        x, y = find(100 + (a - 100) // 2), find(100 + (b - 100) // 2)
+        assert x != y
+        parent[x] = y
+    for a in left:
+        for b in right[right < 40]:
+            if a < 40:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 40 * (len(sets[a]) + len(sets[b]) - both):
+                    assert find(100 + a // 2) == find(100 + b // 2)
+
+
+def test_buckets_cut_into_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    sets = {i: {tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))} if (w := lower(t)) else set() for i, t in rows.items()}
+    want = brute_components(sets, 30)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 2, 90).collect()} == brute_components(sets, 90)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 2, 30).collect()}
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
 def test_sketch_agrees_with_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
