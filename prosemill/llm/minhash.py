@@ -350,6 +350,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     if not found.isEmpty():
         comp = _merged(comp, found, 9)
 
-    by_class = classes.join(comp, classes.id == comp.id, "left").select("key", F.col("component"), classes.id.alias("class_id"))
+    # written, so that the join below is not tied to the partitions of the classes and a key of many copies can be split
+    by_class = saved(classes.join(comp, classes.id == comp.id, "left").select("key", F.col("component"), classes.id.alias("class_id")), "classes")
     out = rows.join(by_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
