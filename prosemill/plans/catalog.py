@@ -11,9 +11,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import COMMON_OPENERS, ENGLISH, FUNCTION_WORDS, RATE_WORD, corpus_tokens, first_words, matches
-from ..operators import analyze, corpus, detect, evaluate
+from ..operators import analyze, corpus, detect, evaluate, library
 from ..operators.verdict import Notable, crossed, doc_stats, gates, judge, value_of
 from ..sources.markup import html_text
+from . import rulebook
 
 Q: dict = {}
 SQL: dict = {}
@@ -450,6 +451,16 @@ def q_html(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
+# ------------------------------------------------------------------ the rule sets that come with the engine
+
+BOOK = [(s["name"], r) for s in rulebook.SETS for r in s["rules"]]
+
+@query("rule_list")
+def q_rule_list(spark, sf_dir):
+    """The bundled rules with their state."""
+    return library.rule_rows(spark, rulebook.SETS)
+
+
 def queries() -> dict:
     return dict(Q)
 
