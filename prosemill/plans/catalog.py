@@ -453,7 +453,6 @@ def q_html(spark, sf_dir):
 
 # ------------------------------------------------------------------ the rule sets that come with the engine
 
-BOOK = [(s["name"], r) for s in rulebook.SETS for r in s["rules"]]
 
 @query("rule_list")
 def q_rule_list(spark, sf_dir):
