@@ -31,7 +31,7 @@ from .common import held, lower_words, partitions, saved, word_hashes
 
 T, ROWS = 128, 4
 #: Sketch agreement below which a pair is ruled out: so many standard deviations of T draws below the threshold
-#: (a linked pair is missed in 3 of a million cases, and a component seldom hangs on one link).
+#: (in the hub rounds alone; a linked pair ruled out there, 3 in a million, is left to the blocks of full sets).
 SLACK = 4.5
 #: Members of a bucket are compared in chunks of about so many members and set elements.
 CHUNK, CHUNK_IDS = 1000, 1_000_000
