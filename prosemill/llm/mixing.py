@@ -6,7 +6,8 @@ share (its supply times the most epochs) leaves the rest to its siblings, and
 only what no sibling can use reaches the ancestors' siblings. A leaf with budget
 B takes its documents floor(B / supply) times and then, of one more epoch, the
 longest prefix of a seeded order that fits. Every prefix is a cut in the seeded
-key, found by sums over key ranges, so no leaf is gathered in one task.
+key, found by sums over ever narrower key ranges, so no leaf and no list of its
+ranges is gathered in one task.
 
 Defined results: null text has no tokens; null tree values are leaves of their
 own (""); documents with equal keys (repeated ids) are taken together; a leaf
@@ -16,7 +17,7 @@ they are; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, saved
@@ -65,7 +66,51 @@ def budgets(supply: dict[tuple, int], weights: dict[tuple, float], budget: int,
     return down((), budget, supply) if supply else {}
 
 
-def mix(docs: DataFrame, levels: dict, weights: dict[tuple, float], share: float = 0.5, epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 4000) -> DataFrame:
+def _cuts(keyed: DataFrame, rest: dict[tuple, int], rows: dict[tuple, int], few: int) -> dict[tuple, int]:
+    """For each leaf the greatest key up to which its tokens fit its rest (below its first key if none do).
+
+    keyed: mix_path, mix_tokens, mix_key. The range in which the rest ends is cut into 256 by the next byte of the key
+    until it holds few rows for every leaf: a round sums in partial aggregates and sends 256 rows a leaf to the driver
+    at most, so the work of a task does not grow with a leaf or with one repeated key.
+    """
+    if not rest:
+        return {}
+    depth, head, before, left = 0, dict.fromkeys(rest, 0), dict.fromkeys(rest, 0), {p: rows[p] for p in rest}
+    place = F.col("mix_key").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
+
+    def edge() -> DataFrame:
+        if not depth:
+            return keyed
+        heads = keyed.sparkSession.createDataFrame([(list(p), h) for p, h in head.items()], "mix_path array<string>, mix_head long")
+        return keyed.join(F.broadcast(heads), "mix_path").where(F.shiftrightunsigned(place, 64 - depth) == F.col("mix_head"))
+
+    def runs(step) -> dict[tuple, list]:
+        out: dict[tuple, list] = {p: [] for p in rest}
+        for r in edge().groupBy("mix_path", step.alias("step")).agg(F.sum("mix_tokens").alias("n"), F.count("*").alias("rows")).collect():
+            out[tuple(r.mix_path)].append((r.step, r.n, r.rows))
+        return out
+
+    while max(left.values()) > few and depth < 56:
+        for p, found in runs(F.shiftrightunsigned(place, 56 - depth).bitwiseAND(F.lit(255))).items():
+            for step, n, count in sorted(found):
+                if before[p] + n > rest[p]:
+                    head[p], left[p] = head[p] << 8 | step, count
+                    break
+                before[p] += n
+        depth += 8
+    cuts = {}
+    for p, found in runs(F.col("mix_key")).items():
+        found.sort()
+        cuts[p] = found[0][0] - 1
+        for at, n, _ in found:
+            before[p] += n
+            if before[p] > rest[p]:
+                break
+            cuts[p] = at
+    return cuts
+
+
+def mix(docs: DataFrame, levels: dict, weights: dict[tuple, float], share: float = 0.5, epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 256) -> DataFrame:
     """docs with the columns mix_path, mix_tokens and mix_epoch, one row for each time a document is taken.
 
     levels: name to SQL expression, from the root down; share: the token budget as a share of the supply.
@@ -78,21 +123,13 @@ def mix(docs: DataFrame, levels: dict, weights: dict[tuple, float], share: float
     supply = {tuple(r.mix_path): r.n for r in leaves}
     target = budgets(supply, weights, int(share * sum(supply.values())), epochs)
     plan = [(list(p), b // supply[p], b % supply[p]) for p, b in target.items() if supply[p]]
-    plan_df = spark.createDataFrame(plan, "mix_path array<string>, whole long, rest long")
-    ranges = 1 << max(0, (max([r.rows for r in leaves], default=1) // range_rows).bit_length())
-    at = F.expr(f"cast((mix_key / 1.8446744073709552e19D + 0.5D) * {ranges} as int)")
-    keyed = slim.join(F.broadcast(plan_df.where("rest > 0")), "mix_path").withColumn("mix_key", key(F.col("whole"))).withColumn("at", at)
-    sums = keyed.groupBy("mix_path", "at").agg(F.sum("mix_tokens").alias("n"))
-    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("mix_path").orderBy("at")) - F.col("n"))
-    # the range in which the budget ends, for each leaf; only its documents are put in order
-    edge = before.join(F.broadcast(plan_df.select("mix_path", "rest")), "mix_path").where("before <= rest and before + n > rest").select("mix_path", "at", "before")
-    run = keyed.join(F.broadcast(edge), ["mix_path", "at"]).withColumn("sum", F.col("before") + F.sum("mix_tokens").over(Window.partitionBy("mix_path", "at").orderBy("mix_key")))
-    inside = run.groupBy("mix_path").agg(F.max(F.expr("if(sum <= rest, mix_key, null)")).alias("last"), F.min("mix_key").alias("first"))
-    cuts = {tuple(r.mix_path): (r.last if r.last is not None else r.first - 1) for r in inside.collect()}
-    rows = [(p, w, w + 1 if r else w, cuts.get(tuple(p), (1 << 63) - 1) if r else None) for p, w, r in plan]
-    final = F.broadcast(spark.createDataFrame(rows, "mix_path array<string>, whole long, turns long, cut long"))
-    taken = marked.join(final, "mix_path").where("turns > 0").withColumn("mix_epoch", F.explode(F.expr("sequence(0L, turns - 1)")))
-    return taken.where((F.col("mix_epoch") < F.col("whole")) | (key(F.col("whole")) <= F.col("cut"))).select(*docs.columns, "mix_path", "mix_tokens", "mix_epoch")
+    plan_df = spark.createDataFrame(plan, "mix_path array<string>, whole long, rest long").where("rest > 0")
+    keyed = slim.join(F.broadcast(plan_df), "mix_path").select("mix_path", "mix_tokens", key(F.col("whole")).alias("mix_key"))
+    cuts = _cuts(keyed, {p: r for p, _, r in ((tuple(x), w, r) for x, w, r in plan) if r}, {tuple(r.mix_path): r.rows for r in leaves}, range_rows)
+    rows = [(p, w, w + 1 if r else w, cuts[tuple(p)] if r else None) for p, w, r in plan]
+    final = F.broadcast(spark.createDataFrame(rows, "mix_path array<string>, mix_whole long, mix_turns long, mix_cut long"))
+    taken = marked.join(final, "mix_path").where("mix_turns > 0").withColumn("mix_epoch", F.explode(F.expr("sequence(0L, mix_turns - 1)")))
+    return taken.where((F.col("mix_epoch") < F.col("mix_whole")) | (key(F.col("mix_whole")) <= F.col("mix_cut"))).select(*docs.columns, "mix_path", "mix_tokens", "mix_epoch")
 
 
 LEVELS = {"domain": "if(n_chars >= 4000, 'longform', 'shortform')", "language": "lang", "source": "source"}
