@@ -19,9 +19,9 @@ def regex(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return occurrences(text, java_pattern(pattern, ignore_case))
 
 
-def distinct_matches(text: Column, pattern: str) -> Column:
+def distinct_matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     """M2: the different matches, lower-cased."""
-    return F.array_distinct(F.transform(matches(text, java_pattern(pattern)), F.lower))
+    return F.array_distinct(F.transform(matches(text, java_pattern(pattern, ignore_case)), F.lower))
 
 
 def vocabulary_hits(docs: DataFrame, words: DataFrame) -> DataFrame:

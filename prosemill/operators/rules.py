@@ -13,13 +13,15 @@ import hashlib
 import json
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.needles import may_match
 from ..functions.text import java_pattern
 from . import detect
-from .verdict import Notable, crossed, doc_stats, gates, value_of
+from .verdict import Notable, doc_stats
 
 COLUMN_KINDS = ("regex", "chain", "question-chain", "rhythm")
 FRAME_KINDS = ("echo", "anaphora", "frame")
@@ -46,6 +48,29 @@ def validate(rule: dict) -> dict:
     return rule
 
 
+#: The length gates of rate rules in sets for short documents.
+SHORT_DOCUMENTS = {"words": 80, "sentences": 3, "matches": 2}
+
+
+def widened(pattern: str) -> str:
+    """Blanks outside classes match any white space."""
+    parts = re.findall(r"\\.|\[(?:\\.|[^\]\\])*\]|.", pattern, re.S)
+    return "".join(r"\s+" if p == " " else p for p in parts)
+
+
+def prepared(rule_set: dict) -> dict:
+    """A set as written by hand, with blanks widened and rate rules gated, "<=" rules apart."""
+    out = []
+    for r in rule_set["rules"]:
+        m, n = dict(r["match"]), dict(r["notable"])
+        if "pattern" in m:
+            m["pattern"] = widened(m["pattern"])
+        if "per" in n and "<=" not in n:
+            n["needs"] = SHORT_DOCUMENTS
+        out.append(r | {"match": m, "notable": n})
+    return rule_set | {"rules": out}
+
+
 def validate_set(rule_set: dict | list) -> dict:
     """A set, or a bare list of rules, with ids that differ."""
     s = {"name": "unnamed", "rules": rule_set} if isinstance(rule_set, list) else rule_set
@@ -112,42 +137,78 @@ def merge_config(config: dict, flags: dict) -> dict:
     return out
 
 
-def _count(rule: dict) -> Column:
+def _counted(kind: str, rule: dict) -> Column:
     m, text = rule["match"], F.col("text")
-    kind = m["kind"]
     if kind == "rhythm":
         return detect.rhythm(text, m.get("minSentenceWords", 1), m.get("maxSentenceWords", 200))[0]
-    if kind == "chain":
-        return F.size(detect.chain(text, m["pattern"], m["headTest"]))
     if kind == "question-chain":
-        return F.size(detect.question_chain(text, m.get("minRun", 2)))
-    if m.get("distinct"):
-        return F.size(detect.distinct_matches(text, m["pattern"]))
-    return F.regexp_count(text, F.lit(java_pattern(m["pattern"], "i" in m.get("flags", ""))))
+        return F.when(F.contains(text, F.lit("?")), F.size(detect.question_chain(text, m.get("minRun", 2)))).otherwise(0)
+    if kind == "chain":
+        n = F.size(detect.chain(text, m["pattern"], m["headTest"]))
+    elif m.get("distinct"):
+        n = F.size(detect.distinct_matches(text, m["pattern"], "i" in m.get("flags", "")))
+    else:
+        n = F.regexp_count(text, F.lit(java_pattern(m["pattern"], "i" in m.get("flags", ""))))
+    possible = may_match(F.col("lowered"), m["pattern"])
+    return n if possible is None else F.when(possible, n).otherwise(0)
+
+
+def _run_rows(docs: DataFrame, m: dict) -> DataFrame:
+    if m["kind"] == "echo":
+        return detect.echo(docs, m.get("minGram", 4), m.get("minRun", 2), m.get("anchored") or None, m.get("minFuncWords", 0), m.get("minShare", 0))
+    if m["kind"] == "anaphora":
+        return detect.anaphora(docs, m.get("minRun", 3))
+    return detect.frames(docs, m.get("gram", 8), m.get("minRun", 3), m.get("anchors", 2), m.get("minLetters", 13), m.get("letterRatio", 0.62))
+
+
+TERMS = "rule string, metric boolean, gt double, ge double, lt double, le double, per double, power double, words double, sentences double, share double, matches double"
+
+
+def _terms(rule: dict) -> Column:
+    """A rule's verdict as constants."""
+    n, text = notable_of(rule), rule["id"].replace("\\", "\\\\").replace("'", "\\'")
+    numbers = [*(n.bounds.get(op) for op in (">", ">=", "<", "<=")), n.per, n.power, *(n.gate(g) for g in ("words", "sentences", "function_words", "matches"))]
+    names = [t.split()[0] for t in TERMS.split(", ")]
+    values = [f"'{text}'", str(n.metric).lower(), *("cast(null as double)" if x is None else f"{float(x)!r}D" for x in numbers)]
+    return F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in zip(names, values)) + ")")
+
+
+def counts(docs: DataFrame, rules: list[dict]) -> DataFrame:
+    """doc_id, statistics and n, the count (or metric) of every rule in order.
+
+    One scan serves all column rules: each count is made once, and only in texts
+    that hold a needle of its pattern. The run rules share one aggregation and one join.
+    """
+    run = [k for k, r in enumerate(rules) if r["match"]["kind"] in FRAME_KINDS]
+    rows = doc_stats(docs).withColumn("lowered", F.lower("text"))
+    n = F.array(*(F.lit(0.0) if k in run else _counted(r["match"]["kind"], r).cast("double") for k, r in enumerate(rules)))
+    rows = rows.select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", n.alias("n"))
+    if not run:
+        return rows
+    found = reduce(DataFrame.unionByName, (_run_rows(docs, rules[k]["match"]).select("doc_id", F.lit(k).alias("k")) for k in run))
+    each = found.groupBy("doc_id").agg(*(F.sum((F.col("k") == k).cast("double")).alias(f"run_{k}") for k in run))
+    held = F.transform("n", lambda x, i: reduce(lambda a, k: F.when(i == k, F.coalesce(f"run_{k}", F.lit(0.0))).otherwise(a), run, x))
+    return rows.join(each, "doc_id", "left").select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", held.alias("n"))
 
 
 def evaluate(docs: DataFrame, rules: list[dict]) -> DataFrame:
-    """A1: (doc_id, rule, value, bound, fires) of every rule and document.
+    """A1: (doc_id, rule, value, bound, fires) of every rule and document; doc_id differs by row.
 
-    Column rules share one scan and one row of statistics; run rules join by document.
+    The rules' bounds travel as one constant array, so one expression judges any number of rules.
     """
-    stats = doc_stats(docs)
-    verdicts = []
-    for r in (r for r in rules if r["match"]["kind"] in COLUMN_KINDS):
-        notable, n = notable_of(r), _count(r)
-        v = value_of(n, notable)
-        bound = F.when(gates(notable, None if notable.metric else n) & v.isNotNull(), crossed(v, notable))
-        verdicts.append(F.struct(F.lit(r["id"]).alias("rule"), v.cast("double").alias("value"), bound.alias("bound")))
-    out = stats.select("doc_id", F.explode(F.array(*verdicts)).alias("v")).select("doc_id", "v.*") if verdicts else None
-    for r in (r for r in rules if r["match"]["kind"] in FRAME_KINDS):
-        m = r["match"]
-        runs = {"echo": lambda m=m: detect.echo(docs, m.get("minGram", 4), m.get("minRun", 2), m.get("anchored") or None, m.get("minFuncWords", 0), m.get("minShare", 0)), "anaphora": lambda m=m: detect.anaphora(docs, m.get("minRun", 3)), "frame": lambda m=m: detect.frames(docs, m.get("gram", 8), m.get("minRun", 3), m.get("anchors", 2), m.get("minLetters", 13), m.get("letterRatio", 0.62))}[m["kind"]]()
-        rows = stats.join(runs.groupBy("doc_id").agg(F.count("*").alias("n_runs")), "doc_id", "left")
-        n, notable = F.coalesce("n_runs", F.lit(0)), notable_of(r)
-        v = value_of(n, notable)
-        one = rows.select("doc_id", F.lit(r["id"]).alias("rule"), v.cast("double").alias("value"), F.when(gates(notable, n), crossed(v, notable)).alias("bound"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("fires", F.col("bound").isNotNull())
+    rows = counts(docs, rules).select("doc_id", "rate_words", "gate_sentences", "fn_words", F.posexplode("n").alias("k", "n"))
+    rows = rows.withColumn("t", F.get(F.array(*map(_terms, rules)), F.col("k")))
+    words = F.col("rate_words").cast("double")
+    plain = F.col("t.metric") | (F.col("t.power").isNull() & F.col("t.per").isNull())
+    # count / words * per, in this order, is what the bounds were made for
+    rate = F.when(words <= 0, 0.0).when(F.col("t.power").isNotNull(), F.col("n") / F.pow(words, F.col("t.power"))).otherwise(F.col("n") / words * F.col("t.per"))
+    rows = rows.withColumn("value", F.when(plain, F.col("n")).otherwise(rate))
+    share = F.when(words > 0, F.col("fn_words") / words).otherwise(0.0)
+    ok = (words >= F.col("t.words")) & (F.col("gate_sentences") >= F.col("t.sentences")) & (share >= F.col("t.share"))
+    v = F.col("value")
+    bound = F.coalesce(F.when(v > F.col("t.gt"), ">"), F.when(v >= F.col("t.ge"), ">="), F.when(v < F.col("t.lt"), "<"), F.when(v <= F.col("t.le"), "<="))
+    judged = ok & (F.col("t.metric") | (F.col("n") >= F.col("t.matches")))
+    return rows.select("doc_id", F.col("t.rule").alias("rule"), "value", F.when(judged, bound).alias("bound")).withColumn("fires", F.col("bound").isNotNull())
 
 
 def target_word(text: str, start: int, stop: int) -> tuple[int, int] | None:

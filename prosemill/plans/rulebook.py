@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators.rules import prepared
+from . import advisory
+
 # Ids, patterns and parameters of the rules, in their sets' order.
 # ruff: noqa: E501, RUF001
 WIKIPEDIA = [
@@ -63,4 +66,5 @@ SETS = [
     {"name": "cliches", "version": "1.0.0", "rules": CLICHES},
     {"name": "measured-backwards", "version": "0.1.0", "aliases": ["unreproduced"], "rules": MEASURED_BACKWARDS},
     {"name": "house-style", "version": "0.0.0", "rules": HOUSE_STYLE},
+    prepared(advisory.SET),
 ]

@@ -25,6 +25,16 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows on at least as many partitions as there are cores, for work that costs far more than moving the text.
+
+    A scan of one row group is one task. Scans with enough partitions, which is
+    every large input, are left alone: no shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def _with_kind(rows: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("name", r"\.([^./]+)\z", 1))
     kinds = F.create_map(*(F.lit(x) for k, v in KIND.items() for x in (k, v)))

@@ -58,11 +58,11 @@ def test_rule_reports(spark):
 
 def test_rulebook(spark):
     active = R.resolve(rulebook.SETS, everything=True)
-    assert len(active) == 45 and len(R.resolve(rulebook.SETS)) == 40
+    assert len(active) == 69 and len(R.resolve(rulebook.SETS)) == 40
     texts = ["It stands as a testament to craft. Many experts argue so.", "No frills, no fuss, and no waste.", "The plan is simple and clear."]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     fired = {(r.doc_id, r.rule) for r in R.evaluate(d, active).where("fires").collect()}
-    assert fired == {(0, "testament"), (0, "vague-experts"), (1, "no-chain")}
+    assert fired == {(0, "testament"), (0, "vague-experts"), (0, "machine-phrases"), (1, "no-chain")}
 
 
 def test_report_lines(spark):
