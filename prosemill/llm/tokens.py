@@ -18,7 +18,9 @@ empty table gives no shard and no rows; other columns are ignored.
 from __future__ import annotations
 
 import gc
+import json
 import struct
+import unicodedata
 import zlib
 from array import array
 
@@ -221,6 +223,27 @@ class ShardReader:
 # ---------------------------------------------------------------- tokenizer
 
 
+# The steps before the model that the short way for stretches of letters stands on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Byte-level letters: printable bytes stand for themselves, the others for 256 and up in order.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
+def _all_letters(text: str) -> bool:
+    """Letters that stay letters when lowered and composed: none that leaves a combining mark, which would join the marks behind it."""
+    if not text.isalpha() or "\u0130" in text:
+        return False
+    return max(text) < "\u0250" or unicodedata.normalize("NFC", text.lower()).isalpha()
+
+
 class WordEncoder:
     """Encodes whole texts with a file of the tokenizers library whose pre-tokenizer drops white space.
 
@@ -238,21 +261,34 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.lib, self.cache = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
+        self.model = self.lib.model if (plan["normalizer"], plan["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) else None
+
+    def _letters(self, core: bytes) -> bytes | None:
+        """The ids of a stretch of letters straight from the library's model, where its other steps are known to change nothing but case."""
+        text = core.decode("utf-8", "replace")
+        if self.model is None or max(text) >= "\u0250":
+            return None
+        return array("I", [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        cache, split, todo = self.cache, [], []
-        seen = set()
+        cache, split, seen = self.cache, [], set()
         for w in words:
-            # a last full stop or comma after letters is a token of its own, and ASCII letters are lowered anyway
-            core, mark = (w[:-1], w[-1:]) if w[-1] == 46 or w[-1] == 44 else (w, b"")
-            if core.isalpha() or core.decode("utf-8", "replace").isalpha():
-                core = core.lower()
+            # marks after letters are one piece of their own, and ASCII letters are lowered anyway
+            core = w.rstrip(MARKS)
+            if core.isalpha() or (core and _all_letters(core.decode("utf-8", "replace"))):
+                mark, core = w[len(core) :], core.lower()
                 if mark or core != w:
                     split.append((w, core, mark))
                     if mark and mark not in cache:
                         seen.add(mark)
                 if core not in cache:
-                    seen.add(core)
+                    ids = self._letters(core)
+                    if ids is None:
+                        seen.add(core)
+                    else:
+                        cache[core] = ids
             else:
                 seen.add(w)
         todo = list(seen)
