@@ -252,7 +252,8 @@ class WordEncoder:
     is the concatenation of its stretches' ids.
     """
 
-    LIMIT = 700_000
+    #: Words of a generation; at most two generations are held.
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         import os
@@ -260,7 +261,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib, self.cache = Tokenizer.from_file(path), {}
+        self.lib, self.cache, self.last = Tokenizer.from_file(path), {}, {}
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
         self.model = self.lib.model if (plan["normalizer"], plan["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) else None
@@ -304,11 +305,18 @@ class WordEncoder:
         end, cache = struct.pack("<I", end_id), self.cache
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(cache) > self.LIMIT:
-            cache.clear()
+            # words in use come back from the last generation as they are met
+            self.last, self.cache = cache, {}
+            cache = self.cache
         new = set()
         for words in split:
             new.update(words)
-        self._learn(new.difference(cache))
+        new.difference_update(cache)
+        if self.last:
+            known = new.intersection(self.last)
+            cache.update((w, self.last[w]) for w in known)
+            new -= known
+        self._learn(new)
         out = [b"".join(map(cache.__getitem__, words)) + end for words in split]
         return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 

@@ -1,4 +1,3 @@
-import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,6 +24,13 @@ def test_words():
     same(["Hello, WORLD...", "it's don't IT'S x's' 's", "naïve Über ÉCOLE straße ŒUVRE İstanbul ΣΟΦΟΣ ſ K", "a1b2 3.14 x<y verein$$$ (word) -- _a_", "éte ñ< a̸=", "中文 текст नमस्ते ﬁ Ǆ ǆ ª º ŉ", "", None, " a b﻿c\x85d", "a\x00b \x1f"])
 
 
+def test_generations(monkeypatch):
+    monkeypatch.setattr(WordEncoder, "LIMIT", 3)
+    for k in range(6):
+        same([f"one two w{k} Three, four.", f"x{k} one two five"])
+    assert ENCODER.last and len(ENCODER.cache) < 40
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("abZÉéßñøŁǆ'.,-_$<=1٣ \ń̸ İſ中\u0958\ufb1d\u0301"), max_size=30), max_size=6))
 def test_any_text(texts):
