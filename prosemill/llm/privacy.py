@@ -1,18 +1,19 @@
 """Personal data: pattern spans and information-theoretic sanitisation, in DataFrame operations alone.
 
 Patterns find e-mail addresses, IP addresses, card numbers (Luhn) and telephone
-numbers. Their values are the protected entities. A term (a word of four letters
-or more) near an entity discloses it by log2 P(entity | term) / P(entity), from
-how many distinct contexts of the entity hold the term and how many documents of
-the corpus hold it. Terms above the disclosure thresholds become spans as well,
-wherever they stand; sanitise() generalises spans to their kind or removes them.
+numbers. Their values are the protected entities. A term (a whole word outside
+the entities) discloses an entity of its document by
+log2 P(entity | term) / P(entity); the counts of both, of either and of all are
+documents, and copies count as documents in each of them. Terms above the
+disclosure thresholds become spans as well, wherever they stand; sanitise()
+generalises spans to their kind or removes them.
 
 Offsets are code points, ends exclusive. Look-behinds and possessive repeats
 keep every pattern linear in long runs without changing its matches; \\G lets a
 match start where the last one ended.
 
-Defined results: null and empty texts have no spans; contexts that are copies
-count once; equal spans of one kind cannot occur; repeated rows are judged one
+Defined results: null and empty texts have no spans; a term needs
+three different texts with the entity, so copies alone prove nothing; equal spans of one kind cannot occur; repeated rows are judged one
 by one, and their term spans follow the text; extra columns are ignored; an
 empty table gives no rows.
 """
@@ -32,7 +33,7 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}+"
 SPAN = "array<struct<start: int, stop: int, value: string>>"
 
 
@@ -86,8 +87,8 @@ def _entity(kind: str) -> Column:
     return F.transform(f"s_{kind}", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit(kind + ":"), value(s["value"])).alias("entity")))
 
 
-def _mark(kind: str, remove: bool) -> Column:
-    return F.transform(f"s_{kind}", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("last"), F.lit("" if remove else f"[{kind.upper()}]").alias("mark")))
+def _mark(kind: str, mark: str) -> Column:
+    return F.transform(f"s_{kind}", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("last"), F.lit(mark).alias("mark")))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -99,33 +100,57 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs
 
 
-def disclosing_terms(docs: DataFrame, spanned: DataFrame, near: int = 4, least: int = 3, share: float = 0.5, bits: float = 6.0, max_broadcast: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(terms above the thresholds: term, entity, bits; documents that hold candidate terms: doc_id, term)."""
-    entities = spanned.select("text", F.explode(F.concat(*map(_entity, KINDS))).alias("s"))
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0))
-    left, right = F.substring("text", F.greatest(F.col("s.start") - 99, F.lit(1)), F.least(F.col("s.start"), F.lit(100))), F.substring("text", F.col("s.stop") + 1, F.lit(100))
-    near_by = entities.select(F.col("s.entity").alias("entity"), F.slice(F.reverse(words(left)), 1, near).alias("l"), F.slice(words(right), 1, near).alias("r")).select("entity", F.array_distinct(F.concat("l", "r")).alias("terms"), F.xxhash64("l", "r").alias("context")).distinct()
-    near_by = saved(near_by, "entity-contexts")
-    seen = near_by.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near_by.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(f"n_both >= {least}")
-    pairs = saved(pairs.join(seen, "entity"), "entity-terms")
+def _cleared(spans: Column) -> Column:
+    """The text with each span replaced by its mark; of overlapping spans the first, then the longest, counts."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        clear = x["start"] >= a["at"]
+        return F.struct(F.when(clear, -x["last"]).otherwise(a["at"]).alias("at"), F.when(clear, F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), x["mark"])).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+
+
+def disclosing_terms(spanned: DataFrame, least: int = 3, share: float = 0.5, bits: float = 6.0, max_broadcast: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(terms above the thresholds: term, entity, bits; documents that hold candidate terms: doc_id, term).
+
+    Candidates are judged first by the documents with an entity that can have terms. A term's documents there are
+    no more than its documents in all, so that what fails there fails, and the rest is few enough to count in all.
+    """
+    any_span = F.expr(" + ".join(f"size(s_{k})" for k in KINDS)) > 0
+    outside = F.when(any_span, _cleared(F.concat(*(_mark(k, " ") for k in KINDS)))).otherwise(F.col("text"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(TERM), F.lit(0)))
+    found = F.array_distinct(F.transform(F.concat(*map(_entity, KINDS)), lambda s: s["entity"]))
+    total = spanned.count()
+    enough = lambda both, term: (F.col(both) >= share * F.col(term)) & (F.log2(F.col(both) * F.lit(float(total)) / (F.col(term) * F.col("n_entity"))) >= bits)
+    # each distinct text once, with its number of copies
+    texts = spanned.where(any_span).select(F.xxhash64("text").alias("t"), found.alias("entities"), words.alias("terms"))
+    texts = saved(texts.groupBy("t").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "entity-texts")
+    each = texts.select("t", "copies", F.explode("entities").alias("entity"))
+    # n_both is at most n_term and n_entity, so neither may be too frequent for the bits
+    seen = each.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_entity")).where((F.col("texts") >= least) & (F.log2(F.lit(float(total)) / F.col("n_entity")) >= bits))
+    each = saved(each.join(seen.select("entity", "n_entity"), "entity"), "text-entities")
+    held = texts.join(each.groupBy("t").agg(F.max("n_entity").alias("most")), "t").select("t", "copies", "most", F.explode("terms").alias("term"))
+    common = held.groupBy("term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_some"), F.max("most").alias("most"))
+    common = common.where((F.col("texts") >= least) & (F.log2(F.lit(float(total)) / F.col("n_some")) >= bits) & (F.col("most") >= share * F.col("n_some"))).select("term", "n_some")
+    held = saved(held.where(F.col("most") >= share * F.col("copies")).join(common, "term").select("t", "term", "n_some"), "text-terms")
+    pairs = each.join(held, "t").where(F.col("n_entity") >= share * F.col("n_some")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_some").alias("n_some"))
+    pairs = saved(pairs.where((F.col("texts") >= least) & enough("n_both", "n_some")).drop("texts", "n_some"), "entity-terms")
     candidates = pairs.select("term").distinct()
     n_terms = candidates.count()
     small = F.broadcast(candidates) if n_terms <= max_broadcast else candidates
-    held = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(small, "term")
-    held = saved(held, "term-documents")
+    held = saved(spanned.select("doc_id", F.explode(words).alias("term")).join(small, "term"), "term-documents")
     counts = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
-    terms = pairs.join(counts, "term").withColumn("bits", F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))).where((F.col("n_both") >= share * F.col("n_term")) & (F.col("bits") >= bits))
-    return saved(terms.select("term", "entity", "bits"), "disclosing-terms"), held
+    terms = pairs.join(counts, "term").where(enough("n_both", "n_term"))
+    bits_of = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
+    return saved(terms.select("term", "entity", bits_of.alias("bits")), "disclosing-terms"), held
 
 
 def find_private(docs: DataFrame, max_broadcast: int = 50_000, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """doc_id, text and span columns s_email, s_ip, s_card, s_phone, s_term."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spanned = base_spans(slim)
-    some = spanned.where("size(s_email) + size(s_ip) + size(s_card) + size(s_phone) > 0")
-    terms, held = disclosing_terms(slim, some, max_broadcast=max_broadcast, **thresholds)
+    terms, held = disclosing_terms(spanned, max_broadcast=max_broadcast, **thresholds)
     listed = terms.select("term").distinct()
     of = saved(held.join(listed, "term").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms")), "documents-with-terms")
     n = of.count()
@@ -145,12 +170,5 @@ def span_list(kinds: list[str]) -> Column:
 
 def sanitise(found: DataFrame, remove: bool = False) -> DataFrame:
     """doc_id and the text with each span generalised to [KIND] (or removed); of overlapping spans the first, then the longest, counts."""
-    every = F.array_sort(F.concat(*(_mark(k, remove) for k in [*KINDS, "term"])))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        clear = x["start"] >= a["at"]
-        return F.struct(F.when(clear, -x["last"]).otherwise(a["at"]).alias("at"), F.when(clear, F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), x["mark"])).otherwise(a["out"]).alias("out"))
-
-    clean = F.aggregate(every, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return found.select("doc_id", clean.alias("text"))
+    every = F.concat(*(_mark(k, "" if remove else f"[{k.upper()}]") for k in [*KINDS, "term"]))
+    return found.select("doc_id", _cleared(every).alias("text"))

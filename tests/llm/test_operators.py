@@ -304,6 +304,18 @@ def test_private(spark, empty):
     assert privacy.find_private(empty).count() == 0
 
 
+def other_documents(n):
+    return [(10_000 + i, f"nothing special {chr(97 + i % 26) * 5}") for i in range(n)]
+
+
+def test_private_terms_of_copied_documents(spark):
+    rows = [(i, f"{c * 4} Zanzibar me@here.org {c * 5}") for i, c in enumerate("abc")]
+    rows += [(100 + i, rows[0][1]) for i in range(50)]
+    found = privacy.find_private(spark.createDataFrame(rows + other_documents(6000), "doc_id long, text string"))
+    got = {r.doc_id: r.n for r in found.selectExpr("doc_id", "size(s_term) n").where("doc_id < 10000").collect()}
+    assert set(got) == {i for i, _ in rows} and all(got.values())
+
+
 def test_quality_rules(docs, rows, empty):
     for r in quality_rules.quality_rules(docs).collect():
         t = rows[r.doc_id] or ""
