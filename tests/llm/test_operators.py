@@ -316,6 +316,15 @@ def test_private_terms_of_copied_documents(spark):
     assert set(got) == {i for i, _ in rows} and all(got.values())
 
 
+def test_private_terms_far_from_the_entity(spark):
+    fill = "".join(" " + "x" * (1 + k % 9) for k in range(60))
+    rows = [(i, f"Zanzibar and Ned{fill} {c * 4} me@here.org") for i, c in enumerate("abcde")]
+    fillers = [(20_000 + i, fill) for i in range(20)]
+    found = privacy.find_private(spark.createDataFrame(rows + fillers + other_documents(800), "doc_id long, text string"))
+    got = {r.doc_id: [s.value for s in r.s_term] for r in found.where("doc_id < 10000").collect()}
+    assert all({"Zanzibar", "Ned"} <= set(v) and not any("x" in w for w in v) for v in got.values()) and len(got) == 5
+
+
 def test_quality_rules(docs, rows, empty):
     for r in quality_rules.quality_rules(docs).collect():
         t = rows[r.doc_id] or ""
