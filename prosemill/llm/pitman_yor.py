@@ -1,10 +1,10 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants. Every token is a customer of the restaurant of its context, one of
-CONTEXTS classes of the preceding token (a hash of it: frequent words stand
-almost alone, rare ones share). All context restaurants share one parent, the
-word restaurant, whose base is uniform over the training vocabulary and one
-unknown word. Discounts come from the counts of counts.
+Restaurants. Every token is a customer of the restaurant of its context, the
+preceding token: one restaurant for each distinct preceding token, known by its
+full 64-bit hash. All context restaurants share one parent, the word restaurant,
+whose base is uniform over the training vocabulary and one unknown word.
+Discounts come from the counts of counts.
 
 Gibbs. A sweep reseats the customers of every (context, word) given the tables
 of everything else, then those of the parent, as a Chinese restaurant: a
@@ -15,12 +15,16 @@ goes in blocks of a sixteenth. Predictive probabilities are averaged over the
 samples.
 
 Plan. Tokens travel once, packed by word partition: a word's counts in all
-contexts and its parent counts meet in one task, which needs of the others only
-sums by context (fixed in number). Words with more than 1/HOT_SHARE of a sample's tokens
-(so at most HOT_SHARE of them) never travel: their table of CONTEXTS counts each
-is summed, sampled on the driver and broadcast. Sampling the hot words changes
+contexts and its parent counts meet in one task. The sums by context that it
+needs of the others come back by key: each word partition sends its own sums to
+the partitions of the contexts, which add them up and answer in the order of the
+list they were first sent. The token table is bucketed, so these joins leave it
+where it is. Words with more than 1/HOT_SHARE of a sample's tokens (so at most
+HOT_SHARE of them) are hot: their tokens go by context instead, the counts of hot
+words in hot contexts are summed for the driver and never travel, and the sums of
+hot words and hot contexts go through the driver. Sampling the hot words changes
 where they are counted, not what is counted. Sweeps are seeded and repeat their
-predecessors', so the state between jobs is only those sums.
+predecessors', so the state between jobs is only the sums.
 
 Defined results: null and empty texts have one token, the end; documents with
 crc32(id) mod 7 = held_out_fold are scored only; without training tokens every
@@ -31,6 +35,7 @@ rows.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -38,25 +43,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, held, partitions, scratch
+from .common import Hasher, held, partitions, saved, scratch
 
-CONTEXTS, HOT_SHARE = 4096, 256
+HOT_SHARE = 1024
+CONTEXTS = HOT_SHARE  # the most hot contexts; there is no limit on all contexts
 END = 0x5D4C3B2A19080706
-HELD = np.uint16(0x8000)
+HELD = np.uint32(1 << 31)
 
 
 def tokens_of(raws: list[bytes], hasher: Hasher):
-    """(token hashes, context classes, document number) of the texts, each with its end token."""
-    h, first = hasher.words(raws)
-    n = np.diff(first) + 1
+    """(token hashes, context hashes, document number) of the texts, each with its end token."""
+    # about a megabyte at a time: the hasher holds some fifty bytes a byte
+    cuts = np.cumsum([0, *map(len, raws)])[:-1] // 1_000_000
+    runs = np.split(np.arange(len(raws)), np.flatnonzero(np.diff(cuts)) + 1)
+    hashed = [hasher.words(raws[r[0] : r[-1] + 1]) for r in runs]
+    h, n = np.concatenate([x for x, _ in hashed]), np.concatenate([np.diff(f) for _, f in hashed]) + 1
     ends = np.cumsum(n) - 1
     tok = np.empty(len(h) + len(raws), np.uint64)
     is_end = np.zeros(len(tok), bool)
     is_end[ends] = True
     tok[~is_end], tok[is_end] = h, np.uint64(END)
     before = np.concatenate([[np.uint64(END)], tok[:-1]])
-    ctx = ((before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.uint16)
-    return tok, ctx, np.repeat(np.arange(len(raws), dtype=np.uint16), n)
+    return tok, before, np.repeat(np.arange(len(raws), dtype=np.uint16), n)
 
 
 def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -76,28 +84,50 @@ def seat(count: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndar
     return out
 
 
-class Cells:
-    """The counts of one word partition: cells (word, context) with their training counts."""
+def among(hot: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where x would be in the sorted hot hashes, and whether it is there."""
+    if not len(hot):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
+    return at, hot[at] == x
+
 
-    def __init__(self, word: np.ndarray, ctx: np.ndarray, count: np.ndarray, n_words: int, seed: int):
-        self.word, self.ctx, self.count, self.n_words, self.seed = word, ctx, count, n_words, seed
+class Cells:
+    """The counts of one word partition: cells (word, context) with their training counts.
+
+    shared has the hot number of each word, -1 for words that have all their cells here. Vectors of sums:
+    tables by context, then customers and tables of the n_hot hot words in the parent, then those of the parent.
+    """
+
+    def __init__(self, word: np.ndarray, ctx: np.ndarray, count: np.ndarray, n_words: int, seed: int, n_ctx: int | None = None, shared: np.ndarray | None = None, n_hot: int = 0):
+        self.word, self.ctx, self.count, self.n_words, self.seed, self.n_hot = word, ctx, count, n_words, seed, n_hot
+        self.n_ctx = int(ctx.max()) + 1 if n_ctx is None else n_ctx
+        shared = np.full(n_words, -1) if shared is None else shared
+        self.own, self.hot_words = shared < 0, np.flatnonzero(shared >= 0)
+        self.hot = shared[self.hot_words]
         self.word_count = np.bincount(word, count, n_words)
 
     def sums(self, t: np.ndarray, tw: np.ndarray) -> np.ndarray:
-        """Tables by context, then customers and tables of the parent."""
-        return np.concatenate([np.bincount(self.ctx, t, CONTEXTS), [t.sum(), tw.sum()]])
+        """What these cells add to the sums; the tables of hot words are not theirs to know."""
+        cw = np.bincount(self.word, t, self.n_words)
+        return np.concatenate([np.bincount(self.ctx, t, self.n_ctx), np.bincount(self.hot, cw[self.hot_words], self.n_hot), np.zeros(self.n_hot), [t.sum(), tw[self.own].sum()]])
 
     def first(self) -> tuple[np.ndarray, np.ndarray]:
         t = (self.count > 0).astype(float)
         return t, (np.bincount(self.word, t, self.n_words) > 0).astype(float)
 
+    def counts(self) -> np.ndarray:
+        """Cells of one and two customers, own words of one and two tables, own words and customers."""
+        t, _ = self.first()
+        cw = np.bincount(self.word, t, self.n_words)[self.own]
+        return np.array([(self.count == 1).sum(), (self.count == 2).sum(), (cw == 1).sum(), (cw == 2).sum(), (self.word_count[self.own] > 0).sum(), self.count.sum()], float)
+
     def stats(self) -> np.ndarray:
-        t, tw = self.first()
-        cw = np.bincount(self.word, t, self.n_words)
-        return np.concatenate([np.bincount(self.ctx, self.count, CONTEXTS), self.sums(t, tw), [(self.count == 1).sum(), (self.count == 2).sum(), (cw == 1).sum(), (cw == 2).sum(), (self.word_count > 0).sum(), self.count.sum()]])
+        return np.concatenate([np.bincount(self.ctx, self.count, self.n_ctx), self.sums(*self.first()), self.counts()])
 
     def parent(self, g: dict, t: np.ndarray, tw: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        cw = np.bincount(self.word, t, self.n_words)
+        cw, tw = np.bincount(self.word, t, self.n_words), tw.copy()
+        cw[self.hot_words], tw[self.hot_words] = (sums[self.n_ctx + k * self.n_hot :][self.hot] for k in (0, 1))
         return (np.maximum(cw - g["d0"] * tw, 0) + (g["s0"] + g["d0"] * sums[-1]) * g["base"]) / (g["s0"] + sums[-2])
 
     def sweep(self, g: dict, t: np.ndarray, tw: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +156,10 @@ class Cells:
         return np.log10(total / n)
 
 
-def _constants(stats: np.ndarray, strength: float, parent_strength: float) -> tuple[dict, np.ndarray]:
-    customers, sums = stats[:CONTEXTS], stats[CONTEXTS : 2 * CONTEXTS + 2]
-    n1, n2, m1, m2, v, n = stats[2 * CONTEXTS + 2 :]
+def _constants(stats: np.ndarray, strength: float, parent_strength: float, n_hot: int = 0) -> tuple[dict, np.ndarray]:
+    n_ctx = (len(stats) - 8 - 2 * n_hot) // 2
+    customers, sums = stats[:n_ctx], stats[n_ctx:-6]
+    n1, n2, m1, m2, v, n = stats[-6:]
     of = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5
     return {"customers": customers, "d": of(n1, n2), "d0": of(m1, m2), "s": strength, "s0": parent_strength, "base": 1 / (v + 1), "n": n, "v": v}, sums
 
@@ -152,44 +183,93 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _load(blobs: list[tuple[int, bytes]], part: int):
-    """Of a word partition: its Cells, the cell of each token, the token's text number and the (block, number) of each text."""
-    words, ctxs, docs, keys, base = [], [], [], [], 0
-    for block, blob in blobs:
-        w, n, c, d = _unpack(blob, "<u8", "<i4", "<u2", "<u2")
-        words.append(np.repeat(w, n))
-        ctxs.append(c)
-        top = int(d.max()) + 1 if len(d) else 0
-        docs.append(d.astype(np.int64) + base)
-        keys.append((block, top))
-        base += top
-    w, c, d = np.concatenate(words), np.concatenate(ctxs), np.concatenate(docs)
-    distinct, wid = np.unique(w, return_inverse=True)
-    train = (c & HELD) == 0
-    key, cell = np.unique(wid * CONTEXTS + (c & np.uint16(CONTEXTS - 1)), return_inverse=True)
-    count = np.bincount(cell[train], minlength=len(key)).astype(float)
-    return Cells(key // CONTEXTS, key % CONTEXTS, count, len(distinct), part + 1), cell, d, keys
-
-
-def _partitions_of(batches):
-    """(word partition, [(block, blob)]) one at a time: rows come sorted by partition."""
-    part, blobs = None, []
-    for batch in batches:
-        for p, block, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if p != part and blobs:
-                yield part, blobs
-                blobs = []
-            part = p
-            blobs.append((block, blob))
-    if blobs:
-        yield part, blobs
+class Part:
+    """A word partition: its Cells, the cell of each token, the token's text number and the (block, number) of each text.
+
+    Contexts are numbered with the hot ones first, then by context partition and hash.
+    """
+
+    def __init__(self, blobs: list[tuple[int, bytes]], part: int, hot: np.ndarray, parts: int):
+        words, times, ctxs, at, train, docs, self.keys, base, before = [], [], [], [], [], [], [], 0, 0
+        for block, blob in blobs:
+            w, n, x, c, d = _unpack(blob, "<u8", "<i4", "<u8", "<u4", "<u2")
+            words.append(w)
+            times.append(n)
+            ctxs.append(x)
+            at.append((c & ~HELD).astype(np.int64) + before)
+            train.append(c & HELD == 0)
+            top = int(d.max()) + 1 if len(d) else 0
+            docs.append(d.astype(np.int64) + base)
+            self.keys.append((block, top))
+            base += top
+            before += len(x)
+        self.doc, at, train = np.concatenate(docs), np.concatenate(at), np.concatenate(train)
+        distinct, wid = np.unique(np.concatenate(words), return_inverse=True)
+        wid = np.repeat(wid, np.concatenate(times))
+        known, number = np.unique(np.concatenate(ctxs), return_inverse=True)
+        where, is_hot = among(hot, known)
+        to = np.where(is_hot, -1, (known >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((known, to))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.contexts, to = known[order], to[order]
+        self.n_cold = int((to >= 0).sum())
+        self.hot_ctx = where[order][: len(order) - self.n_cold]
+        self.to, first = np.unique(to[to >= 0], return_index=True)
+        self.cuts = np.append(first, self.n_cold) + len(self.hot_ctx)
+        n_ctx = len(known)
+        key, self.cell = np.unique(wid * n_ctx + place[number[at]], return_inverse=True)
+        count = np.bincount(self.cell[train], minlength=len(key)).astype(float)
+        where, is_hot = among(hot, distinct)
+        self.cells = Cells(key // n_ctx, key % n_ctx, count, len(distinct), part + 1, n_ctx, np.where(is_hot, where, -1), len(hot))
+
+    def cut(self, *vectors: np.ndarray) -> list[bytes]:
+        """By context partition, the pieces of vectors over contexts."""
+        return [_pack(*(v[a:b].astype("<i8") for v in vectors)) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+
+    def to_driver(self, x: np.ndarray) -> np.ndarray:
+        """A vector that starts with numbers by context, with those by hot context instead."""
+        n = self.cells.n_ctx
+        return np.concatenate([np.bincount(self.hot_ctx, x[: len(self.hot_ctx)], self.cells.n_hot), x[n:]])
+
+    def history(self, answers: pa.Table, hot_customers: np.ndarray, driver: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Customers by context, and the vectors of sums after each round, from the answers and the driver's vectors."""
+        got = {(k, q): b for k, q, b in zip(*(answers.column(c).to_pylist() for c in ("k", "q", "vals")), strict=True)}
+        h = len(hot_customers)
+        out, customers = [], None
+        for k, x in enumerate(driver):
+            pieces = [_unpack(got[k, q], *["<i8"] * (2 if k == 0 else 1)) for q in self.to.tolist()]
+            if k == 0:
+                customers = np.concatenate([hot_customers[self.hot_ctx], *(p[0] for p in pieces)]).astype(float)
+            out.append(np.concatenate([x[:h][self.hot_ctx], *(p[-1] for p in pieces), x[h:]]).astype(float))
+        return customers, out
+
+
+def added(key: tuple, lists: pa.Table, sent: pa.Table, k: int) -> pa.Table:
+    """The answers of a context partition: for each word partition the sums of its contexts over all."""
+    vals = dict(zip(sent.column("part").to_pylist(), sent.column("vals").to_pylist(), strict=True))
+    parts = lists.column("part").to_pylist()
+    contexts = [np.frombuffer(b, "<u8") for b in lists.column("contexts").to_pylist()]
+    _, at = np.unique(np.concatenate(contexts), return_inverse=True)
+    x = [_unpack(vals[p], *["<i8"] * (2 if k == 0 else 1)) for p in parts]
+    sums = [np.bincount(at, np.concatenate(v))[at].astype("<i8") for v in zip(*x, strict=True)]
+    cuts = np.cumsum([0, *map(len, contexts)])
+    blobs = [_pack(*(v[a:b] for v in sums)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"part": pa.array(parts, pa.int32()), "q": pa.array([key[0].as_py()] * len(parts), pa.int32()), "k": pa.array([k] * len(parts), pa.int32()), "vals": pa.array(blobs, pa.binary())})
+
+
+def bucketed(df: DataFrame, n: int, key: str, tag: str) -> DataFrame:
+    """df as a table in n buckets by key, in the shared folder."""
+    name = f"prosemill_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", scratch(df.sparkSession, tag)).option("compression", "none").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_strength: float = 10.0, held_out_fold: int = 2, folds: int = 7, block_mb: float = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = partitions(docs, 12)
+    parts = partitions(docs, 5)
     rows = slim.count()
     # the words so frequent in a sample that they stay where they are
     hasher = Hasher()
@@ -222,16 +302,14 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
                 own = ids[a:b]
                 away = np.array([zlib.crc32(str("" if i is None else i).encode()) % folds == held_out_fold for i in own])
                 tok, ctx, doc = tokens_of(raws, hash_)
-                ctx = np.where(away[doc], ctx | HELD, ctx)
                 block = zlib.crc32(repr(own).encode()) << 31 ^ zlib.crc32(b"".join(raws))
-                at = np.searchsorted(hot, tok)
-                is_hot = (hot[np.minimum(at, len(hot) - 1)] == tok) if len(hot) else np.zeros(len(tok), bool)
-                ha, hc, hd = at[is_hot].astype("<u2"), ctx[is_hot], doc[is_hot]
+                (ha, hot_word), (hc, hot_ctx) = among(hot, tok), among(hot, ctx)
+                stay = hot_word & hot_ctx
                 known_ids = np.array([0 if i is None else i for i in own], "<i8")
-                meta = _pack(known_ids, np.array([i is None for i in own], "u1"), away.astype("u1"), np.bincount(doc, minlength=len(own)).astype("<i4"), ha, hc.astype("<u2"), hd.astype("<u2"))
+                meta = _pack(known_ids, np.array([i is None for i in own], "u1"), away.astype("u1"), np.bincount(doc, minlength=len(own)).astype("<i4"), ha[stay].astype("<u2"), hc[stay].astype("<u2"), doc[stay].astype("<u2"))
                 out = [(-1 - (block & 0xFFF), block, meta)]
-                w, c, d = tok[~is_hot], ctx[~is_hot], doc[~is_hot]
-                p = ((w >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+                w, c, d = tok[~stay], ctx[~stay], doc[~stay]
+                p = ((np.where(hot_word[~stay], c, w) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((w, p))
                 w, c, d, p = w[order], c[order], d[order], p[order]
                 cuts = np.searchsorted(p, np.arange(parts + 1))
@@ -239,78 +317,131 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
                     x, y = int(cuts[k]), int(cuts[k + 1])
                     if y > x:
                         new = np.flatnonzero(np.concatenate([[True], w[x + 1 : y] != w[x : y - 1]]))
-                        out.append((k, block, _pack(w[x:y][new], np.diff(np.append(new, y - x)).astype("<i4"), c[x:y].astype("<u2"), d[x:y].astype("<u2"))))
+                        contexts, at = np.unique(c[x:y], return_inverse=True)
+                        at = at.astype("<u4") | np.where(away[d[x:y]], HELD, np.uint32(0))
+                        out.append((k, block, _pack(w[x:y][new], np.diff(np.append(new, y - x)).astype("<i4"), contexts, at, d[x:y].astype("<u2"))))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["part", "block", "blob"])
                 a = b
 
-    path = scratch(spark, "token-blobs")
-    # one row group a file, so that a word partition is read by one task
-    packed = slim.mapInArrow(encode, "part int, block long, blob binary").repartition(parts, "part").sortWithinPartitions("part", "block")
-    packed.write.option("parquet.block.size", 1 << 30).option("compression", "none").parquet(path)
-    blobs = spark.read.schema("part int, block long, blob binary").parquet(path)
+    blobs = bucketed(slim.mapInArrow(encode, "part int, block long, blob binary"), parts, "part", "token-blobs")
     cold, metas = blobs.where("part >= 0"), blobs.where("part < 0").select("block", "blob")
 
     def hot_counts(batches):
         total = np.zeros(len(hot) * CONTEXTS, np.int64)
         for batch in batches:
             for blob in batch.column(1).to_pylist():
-                *_, a, c, _ = _unpack(blob, "<i8", "u1", "u1", "<i4", "<u2", "<u2", "<u2")
-                keep = (c & HELD) == 0
+                _, _, away, _, a, c, d = _unpack(blob, "<i8", "u1", "u1", "<i4", "<u2", "<u2", "<u2")
+                keep = away[d] == 0
                 total += np.bincount(a[keep].astype(np.int64) * CONTEXTS + c[keep], minlength=len(total))
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
+    n_hot = len(hot)
     hot_cells = None
-    if len(hot):
+    if n_hot:
         table = metas.mapInArrow(hot_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most HOT_SHARE * CONTEXTS rows
-        count = np.zeros(len(hot) * CONTEXTS)
+        count = np.zeros(n_hot * CONTEXTS)
         count[table["cell"].to_numpy(np.int64)] = table["n"].to_numpy(float)
-        cell = np.arange(len(count))
-        hot_cells = Cells(cell // CONTEXTS, cell % CONTEXTS, count, len(hot), 0)
+        cell = np.arange(len(count)).reshape(n_hot, CONTEXTS)[:, :n_hot].ravel()
+        hot_cells = Cells(cell // CONTEXTS, cell % CONTEXTS, count[cell], n_hot, 0, n_hot, np.arange(n_hot), n_hot)
 
-    def summed(make, size: int) -> np.ndarray:
-        """The sum of an array that each word partition makes; added up by position, as arrays of `size` numbers."""
+    def opened(key: tuple, rows_: pa.Table) -> Part:
+        part = key[0].as_py()
+        # equal texts make equal blocks: the order of the rows changes nothing
+        return Part(list(zip(rows_.column("block").to_pylist(), rows_.column("blob").to_pylist(), strict=True)), part, hot, parts)
+
+    def messages(key: tuple, p: Part, pieces: list[bytes], driver: np.ndarray, contexts: bool) -> pa.Table:
+        part = key[0].as_py()
+        lists = {"contexts": pa.array([p.contexts[a:b].astype("<u8").tobytes() for a, b in zip(p.cuts[:-1], p.cuts[1:], strict=True)] + [b""], pa.binary())} if contexts else {}
+        return pa.table({"q": pa.array([*p.to.tolist(), -1], pa.int32()), "part": pa.array([part] * (len(pieces) + 1), pa.int32()), "vals": pa.array([*pieces, _pack(driver)], pa.binary())} | lists)
+
+    def summed(sent: DataFrame, size: int) -> np.ndarray:
+        """The sum of the vectors for the driver."""
 
         def run(batches):
             total = np.zeros(size)
-            for part, rows_ in _partitions_of(batches):
-                total += make(_load(rows_, part)[0])
+            for batch in batches:
+                for blob in batch.column(0).to_pylist():
+                    total += _unpack(blob, "<f8")[0]
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "x"])
 
-        got = cold.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
-        out = make(hot_cells) if hot_cells else np.zeros(size)
-        out[got["at"].to_numpy(np.int64)] += got["x"].to_numpy(float)
+        got = sent.where("q < 0").select("vals").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+        out = np.zeros(size)
+        out[got["at"].to_numpy(np.int64)] = got["x"].to_numpy(float)
         return out
 
-    g, sums = _constants(summed(lambda c: c.stats(), 2 * CONTEXTS + 8), strength, parent_strength)
+    def start(key, rows_):
+        p = opened(key, rows_)
+        c = p.cells
+        customers = np.bincount(c.ctx, c.count, c.n_ctx)
+        sums = c.sums(*c.first())
+        driver = np.concatenate([p.to_driver(customers)[:n_hot], p.to_driver(sums), c.counts(), np.bincount(c.hot, c.word_count[c.hot_words], n_hot)])
+        return messages(key, p, p.cut(customers, sums), driver, True)
+
+    lists = bucketed(cold.groupBy("part").applyInArrow(start, "q int, part int, vals binary, contexts binary"), parts, "q", "context-lists")
+    stats = summed(lists, 5 * n_hot + 8)
+    stats, hot_count = stats[: 4 * n_hot + 8], stats[4 * n_hot + 8 :]
+    if hot_cells:
+        stats += hot_cells.stats()
+        hot_count = hot_count + hot_cells.word_count
+        cw = stats[2 * n_hot : 3 * n_hot]
+        stats[3 * n_hot : 4 * n_hot] = cw > 0
+        stats[4 * n_hot + 1] += (cw > 0).sum()
+        stats[-4:-1] += [(cw == 1).sum(), (cw == 2).sum(), (hot_count > 0).sum()]
+    g, sums = _constants(stats, strength, parent_strength, n_hot)
     history = [sums]
-    for _ in range(samples if g["n"] else 0):
-        seen = list(history)
+    answer_schema = "part int, q int, k int, vals binary"
+    of_contexts = lists.where("q >= 0")
+    answers = saved(of_contexts.groupBy("q").applyInArrow(lambda key, rows_: added(key, rows_, rows_, 0), answer_schema), "context-sums")
+
+    def sweep(seen: list[np.ndarray]):
+        def run(key, rows_, answered):
+            p = opened(key, rows_)
+            _, own = p.history(answered, g["customers"], seen)
+            *_, last = p.cells.samples(g, own)
+            sums = p.cells.sums(*last)
+            return messages(key, p, p.cut(sums), p.to_driver(sums), False)
 
-        def after(c: Cells, seen=seen):
-            *_, last = c.samples(g, seen)
-            return c.sums(*last)
+        return run
+
+    def add(k: int):
+        return lambda key, contexts, sent: added(key, contexts, sent, k)
+
+    for k in range(1, samples + 1 if g["n"] else 1):
+        seen = list(history)
 
-        history.append(summed(after, CONTEXTS + 2))
+        sent = saved(cold.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(sweep(seen), "q int, part int, vals binary"), "context-tables")
+        sums = summed(sent, 3 * n_hot + 2)
+        if hot_cells:
+            *_, last = hot_cells.samples(g, seen)
+            sums += hot_cells.sums(*last)
+            tables = seat(sums[n_hot : 2 * n_hot], np.full(n_hot, (g["s0"] + g["d0"] * seen[-1][-1]) * g["base"]), g["d0"], np.random.default_rng([0, k, 1]))
+            sums[2 * n_hot : 3 * n_hot] = tables
+            sums[-1] += tables.sum()
+        history.append(sums)
+        more_ = of_contexts.select("q", "part", "contexts").groupBy("q").cogroup(sent.where("q >= 0").groupBy("q")).applyInArrow(add(k), answer_schema)
+        answers = answers.unionByName(saved(more_, "context-sums"))
     scale = np.log10(g["n"] + g["v"] + 1)
     part_schema = "block long, no int, score double, base double, known long"
 
-    def cold_scores(batches):
-        for part, rows_ in _partitions_of(batches):
-            cells, cell, doc, keys = _load(rows_, part)
-            logs = cells.log_probability(g, history)
-            base = np.log10(cells.word_count + 1) - scale
-            n = sum(top for _, top in keys)
-            there = np.bincount(doc, minlength=n)
-            use = np.flatnonzero(there)
-            words = cells.word[cell]
-            block = np.repeat(np.array([b for b, _ in keys], np.int64), [t for _, t in keys])
-            no = np.concatenate([np.arange(t) for _, t in keys]) if keys else np.zeros(0, np.int64)
-            sums_ = [np.bincount(doc, x, n)[use] for x in (logs[cell], base[words], (cells.word_count > 0)[words].astype(float))]
-            yield pa.RecordBatch.from_arrays([pa.array(block[use]), pa.array(no[use].astype(np.int32)), pa.array(sums_[0]), pa.array(sums_[1]), pa.array(sums_[2].astype(np.int64))], ["block", "no", "score", "base", "known"])
-
-    hot_logs = spark.sparkContext.broadcast(None if hot_cells is None else (hot_cells.log_probability(g, history), np.log10(hot_cells.word_count + 1) - scale, hot_cells.word_count > 0))
+    def cold_scores(key, rows_, answered):
+        p = opened(key, rows_)
+        customers, own = p.history(answered, g["customers"], history)
+        cells, doc = p.cells, p.doc
+        logs = cells.log_probability(g | {"customers": customers}, own)
+        count = cells.word_count
+        count[cells.hot_words] = hot_count[cells.hot]
+        base = np.log10(count + 1) - scale
+        n = sum(top for _, top in p.keys)
+        use = np.flatnonzero(np.bincount(doc, minlength=n))
+        words = cells.word[p.cell]
+        block = np.repeat(np.array([b for b, _ in p.keys], np.int64), [t for _, t in p.keys])
+        no = np.concatenate([np.arange(t) for _, t in p.keys])
+        sums_ = [np.bincount(doc, x, n)[use] for x in (logs[p.cell], base[words], (count > 0)[words].astype(float))]
+        return pa.table({"block": block[use], "no": no[use].astype(np.int32), "score": sums_[0], "base": sums_[1], "known": sums_[2].astype(np.int64)})
+
+    hot_logs = spark.sparkContext.broadcast(None if hot_cells is None else (hot_cells.log_probability(g, history).reshape(n_hot, n_hot), np.log10(hot_count + 1) - scale, hot_count > 0))
 
     def doc_rows(batches):
         for batch in batches:
@@ -320,8 +451,7 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
                 s = [np.zeros(m)] * 3
                 if hot_logs.value and len(a):
                     logs, base, known = hot_logs.value
-                    a = a.astype(np.int64)
-                    s = [np.bincount(d, x, m) for x in (logs[a * CONTEXTS + (c & np.uint16(CONTEXTS - 1))], base[a], known[a].astype(float))]
+                    s = [np.bincount(d, x, m) for x in (logs[a, c], base[a], known[a].astype(float))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(m, block)), pa.array(np.arange(m, dtype=np.int32)), pa.array(s[0]), pa.array(s[1]), pa.array(s[2].astype(np.int64)), pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(away.astype(bool)), pa.array(n_tokens.astype(np.int64)), pa.array(np.ones(m, np.int64))],
                     ["block", "no", "score", "base", "known", "doc_id", "held_out", "n_tokens", "copies"],
@@ -329,7 +459,7 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
 
     more = "doc_id long, held_out boolean, n_tokens long, copies long"
     ends = metas.mapInArrow(doc_rows, f"{part_schema}, {more}")
-    every = ends.unionByName(cold.mapInArrow(cold_scores, part_schema), allowMissingColumns=True)
+    every = ends.unionByName(cold.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(cold_scores, part_schema), allowMissingColumns=True)
     merged = every.groupBy("block", "no").agg(F.sum("score").alias("s"), F.sum("base").alias("b"), F.sum("known").alias("k"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("copies").alias("copies"))
     # equal blocks of equal rows share a key: each of the copies gets its part of the sums
     rows_out = merged.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))

@@ -115,6 +115,18 @@ def test_pitman_yor_predictive_sums_to_one():
     assert np.allclose(total + unknown / 2, 1)
 
 
+def test_pitman_yor_contexts_do_not_share(spark):
+    # words of one 12-bit hash class, each always before a word of its own
+    some = [f"k{i}" for i in range(160_000)]
+    h, _ = pitman_yor.Hasher().words([" ".join(some).encode()])
+    key = [some[i] for i in np.flatnonzero((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52) == 7)]
+    assert len(key) > 20
+    d = spark.createDataFrame([(i, f"{w} v{n} " * 6) for n, w in enumerate(key) for i in range(20 * n, 20 * n + 20)], "doc_id long, text string")
+    got = pitman_yor.score(d).collect()
+    # a follower has most of the probability after its word; in a shared restaurant about one part in len(key)
+    assert len(got) == 20 * len(key) and all(r.score > -6 for r in got)
+
+
 def brute_components(sets, percent):
     parent = {i: i for i in sets}
 
