@@ -88,31 +88,66 @@ def churn(snapshots: DataFrame) -> DataFrame:
     return new.join(old, ["before", "word"], "left").groupBy("generated").agg(F.count("*").alias("words"), F.count(F.when(F.col("there").isNull(), 1)).alias("fresh")).withColumn("churn", F.col("fresh") / F.col("words"))
 
 
-def kmeans(bags: DataFrame, k: int = 8, iterations: int = 10, seed: int = 12345, save=None) -> DataFrame:
+def _slice_states(counts: list[int], seed: int) -> list[int]:
+    """State of the reference's generator, which multiplies in doubles, before each run of documents."""
+    out = []
+    for n in counts:
+        out.append(seed)
+        for _ in range(n):
+            seed = int(float(seed) * 1103515245.0 + 12345.0) & 0xFFFFFFFF
+    return out
+
+
+def slices(ids: DataFrame, k: int, seed: int, save) -> DataFrame:
+    """The reference's starting clusters: documents in the order of their ids, dealt by its generator; (doc_id, cluster)."""
+    import pyarrow as pa
+
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = save(ids.repartitionByRange(n, "doc_id").withColumn("range", F.spark_partition_id()))
+    counts = sorted((r.range, r.n) for r in ranges.groupBy("range").agg(F.count("*").alias("n")).collect())
+    states = dict(zip((r for r, _ in counts), _slice_states([c for _, c in counts], seed), strict=True))
+
+    def deal(key, rows):
+        state, out = states[key[0].as_py()], []
+        for _ in range(rows.num_rows):
+            state = int(float(state) * 1103515245.0 + 12345.0) & 0xFFFFFFFF
+            out.append(int(state / 4294967296.0 * k))
+        return pa.table({"doc_id": rows.sort_by("doc_id").column("doc_id"), "cluster": pa.array(out, pa.int32())})
+
+    return ranges.groupBy("range").applyInArrow(deal, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, cluster int")
+
+
+def kmeans(bags: DataFrame, k: int = 10, iterations: int = 25, seed: int = 12345, save=None) -> DataFrame:
     """C14: multinomial k-means; (doc_id, cluster). Ties go to the lowest cluster, empty clusters keep their centre.
 
-    Documents start in clusters dealt by a seeded hash. Each round writes its assignment through `save`
-    (checkpoint() by default), so lineage stays short and lost executors cost one round.
+    Documents start in the reference's slices; an empty slice has the centre of the first document. Rounds end when
+    no document moves. Each round writes its assignment and centres through `save` (checkpoint() by default), so
+    lineage stays short and lost executors cost one round.
     """
     save = save or (lambda df: df.checkpoint())
-    assign = save(bags.select("doc_id").distinct().withColumn("cluster", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(k)).cast("int")))
-    v = bags.select("word").distinct().count()
     spark = bags.sparkSession
+    lengths = save(bags.groupBy("doc_id").agg(F.sum("tf").alias("n")))
+    assign = save(slices(lengths.select("doc_id"), k, seed, save))
+    v = bags.select("word").distinct().count()
     grid = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
+    first = bags.join(lengths.agg(F.min("doc_id").alias("doc_id")), "doc_id").select("word", F.col("tf").alias("c"))
+    before = grid.join(F.broadcast(first))  # k times the words of one document
     for _ in range(iterations):
         counts = bags.join(assign, "doc_id").groupBy("cluster", "word").agg(F.sum("tf").alias("c"))
+        kept = before.join(assign.select("cluster").distinct(), "cluster", "left_anti")
+        counts = save(counts.unionByName(kept.select("cluster", "word", "c")))
+        before = counts
         totals = counts.groupBy("cluster").agg(F.sum("c").alias("t"))
         # what a word adds beyond the floor that an unseen word has in the cluster
         extra = counts.select("cluster", "word", F.log((F.col("c") + 0.01) / 0.01).alias("lw"))
         scored = bags.join(extra, "word").groupBy("doc_id", "cluster").agg(F.sum(F.col("tf") * F.col("lw")).alias("s"))
-        lengths = bags.groupBy("doc_id").agg(F.sum("tf").alias("n"))
         floor = totals.select("cluster", F.log(F.lit(0.01) / (F.col("t") + 0.01 * v)).alias("f"))
-        every = lengths.join(F.broadcast(grid.join(floor, "cluster")))  # k rows
+        every = lengths.join(F.broadcast(floor))  # k rows
         full = every.join(scored, ["doc_id", "cluster"], "left").select("doc_id", "cluster", (F.col("n") * F.col("f") + F.coalesce("s", F.lit(0.0))).alias("s"))
         new = save(full.groupBy("doc_id").agg(F.max(F.struct("s", (-F.col("cluster")).alias("neg"))).alias("m")).select("doc_id", (-F.col("m.neg")).alias("cluster")))
-        moved = new.join(assign.withColumnRenamed("cluster", "old"), "doc_id").where("cluster <> old").isEmpty()
+        settled = new.join(assign.withColumnRenamed("cluster", "old"), "doc_id").where("cluster <> old").isEmpty()
         assign = new
-        if moved:
+        if settled:
             break
     return assign
 

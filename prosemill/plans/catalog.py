@@ -359,7 +359,7 @@ def q_kmeans(spark, sf_dir):
     """C14: multinomial k-means over the vocabulary."""
     b = bags(spark, sf_dir)
     known = _saver(spark)(corpus.known_documents(b, corpus.vocabulary(b, 20)).select("doc_id", "word", "tf"))
-    return corpus.kmeans(known, k=6, iterations=6, save=_saver(spark))
+    return corpus.kmeans(known, k=10, iterations=25, save=_saver(spark))
 
 
 # ------------------------------------------------------------------ evaluation

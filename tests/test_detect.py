@@ -78,6 +78,34 @@ def test_kmeans_separates_two_vocabularies(spark):
     assert len(groups) == 2
 
 
+def test_kmeans_follows_the_reference_rounds(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    bags = {i: {f"w{int(rng.random() ** 2 * 40)}": rng.randint(1, 3) for _ in range(12)} for i in range(60)}
+    words, k = sorted({w for b in bags.values() for w in b}), 10
+
+    def centre(members):
+        acc = {w: 0.01 + sum(bags[i].get(w, 0) for i in members) for w in words}
+        return {w: math.log(x / sum(acc.values())) for w, x in acc.items()}
+
+    seed, start = 12345, [[] for _ in range(k)]
+    for i in bags:
+        seed = int(float(seed) * 1103515245.0 + 12345.0) % 2**32
+        start[int(seed / 2**32 * k)].append(i)
+    centres, want = [centre(m or [0]) for m in start], None
+    for _ in range(25):
+        new = {i: max(range(k), key=lambda c: (round(sum(n * centres[c][w] for w, n in b.items()), 9), -c)) for i, b in bags.items()}  # noqa: B023
+        if new == want:
+            break
+        want = new
+        groups = [[i for i in bags if new[i] == c] for c in range(k)]
+        centres = [centre(m) if m else centres[c] for c, m in enumerate(groups)]
+    rows = [(i, w, n) for i, b in bags.items() for w, n in b.items()]
+    assert {r.doc_id: r.cluster for r in corpus.kmeans(spark.createDataFrame(rows, "doc_id long, word string, tf long")).collect()} == want
+
+
 def test_selector_needs_agreement(spark):
     rows = [(8, 0, 0.9, 0.0, 0.3), (8, 1, 0.1, 0.2, 0.2), (9, 0, 0.9, 0.2, 0.1), (9, 1, 0.2, 0.0, 0.5)]
     f = spark.createDataFrame(rows, "k int, cluster int, stamped double, start_share double, end_share double")
