@@ -81,7 +81,7 @@ def missing_days(days: DataFrame, first: str, last: str, most: int) -> DataFrame
 
 
 def churn(snapshots: DataFrame) -> DataFrame:
-    """Share of each snapshot's words that its predecessor lacks; snapshots(generated, word)."""
+    """The churn that C24 and C25 judge: share of each snapshot's words that its predecessor lacks; snapshots(generated, word)."""
     order = snapshots.select("generated").distinct().withColumn("before", F.lag("generated").over(Window.orderBy("generated")))
     new = snapshots.join(order, "generated").where("before is not null")
     old = snapshots.select(F.col("generated").alias("before"), "word", F.lit(1).alias("there"))

@@ -326,7 +326,7 @@ def q_surrogate(spark, sf_dir):
 
 @query("snapshot_churn", "with s as (select distinct cast(date_trunc('week', ts) as date) generated, user_id % 500 word from events), o as (select generated, lag(generated) over (order by generated) b from (select distinct generated from s)), n as (select s.generated, s.word, p.word pw from s join o using (generated) left join s p on p.generated = o.b and p.word = s.word where o.b is not null) select generated, count(*) words, count(*) filter (pw is null) fresh from n group by generated")
 def q_churn(spark, sf_dir):
-    """Words of each snapshot that its predecessor lacks."""
+    """The churn that C24 and C25 judge: words of each snapshot that its predecessor lacks."""
     s = read(spark, sf_dir, "events").select(F.date_trunc("week", "ts").cast("date").alias("generated"), F.pmod("user_id", F.lit(500)).alias("word")).distinct()
     return corpus.churn(s).select("generated", "words", "fresh")
 
@@ -417,7 +417,7 @@ def q_kfold(spark, sf_dir):
 
 @query("exponent_sweep", f"with {D}, {SCORE_SQL}, c as (select sc.doc_id, sc.side, sc.score, len(regexp_extract_all(side.text, ',')) n from sc join side using (doc_id)), b(beta) as (values (0.4), (0.7), (1.0)), v as (select beta, c.side, case when score > 0 then n / pow(score, beta::double) else 0 end v from c, b) select beta, side, count(*) n, cast(floor(avg(v) * 1e5 + 0.5) as bigint) mean_1e5 from v group by all")
 def q_exponent(spark, sf_dir):
-    """Mean normalised value by exponent and side."""
+    """Mean normalised value by exponent and side."""
     t = sides(spark, sf_dir).select("side", F.regexp_count("text", F.lit(RATE_WORD)).alias("w"), F.regexp_count("text", F.lit(",")).alias("c"))
     t = t.select("side", "w", "c", F.explode(F.expr("array(0.4, 0.7, 1.0)")).alias("beta"))
     v = F.when(F.col("w") > 0, F.col("c") / F.pow(F.col("w").cast("double"), F.col("beta").cast("double"))).otherwise(0.0)
