@@ -137,14 +137,13 @@ def kmeans(bags: DataFrame, k: int = 10, iterations: int = 25, seed: int = 12345
         kept = before.join(assign.select("cluster").distinct(), "cluster", "left_anti")
         counts = save(counts.unionByName(kept.select("cluster", "word", "c")))
         before = counts
-        totals = counts.groupBy("cluster").agg(F.sum("c").alias("t"))
-        # what a word adds beyond the floor that an unseen word has in the cluster
-        extra = counts.select("cluster", "word", F.log((F.col("c") + 0.01) / 0.01).alias("lw"))
-        scored = bags.join(extra, "word").groupBy("doc_id", "cluster").agg(F.sum(F.col("tf") * F.col("lw")).alias("s"))
-        floor = totals.select("cluster", F.log(F.lit(0.01) / (F.col("t") + 0.01 * v)).alias("f"))
-        every = lengths.join(F.broadcast(floor))  # k rows
-        full = every.join(scored, ["doc_id", "cluster"], "left").select("doc_id", "cluster", (F.col("n") * F.col("f") + F.coalesce("s", F.lit(0.0))).alias("s"))
-        new = save(full.groupBy("doc_id").agg(F.max(F.struct("s", (-F.col("cluster")).alias("neg"))).alias("m")).select("doc_id", (-F.col("m.neg")).alias("cluster")))
+        floor = {r.cluster: float(r.f) for r in counts.groupBy("cluster").agg(F.log(F.lit(0.01) / (F.sum("c") + 0.01 * v)).alias("f")).collect()}  # k rows
+        # what a word adds beyond the floor that an unseen word has in the cluster, one column a cluster
+        added = F.log((F.col("c") + 0.01) / 0.01)
+        extra = counts.groupBy("word").agg(*(F.coalesce(F.sum(F.when(F.col("cluster") == c, added)), F.lit(0.0)).alias(f"l{c}") for c in range(k)))
+        scored = lengths.join(bags.join(extra, "word").groupBy("doc_id").agg(*(F.sum(F.col("tf") * F.col(f"l{c}")).alias(f"s{c}") for c in range(k))), "doc_id")
+        best = F.array_max(F.array(*(F.struct((F.col("n") * F.lit(floor.get(c, 0.0)) + F.col(f"s{c}")).alias("s"), F.lit(-c).alias("neg")) for c in range(k))))
+        new = save(scored.select("doc_id", (-best["neg"]).alias("cluster")))
         settled = new.join(assign.withColumnRenamed("cluster", "old"), "doc_id").where("cluster <> old").isEmpty()
         assign = new
         if settled:
