@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, held, text_blocks
+from .common import Hasher, held, saved, text_blocks
 
 REPEATS, SAMPLED, SEED = 64, 4, 7
 
@@ -106,11 +106,14 @@ class Matcher:
             lo, hi = int(first[d]), int(first[d + 1])
             tries = np.unique((np.array(sorted(starts))[:, None] + np.arange(-e, e + 1)[None, :]).reshape(-1))
             tries = tries[(tries > lo - n) & (tries < hi)]
-            cells = tries[:, None] + np.arange(n)[None, :]
-            inside = (cells >= lo) & (cells < hi)
-            win = np.where(inside, h[np.clip(cells, 0, len(h) - 1)], np.uint64(0))
-            same = embed(win, n) == self.walks[k][None, :]
-            hit = tries[same[:, self.samples[k]].all(axis=2).any(axis=1)]
+            hits = []
+            for some in np.array_split(tries, max(1, -(-len(tries) * n // 4_000_000))):  # long items a few windows at a time
+                cells = some[:, None] + np.arange(n)[None, :]
+                inside = (cells >= lo) & (cells < hi)
+                win = np.where(inside, h[np.clip(cells, 0, len(h) - 1)], np.uint64(0))
+                same = embed(win, n) == self.walks[k][None, :]
+                hits.append(some[same[:, self.samples[k]].all(axis=2).any(axis=1)])
+            hit = np.concatenate(hits)
             done = -1
             for s in hit.tolist():  # neighbouring windows share one exact check
                 if s <= done:
@@ -123,37 +126,49 @@ class Matcher:
         return found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, keep_columns: bool = False, max_items: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _item_blocks(items: DataFrame, hasher: Hasher, max_items: int, max_words: int):
+    """Lists of (item id, word hashes) in the order of the ids, of at most max_items items and max_words words, or one item."""
+    block, size = [], 0
+    for r in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        h, _ = hasher.words([r.text.encode("utf-8", "surrogatepass")])
+        if block and (len(block) == max_items or size + len(h) > max_words):
+            yield block
+            block, size = [], 0
+        block.append((r.item_id, h.tolist()))
+        size += len(h)
+    yield block
+
+
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, keep_columns: bool = False, max_items: int = 50_000, max_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, items (sorted ids of the items found) and contaminated; with keep_columns the columns of docs and these.
 
-    The items are a stated query set; they go to every task, max_items of at most 2,000 words at a time being the bound
-    (more items, or longer ones, are refused: run them in blocks).
+    The items go to every task in blocks of at most max_items items and max_words words (a longer item is a block of
+    its own); documents pass one block after the other, and between blocks they are saved.
     """
-    hasher = Hasher()
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text").limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} benchmark items: run them in blocks")
-    words = []
-    for r in sorted(rows):
-        h, _ = hasher.words([r.text.encode("utf-8", "surrogatepass")])
-        if len(h) > 2000:
-            raise ValueError(f"benchmark item {r.item_id} has more than 2000 words")
-        words.append((r.item_id, h.tolist()))
-    shared = docs.sparkSession.sparkContext.broadcast(words)
     names = docs.columns if keep_columns else [id_col]
-    keep, at = [docs.columns.index(n) for n in names], docs.columns.index(text_col)
-
-    def run(batches):
-        hash_, matcher = held("hasher", Hasher), Matcher(shared.value, similarity)
-        for batch in batches:
-            found: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for row, raws in text_blocks(batch, at):
-                for d, ids in matcher.block(*hash_.words(raws)).items():
-                    found[row + d] = sorted(ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(found, pa.list_(pa.int64())), pa.array([bool(f) for f in found])], [*names, "items", "contaminated"])
-
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names) + ", items array<long>, contaminated boolean"
-    return docs.mapInArrow(run, schema)
+    # the text is read by every block, and the lists found so far go along
+    slim = docs.select(*(F.col(n).alias(f"c{k}") for k, n in enumerate(names)), F.col(text_col).alias("text"), F.lit(None).cast("array<long>").alias("items"))
+    schema = slim.schema
+    m = len(names)
+
+    def against(words: list):
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches):
+            hash_, matcher = held("hasher", Hasher), Matcher(shared.value, similarity)
+            for batch in batches:
+                found = [set(x or ()) for x in batch.column(m + 1).to_pylist()]
+                for row, raws in text_blocks(batch, m):
+                    for d, ids in matcher.block(*hash_.words(raws)).items():
+                        found[row + d] |= ids
+                yield pa.RecordBatch.from_arrays([*batch.columns[: m + 1], pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], schema.names)
+
+        return run
+
+    out = None
+    for words in _item_blocks(items, Hasher(), max_items, max_words):
+        out = (slim if out is None else saved(out, "items-found")).mapInArrow(against(words), schema)
+    return out.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), "items", (F.size("items") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -248,6 +248,16 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_in_blocks(spark):
+    rng = random.Random(11)
+    items = [(k, " ".join(f"q{rng.randrange(900)}" for _ in range(n))) for k, n in enumerate((20, 30, 25, 2100))]
+    texts = [(9, items[0][1] + " x " + items[2][1]), (8, "y " + items[3][1]), (7, "nothing here"), (6, None)]
+    d, i = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in ({}, {"max_items": 1}, {"max_words": 40}):
+        got = {r.doc_id: (r["items"], r.contaminated) for r in decontaminate.contaminated(d, i, **most).collect()}
+        assert got == {9: ([0, 2], True), 8: ([3], True), 7: ([], False), 6: ([], False)}
+
+
 @pytest.mark.parametrize("hot", [4000, 1])
 def test_suffix_dedup(docs, rows, empty, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
