@@ -15,9 +15,11 @@ of which gives a spanning forest of its links, so no link between components is
 lost. Every link is confirmed on the full shingle sets.
 
 Defined results: null, empty and blank texts have an empty set and link with
-nothing; a text with fewer words than the shingle size is one shingle; repeated
-rows (same id) count as one document; null ids are left out; other columns are
-ignored; an empty table gives no rows.
+nothing; a text with fewer words than the shingle size is one shingle; rows with
+one id are one document, whose text is the one with the fewest shingles (then
+the least digest of them); rows with a null id are rows of their own, linked with
+nothing and kept, with null as class and component; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -87,11 +89,11 @@ def sketch(ids: np.ndarray, t: int = T) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int, with_set: bool, with_sketch: bool) -> DataFrame:
-    """doc_id, n, key (digest of the set) and the set (sorted 64-bit ids) or its sketch as binary."""
+    """doc_id, mark, n, key (digest of the set) and the set (sorted 64-bit ids) or its sketch as binary."""
     import xxhash
 
     def run(batches):
-        cache = held("shingle words", dict)
+        cache = held("words", dict)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -103,9 +105,9 @@ def _sets(docs: DataFrame, size: int, with_set: bool, with_sketch: bool) -> Data
                     key.append(xxhash.xxh3_128_digest(raw))
                     sets.append(raw if with_set else None)
                     sketches.append(sketch(ids).astype("<u8").tobytes() if with_sketch and len(ids) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "key", "ids", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "mark", "n", "key", "ids", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, ids binary, sketch binary")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark long, n long, key binary, ids binary, sketch binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -301,12 +303,13 @@ def _open(candidates: DataFrame, comp: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (least id with the same set), component_id, kept."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    rows = saved(_sets(slim, size, False, False).select("doc_id", "n", "key"), "shingle-keys").groupBy("doc_id").agg(F.min(F.struct("n", "key")).alias("s")).select("doc_id", "s.n", "s.key")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    members = classes.select("id", "n")
+    # mark tells the texts of one id apart, so that keys, sketches and sets all come from the one chosen here
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    every = saved(_sets(slim, size, False, False).select("doc_id", "mark", "n", "key"), "shingle-keys")
+    rows = every.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "key", "mark")).alias("s")).select("doc_id", "s.n", "s.key", "s.mark")
+    classes = saved(rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark")).alias("at"), F.max("n").alias("n")).select("key", "n", "at.*"), "shingle-classes")
     # sketches and sets of one document for each class
-    picked = slim.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    picked = slim.join(classes.select(F.col("id").alias("doc_id"), "mark"), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id"])
     parts = partitions(docs, 4)
     sk = saved(_sets(picked.repartition(parts, "doc_id"), size, False, True).select(F.col("doc_id").alias("id"), "n", "sketch"), "sketches")
     buckets = saved(_buckets(sk), "buckets")
@@ -323,7 +326,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in s], pa.binary())], ["id", "small"])
 
     sketches = saved(sk.join(in_any, "id", "left_semi").select("id", "sketch").mapInArrow(small, "id long, small binary"), "small-sketches")
-    sets = saved(_sets(slim.join(in_any.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).repartition(parts, "doc_id"), size, True, False).select(F.col("doc_id").alias("id"), "ids"), "sets")
+    met_texts = slim.join(classes.join(in_any, "id").select(F.col("id").alias("doc_id"), "mark"), ["doc_id", "mark"], "left_semi")
+    sets = saved(_sets(met_texts.dropDuplicates(["doc_id"]).repartition(parts, "doc_id"), size, True, False).select(F.col("doc_id").alias("id"), "ids"), "sets")
     share = percent / 100
     least = share - SLACK * (share * (1 - share) / T) ** 0.5
 
@@ -353,4 +357,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # written, so that the join below is not tied to the partitions of the classes and a key of many copies can be split
     by_class = saved(classes.join(comp, classes.id == comp.id, "left").select("key", F.col("component"), classes.id.alias("class_id")), "classes")
     out = rows.join(by_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    unnamed = every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(unnamed).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
