@@ -59,8 +59,8 @@ def lower_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hashes(words: list[bytes], cache: dict, limit: int = 400_000):
-    """64-bit hashes of words; cache maps word to hash and is emptied at its limit."""
+def word_hashes(words: list[bytes], cache: dict, limit: int = 150_000):
+    """64-bit hashes of words; cache maps word to hash, is shared by the operators (held("words", dict)) and emptied at its limit."""
     import numpy as np
     import xxhash
 
@@ -82,7 +82,7 @@ class Hasher:
     base, taken from one prefix sum; a and b with equal bytes have equal hashes.
     """
 
-    BASE, SEED = 0x9E3779B97F4A7C15, 20240501
+    BASE, SEED, SLICE = 0x9E3779B97F4A7C15, 20240501, 500_000
 
     def __init__(self):
         import numpy as np
@@ -116,6 +116,20 @@ class Hasher:
         if not blank[0]:
             edge = np.concatenate([[0], edge])
         start, end = edge[::2], edge[1::2]
+        # slices of whole words, so that what is held a byte is bounded by SLICE (or the longest word)
+        cuts = np.flatnonzero(np.diff(start // self.SLICE)) + 1
+        hashes = [self._hashes(x, start[a:b], end[a:b]) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(start)], strict=True)]
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        return np.concatenate(hashes), np.searchsorted(start, offsets)
+
+    def _hashes(self, x, start, end):
+        import numpy as np
+
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        low = int(start[0])
+        x, start, end = x[low : int(end[-1])], start - low, end - low
         up, down = self.powers(len(x) + 1)
         with np.errstate(over="ignore"):
             p = np.empty(len(x) + 1, np.uint64)
@@ -125,9 +139,7 @@ class Hasher:
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-        lengths = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        return h, np.searchsorted(start, offsets)
+        return h
 
 
 def text_blocks(batch, column: int, limit: int = 1_000_000):

@@ -98,7 +98,7 @@ def quality_rules(docs: DataFrame, max_class_distance: float = 0.30, max_word_di
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        kinds, common, cache = _class_table(), {w.encode(): i for i, w in enumerate(WORDS)}, held("quality words", dict)
+        kinds, common, cache = _class_table(), {w.encode(): i for i, w in enumerate(WORDS)}, held("words", dict)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
