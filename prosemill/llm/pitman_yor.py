@@ -1,8 +1,8 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
 Restaurants. Every token is a customer of the restaurant of its context, the
-preceding token: one restaurant for each distinct preceding token, known by its
-full 64-bit hash. All context restaurants share one parent, the word restaurant,
+preceding token: one restaurant for each distinct preceding token, known by 48
+bits of its hash (words are known by 64). All context restaurants share one parent, the word restaurant,
 whose base is uniform over the training vocabulary and one unknown word.
 Discounts come from the counts of counts.
 
@@ -48,16 +48,15 @@ from .common import Hasher, held, partitions, saved, scratch
 HOT_SHARE = 1024
 CONTEXTS = HOT_SHARE  # the most hot contexts; there is no limit on all contexts
 END = 0x5D4C3B2A19080706
-HELD = np.uint32(1 << 31)
+CTX = np.uint64((1 << 48) - 1)
+#: A text's number in its block takes 15 bits; the last says that the text is held out.
+HELD = np.uint16(1 << 15)
 
 
 def tokens_of(raws: list[bytes], hasher: Hasher):
-    """(token hashes, context hashes, document number) of the texts, each with its end token."""
-    # about a megabyte at a time: the hasher holds some fifty bytes a byte
-    cuts = np.cumsum([0, *map(len, raws)])[:-1] // 1_000_000
-    runs = np.split(np.arange(len(raws)), np.flatnonzero(np.diff(cuts)) + 1)
-    hashed = [hasher.words(raws[r[0] : r[-1] + 1]) for r in runs]
-    h, n = np.concatenate([x for x, _ in hashed]), np.concatenate([np.diff(f) for _, f in hashed]) + 1
+    """(token hashes, hashes of the tokens before, document number) of the texts, each with its end token."""
+    h, first = hasher.words(raws)
+    n = np.diff(first) + 1
     ends = np.cumsum(n) - 1
     tok = np.empty(len(h) + len(raws), np.uint64)
     is_end = np.zeros(len(tok), bool)
@@ -164,6 +163,18 @@ def _constants(stats: np.ndarray, strength: float, parent_strength: float, n_hot
     return {"customers": customers, "d": of(n1, n2), "d0": of(m1, m2), "s": strength, "s0": parent_strength, "base": 1 / (v + 1), "n": n, "v": v}, sums
 
 
+def _planes(x: np.ndarray, n: int) -> np.ndarray:
+    """The low n bytes of the numbers, all lowest bytes first: what is sorted compresses so."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :n].T).reshape(-1)
+
+
+def _numbers(planes: np.ndarray, n: int, kind: str) -> np.ndarray:
+    m = len(planes) // n
+    out = np.zeros((m, np.dtype(kind).itemsize), np.uint8)
+    out[:, :n] = planes.reshape(n, m).T
+    return out.view(kind).reshape(-1)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
@@ -190,24 +201,29 @@ class Part:
     """
 
     def __init__(self, blobs: list[tuple[int, bytes]], part: int, hot: np.ndarray, parts: int):
-        words, times, ctxs, at, train, docs, self.keys, base, before = [], [], [], [], [], [], [], 0, 0
+        words, times, ctxs, train, docs, self.keys, base = [], [], [], [], [], [], 0
         for block, blob in blobs:
-            w, n, x, c, d = _unpack(blob, "<u8", "<i4", "<u8", "<u4", "<u2")
+            w, n, x, d = _unpack(blob, "<u8", "<i4", "u1", "u1")
+            d = _numbers(d, 2, "<u2")
             words.append(w)
             times.append(n)
-            ctxs.append(x)
-            at.append((c & ~HELD).astype(np.int64) + before)
-            train.append(c & HELD == 0)
+            ctxs.append(_numbers(x, 6, "<u8"))
+            train.append(d & HELD == 0)
+            d = d & ~HELD
             top = int(d.max()) + 1 if len(d) else 0
-            docs.append(d.astype(np.int64) + base)
+            docs.append(d.astype(np.int32) + base)
             self.keys.append((block, top))
             base += top
-            before += len(x)
-        self.doc, at, train = np.concatenate(docs), np.concatenate(at), np.concatenate(train)
+        self.doc, train = np.concatenate(docs), np.concatenate(train)
         distinct, wid = np.unique(np.concatenate(words), return_inverse=True)
-        wid = np.repeat(wid, np.concatenate(times))
+        wid = np.repeat(wid.astype(np.int32), np.concatenate(times))
         known, number = np.unique(np.concatenate(ctxs), return_inverse=True)
-        where, is_hot = among(hot, known)
+        number = number.astype(np.int32)
+        ctxs = words = docs = None
+        hot_context = np.sort(hot & CTX)
+        of_context = np.argsort(hot & CTX, kind="stable")
+        where, is_hot = among(hot_context, known)
+        where = of_context[where] if len(hot) else where
         to = np.where(is_hot, -1, (known >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((known, to))
         place = np.empty(len(order), np.int64)
@@ -218,7 +234,9 @@ class Part:
         self.to, first = np.unique(to[to >= 0], return_index=True)
         self.cuts = np.append(first, self.n_cold) + len(self.hot_ctx)
         n_ctx = len(known)
-        key, self.cell = np.unique(wid * n_ctx + place[number[at]], return_inverse=True)
+        key, cell = np.unique(wid * np.int64(n_ctx) + place[number], return_inverse=True)
+        self.cell = cell.astype(np.int32)
+        number = wid = cell = None
         count = np.bincount(self.cell[train], minlength=len(key)).astype(float)
         where, is_hot = among(hot, distinct)
         self.cells = Cells(key // n_ctx, key % n_ctx, count, len(distinct), part + 1, n_ctx, np.where(is_hot, where, -1), len(hot))
@@ -249,7 +267,7 @@ def added(key: tuple, lists: pa.Table, sent: pa.Table, k: int) -> pa.Table:
     """The answers of a context partition: for each word partition the sums of its contexts over all."""
     vals = dict(zip(sent.column("part").to_pylist(), sent.column("vals").to_pylist(), strict=True))
     parts = lists.column("part").to_pylist()
-    contexts = [np.frombuffer(b, "<u8") for b in lists.column("contexts").to_pylist()]
+    contexts = [_numbers(_unpack(b, "u1")[0], 6, "<u8") for b in lists.column("contexts").to_pylist()]
     _, at = np.unique(np.concatenate(contexts), return_inverse=True)
     x = [_unpack(vals[p], *["<i8"] * (2 if k == 0 else 1)) for p in parts]
     sums = [np.bincount(at, np.concatenate(v))[at].astype("<i8") for v in zip(*x, strict=True)]
@@ -265,7 +283,7 @@ def bucketed(df: DataFrame, n: int, key: str, tag: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_strength: float = 10.0, held_out_fold: int = 2, folds: int = 7, block_mb: float = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_strength: float = 10.0, held_out_fold: int = 2, folds: int = 7, block_mb: float = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -295,7 +313,7 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
             a = 0
             while a < len(ids):
                 b, size = a, 0
-                while b < len(ids) and size < limit and b - a < 60_000:
+                while b < len(ids) and size < limit and b - a < 1 << 15:
                     size += len(texts[b] or "")
                     b += 1
                 raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]]
@@ -308,18 +326,15 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
                 known_ids = np.array([0 if i is None else i for i in own], "<i8")
                 meta = _pack(known_ids, np.array([i is None for i in own], "u1"), away.astype("u1"), np.bincount(doc, minlength=len(own)).astype("<i4"), ha[stay].astype("<u2"), hc[stay].astype("<u2"), doc[stay].astype("<u2"))
                 out = [(-1 - (block & 0xFFF), block, meta)]
-                w, c, d = tok[~stay], ctx[~stay], doc[~stay]
-                p = ((np.where(hot_word[~stay], c, w) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((w, p))
+                w, c, d = tok[~stay], ctx[~stay] & CTX, doc[~stay] | np.where(away[doc[~stay]], HELD, np.uint16(0))
+                p = ((np.where(hot_word[~stay], c, w) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+                tok = ctx = doc = ha = hc = hot_word = hot_ctx = stay = None
+                order = np.lexsort((c, w, p))
                 w, c, d, p = w[order], c[order], d[order], p[order]
-                cuts = np.searchsorted(p, np.arange(parts + 1))
-                for k in range(parts):
-                    x, y = int(cuts[k]), int(cuts[k + 1])
-                    if y > x:
-                        new = np.flatnonzero(np.concatenate([[True], w[x + 1 : y] != w[x : y - 1]]))
-                        contexts, at = np.unique(c[x:y], return_inverse=True)
-                        at = at.astype("<u4") | np.where(away[d[x:y]], HELD, np.uint32(0))
-                        out.append((k, block, _pack(w[x:y][new], np.diff(np.append(new, y - x)).astype("<i4"), contexts, at, d[x:y].astype("<u2"))))
+                cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)] if len(p) else [0]
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    new = np.flatnonzero(np.concatenate([[True], w[x + 1 : y] != w[x : y - 1]]))
+                    out.append((int(p[x]), block, _pack(w[x:y][new], np.diff(np.append(new, y - x)).astype("<i4"), _planes(c[x:y], 6), _planes(d[x:y], 2))))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["part", "block", "blob"])
                 a = b
 
@@ -352,7 +367,7 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
 
     def messages(key: tuple, p: Part, pieces: list[bytes], driver: np.ndarray, contexts: bool) -> pa.Table:
         part = key[0].as_py()
-        lists = {"contexts": pa.array([p.contexts[a:b].astype("<u8").tobytes() for a, b in zip(p.cuts[:-1], p.cuts[1:], strict=True)] + [b""], pa.binary())} if contexts else {}
+        lists = {"contexts": pa.array([_pack(_planes(p.contexts[a:b], 6)) for a, b in zip(p.cuts[:-1], p.cuts[1:], strict=True)] + [b""], pa.binary())} if contexts else {}
         return pa.table({"q": pa.array([*p.to.tolist(), -1], pa.int32()), "part": pa.array([part] * (len(pieces) + 1), pa.int32()), "vals": pa.array([*pieces, _pack(driver)], pa.binary())} | lists)
 
     def summed(sent: DataFrame, size: int) -> np.ndarray:
