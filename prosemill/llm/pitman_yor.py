@@ -1,7 +1,7 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
 Restaurants. Every token is a customer of the restaurant of its context, the
-preceding token: one restaurant for each distinct preceding token, known by 48
+preceding token: one restaurant for each distinct preceding token, known by 40
 bits of its hash (words are known by 64). All context restaurants share one parent, the word restaurant,
 whose base is uniform over the training vocabulary and one unknown word.
 Discounts come from the counts of counts.
@@ -48,7 +48,11 @@ from .common import Hasher, held, partitions, saved, scratch
 HOT_SHARE = 1024
 CONTEXTS = HOT_SHARE  # the most hot contexts; there is no limit on all contexts
 END = 0x5D4C3B2A19080706
-CTX = np.uint64((1 << 48) - 1)
+CTX = np.uint64((1 << 40) - 1)
+#: Words frequent in a sample travel as two bytes, RARE stands for a hash that follows; this changes the size alone.
+RARE = 0xFFFF
+#: Sums for a document travel as whole multiples of 2 ** -FINE.
+FINE = 26
 #: A text's number in its block takes 15 bits; the last says that the text is held out.
 HELD = np.uint16(1 << 15)
 
@@ -175,6 +179,34 @@ def _numbers(planes: np.ndarray, n: int, kind: str) -> np.ndarray:
     return out.view(kind).reshape(-1)
 
 
+class Codes:
+    """Two-byte codes of the most frequent words."""
+
+    def __init__(self, by_rank: np.ndarray):
+        self.by_rank = by_rank[:RARE]
+        self.order = np.argsort(self.by_rank)
+        self.sorted = self.by_rank[self.order]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        at, known = among(self.sorted, x)
+        return np.where(known, self.order[at] if len(self.order) else 0, RARE).astype("<u2")
+
+    def hashes(self, codes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        out = np.empty(len(codes), np.uint64)
+        known = codes != RARE
+        out[known], out[~known] = self.by_rank[codes[known]], rare
+        return out
+
+
+def word_part(w: np.ndarray, parts: int) -> np.ndarray:
+    """Word partitions are ranges of hashes, so that sorted ones share their high bytes."""
+    return ((w >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def context_part(c: np.ndarray, parts: int) -> np.ndarray:
+    return ((c >> np.uint64(8)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
@@ -200,14 +232,14 @@ class Part:
     Contexts are numbered with the hot ones first, then by context partition and hash.
     """
 
-    def __init__(self, blobs: list[tuple[int, bytes]], part: int, hot: np.ndarray, parts: int):
+    def __init__(self, blobs: list[tuple[int, bytes]], part: int, hot: np.ndarray, parts: int, codes: Codes):
         words, times, ctxs, train, docs, self.keys, base = [], [], [], [], [], [], 0
         for block, blob in blobs:
-            w, n, x, d = _unpack(blob, "<u8", "<i4", "u1", "u1")
+            w, rare_w, n, x, rare_x, d = _unpack(blob, "u1", "u1", "<i4", "u1", "u1", "u1")
             d = _numbers(d, 2, "<u2")
-            words.append(w)
+            words.append(codes.hashes(_numbers(w, 2, "<u2"), _numbers(rare_w, 8, "<u8")))
             times.append(n)
-            ctxs.append(_numbers(x, 6, "<u8"))
+            ctxs.append(codes.hashes(_numbers(x, 2, "<u2"), _numbers(rare_x, 5, "<u8")) & CTX)
             train.append(d & HELD == 0)
             d = d & ~HELD
             top = int(d.max()) + 1 if len(d) else 0
@@ -224,7 +256,7 @@ class Part:
         of_context = np.argsort(hot & CTX, kind="stable")
         where, is_hot = among(hot_context, known)
         where = of_context[where] if len(hot) else where
-        to = np.where(is_hot, -1, (known >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        to = np.where(is_hot, -1, context_part(known, parts)).astype(np.int64)
         order = np.lexsort((known, to))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -267,7 +299,7 @@ def added(key: tuple, lists: pa.Table, sent: pa.Table, k: int) -> pa.Table:
     """The answers of a context partition: for each word partition the sums of its contexts over all."""
     vals = dict(zip(sent.column("part").to_pylist(), sent.column("vals").to_pylist(), strict=True))
     parts = lists.column("part").to_pylist()
-    contexts = [_numbers(_unpack(b, "u1")[0], 6, "<u8") for b in lists.column("contexts").to_pylist()]
+    contexts = [_numbers(_unpack(b, "u1")[0], 5, "<u8") for b in lists.column("contexts").to_pylist()]
     _, at = np.unique(np.concatenate(contexts), return_inverse=True)
     x = [_unpack(vals[p], *["<i8"] * (2 if k == 0 else 1)) for p in parts]
     sums = [np.bincount(at, np.concatenate(v))[at].astype("<i8") for v in zip(*x, strict=True)]
@@ -298,12 +330,13 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
             if raws:
                 tok, _, _ = tokens_of(raws, hasher)
                 w, n = np.unique(tok, return_counts=True)
-                top = np.argsort(-n)[: 4 * HOT_SHARE]
-                yield pa.RecordBatch.from_arrays([pa.array(w[top].view(np.int64)), pa.array(n[top]), pa.array(np.where(np.arange(len(top)) == 0, len(tok), 0))], ["w", "n", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n), pa.array(np.where(np.arange(len(w)) == 0, len(tok), 0))], ["w", "n", "total"])
 
     few = slim.sample(min(1.0, 3000 / max(1, rows)), 11).select("text").mapInArrow(often, "w long, n long, total long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    few = few.select("w", "n", F.sum("total").over(Window.partitionBy()).alias("total")).where(f"n * {HOT_SHARE} >= total").select("w").collect()
-    hot = np.sort(np.array([r.w for r in few], np.int64).view(np.uint64))
+    few = few.select("w", "n", F.sum("total").over(Window.partitionBy()).alias("total")).where("n > 1").orderBy(F.desc("n"), "w").limit(RARE).toPandas()  # at most RARE words
+    by_rank = few["w"].to_numpy(np.int64).view(np.uint64)
+    hot = np.sort(by_rank[few["n"].to_numpy(np.int64) * HOT_SHARE >= few["total"].to_numpy(np.int64)])
+    codes = spark.sparkContext.broadcast(Codes(by_rank))
 
     def encode(batches):
         hash_ = held("hasher", Hasher)
@@ -327,14 +360,17 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
                 meta = _pack(known_ids, np.array([i is None for i in own], "u1"), away.astype("u1"), np.bincount(doc, minlength=len(own)).astype("<i4"), ha[stay].astype("<u2"), hc[stay].astype("<u2"), doc[stay].astype("<u2"))
                 out = [(-1 - (block & 0xFFF), block, meta)]
                 w, c, d = tok[~stay], ctx[~stay] & CTX, doc[~stay] | np.where(away[doc[~stay]], HELD, np.uint16(0))
-                p = ((np.where(hot_word[~stay], c, w) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+                p = np.where(hot_word[~stay], context_part(c, parts), word_part(w, parts))
+                x = codes.value.of(ctx[~stay])
                 tok = ctx = doc = ha = hc = hot_word = hot_ctx = stay = None
-                order = np.lexsort((c, w, p))
-                w, c, d, p = w[order], c[order], d[order], p[order]
+                order = np.lexsort((x, w, p))
+                w, c, d, p, x = w[order], c[order], d[order], p[order], x[order]
+                v = codes.value.of(w)
                 cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)] if len(p) else [0]
-                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                    new = np.flatnonzero(np.concatenate([[True], w[x + 1 : y] != w[x : y - 1]]))
-                    out.append((int(p[x]), block, _pack(w[x:y][new], np.diff(np.append(new, y - x)).astype("<i4"), _planes(c[x:y], 6), _planes(d[x:y], 2))))
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    new = i + np.flatnonzero(np.concatenate([[True], w[i + 1 : j] != w[i : j - 1]]))
+                    rare_w, rare_x = w[new][v[new] == RARE], c[i:j][x[i:j] == RARE]
+                    out.append((int(p[i]), block, _pack(_planes(v[new], 2), _planes(rare_w, 8), np.diff(np.append(new, j)).astype("<i4"), _planes(x[i:j], 2), _planes(rare_x, 5), _planes(d[i:j], 2))))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["part", "block", "blob"])
                 a = b
 
@@ -363,11 +399,11 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
     def opened(key: tuple, rows_: pa.Table) -> Part:
         part = key[0].as_py()
         # equal texts make equal blocks: the order of the rows changes nothing
-        return Part(list(zip(rows_.column("block").to_pylist(), rows_.column("blob").to_pylist(), strict=True)), part, hot, parts)
+        return Part(list(zip(rows_.column("block").to_pylist(), rows_.column("blob").to_pylist(), strict=True)), part, hot, parts, codes.value)
 
     def messages(key: tuple, p: Part, pieces: list[bytes], driver: np.ndarray, contexts: bool) -> pa.Table:
         part = key[0].as_py()
-        lists = {"contexts": pa.array([_pack(_planes(p.contexts[a:b], 6)) for a, b in zip(p.cuts[:-1], p.cuts[1:], strict=True)] + [b""], pa.binary())} if contexts else {}
+        lists = {"contexts": pa.array([_pack(_planes(p.contexts[a:b], 5)) for a, b in zip(p.cuts[:-1], p.cuts[1:], strict=True)] + [b""], pa.binary())} if contexts else {}
         return pa.table({"q": pa.array([*p.to.tolist(), -1], pa.int32()), "part": pa.array([part] * (len(pieces) + 1), pa.int32()), "vals": pa.array([*pieces, _pack(driver)], pa.binary())} | lists)
 
     def summed(sent: DataFrame, size: int) -> np.ndarray:
@@ -438,7 +474,14 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
         more_ = of_contexts.select("q", "part", "contexts").groupBy("q").cogroup(sent.where("q >= 0").groupBy("q")).applyInArrow(add(k), answer_schema)
         answers = answers.unionByName(saved(more_, "context-sums"))
     scale = np.log10(g["n"] + g["v"] + 1)
-    part_schema = "block long, no int, score double, base double, known long"
+    part_schema = "block long, sums binary, meta binary"
+
+    def fixed(x: np.ndarray) -> np.ndarray:
+        return _planes(np.rint(-x * (1 << FINE)).astype("<u8"), 8)
+
+    def packed(use: np.ndarray, score_: np.ndarray, base: np.ndarray, known: np.ndarray) -> bytes:
+        """Sums of the texts use (their numbers) of a block."""
+        return _pack(use.astype("<u2"), fixed(score_), fixed(base), _planes(known.astype("<u4"), 4))
 
     def cold_scores(key, rows_, answered):
         p = opened(key, rows_)
@@ -449,12 +492,14 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
         count[cells.hot_words] = hot_count[cells.hot]
         base = np.log10(count + 1) - scale
         n = sum(top for _, top in p.keys)
-        use = np.flatnonzero(np.bincount(doc, minlength=n))
         words = cells.word[p.cell]
-        block = np.repeat(np.array([b for b, _ in p.keys], np.int64), [t for _, t in p.keys])
-        no = np.concatenate([np.arange(t) for _, t in p.keys])
-        sums_ = [np.bincount(doc, x, n)[use] for x in (logs[p.cell], base[words], (count > 0)[words].astype(float))]
-        return pa.table({"block": block[use], "no": no[use].astype(np.int32), "score": sums_[0], "base": sums_[1], "known": sums_[2].astype(np.int64)})
+        sums_ = [np.bincount(doc, x, n) for x in (logs[p.cell], base[words], (count > 0)[words].astype(float))]
+        there, at, out = np.bincount(doc, minlength=n) > 0, 0, []
+        for _, top in p.keys:
+            use = np.flatnonzero(there[at : at + top])
+            out.append(packed(use, *(x[at : at + top][use] for x in sums_)))
+            at += top
+        return pa.table({"block": pa.array([b for b, _ in p.keys], pa.int64()), "sums": pa.array(out, pa.binary()), "meta": pa.array([None] * len(out), pa.binary())})
 
     hot_logs = spark.sparkContext.broadcast(None if hot_cells is None else (hot_cells.log_probability(g, history).reshape(n_hot, n_hot), np.log10(hot_count + 1) - scale, hot_count > 0))
 
@@ -463,19 +508,29 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, null, away, n_tokens, a, c, d = _unpack(blob, "<i8", "u1", "u1", "<i4", "<u2", "<u2", "<u2")
                 m = len(ids)
-                s = [np.zeros(m)] * 3
+                sums_ = [np.zeros(m)] * 3
                 if hot_logs.value and len(a):
                     logs, base, known = hot_logs.value
-                    s = [np.bincount(d, x, m) for x in (logs[a, c], base[a], known[a].astype(float))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, block)), pa.array(np.arange(m, dtype=np.int32)), pa.array(s[0]), pa.array(s[1]), pa.array(s[2].astype(np.int64)), pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(away.astype(bool)), pa.array(n_tokens.astype(np.int64)), pa.array(np.ones(m, np.int64))],
-                    ["block", "no", "score", "base", "known", "doc_id", "held_out", "n_tokens", "copies"],
-                )
-
-    more = "doc_id long, held_out boolean, n_tokens long, copies long"
-    ends = metas.mapInArrow(doc_rows, f"{part_schema}, {more}")
-    every = ends.unionByName(cold.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(cold_scores, part_schema), allowMissingColumns=True)
-    merged = every.groupBy("block", "no").agg(F.sum("score").alias("s"), F.sum("base").alias("b"), F.sum("known").alias("k"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("copies").alias("copies"))
-    # equal blocks of equal rows share a key: each of the copies gets its part of the sums
-    rows_out = merged.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
-    return rows_out.select("doc_id", "held_out", "n_tokens", F.expr("k div copies").alias("n_known"), F.lit(int(g["n"])).cast("long").alias("train_tokens"), (F.col("b") / F.col("copies")).alias("base_score"), (F.col("s") / F.col("copies")).alias("score"))
+                    sums_ = [np.bincount(d, x, m) for x in (logs[a, c], base[a], known[a].astype(float))]
+                own = _pack(ids, null, away, n_tokens)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed(np.arange(m), *sums_)], pa.binary()), pa.array([own], pa.binary())], ["block", "sums", "meta"])
+
+    def merged(key, rows_):
+        metas_ = [b for b in rows_.column("meta").to_pylist() if b is not None]
+        # equal blocks of equal rows share a key: each of the copies gets its part of the sums
+        copies = len(metas_)
+        ids, null, away, n_tokens = _unpack(metas_[0], "<i8", "u1", "u1", "<i4")
+        total = np.zeros((3, len(ids)))
+        for blob in rows_.column("sums").to_pylist():
+            use, *x = _unpack(blob, "<u2", "u1", "u1", "u1")
+            for k in (0, 1):
+                total[k, use] -= _numbers(x[k], 8, "<u8").astype(float) / (1 << FINE)
+            total[2, use] += _numbers(x[2], 4, "<u4")
+        total /= copies
+        out = {"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(away.astype(bool)), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(np.rint(total[2]).astype(np.int64)), "base_score": pa.array(total[1]), "score": pa.array(total[0])}
+        return pa.concat_tables([pa.table(out)] * copies)
+
+    ends = metas.mapInArrow(doc_rows, part_schema)
+    every = ends.unionByName(cold.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(cold_scores, part_schema))
+    rows_out = every.groupBy("block").applyInArrow(merged, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return rows_out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(g["n"])).cast("long").alias("train_tokens"), "base_score", "score")
