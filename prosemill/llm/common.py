@@ -46,12 +46,12 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def held(key: str, make):
-    """A value kept for the life of a Python worker, over tasks."""
+def held(key: str, make, tag: str = ""):
+    """A value kept by a Python worker over tasks: one for each key, made anew when the tag is another."""
     box = sys.__dict__.setdefault("_prosemill_held", {})
-    if key not in box:
-        box[key] = make()
-    return box[key]
+    if key not in box or box[key][0] != tag:
+        box[key] = tag, make()
+    return box[key][1]
 
 
 def lower_words(text: str | None) -> list[bytes]:

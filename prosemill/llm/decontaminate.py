@@ -2,23 +2,39 @@
 
 Items and documents are sequences of words (A-Z lowered). A document is
 contaminated if some stretch of it is within edit distance (1 - similarity) * n
-of an item of n words. By the pigeonhole principle such a stretch holds one of
-the item's e + 1 pieces unchanged, so the windows around piece hits are all that
-need be looked at. Every such item-sized window is embedded by the CGK random
-walk (at step j, copy the current word and move on if a random bit of (j, word)
-says so), which turns few edits into few differing coordinates; repetitions of
-sampled coordinates pick the windows that collide with the item, and the edit
-distance of those is computed exactly (the stretch may be longer or shorter than
-the item).
-
-Defined results: null and empty texts and items match nothing; items shorter
-than five words must match exactly; repeated items and rows are judged one by
-one; extra columns stay or are ignored; with no items nothing is contaminated;
-an empty table gives no rows.
+of an item of n words.
+
+Embedding. The CGK random walk copies the word it stands on and moves to the
+next one if a random bit of (step, word) says so, which turns few edits into few
+differing coordinates. Two walks that start in step agree until an edit, and fall
+into step again after many of them.
+
+Buckets. A repetition has its own random bits and samples WORDS coordinates of
+the walk; windows that agree in all of them share a bucket. An item within its
+limit may have an edit at every fifth word, so coordinates sampled from the whole
+of an item-sized window would hardly ever agree: a window starts at every word of
+an item and of a document, and coordinates are sampled from its first steps. Of n
+words with e edits some ceil((n - e) / (e + 1)) in a row are unchanged, three in
+most cases. A repetition puts a window that starts there into the item's bucket
+with probability 1/4 at least (each of the two moves between its three
+coordinates comes out with probability 1/2), and REPEATS brings the chance of a
+miss for one such run below 1 - RECALL; items have several runs. Buckets whose
+coordinates fall on the same word twice say little and are left out.
+
+Verification. A stretch around a collision that holds enough of the item's words
+is checked by the exact edit distance (it may be longer or shorter than the item).
+Items that allow no edit are looked up whole.
+
+Defined results: null and empty texts and items match nothing; items too short
+for an edit (below five words at 0.8) must match exactly; repeated items and rows
+are judged one by one; null item ids are left out; extra columns stay or are
+ignored; with no items nothing is contaminated; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,20 +42,48 @@ from pyspark.sql import functions as F
 
 from .common import Hasher, held, saved, text_blocks
 
-REPEATS, SAMPLED, SEED = 64, 4, 7
+WORDS, RECALL, SEED = 3, 0.99, 7
+#: Repetitions that bring the miss of a run of unchanged words below 1 - RECALL.
+REPEATS = int(np.ceil(np.log(1 - RECALL) / np.log(1 - 0.5 ** (WORDS - 1))))
+#: Sampled coordinates of the repetitions, in turn: one or two steps apart, where a single move has probability 1/2.
+COORDINATES = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4)]
+BITS = 21
+
+
+def _steps() -> np.ndarray:
+    """The random multipliers of each repetition's walk."""
+    return np.random.default_rng(SEED).integers(1, 1 << 63, (REPEATS, 1 + max(max(c) for c in COORDINATES)), dtype=np.uint64) | np.uint64(1)
 
 
-def embed(windows: np.ndarray, n: int) -> np.ndarray:
-    """CGK walks of the rows of windows: 3n copied symbols, 0 past the end; all rows share the random bits."""
-    m = len(windows)
-    padded = np.concatenate([windows, np.zeros((m, 1), np.uint64)], axis=1)
-    i, rows, out = np.zeros(m, np.int64), np.arange(m), np.zeros((m, 3 * n), np.uint64)
-    steps = np.random.default_rng(SEED).integers(1, 1 << 63, 3 * n, dtype=np.uint64) | np.uint64(1)
+STEPS = _steps()
+
+
+def buckets(h: np.ndarray, r: int, words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For every start in h: the walk's places at the sampled coordinates of repetition r, and the bucket after each of them."""
+    n = len(h)
+    padded = np.concatenate([h, np.zeros(STEPS.shape[1], np.uint64)])
+    at, key = np.arange(n), np.full(n, r, np.uint64)
+    places, keys = [], []
+    coordinates = COORDINATES[r % len(COORDINATES)][:words]
+    with np.errstate(over="ignore"):
+        for j in range(coordinates[-1] + 1):
+            s = padded[at]
+            if j in coordinates:
+                key = (key ^ s) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(31)
+                places.append(at)
+                keys.append(key)
+            if j < coordinates[-1]:
+                at = at + (((s + np.uint64(j)) * STEPS[r, j]) >> np.uint64(63)).astype(np.int64)
+    return places, keys
+
+
+def grams(h: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(3 * n):
-            s = padded[rows, np.minimum(i, n)]
-            out[:, j] = s
-            i += (((s + np.uint64(j)) * steps[j]) >> np.uint64(63)).astype(np.int64)
+        for j in range(size):
+            out = (out ^ h[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(31)
     return out
 
 
@@ -55,74 +99,88 @@ def edit_distance_inside(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
+class Table:
+    """Buckets of item windows: sorted keys with their item and offset, and a bit map of the keys."""
+
+    def __init__(self, keys: list[np.ndarray], items: list[np.ndarray], offsets: list[np.ndarray]):
+        keys, items, offsets = (np.concatenate(x) for x in (keys, items, offsets))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items, self.offsets = keys[order], items[order].astype(np.int32), offsets[order].astype(np.int32)
+        self.map = np.zeros(1 << BITS, bool)
+        self.map[(self.keys & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
+
+    def collisions(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, item, offset) of the windows whose buckets are g, window k starting at k."""
+        at = np.flatnonzero(self.map[(g & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+        lo = np.searchsorted(self.keys, g[at], "left")
+        n = np.searchsorted(self.keys, g[at], "right") - lo
+        cells = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else lo
+        return np.repeat(at, n), self.items[cells], self.offsets[cells]
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, list[int]]], similarity: float):
         self.items = [(i, np.array(w, np.uint64)) for i, w in items if len(w)]
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
-        rng = np.random.default_rng(SEED + 1)
-        self.walks, self.samples = [], []
-        by: dict[int, dict[int, list]] = {}
+        whole: dict[int, list] = {}
+        parts: dict[tuple[int, int], list] = {}
         for k, (_, w) in enumerate(self.items):
-            n, parts = len(w), self.edits[k] + 1
-            cuts = [n * j // parts for j in range(parts + 1)]
-            self.walks.append(embed(w[None, :], n)[0])
-            self.samples.append(rng.integers(0, 3 * n, (REPEATS, SAMPLED)))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                # pieces all begin with their least length, so few lengths are looked up
-                size = min(b - a, 4)
-                by.setdefault(size, {}).setdefault(int(self.grams(w[a : a + size], size)[0]), []).append((k, a))
-        self.pieces = {size: (np.sort(np.array(list(d), np.uint64)), d) for size, d in by.items()}
-        self.maps = {}
-        for size, (keys, _) in self.pieces.items():
-            m = np.zeros(1 << 20, bool)
-            m[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.maps[size] = m
-
-    @staticmethod
-    def grams(h: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros(max(0, len(h) - size + 1), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(size):
-                out = (out ^ h[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(31)
-        return out
+            n, e = len(w), self.edits[k]
+            if not e:
+                size = min(n, 4)
+                whole.setdefault(size, []).append((grams(w, size)[:1], np.array([k]), np.zeros(1, np.int64)))
+                continue
+            words = min(WORDS, -(-(n - e) // (e + 1)))
+            for r in range(REPEATS):
+                places, keys = buckets(w, r, words)
+                apart = places[-1] < n
+                for a, b in zip(places[:-1], places[1:], strict=True):
+                    apart &= a < b
+                o = np.flatnonzero(apart)
+                parts.setdefault((r, words), []).append((keys[-1][o], np.full(len(o), k), o))
+        self.whole = {size: Table(*zip(*v, strict=True)) for size, v in whole.items()}
+        self.parts = {key: Table(*zip(*v, strict=True)) for key, v in parts.items()}
+        self.vocabulary = [np.unique(w) for _, w in self.items]
+
+    def candidates(self, h: np.ndarray):
+        """(start of the item's match, items) for the collisions of each table; starts may repeat."""
+        for size, table in self.whole.items():
+            at, k, o = table.collisions(grams(h, size))
+            yield at, at - o, k
+        for r in range(REPEATS):
+            sizes = [words for q, words in self.parts if q == r]
+            if sizes:
+                _, keys = buckets(h, r, max(sizes))
+                for words in sizes:
+                    at, k, o = self.parts[r, words].collisions(keys[words - 1])
+                    yield at, at - o, k
 
     def block(self, h: np.ndarray, first: np.ndarray) -> dict[int, set]:
         """Item ids found by text number; h: word hashes of all texts, first: each text's first word and the total."""
         found: dict[int, set] = {}
-        windows: dict[tuple[int, int], set] = {}
-        for size, (keys, lists) in self.pieces.items():
-            g = self.grams(h, size)
-            at = np.flatnonzero(self.maps[size][(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            at = at[np.isin(g[at], keys)]
-            doc = np.searchsorted(first, at, "right") - 1
-            inside = at + size <= first[doc + 1]
-            for p, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
-                for k, offset in lists[int(g[p])]:
-                    windows.setdefault((d, k), set()).add(p - offset)
-        for (d, k), starts in windows.items():
-            item_id, w = self.items[k]
-            n, e = len(w), self.edits[k]
-            lo, hi = int(first[d]), int(first[d + 1])
-            tries = np.unique((np.array(sorted(starts))[:, None] + np.arange(-e, e + 1)[None, :]).reshape(-1))
-            tries = tries[(tries > lo - n) & (tries < hi)]
-            hits = []
-            for some in np.array_split(tries, max(1, -(-len(tries) * n // 4_000_000))):  # long items a few windows at a time
-                cells = some[:, None] + np.arange(n)[None, :]
-                inside = (cells >= lo) & (cells < hi)
-                win = np.where(inside, h[np.clip(cells, 0, len(h) - 1)], np.uint64(0))
-                same = embed(win, n) == self.walks[k][None, :]
-                hits.append(some[same[:, self.samples[k]].all(axis=2).any(axis=1)])
-            hit = np.concatenate(hits)
-            done = -1
-            for s in hit.tolist():  # neighbouring windows share one exact check
-                if s <= done:
-                    continue
-                a, b = max(lo, s - e), min(hi, s + n + 2 * e)
-                if edit_distance_inside(w, h[a:b]) <= e:
-                    found.setdefault(d, set()).add(item_id)
-                    break
-                done = s + e if e else s
+        places = [x for x in self.candidates(h) if len(x[0])]
+        if not places:
+            return found
+        at, start, k = (np.concatenate(x) for x in zip(*places, strict=True))
+        doc = np.searchsorted(first, at, "right") - 1
+        # distinct (text, item, start), in this order
+        order = np.lexsort((start, k, doc))
+        doc, k, start = doc[order], k[order], start[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (start[1:] != start[:-1])])
+        last, done = None, -1
+        for d, t, s in zip(doc[new].tolist(), k[new].tolist(), start[new].tolist(), strict=True):
+            item_id, w = self.items[t]
+            n, e = len(w), self.edits[t]
+            if (d, t) != last:
+                last, done = (d, t), -(1 << 60)
+            # neighbouring collisions share one check; what is found is done with
+            if s <= done or item_id in found.get(d, ()):
+                continue
+            done = s + e
+            a, b = max(int(first[d]), s - e), min(int(first[d + 1]), s + n + 3 * e)
+            text = h[a:b]
+            if int(np.isin(text, self.vocabulary[t]).sum()) >= n - e and edit_distance_inside(w, text) <= e:
+                found.setdefault(d, set()).add(item_id)
         return found
 
 
@@ -139,7 +197,7 @@ def _item_blocks(items: DataFrame, hasher: Hasher, max_items: int, max_words: in
     yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, keep_columns: bool = False, max_items: int = 50_000, max_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, keep_columns: bool = False, max_items: int = 20_000, max_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, items (sorted ids of the items found) and contaminated; with keep_columns the columns of docs and these.
 
     The items go to every task in blocks of at most max_items items and max_words words (a longer item is a block of
@@ -152,10 +210,10 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, kee
     m = len(names)
 
     def against(words: list):
-        shared = docs.sparkSession.sparkContext.broadcast(words)
+        shared, tag = docs.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
 
         def run(batches):
-            hash_, matcher = held("hasher", Hasher), Matcher(shared.value, similarity)
+            hash_, matcher = held("hasher", Hasher), held("matcher", lambda: Matcher(shared.value, similarity), tag)
             for batch in batches:
                 found = [set(x or ()) for x in batch.column(m + 1).to_pylist()]
                 for row, raws in text_blocks(batch, m):
