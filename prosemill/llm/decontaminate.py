@@ -141,6 +141,7 @@ class Matcher:
         self.whole = {size: Table(*zip(*v, strict=True)) for size, v in whole.items()}
         self.parts = {key: Table(*zip(*v, strict=True)) for key, v in parts.items()}
         self.vocabulary = [np.unique(w) for _, w in self.items]
+        self.known = np.unique(np.concatenate(self.vocabulary)) if self.items else np.zeros(0, np.uint64)
 
     def candidates(self, h: np.ndarray):
         """(start of the item's match, items) for the collisions of each table; starts may repeat."""
@@ -155,6 +156,26 @@ class Matcher:
                     at, k, o = self.parts[r, words].collisions(keys[words - 1])
                     yield at, at - o, k
 
+    def _enough(self, h: np.ndarray, first: np.ndarray, doc: np.ndarray, k: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which stretches hold as many of the item's words as a match needs."""
+        number = np.searchsorted(self.known, h)
+        number[self.known[np.minimum(number, len(self.known) - 1)] != h] = len(self.known)
+        member = np.zeros(len(self.known) + 1, bool)
+        keep = np.zeros(len(k), bool)
+        by_item = np.argsort(k, kind="stable")
+        cuts = np.flatnonzero(np.diff(k[by_item])) + 1
+        for rows in np.split(by_item, cuts):
+            t = int(k[rows[0]])
+            n, e = len(self.items[t][1]), self.edits[t]
+            a, b = np.maximum(first[doc[rows]], start[rows] - e), np.minimum(first[doc[rows] + 1], start[rows] + n + 3 * e)
+            mine = np.searchsorted(self.known, self.vocabulary[t])
+            member[mine] = True
+            low, high = int(a.min()), int(b.max())
+            before = np.concatenate([[0], np.cumsum(member[number[low:high]])])
+            keep[rows] = before[b - low] - before[a - low] >= n - e
+            member[mine] = False
+        return keep
+
     def block(self, h: np.ndarray, first: np.ndarray) -> dict[int, set]:
         """Item ids found by text number; h: word hashes of all texts, first: each text's first word and the total."""
         found: dict[int, set] = {}
@@ -167,8 +188,11 @@ class Matcher:
         order = np.lexsort((start, k, doc))
         doc, k, start = doc[order], k[order], start[order]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (start[1:] != start[:-1])])
+        doc, k, start = doc[new], k[new], start[new]
+        keep = self._enough(h, first, doc, k, start)
+        doc, k, start = doc[keep], k[keep], start[keep]
         last, done = None, -1
-        for d, t, s in zip(doc[new].tolist(), k[new].tolist(), start[new].tolist(), strict=True):
+        for d, t, s in zip(doc.tolist(), k.tolist(), start.tolist(), strict=True):
             item_id, w = self.items[t]
             n, e = len(w), self.edits[t]
             if (d, t) != last:
@@ -178,8 +202,7 @@ class Matcher:
                 continue
             done = s + e
             a, b = max(int(first[d]), s - e), min(int(first[d + 1]), s + n + 3 * e)
-            text = h[a:b]
-            if int(np.isin(text, self.vocabulary[t]).sum()) >= n - e and edit_distance_inside(w, text) <= e:
+            if edit_distance_inside(w, h[a:b]) <= e:
                 found.setdefault(d, set()).add(item_id)
         return found
 

@@ -248,6 +248,38 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 8, 30, 100, 300])
+def test_decontamination_recall_at_the_edit_limit(n):
+    rng = random.Random(n)
+    items = [(i, [rng.randrange(1 << 62) for _ in range(n)]) for i in range(100)]
+    matcher = decontaminate.Matcher(items, 0.8)
+    texts = []
+    for t in range(200):
+        w, edits = list(items[t // 2][1]), n // 5
+        # evenly spaced edits leave the shortest runs; the others fall anywhere
+        for at in sorted([(k + 1) * n // (edits + 1) for k in range(edits)] if t % 2 else rng.sample(range(n), edits), reverse=True):
+            kind = rng.choice("sdi")
+            w[at : at + (kind != "i")] = [] if kind == "d" else [rng.randrange(1 << 62)]
+        texts.append([rng.randrange(1 << 62) for _ in range(20)] + w + [rng.randrange(1 << 62) for _ in range(20)])
+    found = matcher.block(np.array([w for t in texts for w in t], np.uint64), np.cumsum([0, *map(len, texts)]))
+    assert sum(t // 2 in found.get(t, ()) for t in range(200)) >= 0.95 * 200
+    assert all(ids <= {t // 2} for t, ids in found.items())
+
+
+def test_decontamination_against_all_stretches(spark):
+    rng = random.Random(21)
+    items = [(k, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 30)))) for k in range(12)]
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    rows += [(100 + i, " ".join([*rows[i][1].split(), *items[i % 12][1].split()[: None if i % 3 else -1]])) for i in range(40)]
+    want = {}
+    for i, t in rows:
+        h = {w: k for k, w in enumerate(sorted({*t.split(), *(x for _, y in items for x in y.split())}))}
+        text = np.array([h[w] for w in t.split()], np.int64)
+        want[i] = [k for k, y in items if decontaminate.edit_distance_inside(np.array([h[w] for w in y.split()]), text) <= int(0.2 * len(y.split()) + 1e-9)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontaminate.contaminated(d, b).collect()} == want
+
+
 def test_decontamination_in_blocks(spark):
     rng = random.Random(11)
     items = [(k, " ".join(f"q{rng.randrange(900)}" for _ in range(n))) for k, n in enumerate((20, 30, 25, 2100))]
