@@ -220,15 +220,14 @@ def _item_blocks(items: DataFrame, hasher: Hasher, max_items: int, max_words: in
     yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, keep_columns: bool = False, max_items: int = 20_000, max_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, items (sorted ids of the items found) and contaminated; with keep_columns the columns of docs and these.
+def _found(docs: DataFrame, items: DataFrame, names: list[str], similarity: float, text_col: str, max_items: int = 20_000, max_words: int = 200_000) -> DataFrame:
+    """The columns names of docs as c0, c1 ... and items.
 
     The items go to every task in blocks of at most max_items items and max_words words (a longer item is a block of
     its own); documents pass one block after the other, and between blocks they are saved.
     """
-    names = docs.columns if keep_columns else [id_col]
     # the text is read by every block, and the lists found so far go along
-    slim = docs.select(*(F.col(n).alias(f"c{k}") for k, n in enumerate(names)), F.col(text_col).alias("text"), F.lit(None).cast("array<long>").alias("items"))
+    slim = docs.select(*(F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)), F.col(text_col).alias("text"), F.lit(None).cast("array<long>").alias("items"))
     schema = slim.schema
     m = len(names)
 
@@ -249,9 +248,16 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, kee
     out = None
     for words in _item_blocks(items, Hasher(), max_items, max_words):
         out = (slim if out is None else saved(out, "items-found")).mapInArrow(against(words), schema)
-    return out.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), "items", (F.size("items") > 0).alias("contaminated"))
+    return out.select(*(f"c{k}" for k in range(m)), "items")
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **blocks) -> DataFrame:
+    """doc_id, items (sorted ids of the items found) and contaminated; blocks: max_items and max_words of a block of items."""
+    found = _found(docs, items, [id_col], similarity, text_col, **blocks)
+    return found.select(F.col("c0").alias(id_col), "items", (F.size("items") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8, text_col: str = "text", **blocks) -> DataFrame:
     """The documents without a benchmark passage, with their own columns."""
-    return contaminated(docs, items, keep_columns=True, **options).where(~F.col("contaminated")).select(*docs.columns)
+    found = _found(docs, items, docs.columns, similarity, text_col, **blocks)
+    return found.where(F.size("items") == 0).select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns)))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prosemill.llm import cotrain, decontaminate, minhash, mixing, pitman_yor, privacy, quality_rules, suffix_dedup, tokens, urls
 
@@ -196,6 +197,16 @@ def test_buckets_cut_into_blocks(docs, rows, monkeypatch):
     assert all(want[i] == want[c] for i, c in got.items())
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_near_duplicates_of_repeated_and_null_ids(spark, parts):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 40), ("b", 30), ("c", 50)))
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, b), (4, c), (None, c), (None, None), (5, None), (5, a)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id or 0, r.kept) for r in minhash.near_duplicates(d, 2).collect())
+    # the text of 1 is the shorter b, that of 5 the empty one
+    assert got == [(0, 0, 0, True), (0, 49, 0, True), (1, 29, 1, True), (2, 39, 2, True), (3, 29, 1, False), (4, 49, 4, True), (5, 0, 5, True)]
+
+
 def test_sketch_agrees_with_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
@@ -219,6 +230,36 @@ def test_classifier(spark, empty):
     assert sum(right) / len(right) > 0.9
     assert cotrain.score_documents(empty, labels).count() == 0
     assert all(r.kept for r in cotrain.score_documents(d, labels.limit(0)).collect())
+    # columns of any name stay as they are; nulls and repeated ids have scores of their own
+    odd = d.where("doc_id < 40").select("*", F.lit("a").alias("kept"), F.lit(1).alias("idx"), F.lit(2).alias("c0"), F.lit(3).alias("score"))
+    odd = odd.unionByName(odd.where("doc_id = 3")).unionByName(spark.createDataFrame([(None, None, None, None, None, "a", 1, 2, 3), (3, "", "en", None, 0, "a", 1, 2, 3)], odd.schema))
+    good = cotrain.good_documents(odd, labels)
+    assert good.columns == odd.columns and {(r.kept, r.idx, r.c0, r.score) for r in good.collect()} == {("a", 1, 2, 3)}
+    assert cotrain.score_documents(odd.drop("kept", "idx", "c0", "score"), labels).count() == odd.count() == 43
+
+
+def test_classifier_learns_from_all_unlabelled_documents(spark):
+    rng = random.Random(2)
+
+    def row(i, bad):
+        # "vile" occurs in documents without a label only; the text view learns it from the metadata view
+        t = words(rng, 40) + (" poor" if bad and rng.random() < 0.7 else "") + (" vile" if bad and i >= 200 else "")
+        return (i, t, "en", "bad" if bad else f"s{i % 3}", len(t))
+
+    rows = [row(i, i % 4 == 0) for i in range(3000)]
+    rows += [(5000 + 2 * k + v, rows[k + 1][1] + " vile" * v, "en", "s1", 99) for k in range(0, 400, 4) for v in (0, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.text_score for r in cotrain.score_documents(d, labels, per_round=0.2).collect()}
+    lower_ = [got[i + 1] < got[i] or got[i] > 1 - 1e-9 for i in range(5000, 5200, 2)]
+    assert all(lower_) and sum(got[i] - got[i + 1] for i in range(5000, 5200, 2)) > 0
+
+
+def test_quotas_take_the_surest():
+    counts = np.zeros((2, 2, cotrain.LAST))
+    counts[0, 0, [3, 7, 9]] = 5, 4, 2
+    counts[0, 1, 5] = 100
+    assert cotrain.quotas(counts, 6).tolist() == [[4, 5], [cotrain.LAST, cotrain.LAST]]
 
 
 def test_urls(spark):
@@ -243,7 +284,8 @@ def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(item), 0), (2, "four words here", 0), (3, None, 0), (4, "", 0), (5, " ".join(item), 0)], "item_id long, text string, doc_id long")
     got = {r.doc_id: r["items"] for r in decontaminate.contaminated(docs.unionByName(extra), items).where("contaminated").collect()}
     assert got == {900: [1, 5], 901: [1, 5], 903: [2], 904: [1, 5]}
-    assert decontaminate.clean(docs, items).columns == docs.columns
+    clash = docs.select("*", F.lit(1).alias("items"), F.lit(2).alias("contaminated"), F.lit(3).alias("c0"))
+    assert decontaminate.clean(clash, items).columns == clash.columns and decontaminate.clean(clash, items).count() == docs.count()
     assert decontaminate.contaminated(empty, items).count() == 0
     assert decontaminate.contaminated(docs, items.limit(0)).where("contaminated").count() == 0
 
