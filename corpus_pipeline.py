@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 as Parquet to the shared folder and reads it back as the next one's docs. All
 but the last return the columns of documents.
 
-Defined results: documents with a null id pass the near-duplicate stage as they
-are; of rows with equal ids one stays there; the other cases are those of the
-operators.
+Defined results: in the near-duplicate stage a document is a pair of id and text,
+so texts that share an id, or have none, are documents of their own, and of equal
+rows one stays; the other cases are those of the operators. Columns of any name
+besides those of documents are carried along.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from prosemill.llm.common import scratch, table
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained quality classifier keeps."""
-    scored = cotrain.score_documents(docs, table(spark, sf_dir, "labels"), keep_columns=True)
-    return scored.where("kept").select(*docs.columns)
+    return cotrain.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (five-word shingles, similarity of 0.8 or more)."""
-    kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id")
-    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return some.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    row = "row_" + "_".join(docs.columns)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    kept = minhash.near_duplicates(keyed, size=5, percent=80, id_col=row).where("kept").select(F.col("doc_id").alias(row))
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
