@@ -308,10 +308,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     every = saved(_sets(slim, size, False, False).select("doc_id", "mark", "n", "key"), "shingle-keys")
     rows = every.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "key", "mark")).alias("s")).select("doc_id", "s.n", "s.key", "s.mark")
     classes = saved(rows.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("id"), "mark")).alias("at"), F.max("n").alias("n")).select("key", "n", "at.*"), "shingle-classes")
-    # sketches and sets of one document for each class
-    picked = slim.join(classes.select(F.col("id").alias("doc_id"), "mark"), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id"])
+    # texts meet the ids wanted in one exchange; rows that repeat both id and text, if any, are first cut to one
     parts = partitions(docs, 4)
-    sk = saved(_sets(picked.repartition(parts, "doc_id"), size, False, True).select(F.col("doc_id").alias("id"), "n", "sketch"), "sketches")
+    twice = every.where("doc_id is not null").groupBy("doc_id", "mark").agg(F.count("*").alias("k")).where("k > 1")
+    texts = slim if twice.isEmpty() else slim.dropDuplicates(["doc_id", "mark"])
+    texts = texts.repartition(parts, "doc_id", "mark")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return texts.join(wanted.select(F.col("id").alias("doc_id"), "mark").repartition(parts, "doc_id", "mark"), ["doc_id", "mark"], "left_semi")
+
+    # sketches and sets of one document for each class
+    sk = saved(_sets(texts_of(classes), size, False, True).select(F.col("doc_id").alias("id"), "n", "sketch"), "sketches")
     buckets = saved(_buckets(sk), "buckets")
     shared = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "bucket")
     met = shared.groupBy("id").agg(F.sum("m").alias("met"))
@@ -326,8 +333,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in s], pa.binary())], ["id", "small"])
 
     sketches = saved(sk.join(in_any, "id", "left_semi").select("id", "sketch").mapInArrow(small, "id long, small binary"), "small-sketches")
-    met_texts = slim.join(classes.join(in_any, "id").select(F.col("id").alias("doc_id"), "mark"), ["doc_id", "mark"], "left_semi")
-    sets = saved(_sets(met_texts.dropDuplicates(["doc_id"]).repartition(parts, "doc_id"), size, True, False).select(F.col("doc_id").alias("id"), "ids"), "sets")
+    sets = saved(_sets(texts_of(classes.join(in_any, "id")), size, True, False).select(F.col("doc_id").alias("id"), "ids"), "sets")
     share = percent / 100
     least = share - SLACK * (share * (1 - share) / T) ** 0.5
 
