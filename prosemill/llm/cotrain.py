@@ -274,8 +274,8 @@ def cotrain(spark, features: DataFrame, labelled: Labelled, rounds: int, per_rou
     return labelled.calibrated(model)
 
 
-def _scored(docs: DataFrame, labels: DataFrame, names: list[str], threshold: float, max_labelled: int, rounds: int, per_round: float, sure: float, steps: int, weight: float, id_col: str) -> DataFrame:
-    """The columns names of docs as c0, c1 ..., then text_score, meta_score, score and kept."""
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float, max_labelled: int, rounds: int, per_round: float, sure: float, steps: int, weight: float, id_col: str) -> DataFrame:
+    """id, view (a hash of what the views see), text_score, meta_score, score and kept of every row of docs."""
     spark = docs.sparkSession
     truth = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.expr("cast(min(quality) = 1 and max(toxic) <> 1 as int)").alias("y"))
     hashed = F.expr("(xxhash64(doc_id) & 1048575) / 1048576D")
@@ -283,20 +283,17 @@ def _scored(docs: DataFrame, labels: DataFrame, names: list[str], threshold: flo
     known = truth.join(ids, "doc_id")
     sample = known.where(hashed < 0.97 * max_labelled / max(1, known.count())).limit(max_labelled)
     picked = F.broadcast(sample.select(F.col("doc_id").alias("id"), "y"))  # at most max_labelled short rows
-    kept_ = [F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)]
-    view = docs.select(*kept_, F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    m = len(names)
+    seen = docs.select(F.col(id_col).cast("long").alias("id"), _view().alias("view"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
 
     def extract(batches):
         cache = held("words", dict)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                f = [features(*row, cache) for row in zip(*(part.column(m + k).to_pylist() for k in (1, 2, 3)), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: m + 1], pa.array([i.tobytes() for i, _ in f], pa.binary()), pa.array([d.tobytes() for _, d in f], pa.binary())], [*(f"c{k}" for k in range(m)), "id", "idx", "dense"])
+                f = [features(*row, cache) for row in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.tobytes() for i, _ in f], pa.binary()), pa.array([d.tobytes() for _, d in f], pa.binary())], ["id", "view", "idx", "dense"])
 
-    own = "".join(f"c{k} {view.schema[k].dataType.simpleString()}, " for k in range(m))
-    rows = saved(view.mapInArrow(extract, own + "id long, idx binary, dense binary").join(picked, "id", "left"), "classifier-features")
+    rows = saved(seen.mapInArrow(extract, "id long, view long, idx binary, dense binary").join(picked, "id", "left"), "classifier-features")
     chosen = rows.where("y is not null").groupBy("id").agg(F.min(F.struct("idx", "dense", "y")).alias("r")).select("id", "r.*")
     labelled = Labelled([(bytes(r.idx), bytes(r.dense), r.y) for r in sorted(chosen.collect())])  # at most max_labelled rows
     model = cotrain(spark, rows, labelled, rounds, per_round, sure, steps, weight) if labelled.usable else None
@@ -309,22 +306,30 @@ def _scored(docs: DataFrame, labels: DataFrame, names: list[str], threshold: flo
                 part = batch.slice(a, 2048)
                 out = np.full((3, part.num_rows), 0.5)
                 if got:
-                    zs = Rows(part.column(m), part.column(m + 1)).scores(got)
+                    zs = Rows(part.column(2), part.column(3)).scores(got)
                     c = np.stack([np.clip(zs[v], -30, 30) / 4 * got["platt"][v][0] + got["platt"][v][1] for v in (0, 1)])
                     out[0], out[1] = _sig(c[0]), _sig(c[1])
                     out[2] = _sig(np.stack([c[0], c[1], c.min(axis=0)], axis=1) / 4 @ got["mix"][0] + got["mix"][1])
-                yield pa.RecordBatch.from_arrays([*part.columns[:m], *(pa.array(v) for v in out), pa.array(out[2] >= threshold)], [*(f"c{k}" for k in range(m)), "text_score", "meta_score", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v) for v in out), pa.array(out[2] >= threshold)], ["id", "view", "text_score", "meta_score", "score", "kept"])
 
-    return rows.select(*(f"c{k}" for k in range(m)), "idx", "dense").mapInArrow(score, own + "text_score double, meta_score double, score double, kept boolean")
+    return rows.select("id", "view", "idx", "dense").mapInArrow(score, "id long, view long, text_score double, meta_score double, score double, kept boolean")
+
+
+def _view():
+    return F.xxhash64(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 10_000, rounds: int = 3, per_round: float = 0.05, sure: float = 0.95, steps: int = 3, weight: float = 0.25, id_col: str = "doc_id") -> DataFrame:
     """doc_id, text_score, meta_score, score and kept."""
-    scored = _scored(docs, labels, [id_col], threshold, max_labelled, rounds, per_round, sure, steps, weight, id_col)
-    return scored.select(F.col("c0").alias(id_col), "text_score", "meta_score", "score", "kept")
+    scored = _scored(docs, labels, threshold, max_labelled, rounds, per_round, sure, steps, weight, id_col)
+    return scored.select(F.col("id").alias(id_col), "text_score", "meta_score", "score", "kept")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 10_000, rounds: int = 3, per_round: float = 0.05, sure: float = 0.95, steps: int = 3, weight: float = 0.25, id_col: str = "doc_id") -> DataFrame:
-    """The documents that the classifier keeps, with their own columns."""
-    scored = _scored(docs, labels, docs.columns, threshold, max_labelled, rounds, per_round, sure, steps, weight, id_col)
-    return scored.where("kept").select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns)))
+    """The documents that the classifier keeps, with their own columns.
+
+    A score depends on text, language and source alone, so documents meet the rejected ones by a hash of these.
+    """
+    scored = _scored(docs, labels, threshold, max_labelled, rounds, per_round, sure, steps, weight, id_col)
+    rejected = saved(scored.where("not kept").select("view").distinct(), "rejected-documents")
+    return docs.join(rejected, _view() == rejected.view, "left_anti")
