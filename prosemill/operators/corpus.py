@@ -17,11 +17,55 @@ def without_bots(rows: DataFrame, login: str) -> DataFrame:
     return rows.where(~F.coalesce(F.col(login).rlike(BOT), F.lit(False)))
 
 
-def footer(body: Column, most: int = 8) -> Column:
-    """Attribution lines among the last lines, and sentinels from anywhere."""
-    lines = F.split(F.regexp_replace(body, r"\s+\z", ""), "\n", -1)
-    tail = F.slice(lines, F.greatest(F.size(lines) - most + 1, F.lit(1)), most)
-    return F.concat(F.filter(tail, lambda x: x.rlike(FOOTER) | x.contains("🤖")), F.regexp_extract_all(body, F.lit(SENTINEL), F.lit(0)))
+def split_footer(body: Column, most: int = 8) -> Column:
+    """struct<text, footer>: the attribution block at the end and sentinels from anywhere, and the rest.
+
+    The block starts at the topmost attribution line that only blank lines and other such lines part from the lowest
+    one among the last `most` lines, and runs to the end.
+    """
+    sentinels = F.regexp_extract_all(body, F.lit(SENTINEL), F.lit(0))
+    lines = F.split(F.regexp_replace(body, SENTINEL, " "), "\n", -1)
+    n = F.size(lines)
+    blank = lambda x: ~x.rlike(r"\S")
+    signs = lambda x: x.rlike(FOOTER) | x.rlike(r"^\s*🤖")
+    tail = F.sequence(n, F.greatest(n - most + 1, F.lit(1)))  # line numbers from the last one upwards
+
+    def step(a: Column, i: Column) -> Column:
+        x = F.element_at(lines, i)
+        return F.when(a["over"] | blank(x), a).when(signs(x), F.struct(i.alias("cut"), F.lit(False).alias("over"))).otherwise(F.struct(a["cut"].alias("cut"), (a["cut"] <= n).alias("over")))
+
+    cut = F.aggregate(tail, F.struct((n + 1).alias("cut"), F.lit(False).alias("over")), step, lambda a: a["cut"])
+    own = F.array_join(F.slice(lines, cut, n), "\n")
+    return F.struct(F.array_join(F.slice(lines, 1, cut - 1), "\n").alias("text"), F.regexp_replace(F.array_join(F.concat(sentinels, F.array(own)), "\n"), r"^\s+|\s+\z", "").alias("footer"))
+
+
+def signed(footer: Column, markers: list[dict]) -> Column:
+    """Whether a confirmed marker stands in the footer. markers: product and pattern."""
+    return F.coalesce(footer.rlike("(?i)" + "|".join(m["pattern"] for m in markers)), F.lit(False)) if markers else F.lit(False)
+
+
+def product_counts(footers: DataFrame, markers: list[dict], *by: str) -> DataFrame:
+    """Documents by product; a document may count for several."""
+    each = F.filter(F.array(*(F.when(F.col("footer").rlike("(?i)" + m["pattern"]), F.lit(m["product"])) for m in markers)), lambda x: x.isNotNull())
+    return footers.select(*by, F.explode(each).alias("product")).groupBy(*by, "product").agg(F.count("*").alias("n"))
+
+
+def tool_word(word: Column, names: list[str]) -> Column:
+    """Whether a word holds one of the names between other characters than letters."""
+    return word.rlike("(?i)(?:^|[^a-z])(?:" + "|".join(n.lower() for n in names) + r")(?:[^a-z]|\z)") if names else F.lit(False)
+
+
+def unknown_footers(footers: DataFrame, known: str, least: int = 3, least_authors: int = 2) -> DataFrame:
+    """Attribution lines that no known pattern matches, by normalised key; footers(author, footer)."""
+    line = footers.select("author", F.explode(F.split("footer", "\n")).alias("line")).select("author", F.trim("line").alias("line"))
+    sentinel = F.regexp_extract("line", SENTINEL, 1)
+    line = line.where((F.col("line").rlike(FOOTER) | (sentinel != "") | F.col("line").rlike("^(?:🤖|👾)")) & ~F.col("line").rlike("(?i)" + known))
+    key = F.lower("line")
+    for pattern, to in ((r"\(https?:[^)]*\)", ""), ("<[^>]*>", ""), (r"[`*_\[\]]", ""), (r"\s+", " ")):
+        key = F.regexp_replace(key, pattern, to)
+    line = line.withColumn("key", F.when(sentinel != "", F.lower(sentinel)).otherwise(F.left(F.trim(key), F.lit(70)))).where("key <> ''")
+    out = line.groupBy("key").agg(F.count("*").alias("seen"), F.countDistinct("author").alias("authors"), F.min(F.left("line", F.lit(120))).alias("example"))
+    return out.where((F.col("seen") >= least) & (F.col("authors") >= least_authors))
 
 
 def usable(docs: DataFrame, least: int = 25, english: float = 0.12) -> DataFrame:
@@ -88,6 +132,81 @@ def churn(snapshots: DataFrame) -> DataFrame:
     return new.join(old, ["before", "word"], "left").groupBy("generated").agg(F.count("*").alias("words"), F.count(F.when(F.col("there").isNull(), 1)).alias("fresh")).withColumn("churn", F.col("fresh") / F.col("words"))
 
 
+def pooled(snapshots: DataFrame, ceiling: float = 0.40, least: int = 2) -> DataFrame:
+    """Words of the newest run of comparable snapshots that at least `least` of them hold; (word, n, place).
+
+    snapshots(generated, word, rank). The run ends at the first snapshot of whose words more than `ceiling` are not in
+    the one after it. A word has the rank of its newest snapshot; place is its number in that order.
+    """
+    order = snapshots.select("generated").distinct().withColumn("age", F.row_number().over(Window.orderBy(F.desc("generated"))))
+    aged = snapshots.join(F.broadcast(order), "generated").select("age", "word", "rank")  # one row a snapshot
+    newer = aged.select((F.col("age") + 1).alias("age"), "word", F.lit(1).alias("there"))
+    moved = aged.where("age > 1").join(newer, ["age", "word"], "left").groupBy("age").agg((F.count(F.when(F.col("there").isNull(), 1)) / F.count("*")).alias("moved"))
+    last = moved.where(F.col("moved") > ceiling).agg(F.coalesce(F.min("age") - 1, F.lit(1 << 30)).alias("last"))
+    run = aged.join(F.broadcast(last)).where("age <= last")
+    held = run.agg(F.least(F.lit(least), F.max("age")).alias("needed"))
+    words = run.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("age", "rank")).alias("at"))
+    words = words.join(F.broadcast(held)).where("n >= needed")
+    return words.select("word", "n", F.row_number().over(Window.orderBy("at.rank", "at.age", "word")).alias("place"))  # a word list
+
+
+def churn_gate(current: DataFrame, pooled_words: DataFrame, floor: float = 0.10, ceiling: float = 0.40, bootstrap: bool = False) -> DataFrame:
+    """One row: words, fresh, churn and outcome (write, same below the floor, refused above the ceiling)."""
+    j = pooled_words.select("word").join(current.select("word", F.lit(1).alias("there")).distinct(), "word", "left")
+    out = j.agg(F.count("*").alias("words"), F.count(F.when(F.col("there").isNull(), 1)).alias("fresh")).join(F.broadcast(current.agg(F.count("*").alias("had"))))
+    churn_ = F.when(F.col("had") == 0, 1.0).otherwise(F.try_divide("fresh", "words"))
+    free = (F.col("had") == 0) | F.lit(bootstrap)
+    return out.select("words", "fresh", churn_.alias("churn"), F.when(~free & (churn_ > ceiling), "refused").when(~free & (churn_ < floor), "same").otherwise("write").alias("outcome"))
+
+
+def per_million(rows: DataFrame, week: str, word: str, n: str, *within: str) -> DataFrame:
+    """C20: counts of words by week with their rate per million of the week's words."""
+    total = rows.groupBy(*within, week).agg(F.sum(n).alias("total"))
+    return rows.join(total, [*within, week]).withColumn("per_million", F.col(n) / F.col("total") * 1e6)
+
+
+def day_archive(docs: DataFrame, *keep: str, min_df: int = 2, least: int = 5) -> DataFrame:
+    """Postings (day, doc_id, keep, word, tf) of documents with enough words of their day's vocabulary.
+
+    docs: day, doc_id, tokens. The long form stands in for day files; write_days() partitions it by day.
+    """
+    each = bag(docs, "day", "doc_id", *keep)
+    known = each.groupBy("day", "word").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).select("day", "word")
+    cut = each.join(known, ["day", "word"])
+    enough = cut.groupBy("day", "doc_id").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("day", "doc_id")
+    return cut.join(enough, ["day", "doc_id"], "left_semi")
+
+
+def available_days(archive: DataFrame) -> DataFrame:
+    """The days of an archive, in order."""
+    return archive.select("day").distinct().orderBy("day")
+
+
+def day_summaries(archive: DataFrame, author: str = "author", flag: str = "signed") -> DataFrame:
+    """By day: documents, words of the vocabulary, and documents and authors of either side."""
+    docs = archive.groupBy("day", "doc_id").agg(F.first(author).alias("author"), F.first(flag).alias("flag"))
+    on, off = F.col("flag"), ~F.col("flag")
+    by = docs.groupBy("day").agg(F.count("*").alias("docs"), F.sum(on.cast("long")).alias("signed_docs"), F.countDistinct(F.when(on, F.col("author"))).alias("signed_authors"), F.countDistinct(F.when(off, F.col("author"))).alias("unsigned_authors"))
+    return by.join(archive.select("day", "word").distinct().groupBy("day").agg(F.count("*").alias("words")), "day")
+
+
+def window_postings(archive: DataFrame, first: str, last: str, min_df: int) -> DataFrame:
+    """The postings of a window of days over one vocabulary, of words in min_df documents of the window."""
+    some = archive.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return some.join(vocabulary(some, min_df).select("word"), "word")
+
+
+def window_sample(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """The events (day, ts, ...) that fall into a window of their day; windows: day, window, start_second, seconds."""
+    at = F.unix_timestamp("ts") - F.unix_timestamp(F.col("day").cast("timestamp"))
+    return events.join(windows, "day").where(at.between(F.col("start_second"), F.col("start_second") + F.col("seconds") - 1))
+
+
+def tracked(ranked: DataFrame, group: str, top: int) -> DataFrame:
+    """The union of the groups' top words, with the groups that list each."""
+    return ranked.where(F.col("rank") <= top).groupBy("word").agg(F.count("*").alias("groups"), F.min("rank").alias("best"))
+
+
 def _slice_states(counts: list[int], seed: int) -> list[int]:
     """State of the reference's generator, which multiplies in doubles, before each run of documents."""
     out = []
@@ -117,18 +236,88 @@ def slices(ids: DataFrame, k: int, seed: int, save) -> DataFrame:
     return ranges.groupBy("range").applyInArrow(deal, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, cluster int")
 
 
-def kmeans(bags: DataFrame, k: int = 10, iterations: int = 25, seed: int = 12345, save=None) -> DataFrame:
+def kmeans(bags: DataFrame, k: int = 10, iterations: int = 25, seed: int = 12345, save=None, max_cells: int = 2_000_000) -> DataFrame:
     """C14: multinomial k-means; (doc_id, cluster). Ties go to the lowest cluster, empty clusters keep their centre.
 
     Documents start in the reference's slices; an empty slice has the centre of the first document. Rounds end when
-    no document moves. Each round writes its assignment and centres through `save` (checkpoint() by default), so
-    lineage stays short and lost executors cost one round.
+    no document moves. Centres of at most max_cells numbers are broadcast, and a round is one pass over packed
+    documents; larger ones are joined by word. `save` (checkpoint() by default) cuts the lineage.
     """
     save = save or (lambda df: df.checkpoint())
+    words = save(bags.select("word").distinct())
+    few = words.count() * k <= max_cells
+    return (_packed_kmeans if few else _joined_kmeans)(bags, words, k, iterations, seed, save)
+
+
+def _packed_kmeans(bags: DataFrame, words: DataFrame, k: int, iterations: int, seed: int, save) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    spark = bags.sparkSession
+    numbered = words.withColumn("i", F.row_number().over(Window.orderBy("word")) - 1)  # at most max_cells / k rows
+    v = numbered.count()
+    packed = bags.join(F.broadcast(numbered), "word").groupBy("doc_id").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("tf").cast("long")).alias("tf"))
+    packed = save(packed)
+    packed = save(packed.join(slices(packed.select("doc_id"), k, seed, save), "doc_id").select("cluster", "i", "tf", "doc_id"))
+
+    def flat(batch):
+        """Offsets, word numbers and frequencies of a batch's documents."""
+        i, tf = batch.column(1), batch.column(2)
+        return np.diff(i.offsets.to_numpy()), i.flatten().to_numpy(), tf.flatten().to_numpy()
+
+    def nearest(batch, centres):
+        n, i, tf = flat(batch)
+        if centres is None:
+            return batch.column(0).to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        score = np.stack([np.bincount(row, tf * centres[c, i], len(n)) for c in range(k)])
+        return score.argmax(axis=0)
+
+    def counted(old, new):
+        """Word counts of the clusters that the centres `new` make, and (in the cell k * v) how many documents left those of `old`."""
+
+        def run(batches):
+            total = np.zeros(k * v + 1, np.int64)
+            for batch in batches:
+                n, i, tf = flat(batch)
+                cluster = nearest(batch, None if new is None else new.value)
+                total[: k * v] += np.bincount(np.repeat(cluster, n) * v + i, tf, k * v).astype(np.int64)
+                if new is not None:
+                    total[k * v] += (cluster != nearest(batch, None if old is None else old.value)).sum()
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+        got = packed.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most max_cells rows
+        out = np.zeros(k * v + 1, np.int64)
+        out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+        return out[: k * v].reshape(k, v), int(out[k * v])
+
+    counts, _ = counted(None, None)
+    first = packed.orderBy("doc_id").select("i", "tf").limit(1).collect()
+    centres = np.zeros((k, v))
+    if first:
+        centres[:, first[0].i] = first[0].tf
+    old = new = None
+    for _ in range(iterations if first else 0):
+        centres = np.where(counts.sum(axis=1, keepdims=True) > 0, counts, centres)
+        old, new = new, spark.sparkContext.broadcast(np.log((centres + 0.01) / (centres.sum(axis=1, keepdims=True) + 0.01 * v)))
+        counts, moved = counted(old, new)
+        if not moved:
+            break
+
+    def assign(batches):
+        for batch in batches:
+            cluster = nearest(batch, None if new is None else new.value)
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(cluster.astype(np.int32))], ["doc_id", "cluster"])
+
+    return packed.mapInArrow(assign, f"doc_id {packed.schema['doc_id'].dataType.simpleString()}, cluster int")
+
+
+def _joined_kmeans(bags: DataFrame, words: DataFrame, k: int, iterations: int, seed: int, save) -> DataFrame:
     spark = bags.sparkSession
     lengths = save(bags.groupBy("doc_id").agg(F.sum("tf").alias("n")))
     assign = save(slices(lengths.select("doc_id"), k, seed, save))
-    v = bags.select("word").distinct().count()
+    v = words.count()
     grid = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
     first = bags.join(lengths.agg(F.min("doc_id").alias("doc_id")), "doc_id").select("word", F.col("tf").alias("c"))
     before = grid.join(F.broadcast(first))  # k times the words of one document
@@ -151,16 +340,38 @@ def kmeans(bags: DataFrame, k: int = 10, iterations: int = 25, seed: int = 12345
     return assign
 
 
+def clusters_of(assign: DataFrame, rows: DataFrame, week: str = "week", flag: str = "signed") -> DataFrame:
+    """Cluster, size, signed, share, stamped, start_share, end_share and arrived; rows(doc_id, week, signed)."""
+    j = rows.join(assign, "doc_id").select("cluster", week, flag)
+    series = group_series(j, "cluster", week, flag)
+    total = series.agg(F.sum("size").alias("every"))
+    return series.join(F.broadcast(total)).select("cluster", "size", "signed", (F.col("size") / F.col("every")).alias("share"), (F.col("signed") / F.col("size")).alias("stamped"), "start_share", "end_share", "arrived")
+
+
+def sweep(bags: DataFrame, rows: DataFrame, ks: list[int], save, **options) -> DataFrame:
+    """The cluster statistics of a fit for each k; (k, cluster, ...). judge_fits() decides among them."""
+    from functools import reduce
+
+    fits = (save(clusters_of(kmeans(bags, k, save=save, **options), rows).withColumn("k", F.lit(k))) for k in ks)
+    return reduce(DataFrame.unionByName, fits)
+
+
+def judge_fits(fits: DataFrame) -> DataFrame:
+    """By k: the cluster of the highest signed share, that of the highest recent share among those that arrived, the gap and whether they agree."""
+    w = Window.partitionBy("k")
+    ranked = fits.withColumn("place", F.row_number().over(w.orderBy(F.desc("stamped"), "cluster")))
+    grew = F.max(F.when(F.col("arrived"), F.struct("end_share", (-F.col("cluster")).alias("neg"))))
+    by = ranked.groupBy("k").agg(F.max(F.when(F.col("place") == 1, F.col("cluster"))).alias("signature"), F.max(F.when(F.col("place") == 1, F.col("stamped"))).alias("s1"), F.max(F.when(F.col("place") == 2, F.col("stamped"))).alias("s2"), grew.alias("g"), F.sum(F.col("arrived").cast("long")).alias("admitted"))
+    by = by.withColumn("growth", -F.col("g.neg")).withColumn("gap", F.when(F.col("s2").isNull(), 1.0).otherwise(F.col("s1") - F.col("s2")))
+    return by.select("k", "signature", "growth", "admitted", "gap", F.coalesce(F.col("growth") == F.col("signature"), F.lit(False)).alias("agree"))
+
+
 def choose_fit(fits: DataFrame) -> DataFrame:
-    """Of the fits whose growth winner is the signature winner, the one with the widest gap; no row if none agrees.
+    """Of the fits whose two selectors agree, the one with the widest gap; no row if none agrees.
 
-    fits: k, cluster, stamped, start_share, end_share.
+    fits: k, cluster, stamped, end_share, arrived.
     """
-    w = Window.partitionBy("k")
-    ranked = fits.withColumn("by_stamp", F.row_number().over(w.orderBy(F.desc("stamped"), "cluster"))).withColumn("by_growth", F.row_number().over(w.orderBy(F.desc(F.col("end_share") - F.col("start_share")), "cluster")))
-    judged = ranked.groupBy("k").agg(F.max(F.when(F.col("by_stamp") == 1, F.col("cluster"))).alias("signature"), F.max(F.when(F.col("by_growth") == 1, F.col("cluster"))).alias("growth"), F.max(F.when(F.col("by_stamp") == 1, F.col("stamped"))).alias("s1"), F.max(F.when(F.col("by_stamp") == 2, F.col("stamped"))).alias("s2"))
-    agree = judged.where("signature = growth").withColumn("gap", F.col("s1") - F.coalesce("s2", F.lit(0.0)))
-    return agree.orderBy(F.desc("gap"), "k").limit(1).select("k", F.col("signature").alias("cluster"), "gap")
+    return judge_fits(fits).where("agree").orderBy(F.desc("gap"), "k").limit(1).select("k", F.col("signature").alias("cluster"), "gap")
 
 
 def latest_wins(history: DataFrame, new: DataFrame, key: str) -> DataFrame:

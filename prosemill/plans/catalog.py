@@ -340,14 +340,6 @@ def q_trajectory(spark, sf_dir):
     return grid.join(r, ["built", "word"], "left")
 
 
-@query("footer_discovery")
-def q_footer(spark, sf_dir):
-    """Unknown footers by key, seen three times by two authors or more."""
-    f = docs(spark, sf_dir, "source").select("source", F.explode(corpus.footer(F.col("text"))).alias("line"))
-    key = F.regexp_replace(F.lower("line"), "[^a-z]+", " ")
-    return f.withColumn("key", key).groupBy("key").agg(F.count("*").alias("seen"), F.countDistinct("source").alias("authors"), F.min("line").alias("example")).where("seen >= 3 and authors >= 2")
-
-
 def _saver(spark):
     from ..sources.files import saved
 
@@ -501,9 +493,16 @@ def q_rule_findings(spark, sf_dir):
     return rule_sets.evaluate(docs(spark, sf_dir), RULES).where("fires").select("doc_id", "rule", million(F.col("value")).alias("value_millionths"), "bound")
 
 
+def _all() -> None:
+    """Register the queries of the other modules."""
+    from . import corpus_queries, evaluation_queries, findings_queries  # noqa: F401
+
+
 def queries() -> dict:
+    _all()
     return dict(Q)
 
 
 def oracle_sql() -> dict:
+    _all()
     return dict(SQL)

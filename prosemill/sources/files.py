@@ -78,15 +78,20 @@ def read_pairs(spark: SparkSession, path: str, least_words: int = 250) -> DataFr
     return rows.select("pair_id", F.split("pair_id", "-")[0].alias("register"), "side", F.col("src").alias("text")).where(F.regexp_count("text", F.lit(r"[A-Za-z0-9][A-Za-z0-9'’-]*")) >= least_words)
 
 
-def windows_for_day(day: str, n: int = 10, minutes: int = 5) -> list[tuple[int, int]]:
-    """N disjoint windows (start minute, minutes), one in each equal part of the day, at places seeded by the date."""
-    part = 1440 // n
-    seed = sum((k + 1) * ord(c) for k, c in enumerate(day)) & 0xFFFFFFFF
-    out = []
-    for k in range(n):
-        seed = (seed * 1664525 + 1013904223) & 0xFFFFFFFF
-        out.append((k * part + seed % (part - minutes), minutes))
-    return out
+def day_windows(days: DataFrame, n: int = 10, minutes: int = 5) -> DataFrame:
+    """N windows for each day: (day, window, start_second, seconds), one in each equal part of the day.
+
+    The place in the part is drawn by the reference's generator, which multiplies in doubles, from a hash of the date.
+    """
+    part = 86_400 // n
+    chars = F.split(F.date_format("day", "yyyy-MM-dd"), "")
+    seed = F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % (1 << 32))
+    step = lambda h: (h.cast("double") * 1103515245.0 + 12345.0) % 4294967296.0
+    start = F.struct(seed.cast("double").alias("h"), F.expr("cast(array() as array<double>)").alias("all"))
+    states = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda a, _: F.struct(step(a["h"]).alias("h"), F.array_append(a["all"], step(a["h"])).alias("all")), lambda a: a["all"])
+    rows = days.select("day", F.posexplode(states).alias("window", "h"))
+    milliseconds = F.floor(F.col("h") / 4294967296.0 * ((part - minutes * 60) * 1000))
+    return rows.select("day", "window", (F.col("window") * part + F.floor(milliseconds / 1000)).cast("long").alias("start_second"), F.lit(minutes * 60).cast("long").alias("seconds"))
 
 
 def write_days(df: DataFrame, path: str, force: bool = False) -> None:

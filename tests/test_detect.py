@@ -107,8 +107,11 @@ def test_kmeans_follows_the_reference_rounds(spark):
 
 
 def test_selector_needs_agreement(spark):
-    rows = [(8, 0, 0.9, 0.0, 0.3), (8, 1, 0.1, 0.2, 0.2), (9, 0, 0.9, 0.2, 0.1), (9, 1, 0.2, 0.0, 0.5)]
-    f = spark.createDataFrame(rows, "k int, cluster int, stamped double, start_share double, end_share double")
+    rows = [(8, 0, 0.9, 0.3, True), (8, 1, 0.1, 0.9, False), (9, 0, 0.9, 0.3, False), (9, 1, 0.2, 0.5, True), (10, 0, 0.5, 0.3, True), (10, 1, 0.4, 0.2, True)]
+    f = spark.createDataFrame(rows, "k int, cluster int, stamped double, end_share double, arrived boolean")
+    judged = {r.k: (r.signature, r.growth, r.admitted, r.agree) for r in corpus.judge_fits(f).collect()}
+    assert judged == {8: (0, 0, 1, True), 9: (0, 1, 1, False), 10: (0, 0, 2, True)}
+    assert corpus.choose_fit(f.where("k = 9")).count() == 0
     assert [(r.k, r.cluster) for r in corpus.choose_fit(f).collect()] == [(8, 0)]
 
 
