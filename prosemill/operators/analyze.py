@@ -6,17 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def collapse(found: DataFrame) -> DataFrame:
+def collapse(found: DataFrame, *more: str) -> DataFrame:
     """A3: of overlapping spans of a document the leftmost, then longest, then first rule survives; doc-level ones stay.
 
-    found: doc_id, rule, rule_ord, start, stop, doc_level. A fold over each document's sorted spans, as what is
-    dropped depends on the last one kept.
+    found: doc_id, rule, rule_ord, start, stop, doc_level and the columns `more`, which go along. A fold over each
+    document's sorted spans, as what is dropped depends on the last one kept.
     """
-    spans = found.where("not doc_level").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("neg"), "rule_ord", "rule"))).alias("s"))
-    zero = F.struct(F.lit(-1).cast("int").alias("last"), F.expr("cast(array() as array<struct<start: int, neg: int, rule_ord: int, rule: string>>)").alias("kept"))
-    step = lambda a, x: F.when(x["start"] < a["last"], a).otherwise(F.struct((-x["neg"]).alias("last"), F.array_append(a["kept"], x).alias("kept")))
-    kept = spans.select("doc_id", F.explode(F.aggregate("s", zero, step, lambda a: a["kept"])).alias("k")).select("doc_id", "k.rule", "k.rule_ord", "k.start", (-F.col("k.neg")).alias("stop"), F.lit(False).alias("doc_level"))
-    return kept.unionByName(found.where("doc_level").select(kept.columns))
+    one = F.struct("start", (-F.col("stop")).alias("neg"), "rule_ord", "doc_level", "rule", *more)
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(one), lambda a, b: _order(a, b)).alias("s"))
+    item = spans.schema["s"].dataType.simpleString()
+    zero = F.struct(F.lit(-1).cast("int").alias("last"), F.expr(f"cast(array() as {item})").alias("kept"))
+
+    def step(a: Column, x: Column) -> Column:
+        kept = F.struct(F.when(x["doc_level"], a["last"]).otherwise(-x["neg"]).cast("int").alias("last"), F.array_append(a["kept"], x).alias("kept"))
+        return F.when(~x["doc_level"] & (x["start"] < a["last"]), a).otherwise(kept)
+
+    kept = spans.select("doc_id", F.explode(F.aggregate("s", zero, step, lambda a: a["kept"])).alias("k"))
+    return kept.select("doc_id", "k.rule", "k.rule_ord", "k.start", (-F.col("k.neg")).alias("stop"), "k.doc_level", *(f"k.{c}" for c in more))
+
+
+def _order(a: Column, b: Column) -> Column:
+    """By start, then longest, then rule; the other fields need not be comparable."""
+    cases = F.lit(0)
+    for c in ("rule_ord", "neg", "start"):
+        cases = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(cases)
+    return cases
 
 
 def schedule(priorities: Column) -> Column:
@@ -30,21 +44,20 @@ def schedule(priorities: Column) -> Column:
 def line_col(text: Column, offset: Column) -> tuple[Column, Column]:
     """1-based line and column of an offset."""
     before = F.substring(text, F.lit(1), offset)
-    last = F.element_at(F.split(before, "\n", -1), -1)
-    return F.size(F.split(before, "\n", -1)), F.length(last) + 1
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1, F.length(F.substring_index(before, "\n", -1)) + 1
 
 
 def sentence_around(text: Column, start: Column, stop: Column) -> Column:
-    """From the last terminator before the span to the first one after it, with closing marks."""
-    head = F.regexp_extract(F.substring(text, F.lit(1), start), r"[^\n.!?…]*\z", 0)
-    tail = F.regexp_extract(F.substring(text, stop + 1, F.length(text)), r"""^[^\n.!?…]*[.!?…]*["'”’)\]]*""", 0)
-    return F.trim(F.concat(head, F.substring(text, start + 1, stop - start), tail))
+    """From the last terminator before the span, without leading blanks, to the first one after it with its closing marks, or to the end of the line."""
+    head = F.regexp_replace(F.regexp_replace(F.substring(text, F.lit(1), start), r"(?s)\A.*[\n.!?…]", ""), r"\A\s+", "")
+    tail = F.regexp_extract(F.substring(text, stop + 1, F.length(text)), r"""^[^\n.!?…]*(?:[.!?…]["'”’)\]]*)?""", 0)
+    return F.concat(head, F.substring(text, start + 1, stop - start), tail)
 
 
 def window_around(text: Column, start: Column, stop: Column, width: int = 34) -> Column:
     """X11: the span with up to `width` characters on each side."""
     lo, hi = F.greatest(start - width, F.lit(0)), F.least(stop + width, F.length(text))
-    body = F.regexp_replace(F.substring(text, lo + 1, hi - lo), r"\s+", " ")
+    body = F.trim(F.regexp_replace(F.substring(text, lo + 1, hi - lo), r"\s+", " "))
     return F.concat(F.when(lo > 0, "…").otherwise(""), body, F.when(hi < F.length(text), "…").otherwise(""))
 
 

@@ -153,7 +153,7 @@ def _counted(kind: str, rule: dict) -> Column:
     return n if possible is None else F.when(possible, n).otherwise(0)
 
 
-def _run_rows(docs: DataFrame, m: dict) -> DataFrame:
+def run_rows(docs: DataFrame, m: dict) -> DataFrame:
     if m["kind"] == "echo":
         return detect.echo(docs, m.get("minGram", 4), m.get("minRun", 2), m.get("anchored") or None, m.get("minFuncWords", 0), m.get("minShare", 0))
     if m["kind"] == "anaphora":
@@ -182,21 +182,24 @@ def counts(docs: DataFrame, rules: list[dict]) -> DataFrame:
     run = [k for k, r in enumerate(rules) if r["match"]["kind"] in FRAME_KINDS]
     rows = doc_stats(docs).withColumn("lowered", F.lower("text"))
     n = F.array(*(F.lit(0.0) if k in run else _counted(r["match"]["kind"], r).cast("double") for k, r in enumerate(rules)))
-    rows = rows.select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", n.alias("n"))
+    # sentences are counted where a rule measures them alone
+    sentences = detect.rhythm(F.col("text"))[1] if any(r["match"]["kind"] == "rhythm" for r in rules) else F.lit(None)
+    rows = rows.select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", sentences.cast("int").alias("rhythm_sentences"), n.alias("n"))
     if not run:
         return rows
-    found = reduce(DataFrame.unionByName, (_run_rows(docs, rules[k]["match"]).select("doc_id", F.lit(k).alias("k")) for k in run))
+    found = reduce(DataFrame.unionByName, (run_rows(docs, rules[k]["match"]).select("doc_id", F.lit(k).alias("k")) for k in run))
     each = found.groupBy("doc_id").agg(*(F.sum((F.col("k") == k).cast("double")).alias(f"run_{k}") for k in run))
     held = F.transform("n", lambda x, i: reduce(lambda a, k: F.when(i == k, F.coalesce(f"run_{k}", F.lit(0.0))).otherwise(a), run, x))
-    return rows.join(each, "doc_id", "left").select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", held.alias("n"))
+    return rows.join(each, "doc_id", "left").select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", "rhythm_sentences", held.alias("n"))
 
 
-def evaluate(docs: DataFrame, rules: list[dict]) -> DataFrame:
-    """A1: (doc_id, rule, value, bound, fires) of every rule and document; doc_id differs by row.
+def judged(docs: DataFrame, rules: list[dict]) -> DataFrame:
+    """A1: (doc_id, k, rule, n, rate_words, sentences, value, bound, limit) of every rule (by place k) and document.
 
-    The rules' bounds travel as one constant array, so one expression judges any number of rules.
+    doc_id differs by row; bound is null where the rule does not fire. The rules' bounds travel as one constant array,
+    so one expression judges any number of rules.
     """
-    rows = counts(docs, rules).select("doc_id", "rate_words", "gate_sentences", "fn_words", F.posexplode("n").alias("k", "n"))
+    rows = counts(docs, rules).select("doc_id", "rate_words", "gate_sentences", "fn_words", "rhythm_sentences", F.posexplode("n").alias("k", "n"))
     rows = rows.withColumn("t", F.get(F.array(*map(_terms, rules)), F.col("k")))
     words = F.col("rate_words").cast("double")
     plain = F.col("t.metric") | (F.col("t.power").isNull() & F.col("t.per").isNull())
@@ -207,8 +210,14 @@ def evaluate(docs: DataFrame, rules: list[dict]) -> DataFrame:
     ok = (words >= F.col("t.words")) & (F.col("gate_sentences") >= F.col("t.sentences")) & (share >= F.col("t.share"))
     v = F.col("value")
     bound = F.coalesce(F.when(v > F.col("t.gt"), ">"), F.when(v >= F.col("t.ge"), ">="), F.when(v < F.col("t.lt"), "<"), F.when(v <= F.col("t.le"), "<="))
-    judged = ok & (F.col("t.metric") | (F.col("n") >= F.col("t.matches")))
-    return rows.select("doc_id", F.col("t.rule").alias("rule"), "value", F.when(judged, bound).alias("bound")).withColumn("fires", F.col("bound").isNotNull())
+    rows = rows.withColumn("bound", F.when(ok & (F.col("t.metric") | (F.col("n") >= F.col("t.matches"))), bound))
+    limit = F.when(F.col("bound") == ">", F.col("t.gt")).when(F.col("bound") == ">=", F.col("t.ge")).when(F.col("bound") == "<", F.col("t.lt")).when(F.col("bound") == "<=", F.col("t.le"))
+    return rows.select("doc_id", "k", F.col("t.rule").alias("rule"), "n", "rate_words", F.col("rhythm_sentences").alias("sentences"), "value", "bound", limit.alias("limit"))
+
+
+def evaluate(docs: DataFrame, rules: list[dict]) -> DataFrame:
+    """A1: (doc_id, rule, value, bound, fires) of every rule and document; doc_id differs by row."""
+    return judged(docs, rules).select("doc_id", "rule", "value", "bound", F.col("bound").isNotNull().alias("fires"))
 
 
 def target_word(text: str, start: int, stop: int) -> tuple[int, int] | None:

@@ -215,21 +215,6 @@ def q_totals(spark, sf_dir):
     return s.select("total", "words", million(F.col("total") / F.col("words")).alias("per1000_thousandths"), (F.col("total") / F.col("words") * 1000 > 2).alias("over_budget"))
 
 
-@query("line_positions", f"with {D} select doc_id, strpos(text, '|') - 1 as off, len(string_split(substr(text, 1, strpos(text, '|') - 1), chr(10))) line, length(string_split(substr(text, 1, strpos(text, '|') - 1), chr(10))[-1]) + 1 col from d where strpos(text, '|') > 0")
-def q_lines(spark, sf_dir):
-    """Line and column of the first table mark."""
-    off = F.instr("text", "|") - 1
-    line, col = analyze.line_col(F.col("text"), off)
-    return docs(spark, sf_dir).where("instr(text, '|') > 0").select("doc_id", off.cast("long").alias("off"), line.cast("long").alias("line"), col.cast("long").alias("col"))
-
-
-@query("sentence_context")
-def q_context(spark, sf_dir):
-    """The sentence and the window around the first exclamation mark."""
-    at = F.instr("text", "!") - 1
-    return docs(spark, sf_dir).where("instr(text, '!') > 0").select("doc_id", analyze.sentence_around(F.col("text"), at, at + 1).alias("sentence"), analyze.window_around(F.col("text"), at, at + 1).alias("context"))
-
-
 # ------------------------------------------------------------------ corpus
 
 
@@ -423,13 +408,15 @@ def q_word_classes(spark, sf_dir):
     return evaluate.word_classes(t).drop("lift")
 
 
-@query("redundancy_division", f"with {D}, h as (" + " union all ".join(f"select '{a}' as a, doc_id, '{b}' as b from d where regexp_matches(text, '(?i){p}') and regexp_matches(text, '(?i){q}')" for a, p in list(PHRASES.items())[3:] for b, q in list(PHRASES.items())[3:]) + "), z as (select a, count(distinct doc_id) n from h group by a), c as (select a, b, count(distinct doc_id) k from h where a <> b group by all) select a rule_a, b rule_b, n from c join z using (a) where k = n")
-def q_redundant(spark, sf_dir):
-    """rules that fire on every example of another (division)."""
-    from ..functions.text import java_pattern
+# Own phrase rules, some of which fire wherever another does.
+NESTED = {"shout": "[A-Z]+!!", "exclamation": "!", "marks": "!!", "of_the": r"\\bof the\\b", "the": r"\\bthe\\b", "percent_run": "%%%", "percent": "%", "table_mark": r"\\|"}
 
-    some = dict(list(PHRASES.items())[3:])
-    t = docs(spark, sf_dir).select("doc_id", F.filter(F.array(*(F.when(F.col("text").rlike(java_pattern(p)), F.lit(k)) for k, p in some.items())), lambda x: x.isNotNull()).alias("r"))
+
+@query("redundancy_division", f"with {D}, f as (" + " union all ".join(f"select doc_id, '{k}' as rule from d where regexp_matches(text, '{p}')" for k, p in NESTED.items()) + "), z as (select rule, count(*) n from f group by rule), c as (select a.rule rule_a, b.rule rule_b, count(*) k from f a join f b on a.doc_id = b.doc_id and a.rule <> b.rule group by all) select rule_a, rule_b, n from c join z on z.rule = rule_a where k = n")
+def q_redundant(spark, sf_dir):
+    """rules that fire on every example of another (division); the examples of a rule are the documents it fires on."""
+    fired = F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(k)) for k, p in NESTED.items())), lambda x: x.isNotNull())
+    t = docs(spark, sf_dir).select("doc_id", fired.alias("r"))
     hits = t.select(F.explode("r").alias("example_rule"), F.col("doc_id").alias("example"), "r").select("example_rule", "example", F.explode("r").alias("rule"))
     return evaluate.redundant(hits)
 

@@ -1 +1,116 @@
-"""Queries of assembled findings."""
+"""Queries of assembled findings: places, contexts, findings of span and document rules, navigation, the JSON report."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import RATE_WORD
+from ..operators import analyze, detect, findings, rules
+from ..operators.verdict import doc_stats
+from ..sources.files import findings_annotations, findings_tsv, saved
+from .catalog import STATS, D, docs, query
+
+# Own rules without look-around, so that both engines run them as they stand: four of spans and one of the document.
+OWN = {
+    "name": "own",
+    "rules": [
+        {"id": "shout", "match": {"kind": "regex", "pattern": "[A-Z]+!!"}, "notable": {">": 0}, "suggest": "Say it once."},
+        {"id": "the-word", "match": {"kind": "regex", "pattern": "the [a-z]+"}, "notable": {">": 0}},
+        {"id": "percent-run", "match": {"kind": "regex", "pattern": "%%%"}, "notable": {">": 0}},
+        {"id": "long-word", "match": {"kind": "regex", "pattern": "[a-z]{12,}"}, "notable": {">": 0}},
+        {"id": "commas", "match": {"kind": "regex", "pattern": ","}, "notable": {">=": 60, "per": 1000}},
+    ],
+}
+RULES = rules.resolve([OWN])
+RATE = RATE_WORD.replace("'", "''")
+#: CTE o(doc_id, "start", stop) of a pattern's matches m in the documents d.
+PLACES = """p_ as (select doc_id, text, regexp_extract_all(text, '{p}') m, string_split(regexp_replace(text, '{p}', chr(1), 'g'), chr(1)) g from d),
+e_ as (select doc_id, text, unnest(range(1, len(m) + 1)) k, unnest(m) v, unnest(g[1:len(m)]) gap from p_ where len(m) > 0),
+o as (select doc_id, text, cast(sum(length(gap) + length(v)) over (partition by doc_id order by k) as bigint) stop, length(v) n from e_)"""
+
+
+def line_sql(off: str) -> str:
+    return f"cast(length(substr(text, 1, {off})) - length(replace(substr(text, 1, {off}), chr(10), '')) + 1 as int)"
+
+
+def col_sql(off: str) -> str:
+    return f"cast(length(regexp_extract(substr(text, 1, {off}), '[^\\n]*$')) + 1 as int)"
+
+
+def sentence_sql(a: str, b: str) -> str:
+    return f"regexp_replace(regexp_extract(substr(text, 1, {a}), '[^\\n.!?…]*$'), '^\\s+', '') || substr(text, {a} + 1, {b} - {a}) || regexp_extract(substr(text, {b} + 1), '^[^\\n.!?…]*(?:[.!?…][\"''”’)\\]]*)?')"
+
+
+@query("line_positions", f"with {D}, {PLACES.format(p='[|]')} select doc_id, cast(stop - n as int) as off, {line_sql('stop - n')} line, {col_sql('stop - n')} col from o")
+def q_lines(spark, sf_dir):
+    """Line and column of every table mark."""
+    t = docs(spark, sf_dir).select("doc_id", "text", F.explode(detect.regex(F.col("text"), r"\|", False)).alias("o"))
+    line, col = analyze.line_col(F.col("text"), F.col("o.start"))
+    return t.select("doc_id", F.col("o.start").alias("off"), line.alias("line"), col.alias("col"))
+
+
+@query("sentence_context", f"""with {D}, {PLACES.format(p='[A-Z]+!!')}, w as (select *, stop - n a, greatest(stop - n - 34, 0) lo, least(stop + 34, length(text)) hi from o)
+select doc_id, cast(a as int) as "start", {sentence_sql('a', 'stop')} sentence, case when lo > 0 then '…' else '' end || trim(regexp_replace(substr(text, lo + 1, hi - lo), '\\s+', ' ', 'g')) || case when hi < length(text) then '…' else '' end context from w""")
+def q_context(spark, sf_dir):
+    """The sentence and the window around every shout."""
+    t = docs(spark, sf_dir).select("doc_id", "text", F.explode(detect.regex(F.col("text"), "[A-Z]+!!", False)).alias("o"))
+    return t.select("doc_id", F.col("o.start").alias("start"), analyze.sentence_around(F.col("text"), F.col("o.start"), F.col("o.stop")).alias("sentence"), analyze.window_around(F.col("text"), F.col("o.start"), F.col("o.stop")).alias("context"))
+
+
+FOUND_SQL = f"""{STATS}, r(rule, rule_ord, p) as (values ('shout', 0, '[A-Z]+!!'), ('the-word', 1, 'the [a-z]+'), ('percent-run', 2, '%%%'), ('long-word', 3, '[a-z]{{12,}}')),
+m as (select doc_id, rule, rule_ord, regexp_extract_all(text, p) m, string_split(regexp_replace(text, p, chr(1), 'g'), chr(1)) g from d, r),
+e as (select doc_id, rule, rule_ord, unnest(range(1, len(m) + 1)) k, unnest(m) v, unnest(g[1:len(m)]) gap from m),
+o as (select doc_id, rule, rule_ord, cast(sum(length(gap) + length(v)) over (partition by doc_id, rule order by k) as bigint) stop, length(v) n from e),
+a as (select doc_id, list(struct_pack(b := stop - n, e := stop, o := rule_ord) order by stop - n, -stop, rule_ord) l from o group by doc_id),
+z as (select doc_id, list_reduce(list_prepend({{'b': 0::bigint, 'e': -1::bigint, 'o': -1, 'ks': []::struct(b bigint, e bigint, o int)[]}}, list_transform(l, lambda x: {{'b': x.b, 'e': x.e, 'o': x.o, 'ks': []::struct(b bigint, e bigint, o int)[]}})), lambda acc, x: case when x.b < acc.e then acc else {{'b': x.b, 'e': x.e, 'o': x.o, 'ks': list_append(acc.ks, struct_pack(b := x.b, e := x.e, o := x.o))}} end).ks ks from a),
+sp as (select doc_id, u.b as "start", u.e stop, u.o rule_ord from (select doc_id, unnest(ks) u from z)),
+cm as (select doc_id, len(regexp_extract_all(text, ',')) n, rate_words, case when rate_words > 0 then len(regexp_extract_all(text, ',')) / rate_words * 1000 else 0 end val from st where rate_words >= 250 and gate_sentences >= 5 and fn_words / rate_words >= 0.12),
+dl as (select doc_id, n, rate_words, val, case when val >= 10 then cast(cast(floor(val + 0.5) as bigint) as varchar) else cast(floor(val * 100 + 0.5) / 100 as varchar) end shown from cm where val >= 60),
+fd as (select doc_id, rule_ord, rule, "start", stop, false doc_level, 0 n_occ, null measure from sp join r using (rule_ord) union all
+  select doc_id, 4, 'commas', strpos(text, ',') - 1, strpos(text, ','), true, n, n || ' in ' || rate_words || ' words, ' || shown || ' per 1000 >= 60' from dl join d using (doc_id))"""
+
+
+def found(spark, sf_dir):
+    return findings.assemble(docs(spark, sf_dir), RULES)
+
+
+@query("findings", f"with {FOUND_SQL} select doc_id, rule, {line_sql('\"start\"')} line, {col_sql('\"start\"')} col, {line_sql('stop')} end_line, {col_sql('stop')} end_col, substr(text, \"start\" + 1, stop - \"start\") as \"match\", {sentence_sql('\"start\"', 'stop')} sentence, doc_level, cast(n_occ as int) n_occurrences, measure from fd join d using (doc_id)")
+def q_findings(spark, sf_dir):
+    """Every finding of five rules with its place, sentence and measure; overlapping spans collapsed."""
+    return found(spark, sf_dir).select("doc_id", "rule", "line", "col", "end_line", "end_col", "match", "sentence", "doc_level", F.size("occurrences").alias("n_occurrences"), "measure")
+
+
+@query("findings_by_rule", f"with {FOUND_SQL} select rule, count(*) n, count(distinct doc_id) files from fd group by rule")
+def q_by_rule(spark, sf_dir):
+    """Findings by rule, and the files that hold them."""
+    return found(spark, sf_dir).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("files"))
+
+
+@query("finding_navigation", f"""with {FOUND_SQL}, nv as (select doc_id, "start", rule_ord, lag(doc_id) over w pd, lag("start") over w ps, lead(doc_id) over w nd, lead("start") over w ns from fd window w as (order by doc_id, "start", rule_ord)) select doc_id, cast("start" as int) as "start", cast(rule_ord as int) rule_ord, pd before_doc, cast(ps as int) before_start, nd after_doc, cast(ns as int) after_start from nv""")
+def q_navigation(spark, sf_dir):
+    """Every finding with the places of the ones before and after it, across documents."""
+    nav = findings.navigation(found(spark, sf_dir), lambda df: saved(df, "navigation"))
+    return nav.select("doc_id", "start", "rule_ord", F.col("before.doc_id").alias("before_doc"), F.col("before.start").alias("before_start"), F.col("after.doc_id").alias("after_doc"), F.col("after.start").alias("after_start"))
+
+
+@query("rate_blocks", f"with {FOUND_SQL} select doc_id, shown as \"value\", 'per 1000 words' unit, '≥ 60' bound, n || case when n = 1 then ' occurrence' else ' occurrences' end || ' in ' || rate_words || ' words' sub from dl")
+def q_rate_blocks(spark, sf_dir):
+    """A10 V8: the rate of each document-level finding in the parts in which it is shown."""
+    return found(spark, sf_dir).where("doc_level").select("doc_id", findings.rate_block(F.col("rate")).alias("b")).select("doc_id", "b.*")
+
+
+@query("findings_lines", f"with {FOUND_SQL}, x as (select doc_id, rule, {line_sql('\"start\"')} line, {col_sql('\"start\"')} col, trim(regexp_replace(substr(text, \"start\" + 1, stop - \"start\"), '\\s+', ' ', 'g')) ma, case when rule = 'shout' then 'Say it once.' else '' end su from fd join d using (doc_id)) select doc_id, concat_ws(chr(9), doc_id, line, col, rule, ma) tsv, '::warning file=' || doc_id || ',line=' || line || ',col=' || col || ',title=' || rule || '::' || regexp_replace(trim(ma || ' · ' || su), '[\\r\\n%]', ' ', 'g') annotation from x")
+def q_output_lines(spark, sf_dir):
+    """K3 K4 K7: findings as tab-separated lines and as CI annotations."""
+    rows = found(spark, sf_dir).withColumn("file", F.col("doc_id").cast("string"))
+    return rows.select("doc_id", findings_tsv().alias("tsv"), findings_annotations().alias("annotation"))
+
+
+@query("json_report", f"with {FOUND_SQL}, c as (select doc_id, count(*) k from fd group by 1) select cast(st.doc_id as varchar) as file, '{{\"file\":\"' || st.doc_id || '\",\"words\":' || ws_words || '}}' head, cast(coalesce(k, 0) as int) n_findings from st left join c using (doc_id)")
+def q_json(spark, sf_dir):
+    """K2: the JSON report, a line a file, read back as JSON."""
+    rows = found(spark, sf_dir).withColumn("file", F.col("doc_id").cast("string"))
+    stats = doc_stats(docs(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("file"), "ws_words")
+    lines = findings.json_report(rows, stats, RULES).where("file is not null")
+    head = F.to_json(F.from_json("line", "file string, words long"))
+    return lines.select("file", head.alias("head"), F.size(F.from_json("line", "findings array<struct<rule string, line int>>")["findings"]).alias("n_findings"))

@@ -8,9 +8,11 @@ import uuid
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import one_line
+
 # File extensions of prose.
 EXTENSIONS = "md markdown mdown mdx html htm xhtml txt text rst".split()
 KIND = {"html": "html", "htm": "html", "xhtml": "html", "txt": "txt", "text": "txt", "rst": "txt"}
@@ -106,15 +108,15 @@ def write_days(df: DataFrame, path: str, force: bool = False) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def findings_tsv(found: DataFrame) -> DataFrame:
-    """K3: file, line, col, rule, match (200 characters) as one tab-separated column."""
-    return found.select(F.concat_ws("\t", "file", F.col("line").cast("string"), F.col("col").cast("string"), "rule", F.left(F.regexp_replace("match", r"\s+", " "), F.lit(200))).alias("value"))
+def findings_tsv() -> Column:
+    """K3: file, line, col, rule and match (200 characters at most), separated by tabs."""
+    return F.concat_ws("\t", "file", F.col("line").cast("string"), F.col("col").cast("string"), "rule", one_line(F.col("match"), 200))
 
 
-def findings_annotations(found: DataFrame) -> DataFrame:
-    """K4: CI annotation lines."""
-    clean = F.regexp_replace(F.concat_ws(" ", "rule", "match"), r"[\r\n%]", " ")
-    return found.select(F.format_string("::warning file=%s,line=%d,col=%d::%s", F.col("file"), F.col("line"), F.col("col"), clean).alias("value"))
+def findings_annotations() -> Column:
+    """K4: CI annotation lines with the match and, where there is one, what to do."""
+    text = F.regexp_replace(one_line(F.concat(F.col("match"), F.lit(" · "), F.coalesce("suggest", F.lit(""))), 200), r"[\r\n%]", " ")
+    return F.concat(F.format_string("::warning file=%s,line=%d,col=%d,title=%s::", "file", "line", "col", "rule"), text)
 
 
 def share_link(text: str, base: str) -> str:

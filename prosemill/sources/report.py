@@ -6,19 +6,15 @@ reading it in order of (file, place) gives the page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import one_line
+
 #: Occurrences shown below a document-level finding.
 SHOWN = 5
 
 
-def one_line(s: Column, n: int = 100) -> Column:
-    """K7: white space made single, at most n characters, an ellipsis for the rest."""
-    flat = F.trim(F.regexp_replace(s, r"\s+", " "))
-    return F.when(F.length(flat) > n, F.concat(F.left(flat, F.lit(n - 1)), F.lit("…"))).otherwise(flat)
-
-
 def report_lines(found: DataFrame, stats: DataFrame, context: bool = False, suggest: bool = False) -> DataFrame:
     """K1: (file, place, line) of the files with findings.
 
