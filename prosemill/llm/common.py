@@ -13,8 +13,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Batches of text between the JVM and Python workers; larger ones are held several times over outside the heap.
+BATCHES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches from its default; one that was set stays."""
+    name, default, ours = BATCHES
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, ours)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh folder below spark.checkpoint.dir; a local one only where that setting is unset (tests)."""
+    modest_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="prosemill-")
@@ -31,6 +43,7 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
