@@ -12,10 +12,11 @@ Offsets are code points, ends exclusive. Look-behinds and possessive repeats
 keep every pattern linear in long runs without changing its matches; \\G lets a
 match start where the last one ended.
 
-Defined results: null and empty texts have no spans; a term needs
-three different texts with the entity, so copies alone prove nothing; equal spans of one kind cannot occur; repeated rows are judged one
-by one, and their term spans follow the text; extra columns are ignored; an
-empty table gives no rows.
+Defined results: null and empty texts have no spans; a term needs three different
+texts with the entity, so copies alone prove nothing; equal spans of one kind
+cannot occur; repeated rows, repeated ids and null ids are rows of their own,
+whose term spans follow their texts; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def _cleared(spans: Column) -> Column:
 
 
 def disclosing_terms(spanned: DataFrame, least: int = 3, share: float = 0.5, bits: float = 6.0, max_broadcast: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(terms above the thresholds: term, entity, bits; documents that hold candidate terms: doc_id, term).
+    """(terms above the thresholds: term, entity, bits; texts that hold candidate terms: t, term, copies).
 
     Candidates are judged first by the documents with an entity that can have terms. A term's documents there are
     no more than its documents in all, so that what fails there fails, and the rest is few enough to count in all.
@@ -124,7 +125,7 @@ def disclosing_terms(spanned: DataFrame, least: int = 3, share: float = 0.5, bit
     total = spanned.count()
     enough = lambda both, term: (F.col(both) >= share * F.col(term)) & (F.log2(F.col(both) * F.lit(float(total)) / (F.col(term) * F.col("n_entity"))) >= bits)
     # each distinct text once, with its number of copies
-    texts = spanned.where(any_span).select(F.xxhash64("text").alias("t"), found.alias("entities"), words.alias("terms"))
+    texts = spanned.where(any_span).select("t", found.alias("entities"), words.alias("terms"))
     texts = saved(texts.groupBy("t").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "entity-texts")
     each = texts.select("t", "copies", F.explode("entities").alias("entity"))
     # n_both is at most n_term and n_entity, so neither may be too frequent for the bits
@@ -139,8 +140,9 @@ def disclosing_terms(spanned: DataFrame, least: int = 3, share: float = 0.5, bit
     candidates = pairs.select("term").distinct()
     n_terms = candidates.count()
     small = F.broadcast(candidates) if n_terms <= max_broadcast else candidates
-    held = saved(spanned.select("doc_id", F.explode(words).alias("term")).join(small, "term"), "term-documents")
-    counts = held.groupBy("term").agg(F.count("*").alias("n_term"))
+    held = spanned.select("t", F.explode(words).alias("term")).join(small, "term")
+    held = saved(held.groupBy("t", "term").agg(F.count("*").alias("copies")), "term-texts")
+    counts = held.groupBy("term").agg(F.sum("copies").alias("n_term"))
     terms = pairs.join(counts, "term").where(enough("n_both", "n_term"))
     bits_of = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     return saved(terms.select("term", "entity", bits_of.alias("bits")), "disclosing-terms"), held
@@ -149,17 +151,18 @@ def disclosing_terms(spanned: DataFrame, least: int = 3, share: float = 0.5, bit
 def find_private(docs: DataFrame, max_broadcast: int = 50_000, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """doc_id, text and span columns s_email, s_ip, s_card, s_phone, s_term."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spanned = base_spans(slim)
+    # a text's terms are its own, whatever the id: texts are known by their hash
+    spanned = base_spans(slim.withColumn("t", F.xxhash64("text")))
     terms, held = disclosing_terms(spanned, max_broadcast=max_broadcast, **thresholds)
     listed = terms.select("term").distinct()
-    of = saved(held.join(listed, "term").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms")), "documents-with-terms")
+    of = saved(held.join(listed, "term").groupBy("t").agg(F.array_sort(F.collect_set("term")).alias("terms")), "texts-with-terms")
     n = of.count()
     if not n:
-        return spanned.withColumn("s_term", F.expr(f"cast(array() as {SPAN})"))
-    joined = spanned.join(F.broadcast(of) if n <= max_broadcast else of, "doc_id", "left")
+        return spanned.drop("t").withColumn("s_term", F.expr(f"cast(array() as {SPAN})"))
+    joined = spanned.join(F.broadcast(of) if n <= max_broadcast else of, "t", "left")
     # terms hold letters only, so they need no quoting; the longest alternative comes first
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    return joined.withColumn("s_term", F.coalesce(F.when(F.col("terms").isNotNull(), located("text", pattern)), F.expr(f"cast(array() as {SPAN})"))).drop("terms")
+    return joined.withColumn("s_term", F.coalesce(F.when(F.col("terms").isNotNull(), located("text", pattern)), F.expr(f"cast(array() as {SPAN})"))).drop("terms", "t")
 
 
 def span_list(kinds: list[str]) -> Column:
