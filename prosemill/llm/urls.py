@@ -6,7 +6,7 @@ become intervals [listed_on, next entry's date). Every capture looks up the
 suffixes of its host among the intervals that hold on its fetch date; the
 longest active key decides.
 
-Defined results: one row per distinct (page_id, url, fetched_on); a null or
+Defined results: one row a capture, repeated ones included; a null or
 unusual URL has no host and is kept; a null fetch date meets no interval; of
 several entries for a key on a date, "block" wins; an empty list keeps all; an
 empty table gives no rows; extra columns are ignored.
@@ -29,7 +29,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
     """page_id, url, fetched_on, host, matched_key, listed_on, kept."""
     host = F.nullif(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
-    rows = captures.select("page_id", "url", "fetched_on").distinct().withColumn("host", host)
+    # repeated captures are judged once and given back as often as they came
+    rows = captures.groupBy("page_id", "url", "fetched_on").agg(F.count("*").alias("copies")).withColumn("host", host)
     parts = F.split("host", r"\.")
     keys = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
     wanted = rows.where("host is not null").select("page_id", "url", "fetched_on", F.explode(keys).alias("key"))
@@ -39,7 +40,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, max_broadcast_rows: int
     active = wanted.join(spans, "key").where("fetched_on >= valid_from and (valid_to is null or fetched_on < valid_to)")
     best = active.groupBy("page_id", "url", "fetched_on").agg(F.max(F.struct(F.length("key").alias("n"), "key", F.col("valid_from").alias("listed_on"), "action")).alias("m"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("page_id", "url", "fetched_on")]
-    return rows.alias("r").join(best.alias("b"), same, "left").select("r.page_id", "r.url", "r.fetched_on", "r.host", F.col("b.m.key").alias("matched_key"), F.col("b.m.listed_on").alias("listed_on"), F.coalesce(F.col("b.m.action") != "block", F.lit(True)).alias("kept"))
+    judged = rows.alias("r").join(best.alias("b"), same, "left").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    return judged.select("r.page_id", "r.url", "r.fetched_on", "r.host", F.col("b.m.key").alias("matched_key"), F.col("b.m.listed_on").alias("listed_on"), F.coalesce(F.col("b.m.action") != "block", F.lit(True)).alias("kept"))
 
 
 def dated(pages: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def demo_list(pages: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-with cap as (select distinct page_id, url, date '2024-01-01' + cast(page_id % 366 as int) fetched_on from pages),
+with cap as (select page_id, url, date '2024-01-01' + cast(page_id % 366 as int) fetched_on from pages),
 r as (select *, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') host from cap),
 h as (select key, instr('0123456789abcdef', substr(md5(key), 1, 1)) - 1 d1, instr('0123456789abcdef', substr(md5(key), 2, 1)) - 1 d2, instr('0123456789abcdef', substr(md5(key), 3, 1)) - 1 d3 from (select distinct host as key from r where host is not null)),
 e as (select key, date '2024-01-01' + cast(d2 * 10 as int) listed_on, 'block' as "action" from h where d1 < 4
