@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import Hasher, held, saved, text_blocks
 
-GRAM, HOT, BLOCK = 24, 4000, 4096
+GRAM, HOT, BLOCK = 24, 50_000, 4096
 PLACE = "doc_id long, mark long"
 
 
@@ -233,8 +233,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     windows = pieces.where("key is not null").select("hash", "seg", "n", "k", "key")
     often = windows.groupBy("key").agg(F.sum("n").alias("c")).where("c > 1").select("key")
     hot = windows.join(often, "key").select("hash", "seg", F.array("k", "k").alias("runs"))
-    flags = saved(cold.unionByName(hot), "repeated-windows")
-    spans = occ.join(flags, ["hash", "seg"]).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "runs")).alias("spans"))
+    # rows that repeat both id and text name a segment once each: of equal flags and spans one is enough
+    flags = saved(cold.unionByName(hot).distinct(), "repeated-windows")
+    spans = occ.join(flags, ["hash", "seg"]).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "runs")).alias("spans"))
     last = text.alias("t").join(spans.alias("p"), same("t", "p"), "left").select("t.doc_id", "t.text", "p.spans")
 
     def finish(batches):

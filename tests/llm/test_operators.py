@@ -269,7 +269,7 @@ def test_urls(spark):
     caps = spark.createDataFrame([(1, "http://a.b.c/x", day("2024-02-01")), (1, "http://a.b.c/x", day("2024-02-01")), (2, "https://A.b.c:80", day("2024-04-01")), (3, None, day("2024-02-01")), (4, "http://b.c", None), (5, "nonsense", day("2024-02-01")), (6, "http://xb.c/", day("2024-02-01"))], "page_id long, url string, fetched_on date")
     entries = spark.createDataFrame([("b.c", day("2024-01-01"), "block"), ("b.c", day("2024-03-01"), "unlist"), ("a.b.c", day("2024-03-15"), "block"), ("b.c", day("2024-01-01"), "unlist")], "key string, listed_on date, action string")
     got = sorted((r.page_id, r.matched_key, r.kept) for r in urls.filter_urls(caps, entries).collect())
-    assert got == [(1, "b.c", False), (2, "a.b.c", False), (3, None, True), (4, None, True), (5, None, True), (6, None, True)]
+    assert got == [(1, "b.c", False), (1, "b.c", False), (2, "a.b.c", False), (3, None, True), (4, None, True), (5, None, True), (6, None, True)]
     assert urls.filter_urls(caps.limit(0), entries).count() == 0
     assert all(r.kept for r in urls.filter_urls(caps, entries.limit(0)).collect())
 
@@ -350,6 +350,13 @@ def test_suffix_dedup(docs, rows, empty, hot, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    text = "".join(random.Random(8).choices("abcd", k=500))
+    d = spark.createDataFrame([(1, text)] * 60 + [(None, text)] * 3 + [(2, None)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(d).collect())
+    assert got == {(1, 500, 500, 1): 60, (None, 500, 500, 1): 3, (2, 0, 0, 0): 1}
+
+
 def test_shares_fill_siblings_first():
     supply = {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 1000}
     assert mixing.budgets(supply, {}, 100, 1) == {("a", "x"): 10, ("a", "y"): 40, ("b", "x"): 50}
@@ -412,6 +419,13 @@ def test_private_terms_of_copied_documents(spark):
     assert set(got) == {i for i, _ in rows} and all(got.values())
 
 
+def test_private_terms_of_null_and_repeated_ids(spark):
+    rows = [(None if i < 3 else 7, f"word{chr(97 + i) * 4} Zanzibar me@here.org other{chr(97 + i) * 4}") for i in range(5)] + [(7, "nothing")]
+    found = privacy.find_private(spark.createDataFrame(rows + other_documents(400), "doc_id long, text string"))
+    got = sorted(((r.doc_id or 0), len(r.s_term)) for r in found.where("doc_id is null or doc_id < 10000").collect())
+    assert got == [(0, 1), (0, 1), (0, 1), (7, 0), (7, 1), (7, 1)]
+
+
 def test_private_terms_far_from_the_entity(spark):
     fill = "".join(" " + "x" * (1 + k % 9) for k in range(60))
     rows = [(i, f"Zanzibar and Ned{fill} {c * 4} me@here.org") for i, c in enumerate("abcde")]
