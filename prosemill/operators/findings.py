@@ -24,7 +24,7 @@ def _number(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
-def _spans(rule: dict) -> Column:
+def spans_of(rule: dict) -> Column:
     """array<struct<start, stop, n>> of a column rule in the column text; n is null where a match counts once."""
     m, text = rule["match"], F.col("text")
     if m["kind"] == "rhythm":
@@ -79,7 +79,7 @@ def assemble(docs: DataFrame, rule_list: list[dict]) -> DataFrame:
     def spans() -> Column:
         out = F.expr(f"cast(array() as array<{SPAN}>)")
         for k, r in enumerate(rule_list):
-            mine = F.array_sort(F.transform(F.filter("islands", lambda x, k=k: x["k"] == k), lambda x: x["o"])) if k in runs_of else _spans(r)
+            mine = F.array_sort(F.transform(F.filter("islands", lambda x, k=k: x["k"] == k), lambda x: x["o"])) if k in runs_of else spans_of(r)
             out = F.when(F.col("v.k") == k, mine).otherwise(out)
         return out
 

@@ -60,23 +60,6 @@ def explain(sources: list[dict], rule_id: str) -> dict:
 # ------------------------------------------------------------------ building
 
 
-def flexible_spaces(pattern: str) -> str:
-    r"""Literal spaces outside character classes become \s+."""
-    pieces = re.split(r"(\\.|\[(?:\\.|[^\]\\])*\])", pattern, flags=re.S)
-    return "".join(p if k % 2 else p.replace(" ", r"\s+") for k, p in enumerate(pieces))
-
-
-def build_rule(rule: dict) -> dict:
-    """A rule as written, with flexible spaces and the gates that a rate rule needs (not those with an upper bound)."""
-    match = dict(rule["match"])
-    if "pattern" in match:
-        match["pattern"] = flexible_spaces(match["pattern"])
-    notable = dict(rule["notable"])
-    if (notable.get("per") or notable.get("power")) and "<=" not in notable and "needs" not in notable:
-        notable["needs"] = {"words": 80, "sentences": 3, "matches": 2}
-    return rule | {"match": match, "notable": notable}
-
-
 def word_list_rule(rule: dict, words: list[str], version: str) -> tuple[dict, str]:
     r"""The rule over \b(?:words)\b, and the version with its last part raised."""
     pattern = r"\b(?:" + "|".join(re.sub(r"[.*+?^${}()|\[\]\\]", r"\\\g<0>", w) for w in words) + r")\b"

@@ -1,4 +1,4 @@
-"""Rules as data: validation R1, resolution R2-R8, content hashes R9, and the markup self-test F1-F3.
+"""Rules as data: validation R1, resolution R2-R8, content hashes R9 and conformance.
 
 A set is {"name", "version", "aliases", "role", "rules": [...]}; a rule is
 {"id", "match": {"kind", "pattern", ...}, "notable": {bounds and normalisation},
@@ -58,17 +58,19 @@ def widened(pattern: str) -> str:
     return "".join(r"\s+" if p == " " else p for p in parts)
 
 
+def build_rule(rule: dict) -> dict:
+    """A rule as written by hand, with blanks widened and rate rules without gates of their own gated, "<=" rules apart."""
+    m, n = dict(rule["match"]), dict(rule["notable"])
+    if "pattern" in m:
+        m["pattern"] = widened(m["pattern"])
+    if (n.get("per") or n.get("power")) and "<=" not in n and "needs" not in n:
+        n["needs"] = dict(SHORT_DOCUMENTS)
+    return rule | {"match": m, "notable": n}
+
+
 def prepared(rule_set: dict) -> dict:
-    """A set as written by hand, with blanks widened and rate rules gated, "<=" rules apart."""
-    out = []
-    for r in rule_set["rules"]:
-        m, n = dict(r["match"]), dict(r["notable"])
-        if "pattern" in m:
-            m["pattern"] = widened(m["pattern"])
-        if "per" in n and "<=" not in n:
-            n["needs"] = SHORT_DOCUMENTS
-        out.append(r | {"match": m, "notable": n})
-    return rule_set | {"rules": out}
+    """A set as written by hand, built."""
+    return rule_set | {"rules": [build_rule(r) for r in rule_set["rules"]]}
 
 
 def validate_set(rule_set: dict | list) -> dict:
@@ -220,29 +222,6 @@ def evaluate(docs: DataFrame, rules: list[dict]) -> DataFrame:
     return judged(docs, rules).select("doc_id", "rule", "value", "bound", F.col("bound").isNotNull().alias("fires"))
 
 
-def target_word(text: str, start: int, stop: int) -> tuple[int, int] | None:
-    """the longest word of the span, leftmost among equals."""
-    found = [(m.start() + start, m.end() + start) for m in re.finditer(r"[A-Za-z]{2,}", text[start:stop])]
-    return max(found, key=lambda w: (w[1] - w[0], -w[0])) if found else None
-
-
-def variants(text: str, start: int, stop: int) -> list[tuple[str, str, bool, str]]:
-    """(name, format, lossless, source): markup around a hit that must not hide it (code-phrase may)."""
-    a, hit, z = text[:start], text[start:stop], text[stop:]
-    out = [("plain", "md", True, text), ("bold-span", "md", True, f"{a}**{hit}**{z}"), ("italic-span", "md", True, f"{a}*{hit}*{z}"), ("code-phrase", "md", False, f"{a}`{hit}`{z}"), ("blockquote", "md", True, f"> {text}"), ("list-item", "md", True, f"- {text}")]
-    out += [("plain", "html", True, f"<p>{text}</p>"), ("bold-span", "html", True, f"<p>{a}<b>{hit}</b>{z}</p>"), ("em-span", "html", True, f"<p>{a}<em>{hit}</em>{z}</p>"), ("nested-blocks", "html", True, f"<div><section><p>{text}</p></section></div>"), ("entities", "html", True, "<p>" + text.replace("'", "&#39;").replace('"', "&quot;") + "</p>")]
-    word = target_word(text, start, stop)
-    if word:
-        b, w, y = text[: word[0]], text[word[0] : word[1]], text[word[1] :]
-        out += [("bold-word", "md", True, f"{b}**{w}**{y}"), ("italic-word", "md", True, f"{b}*{w}*{y}"), ("bold-inside-word", "md", True, f"{b}{w[:1]}**{w[1:]}**{y}"), ("link-word", "md", True, f"{b}[{w}](u){y}"), ("footnote-after-word", "md", True, f"{b}{w}[^1]{y}"), ("code-word", "md", True, f"{b}`{w}`{y}")]
-        out += [("em-word", "html", True, f"<p>{b}<em>{w}</em>{y}</p>"), ("nested-em-strong", "html", True, f"<p>{b}<em><strong>{w}</strong></em>{y}</p>"), ("tag-inside-word", "html", True, f"<p>{b}{w[:1]}<i>{w[1:]}</i>{y}</p>"), ("link-word", "html", True, f'<p>{b}<a href="u">{w}</a>{y}</p>'), ("comment-before-word", "html", True, f"<p>{b}<!-- x -->{w}{y}</p>")]
-    gap = text.find(" ", start, stop)
-    if gap > 0:
-        b, y = text[:gap], text[gap + 1 :]
-        out += [("soft-wrap", "md", True, f"{b}\n{y}"), ("double-space", "md", True, f"{b}  {y}"), ("nbsp", "html", True, f"<p>{b}&nbsp;{y}</p>"), ("source-newline", "html", True, f"<p>{b}\n{y}</p>"), ("span-per-word", "html", True, "<p>" + " ".join(f"<span>{w}</span>" for w in text.split(" ")) + "</p>")]
-    return out
-
-
 def conformance(spark, rules: list[dict]) -> DataFrame:
     """(rule, label, n, passed): the rules' own examples, evaluated without their length gates."""
     cases = [(k, r["id"], label, t) for k, (r, label, t) in enumerate((r, label, t) for r in rules for label in ("hit", "miss") for t in r.get("tests", {}).get(label, []))]

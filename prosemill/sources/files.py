@@ -37,7 +37,7 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def _with_kind(rows: DataFrame) -> DataFrame:
+def kind_of(rows: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("name", r"\.([^./]+)\z", 1))
     kinds = F.create_map(*(F.lit(x) for k, v in KIND.items() for x in (k, v)))
     return rows.withColumn("kind", F.coalesce(F.element_at(kinds, ext), F.lit("md")))
@@ -49,7 +49,7 @@ def read_folder(spark: SparkSession, path: str, exclude: list[str] | None = None
     files = files.where(~F.col("name").rlike(r"/\.[^/]|/node_modules/"))
     for x in exclude or []:
         files = files.where(~F.col("name").contains(x))
-    return _with_kind(files)
+    return kind_of(files)
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
@@ -66,12 +66,18 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
                             rows.append((f"{name}!{e.filename}", z.read(e).decode("utf-8", "replace").removeprefix("﻿")))
                 yield pd.DataFrame(rows, columns=["name", "src"])
 
-    return _with_kind(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "name string, src string"))
+    return kind_of(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "name string, src string"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with a fixed schema; truncated lines are dropped."""
-    return spark.read.schema("ts string, repo string, author string, body string").option("mode", "DROPMALFORMED").json(path)
+def read_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """JSON lines with a fixed schema; truncated lines are dropped. None where the day is absent or has no record."""
+    try:
+        rows = spark.read.schema("ts string, repo string, author string, body string").option("mode", "DROPMALFORMED").json(path)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" in str(missing):
+            return None
+        raise
+    return None if rows.isEmpty() else rows
 
 
 def read_pairs(spark: SparkSession, path: str, least_words: int = 250) -> DataFrame:
@@ -117,20 +123,3 @@ def findings_annotations() -> Column:
     """K4: CI annotation lines with the match and, where there is one, what to do."""
     text = F.regexp_replace(one_line(F.concat(F.col("match"), F.lit(" · "), F.coalesce("suggest", F.lit(""))), 200), r"[\r\n%]", " ")
     return F.concat(F.format_string("::warning file=%s,line=%d,col=%d,title=%s::", "file", "line", "col", "rule"), text)
-
-
-def share_link(text: str, base: str) -> str:
-    """K5: the text, gzipped and base64url-coded, in a link's fragment."""
-    import base64
-    import gzip
-
-    return f"{base}#gz={base64.urlsafe_b64encode(gzip.compress(text.encode(), mtime=0)).decode().rstrip('=')}"
-
-
-def read_link(link: str) -> str:
-    """The text of such a link."""
-    import base64
-    import gzip
-
-    data = link.partition("#gz=")[2]
-    return gzip.decompress(base64.urlsafe_b64decode(data + "=" * (-len(data) % 4))).decode()

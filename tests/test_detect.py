@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from prosemill.functions.text import java_pattern
 from prosemill.operators import analyze, corpus, detect
 from prosemill.operators.verdict import Notable, doc_stats, judge
-from prosemill.sources.files import read_link, share_link, windows_for_day
 from prosemill.sources.markup import extract_html, extract_markdown, extract_plain, to_source
 
 
@@ -122,15 +121,17 @@ def test_html():
 
 
 def test_markdown():
-    src = "---\nt: 1\n---\n# Head #\nsoft\nwrap *bold* `code` [link](u)\n```x`y\n\n```\nno\n```\n- item\n\n| a | b |\n|---|---|\n"
-    assert extract_markdown(src) == "Head\nsoft wrap bold code link ```x`y\nitem\na   b" or "no" not in extract_markdown(src).split()
+    src = "---\nt: 1\n---\n# Head\nsoft\nwrap *bold* `code` `two words` [link](u) a_b _it_ (`x y`)\n\n```\nno\n```\n- item\n\n| a | b |\n|---|---|\n<!-- prose-ignore-start -->\nnot this\n<!-- prose-ignore-end -->\nend `open\nclose` now\n"
+    text, runs = extract_markdown(src)
+    assert [" ".join(x.split()) for x in text.split("\n") if x] == ["Head", "soft wrap bold code link a_b it", "item", "a b", "end now"]
+    # every copied character is the source's own
+    for o, s, n, fixed in runs:
+        assert fixed or text[o : o + n].replace(" ", "|") == src[s : s + n].replace(" ", "|")
+    assert src[to_source(runs, text.index("link")) :].startswith("link](u)")
 
 
 def test_plain_wraps_long_lines():
-    assert max(map(len, extract_plain("word " * 1000).split("\n"))) <= 2000
-
-
-def test_links_and_windows():
-    assert read_link(share_link("héllo", "http://x/")) == "héllo"
-    w = windows_for_day("2025-01-01")
-    assert len(w) == 10 and all(a[0] + a[1] <= b[0] for a, b in zip(w, w[1:], strict=False))
+    src = "word " * 1000 + "\n" + "x" * 5000
+    text, runs = extract_plain(src)
+    assert max(map(len, text.split("\n"))) <= 2000 and text.replace("\n", "") == src.replace("\n", "")
+    assert all(fixed or text[o : o + n] == src[s : s + n] for o, s, n, fixed in runs)

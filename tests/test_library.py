@@ -14,10 +14,10 @@ def rule(i, **kw):
 
 
 def test_building_and_import():
-    assert L.flexible_spaces(r"in order[ x]to\ be [a \] b]") == r"in\s+order[ x]to\ be\s+[a \] b]"
-    built = L.build_rule(rule("a", match={"kind": "regex", "pattern": "a b"}, notable={">=": 1.0, "per": 1000}))
+    assert R.widened(r"in order[ x]to\ be [a \] b]") == r"in\s+order[ x]to\ be\s+[a \] b]"
+    built = R.build_rule(rule("a", match={"kind": "regex", "pattern": "a b"}, notable={">=": 1.0, "per": 1000}))
     assert built["match"]["pattern"] == r"a\s+b" and built["notable"]["needs"] == {"words": 80, "sentences": 3, "matches": 2}
-    assert "needs" not in L.build_rule(rule("a", notable={"<=": 1.0, "per": 1000}))["notable"]
+    assert "needs" not in R.build_rule(rule("a", notable={"<=": 1.0, "per": 1000}))["notable"]
     made, version = L.word_list_rule(rule("a"), ["x", "c++"], "1.0.9")
     assert made["match"]["pattern"] == r"\b(?:x|c\+\+)\b" and version == "1.0.10"
     got, kinds = L.import_rules([rule("a"), rule("b")], {"a": {"default": "off"}}, {"b": "say less"}, {"a": "noisy"})

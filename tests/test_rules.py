@@ -1,6 +1,7 @@
 import pytest
 
 from prosemill.operators import rules as R
+from prosemill.operators import selftest as T
 from prosemill.sources.markup import extract_html, extract_markdown
 from prosemill.streaming.weekly import weekly_counts
 
@@ -36,8 +37,10 @@ def test_conformance_and_kinds(spark):
 def test_markup_does_not_hide_a_hit():
     text = "It is a testament to them."
     start, stop = text.index("testament"), text.index(" them")
-    for name, form, lossless, source in R.variants(text, start, stop):
-        out = extract_html(source)[0] if form == "html" else extract_markdown(source)
+    got = T.variants(text, start, stop)
+    assert len(got) == 27 and [n for n, _, lossless, _ in got if not lossless] == ["md:code-phrase"]
+    for name, form, lossless, source in got:
+        out = (extract_html(source) if form == "html" else extract_markdown(source))[0]
         if lossless:
             assert "testament to" in " ".join(out.split()), (name, form, out)
 
@@ -45,3 +48,13 @@ def test_markup_does_not_hide_a_hit():
 def test_weeks_start_on_mondays(spark):
     d = spark.sql("select timestamp'2024-01-07 23:00:00' ts, 'a' event_type union all select timestamp'2024-01-08 01:00:00', 'a'")
     assert sorted(str(r.week)[:10] for r in weekly_counts(d).collect()) == ["2024-01-01", "2024-01-08"]
+
+
+def test_self_test_tallies(spark):
+    echo = {"id": "e", "match": {"kind": "echo"}, "notable": {">": 0}, "tests": {"hit": ["We saw the old red house. They saw the old red house."], "miss": ["One. Two."]}}
+    brittle = {"id": "b", "match": {"kind": "regex", "pattern": "old house"}, "notable": {">": 0}, "tests": {"hit": ["An old house stands."], "miss": ["The old house."]}}
+    tested = T.self_test(spark, [rule("x"), echo, brittle, {"id": "n", "match": {"kind": "regex", "pattern": "q"}, "notable": {">": 0}}]).cache()
+    got = {r.rule: (r.conform, r.failed, r.fragile) for r in T.tallies(tested).collect()}
+    assert got["x"] == (2, 0, 0) and got["e"][:2] == (2, 0) and got["b"] == (1, 1, 2) and got["n"] == (0, 1, 0)
+    assert {r.variant for r in T.fragile(tested).collect()} == {"md:double-space", "html:nbsp"}
+    assert T.failure_help("fragile: md:soft-wrap") == T.HELP["fragile"]
