@@ -189,14 +189,16 @@ def claims(numbers: DataFrame, documented: dict[str, float], tolerance: float =
     return j.withColumn("ok", F.coalesce(F.abs(F.col("value") - F.col("documented")) <= tolerance, F.lit(False)))
 
 
-#: Language that only permits; a suggestion is to say what to write instead.
-PERMISSION = r"(?i)\b(?:consider|feel free|you (?:may|might|could) want|it is (?:fine|okay|ok) to|optionally)\b"
+# Words that let a finding stand; a suggestion is to say what to write instead.
+PERMISSION = r"(?i)\b(fine in|fine when|nothing (here )?is wrong|no need to|acceptable as|leave (it|them) (alone|as)|is optional|fit judgement, not a defect|if you do not)\b"
 
 
 def governance(rules: DataFrame) -> DataFrame:
-    """rules(rule, suggest, default, note) whose suggestion only permits, or that are off without a reason."""
-    problems = F.array(
-        F.when(F.col("suggest").rlike(PERMISSION), F.lit("suggestion permits")),
-        F.when((F.col("default") == "off") & (F.coalesce(F.trim("note"), F.lit("")) == ""), F.lit("off without a reason")),
-    )
-    return rules.select("rule", F.explode(F.array_compact(problems)).alias("problem"))
+    """(set, rule, problem) of suggestions that let a finding stand and of rules that are off without a reason.
+
+    rules: set, role, rule, suggest, default, off_because. A style set, or one that is off as a whole, gives no reasons.
+    """
+    opted = rules.groupBy("set").agg((F.max(F.coalesce((F.col("role") == "style").cast("int"), F.lit(0))) + F.min((F.coalesce("default", F.lit("on")) == "off").cast("int")) > 0).alias("opt_in"))
+    j = rules.join(F.broadcast(opted), "set")
+    problems = F.array(F.when(F.col("suggest").rlike(PERMISSION), F.lit("suggestion permits")), F.when(~F.col("opt_in") & (F.col("default") == "off") & (F.coalesce(F.trim("off_because"), F.lit("")) == ""), F.lit("off without a reason")))
+    return j.select("set", "rule", F.explode(F.array_compact(problems)).alias("problem"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import corpus_tokens
-from ..operators import corpus
+from ..operators import corpus, publish
 from ..sources.files import day_windows
 from .catalog import BAG_SQL, LIFT_SQL, D, bags, docs, million, query, read
 
@@ -201,3 +201,17 @@ def q_sweep(spark, sf_dir):
     """Fits for each k from 8 to 12, with the two selectors' picks."""
     known, rows, save = _clustered(spark, sf_dir)
     return corpus.judge_fits(corpus.sweep(known, rows, [8, 9, 10, 11, 12], save))
+
+
+@query("weekly_sample", f"with {ARCHIVE_SQL}, dy as (select day, count(distinct doc_id) docs, count(distinct doc_id) filter (signed) signed_docs from ar group by day) select cast(date_trunc('week', day) as date) as \"week\", count(*) as days, cast(sum(docs) as bigint) as docs, cast(sum(signed_docs) as bigint) as signed_docs from dy group by 1")
+def q_weekly_sample(spark, sf_dir):
+    """The sampled days by week."""
+    return publish.weekly_sample(corpus.day_summaries(archive(spark, sf_dir)))
+
+
+@query("page_sections")
+def q_page(spark, sf_dir):
+    """The published sections: sample, weeks, clusters and the words' ranks by build, as JSON lines."""
+    groups = corpus.lift_rank(bags(spark, sf_dir), "lang").where("rank <= 20").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words"))
+    history = snapshots(spark, sf_dir).select(F.col("generated").alias("built"), F.col("word").cast("string").alias("word"), "rank")
+    return publish.page_data(groups, corpus.day_summaries(archive(spark, sf_dir)), history)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import RATE_WORD
-from ..operators import analyze, detect, findings, rules
+from ..operators import analyze, detect, evaluate, findings, publish, rules, selftest
 from ..operators.verdict import doc_stats
-from ..sources.files import findings_annotations, findings_tsv, saved
-from .catalog import STATS, D, docs, query
+from ..sources.files import findings_annotations, findings_tsv, saved, spread
+from ..sources.markup import extracted
+from . import rulebook
+from .catalog import STATS, D, docs, query, read
 
 # Own rules without look-around, so that both engines run them as they stand: four of spans and one of the document.
 OWN = {
@@ -114,3 +116,45 @@ def q_json(spark, sf_dir):
     lines = findings.json_report(rows, stats, RULES).where("file is not null")
     head = F.to_json(F.from_json("line", "file string, words long"))
     return lines.select("file", head.alias("head"), F.size(F.from_json("line", "findings array<struct<rule string, line int>>")["findings"]).alias("n_findings"))
+
+
+# ------------------------------------------------------------------ markup and the bundled rules
+
+
+def pages(spark, sf_dir):
+    """Every page as a source, with its text and runs."""
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("src"), F.lit("html").alias("kind"))
+    return extracted(spread(rows))
+
+
+@query("page_lineage")
+def q_lineage(spark, sf_dir):
+    """Every page's text, its runs, and how many runs do not hold the source's own characters (none should)."""
+    wrong = F.filter("runs", lambda r: ~r["fixed"] & (F.substring(F.col("text"), r["o"] + 1, r["n"]) != F.substring(F.col("src"), r["s"] + 1, r["n"])))
+    return pages(spark, sf_dir).select("doc_id", "text", F.size("runs").alias("n_runs"), F.size(wrong).alias("n_wrong"))
+
+
+@query("page_findings")
+def q_page_findings(spark, sf_dir):
+    """Findings in pages, at their places in the HTML."""
+    return findings.assemble(pages(spark, sf_dir), RULES).select("doc_id", "rule", "line", "col", "end_line", "end_col", "match", "sentence", "doc_level", F.size("occurrences").alias("n_occurrences"))
+
+
+@query("rule_self_test")
+def q_self_test(spark, sf_dir):
+    """The bundled rules on their examples, plain and with markup around the hit."""
+    tried = [r for r in rules.resolve(rulebook.SETS, everything=True) if "tests" in r]
+    return selftest.tallies(selftest.self_test(spark, tried))
+
+
+@query("rule_governance")
+def q_governance(spark, sf_dir):
+    """Bundled rules whose suggestion lets a finding stand, or that are off without a reason."""
+    rows = [(s["name"], s.get("role"), r["id"], r.get("suggest"), r.get("default"), r.get("offBecause")) for s in rulebook.SETS for r in s["rules"]]
+    return evaluate.governance(spark.createDataFrame(rows, "`set` string, role string, rule string, suggest string, default string, off_because string"))
+
+
+@query("rule_catalogue")
+def q_catalogue(spark, sf_dir):
+    """The catalogue of the bundled rules, a line a row."""
+    return spark.createDataFrame(list(enumerate(publish.catalogue(rulebook.SETS).split("\n"))), "n int, line string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.rules import prepared
 from . import advisory
+from .examples import with_examples
 
 # Ids, patterns and parameters of the rules, in their sets' order.
 # ruff: noqa: E501, RUF001
@@ -62,9 +63,12 @@ HOUSE_STYLE = [
 ]
 
 SETS = [
-    {"name": "wikipedia-ai", "version": "1.0.0", "rules": WIKIPEDIA},
-    {"name": "cliches", "version": "1.0.0", "rules": CLICHES},
-    {"name": "measured-backwards", "version": "0.1.0", "aliases": ["unreproduced"], "rules": MEASURED_BACKWARDS},
-    {"name": "house-style", "version": "0.0.0", "rules": HOUSE_STYLE},
-    prepared(advisory.SET),
+    with_examples(rule_set)
+    for rule_set in (
+        {"name": "wikipedia-ai", "version": "1.0.0", "rules": WIKIPEDIA},
+        {"name": "cliches", "version": "1.0.0", "rules": CLICHES},
+        {"name": "measured-backwards", "version": "0.1.0", "aliases": ["unreproduced"], "rules": MEASURED_BACKWARDS},
+        {"name": "house-style", "version": "0.0.0", "rules": HOUSE_STYLE},
+        prepared(advisory.SET),
+    )
 ]
