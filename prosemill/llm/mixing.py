@@ -12,7 +12,8 @@ ranges is gathered in one task.
 Defined results: null text has no tokens; null tree values are leaves of their
 own (""); documents with equal keys (repeated ids) are taken together; a leaf
 without tokens takes nothing; weights not given are 1; other columns stay as
-they are; an empty table gives no rows.
+they are, whatever their names (where one is called as a column added here, the
+added one has a _ behind it); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -116,9 +117,12 @@ def mix(docs: DataFrame, levels: dict, weights: dict[tuple, float], share: float
     levels: name to SQL expression, from the root down; share: the token budget as a share of the supply.
     """
     spark = docs.sparkSession
-    key = lambda e: F.xxhash64(F.col(id_col), e, F.lit(seed))
-    marked = docs.withColumn("mix_path", F.array(*(F.coalesce(F.expr(e).cast("string"), F.lit("")) for e in levels.values()))).withColumn("mix_tokens", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
-    slim = saved(marked.select(F.col(id_col), "mix_path", "mix_tokens"), "mix-tokens")
+    key = lambda e: F.xxhash64(F.col("mix_id"), e, F.lit(seed))
+    path = F.array(*(F.coalesce(F.expr(e).cast("string"), F.lit("")) for e in levels.values()))
+    tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    own = [F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(docs.columns)]
+    marked = docs.select(*own, F.col(id_col).alias("mix_id"), path.alias("mix_path"), tokens.alias("mix_tokens"))
+    slim = saved(marked.select("mix_id", "mix_path", "mix_tokens"), "mix-tokens")
     leaves = slim.groupBy("mix_path").agg(F.sum("mix_tokens").alias("n"), F.count("*").alias("rows")).collect()  # one row a leaf
     supply = {tuple(r.mix_path): r.n for r in leaves}
     target = budgets(supply, weights, int(share * sum(supply.values())), epochs)
@@ -129,7 +133,9 @@ def mix(docs: DataFrame, levels: dict, weights: dict[tuple, float], share: float
     rows = [(p, w, w + 1 if r else w, cuts[tuple(p)] if r else None) for p, w, r in plan]
     final = F.broadcast(spark.createDataFrame(rows, "mix_path array<string>, mix_whole long, mix_turns long, mix_cut long"))
     taken = marked.join(final, "mix_path").where("mix_turns > 0").withColumn("mix_epoch", F.explode(F.expr("sequence(0L, mix_turns - 1)")))
-    return taken.where((F.col("mix_epoch") < F.col("mix_whole")) | (key(F.col("mix_whole")) <= F.col("mix_cut"))).select(*docs.columns, "mix_path", "mix_tokens", "mix_epoch")
+    return taken.where((F.col("mix_epoch") < F.col("mix_whole")) | (key(F.col("mix_whole")) <= F.col("mix_cut"))).select(
+        *(F.col(f"c{k}").alias(n) for k, n in enumerate(docs.columns)), *(F.col(n).alias(n + "_" * (n in docs.columns)) for n in ("mix_path", "mix_tokens", "mix_epoch"))
+    )
 
 
 LEVELS = {"domain": "if(n_chars >= 4000, 'longform', 'shortform')", "language": "lang", "source": "source"}

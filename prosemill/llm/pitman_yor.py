@@ -316,7 +316,7 @@ def bucketed(df: DataFrame, n: int, key: str, tag: str) -> DataFrame:
 
 
 def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_strength: float = 10.0, held_out_fold: int = 2, folds: int = 7, block_mb: float = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (10 to minus the score a token)."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = partitions(docs, 5)
@@ -533,4 +533,4 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
     ends = metas.mapInArrow(doc_rows, part_schema)
     every = ends.unionByName(cold.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(cold_scores, part_schema))
     rows_out = every.groupBy("block").applyInArrow(merged, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return rows_out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(g["n"])).cast("long").alias("train_tokens"), "base_score", "score")
+    return rows_out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(g["n"])).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -86,7 +86,7 @@ def test_pitman_yor(docs, rows, empty):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (away[i], len(seq[i]), sum(w in c for w in seq[i]), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in seq[i]))
-        assert r.score < 0
+        assert r.score < 0 and r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
     assert sum(r.score for r in got.values() if not r.held_out) > sum(r.base_score for r in got.values() if not r.held_out)
     assert pitman_yor.score(empty).count() == 0
 
@@ -378,6 +378,25 @@ def test_mixing(docs, rows, empty):
     largest = max(len(lower(t)) for t in rows.values())
     assert all(got[p] <= want[p] and got[p] > want[p] - largest - 1 for p in want)
     assert mixing.mix(empty, {"l": "lang"}, {}).count() == 0
+    # which documents: whole epochs, then the longest prefix in the order of the seeded key
+    keys = {(r.doc_id, w): r[f"k{w}"] for r in docs.select("doc_id", *(F.xxhash64("doc_id", F.lit(w).cast("long"), F.lit(17)).alias(f"k{w}") for w in range(4))).collect() for w in range(4)}
+    lengths = {(r.lang or "", r.source): [] for r in docs.collect()}
+    for r in docs.collect():
+        lengths[r.lang or "", r.source].append((r.doc_id, len(lower(r.text))))
+    expected = Counter()
+    for p, b in want.items():
+        whole, rest = divmod(b, supply[p])
+        for e in range(whole):
+            expected.update((i, e) for i, _ in lengths[p])
+        for i, n in sorted(lengths[p], key=lambda x: keys[x[0], whole]):
+            rest -= n
+            if rest < 0:
+                break
+            expected[i, whole] += 1
+    assert Counter((r.doc_id, r.mix_epoch) for r in taken) == expected
+    clash = docs.withColumn("mix_path", F.lit("own")).withColumn("c0", F.lit(5))
+    out = mixing.mix(clash, {"language": "lang"}, {}, share=0.5)
+    assert out.columns == [*clash.columns, "mix_path_", "mix_tokens", "mix_epoch"] and {(r.mix_path, r.c0) for r in out.collect()} == {("own", 5)}
 
 
 def test_private(spark, empty):
@@ -442,10 +461,42 @@ def test_quality_rules(docs, rows, empty):
         grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
         cover = {k + j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(5)}
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(cover))
+        lines, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in lines
+                lines.add(line)
+        assert r.n_dup_lines == dup
         assert r.base_failed == (len(w) < 10 or 100 * len(cover) > 20 * len(w)) and not (r.kept and r.base_failed)
+        far = len(w) >= 50 and (r.class_distance > 0.30 or r.word_distance > 0.55)
+        assert r.kept == (not r.base_failed and not far)
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_distances_against_the_language_reference(docs, rows):
+    """Both distances recomputed from the texts."""
+    table = quality_rules._class_table()
+    common = {w.encode(): i for i, w in enumerate(quality_rules.WORDS)}
+    made = {i: quality_rules.figures(t, table, common, {}) for i, t in rows.items()}
+    lang = {r.doc_id: r.lang or "" for r in docs.collect()}
+    refs = {}
+    for i, f in made.items():
+        if f[0] >= 50:
+            c, w = refs.setdefault(lang[i], [np.zeros(len(f[5])), np.zeros(len(f[6]))])
+            refs[lang[i]] = [c + f[5], w + f[6]]
+
+    def distance(p, q):
+        p, q = p / p.sum(), q / q.sum()
+        m = (p + q) / 2
+        kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+        return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    for r in quality_rules.quality_rules(docs).where("n_words >= 50").collect():
+        c, w = refs[lang[r.doc_id]]
+        assert r.class_distance == pytest.approx(distance(made[r.doc_id][5], c), abs=1e-9)
+        assert r.word_distance == pytest.approx(distance(made[r.doc_id][6], w), abs=1e-9)
+
+
 def test_distance_is_bounded(spark):
     q = quality_rules._js("array(1L, 0L)", "array(0L, 1L)"), quality_rules._js("array(2L, 2L)", "array(1L, 1L)"), quality_rules._js("array(0L, 0L)", "array(1L, 1L)")
     a, b, c = spark.sql(f"select {q[0]} a, {q[1]} b, {q[2]} c").first()
