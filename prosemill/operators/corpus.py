@@ -70,9 +70,8 @@ def unknown_footers(footers: DataFrame, known: str, least: int = 3, least_author
 
 def usable(docs: DataFrame, least: int = 25, english: float = 0.12) -> DataFrame:
     """Docs with tokens, long enough and English enough."""
-    listed = F.array(*map(F.lit, ENGLISH))
     t = docs.withColumn("tokens", corpus_tokens(F.col("text")))
-    return t.where((F.size("tokens") >= least) & (F.size(F.filter("tokens", lambda w: F.array_contains(listed, w))) >= english * F.size("tokens")))
+    return t.where((F.size("tokens") >= least) & (F.size(F.filter("tokens", lambda w: w.isin(ENGLISH))) >= english * F.size("tokens")))
 
 
 def bag(tokens: DataFrame, *keys: str) -> DataFrame:
@@ -98,7 +97,7 @@ def lift_rank(bags: DataFrame, group: str, prior: float = 25.0) -> DataFrame:
     total = docs.agg(F.sum("size").alias("n"))
     inside = bags.groupBy(group, "word").agg(F.count("*").alias("inside"))
     every = inside.groupBy("word").agg(F.sum("inside").alias("every"))
-    j = inside.join(every, "word").join(docs, group).join(total)
+    j = inside.join(every, "word").join(docs, group).join(F.broadcast(total))  # one row
     j = j.withColumn("lift", (F.col("inside") / F.col("size")) / ((F.col("every") - F.col("inside") + prior) / F.greatest(F.col("n") - F.col("size"), F.lit(1))))
     return j.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("lift"), "word"))).select(group, "word", "inside", "every", "lift", "rank")
 

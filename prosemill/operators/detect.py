@@ -86,8 +86,7 @@ def echo(docs: DataFrame, min_gram: int = 4, min_run: int = 2, anchored: str | N
             options.append(F.when((tail(last) == tail(F.col("words"))) & (tail(last) != ""), tail(last)))
         common = F.filter(F.array(*options), lambda g: g.isNotNull())
     if min_function_words:
-        listed = F.array(*map(F.lit, FUNCTION_WORDS))
-        common = F.filter(common, lambda g: F.size(F.filter(F.split(g, " "), lambda x: F.array_contains(listed, x))) >= min_function_words)
+        common = F.filter(common, lambda g: F.size(F.filter(F.split(g, " "), lambda x: x.isin(FUNCTION_WORDS))) >= min_function_words)
     if min_share:
         shortest = F.greatest(F.least(F.size(last), F.size("words")), F.lit(1))
         common = F.filter(common, lambda g: F.size(F.split(g, " ")) / shortest >= min_share)
@@ -114,8 +113,7 @@ def frames(docs: DataFrame, gram: int = 8, min_run: int = 3, anchors: int = 2, m
     s = s.withColumn("value", F.regexp_replace("value", r"^\s+", "")).where("value <> ''").withColumn("start", F.col("stop") - F.length("value")).withColumn("value", F.translate("value", "\0", "."))
     letters = F.regexp_count("value", F.lit("[A-Za-z]"))
     prose = (letters >= min_letters) & ~F.col("value").rlike(CODE_MARK) & (F.regexp_count("value", F.lit(r"[A-Za-z\s]")) / F.length("value") >= letter_ratio)
-    listed = F.array(*map(F.lit, FUNCTION_WORDS))
-    token = lambda t: F.when(t.rlike(r'^[,;:()"]\z'), t).when(F.lower(t) == "an", "a").when(F.array_contains(listed, F.lower(t)), F.lower(t)).otherwise("_")
+    token = lambda t: F.when(t.rlike(r'^[,;:()"]\z'), t).when(F.lower(t) == "an", "a").when(F.lower(t).isin(FUNCTION_WORDS), F.lower(t)).otherwise("_")
     sig = F.transform(F.slice(matches(F.col("value"), r"""[A-Za-z][A-Za-z'’-]*|[,;:()"]"""), 1, gram), token)
     s = s.where(prose).withColumn("sig", sig)
     s = s.withColumn("sig", F.when((F.size("sig") >= gram) & (F.size(F.filter("sig", lambda t: t != "_")) >= anchors), F.array_join("sig", " ")))

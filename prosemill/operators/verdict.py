@@ -40,13 +40,12 @@ class Notable:
 
 def doc_stats(docs: DataFrame) -> DataFrame:
     """docs with ws_words, rate_words, gate_sentences and fn_words, computed once for all rules (V6, V7)."""
-    listed = F.array(*map(F.lit, FUNCTION_WORDS))
     return docs.withColumns(
         {
             "ws_words": F.regexp_count("text", F.lit(r"\S+")).cast("long"),
             "rate_words": F.regexp_count("text", F.lit(RATE_WORD)).cast("long"),
             "gate_sentences": F.regexp_count("text", F.lit(r"[.!?](?=\s|\z)")).cast("long"),
-            "fn_words": F.size(F.filter(F.transform(words_of(F.col("text")), F.lower), lambda w: F.array_contains(listed, w))).cast("long"),
+            "fn_words": F.size(F.filter(words_of(F.col("text")), lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long"),
         }
     )
 

@@ -254,7 +254,7 @@ def q_vocab(spark, sf_dir):
     """M2 V4: distinct words of a derived list per word count to the power 0.7, by token join."""
     b = bags(spark, sf_dir)
     listed = corpus.lift_rank(b, "lang").where("rank <= 100 and lang = 'en'").select("word").distinct()
-    hits = b.join(listed, "word").groupBy("doc_id").agg(F.count("*").alias("n"))
+    hits = b.join(F.broadcast(listed), "word").groupBy("doc_id").agg(F.count("*").alias("n"))
     rows = doc_stats(docs(spark, sf_dir)).join(hits, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     return rows.select("doc_id", F.col("n").alias("n_distinct"), million(value_of(F.col("n"), Notable({">=": 0.095}, power=0.7))).alias("value_millionths"))
 
@@ -263,8 +263,7 @@ def q_vocab(spark, sf_dir):
 select doc_id, len(tk) tokens, len(list_filter(tk, lambda w: w in ({EN}))) english, len(tk) >= 25 and len(list_filter(tk, lambda w: w in ({EN}))) >= 0.12 * len(tk) usable from t""")
 def q_corpus_tokens(spark, sf_dir):
     """Pipeline tokens and the usable-text filter."""
-    listed = F.array(*map(F.lit, ENGLISH))
-    t = docs(spark, sf_dir).withColumn("tk", corpus_tokens(F.col("text"))).select("doc_id", F.size("tk").cast("long").alias("tokens"), F.size(F.filter("tk", lambda w: F.array_contains(listed, w))).cast("long").alias("english"))
+    t = docs(spark, sf_dir).withColumn("tk", corpus_tokens(F.col("text"))).select("doc_id", F.size("tk").cast("long").alias("tokens"), F.size(F.filter("tk", lambda w: w.isin(ENGLISH))).cast("long").alias("english"))
     return t.withColumn("usable", (F.col("tokens") >= 25) & (F.col("english") >= 0.12 * F.col("tokens")))
 
 
