@@ -179,10 +179,19 @@ def q_echo(spark, sf_dir):
     return detect.echo(docs(spark, sf_dir)).select("doc_id", "start", "stop", "n")
 
 
-@query("frame_runs")
+# Own sentences on one skeleton, behind every fifth document: the prose itself repeats none.
+FRAMED = "text || case when doc_id % 5 = 0 then chr(10) || 'The cat of Ann is in the house by the sea. A gull cries. The dog of Bob is in the barn by the mill. The hen of Cid is in the shed by the road. The ox of Dan is in an open field by a river.' else '' end"
+MARK = detect.CODE_MARK.replace("'", "''")
+
+
+@query("frame_runs", f"""with {D.replace("coalesce(text, '') as text", "coalesce(text, '') as t_")}, f as (select doc_id, {FRAMED.replace("text ||", "t_ ||", 1)} as text from d), {SENT_SQL.format(p="[^.!?\\n]*[.!?]+").replace("from d)", "from f)")},
+v as (select doc_id, k, stop, regexp_replace("value", '^\\s+', '') x from s), p as (select *, len(regexp_extract_all(x, '[A-Za-z]')) n, list_transform(regexp_extract_all(x, '[A-Za-z][A-Za-z''’-]*|[,;:()"]')[1:8], lambda t: case when t in (',', ';', ':', '(', ')', '"') then t when lower(t) = 'an' then 'a' when lower(t) in ({FW}) then lower(t) else '_' end) g from v where x <> ''),
+q as (select doc_id, k, stop, stop - length(x) as "start", case when len(g) >= 8 and len(list_filter(g, lambda t: t <> '_')) >= 2 then array_to_string(g, ' ') end sig from p where n >= 13 and not regexp_matches(x, '{MARK}') and len(regexp_extract_all(x, '[A-Za-z\\s]')) / length(x) >= 0.62),
+l as (select *, lag(sig) over (partition by doc_id order by k) before from q), i as (select *, sum(case when sig = before then 0 else 1 end) over (partition by doc_id order by k) island from l)
+select doc_id, cast(min("start") as int) as "start", cast(max(stop) as int) stop, count(*) n, min(sig) sig from i group by doc_id, island having count(*) >= 3 and min(sig) is not null""")
 def q_frames(spark, sf_dir):
-    """M7: runs of sentences on one skeleton (abbreviation masks need look-around, so rows only)."""
-    return detect.frames(docs(spark, sf_dir))
+    """M7: runs of sentences on one skeleton."""
+    return detect.frames(docs(spark, sf_dir).withColumn("text", F.expr(FRAMED)))
 
 
 # ------------------------------------------------------------------ analysis
