@@ -112,15 +112,27 @@ def _cleared(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
 
 
-def disclosing_terms(spanned: DataFrame, least: int = 3, share: float = 0.5, bits: float = 6.0, max_broadcast: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(terms above the thresholds: term, entity, bits; texts that hold candidate terms: t, term, copies).
+def _terms() -> Column:
+    """The different words of a text outside its spans, lower-cased."""
+    any_span = F.expr(" + ".join(f"size(s_{k})" for k in KINDS)) > 0
+    outside = F.when(any_span, _cleared(F.concat(*(_mark(k, " ") for k in KINDS)))).otherwise(F.col("text"))
+    return F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(TERM), F.lit(0)))
+
+
+def _small(words: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """words, to be broadcast if they are few, and their number."""
+    n = words.count()
+    return (F.broadcast(words) if n <= most else words), n
+
+
+def disclosing_terms(spanned: DataFrame, least: int = 3, share: float = 0.5, bits: float = 6.0, max_broadcast: int = 50_000) -> DataFrame:
+    """Terms above the thresholds: term, entity, bits.
 
     Candidates are judged first by the documents with an entity that can have terms. A term's documents there are
     no more than its documents in all, so that what fails there fails, and the rest is few enough to count in all.
     """
     any_span = F.expr(" + ".join(f"size(s_{k})" for k in KINDS)) > 0
-    outside = F.when(any_span, _cleared(F.concat(*(_mark(k, " ") for k in KINDS)))).otherwise(F.col("text"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(TERM), F.lit(0)))
+    words = _terms()
     found = F.array_distinct(F.transform(F.concat(*map(_entity, KINDS)), lambda s: s["entity"]))
     total = spanned.count()
     enough = lambda both, term: (F.col(both) >= share * F.col(term)) & (F.log2(F.col(both) * F.lit(float(total)) / (F.col(term) * F.col("n_entity"))) >= bits)
@@ -137,15 +149,13 @@ def disclosing_terms(spanned: DataFrame, least: int = 3, share: float = 0.5, bit
     held = saved(held.where(F.col("most") >= share * F.col("copies")).join(common, "term").select("t", "term", "n_some"), "text-terms")
     pairs = each.join(held, "t").where(F.col("n_entity") >= share * F.col("n_some")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_some").alias("n_some"))
     pairs = saved(pairs.where((F.col("texts") >= least) & enough("n_both", "n_some")).drop("texts", "n_some"), "entity-terms")
-    candidates = pairs.select("term").distinct()
-    n_terms = candidates.count()
-    small = F.broadcast(candidates) if n_terms <= max_broadcast else candidates
-    held = spanned.select("t", F.explode(words).alias("term")).join(small, "term")
-    held = saved(held.groupBy("t", "term").agg(F.count("*").alias("copies")), "term-texts")
-    counts = held.groupBy("term").agg(F.sum("copies").alias("n_term"))
+    candidates, n = _small(pairs.select("term").distinct(), max_broadcast)
+    each = spanned.select(F.explode(words).alias("term"))
+    # many candidates meet the counts of all terms, which are added up where they are first
+    counts = each.join(candidates, "term").groupBy("term").agg(F.count("*").alias("n_term")) if n <= max_broadcast else each.groupBy("term").agg(F.count("*").alias("n_term"))
     terms = pairs.join(counts, "term").where(enough("n_both", "n_term"))
     bits_of = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    return saved(terms.select("term", "entity", bits_of.alias("bits")), "disclosing-terms"), held
+    return saved(terms.select("term", "entity", bits_of.alias("bits")), "disclosing-terms")
 
 
 def find_private(docs: DataFrame, max_broadcast: int = 50_000, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
@@ -153,12 +163,13 @@ def find_private(docs: DataFrame, max_broadcast: int = 50_000, id_col: str = "do
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # a text's terms are its own, whatever the id: texts are known by their hash
     spanned = base_spans(slim.withColumn("t", F.xxhash64("text")))
-    terms, held = disclosing_terms(spanned, max_broadcast=max_broadcast, **thresholds)
-    listed = terms.select("term").distinct()
-    of = saved(held.join(listed, "term").groupBy("t").agg(F.array_sort(F.collect_set("term")).alias("terms")), "texts-with-terms")
-    n = of.count()
-    if not n:
+    listed, n_listed = _small(disclosing_terms(spanned, max_broadcast=max_broadcast, **thresholds).select("term").distinct(), max_broadcast)
+    if not n_listed:
         return spanned.drop("t").withColumn("s_term", F.expr(f"cast(array() as {SPAN})"))
+    # only texts that hold a disclosing term are shuffled
+    of = spanned.select("t", F.explode(_terms()).alias("term")).join(listed, "term").groupBy("t").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    of = saved(of, "texts-with-terms")
+    n = of.count()
     joined = spanned.join(F.broadcast(of) if n <= max_broadcast else of, "t", "left")
     # terms hold letters only, so they need no quoting; the longest alternative comes first
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
