@@ -311,11 +311,11 @@ class WordEncoder:
         new = set()
         for words in split:
             new.update(words)
-        new.difference_update(cache)
+        # looked up word by word: the update in place would walk through the whole cache
+        new = new.difference(cache)
         if self.last:
-            known = new.intersection(self.last)
-            cache.update((w, self.last[w]) for w in known)
-            new -= known
+            cache.update((w, self.last[w]) for w in new if w in self.last)
+            new = new.difference(cache)
         self._learn(new)
         out = [b"".join(map(cache.__getitem__, words)) + end for words in split]
         return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
