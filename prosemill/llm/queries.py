@@ -83,7 +83,28 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_token_files, op2_pitman_yor, op3_near_duplicates, op4_quality_classifier, op5_url_filter, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_personal_data, op10_quality_rules]
+def op11_vector_codes(spark, sf_dir):
+    """Codes of every vector by codebooks fitted over all of them."""
+    from .codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark, sf_dir):
+    """Clusters of every 64-component vector, fitted over different vectors with weights."""
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc_records(spark, sf_dir):
+    """Every page as a WARC record in zip-packaged archives, reported from byte ranges of them."""
+    from .warc import warc_records
+
+    return warc_records(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = [op1_token_files, op2_pitman_yor, op3_near_duplicates, op4_quality_classifier, op5_url_filter, op6_decontamination, op7_suffix_dedup, op8_mixing, op9_personal_data, op10_quality_rules, op11_vector_codes, op12_centroids, op13_warc_records]
 
 
 def queries() -> dict:
@@ -91,6 +112,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from .urls import SQL
+    from . import centroids, codes, urls, warc
 
-    return {"op5_url_filter": SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op5_url_filter": urls.SQL, "op11_vector_codes": codes.SQL, "op12_centroids": centroids.SQL, "op13_warc_records": warc.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
