@@ -96,18 +96,56 @@ def words_of(text: Column) -> Column:
     return matches(text, RATE_WORD)
 
 
-def occurrences(text: Column, pattern: str) -> Column:
-    """All matches as array<struct<start, stop, value>>, in order."""
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, stop: int, value: string>>)").alias("out"))
+#: Folds append to arrays of at most so many items; longer ones are folded in pieces of pieces.
+PIECE, LEVELS = 32, 3
+
+
+def let(x: Column, use) -> Column:
+    """use(x) with x made once, however often it is used: a name for it inside an expression."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def each(items: str | Column) -> Column:
+    """items to be exploded. A bare column would be guarded by a filter on its size, pushed to where it would be made a second time; an expression is not."""
+    return F.transform(items, lambda x: x)
+
+
+def fold(items: Column, start: Column, kind: str, step, carried: str = "int") -> Column:
+    """array<kind>: what step() appends in one pass over items.
+
+    step(state, item) returns struct<at: carried, out>: at is carried along (start at first), out the array so far. An append
+    copies its array, so pieces are folded by themselves, at passing from one to the next, and joined: a row of a
+    million items takes seconds, as what is copied an item is bounded by PIECE.
+    """
+
+    def folded(part: Column, at: Column, level: int) -> Column:
+        if not level:
+            return F.aggregate(part, F.struct(at.alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out")), step)
+        span = PIECE**level
+
+        def piece(done: Column, k: Column) -> Column:
+            before = F.coalesce(F.try_element_at(done, F.lit(-1))["at"], at)
+            return F.array_append(done, let(F.slice(part, k * span + 1, F.lit(span)), lambda x: folded(x, before, level - 1)))
+
+        numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(part) / span).cast("int") - 1, F.lit(0)))
+        nothing = F.expr(f"cast(array() as array<struct<at: {carried}, out: array<{kind}>>>)")
+        return F.aggregate(numbers, nothing, piece, lambda a: F.struct(F.element_at(a, -1)["at"].alias("at"), F.flatten(F.transform(a, lambda x: x["out"])).alias("out")))
+
+    return let(items, lambda x: folded(x, start, LEVELS)["out"])
+
+
+def occurrences(text: Column, pattern: str | Column) -> Column:
+    """All matches as array<struct<start, stop, value>>, in order: every match follows its gap."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
 
     def step(a: Column, x: Column) -> Column:
         here = a["at"] + F.length(x["g"])
         stop = here + F.length(x["m"])
         return F.struct(stop.alias("at"), F.array_append(a["out"], F.struct(here.alias("start"), stop.alias("stop"), x["m"].alias("value"))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(matches(text, pattern).alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    pairs = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
+    return fold(pairs, F.lit(0), "struct<start: int, stop: int, value: string>", step)
 
 
 def ngrams(words: Column, n: int) -> Column:

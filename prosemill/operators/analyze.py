@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold, let
+
 
 def collapse(found: DataFrame, *more: str) -> DataFrame:
     """A3: of overlapping spans of a document the leftmost, then longest, then first rule survives; doc-level ones stay.
@@ -14,15 +16,18 @@ def collapse(found: DataFrame, *more: str) -> DataFrame:
     """
     one = F.struct("start", (-F.col("stop")).alias("neg"), "rule_ord", "doc_level", "rule", *more)
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(one), lambda a, b: _order(a, b)).alias("s"))
-    item = spans.schema["s"].dataType.simpleString()
-    zero = F.struct(F.lit(-1).cast("int").alias("last"), F.expr(f"cast(array() as {item})").alias("kept"))
+    kept = spans.select("doc_id", F.explode(not_overlapped(F.col("s"), spans.schema["s"].dataType.elementType.simpleString())).alias("k"))
+    return kept.select("doc_id", "k.rule", "k.rule_ord", "k.start", (-F.col("k.neg")).alias("stop"), "k.doc_level", *(f"k.{c}" for c in more))
+
+
+def not_overlapped(spans: Column, kind: str) -> Column:
+    """Of sorted array<kind> with start, neg (minus stop) and doc_level, those that begin behind the last one kept, and all doc-level ones."""
 
     def step(a: Column, x: Column) -> Column:
-        kept = F.struct(F.when(x["doc_level"], a["last"]).otherwise(-x["neg"]).cast("int").alias("last"), F.array_append(a["kept"], x).alias("kept"))
-        return F.when(~x["doc_level"] & (x["start"] < a["last"]), a).otherwise(kept)
+        kept = F.struct(F.when(x["doc_level"], a["at"]).otherwise(-x["neg"]).cast("int").alias("at"), F.array_append(a["out"], x).alias("out"))
+        return F.when(~x["doc_level"] & (x["start"] < a["at"]), a).otherwise(kept)
 
-    kept = spans.select("doc_id", F.explode(F.aggregate("s", zero, step, lambda a: a["kept"])).alias("k"))
-    return kept.select("doc_id", "k.rule", "k.rule_ord", "k.start", (-F.col("k.neg")).alias("stop"), "k.doc_level", *(f"k.{c}" for c in more))
+    return fold(spans, F.lit(-1), kind, step)
 
 
 def _order(a: Column, b: Column) -> Column:
@@ -41,24 +46,92 @@ def schedule(priorities: Column) -> Column:
     return F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("start"), (-k["neg"]).alias("stop"), k["priority"].alias("priority"))))
 
 
-def line_col(text: Column, offset: Column) -> tuple[Column, Column]:
-    """1-based line and column of an offset."""
-    before = F.substring(text, F.lit(1), offset)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1, F.length(F.substring_index(before, "\n", -1)) + 1
+#: Characters in a piece of a text's table.
+WIDTH = 256
+
+
+def pieces_of(text: Column) -> Column:
+    """array<struct<s, base, n>>: a text in pieces of WIDTH characters, one at least, each with its first offset and length."""
+    pieces = F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WIDTH}}}"), F.lit(0)))
+    return F.transform(pieces, lambda x, i: F.struct(x.alias("s"), (i * WIDTH).alias("base"), F.length(x).alias("n")))
+
+
+def place_table(text: Column) -> Column:
+    """A text in pieces of WIDTH characters, by which any place is found without walking through the text.
+
+    Each piece has what is known at its start: the newlines before it, where its line and its sentence begin, and
+    where the next terminator lies. Two folds over the pieces make it; bind it with let() and use it for all places.
+    """
+    # terminators turned to newlines, so that the last one is found from the right
+    plain = lambda x: F.translate(x, ".!?…", "\n\n\n\n")
+    def after(x: Column, value: Column, before: Column) -> Column:
+        return F.when(F.contains(value, F.lit("\n")), x["base"] + x["n"] - F.length(F.substring_index(value, "\n", -1))).otherwise(before)
+
+    def forward(a: Column, x: Column) -> Column:
+        at, newlines = a["at"], x["n"] - F.length(F.replace(x["s"], F.lit("\n"), F.lit("")))
+        then = F.struct((at["lines"] + newlines).alias("lines"), after(x, x["s"], at["line"]).alias("line"), after(x, plain(x["s"]), at["sentence"]).alias("sentence"))
+        return F.struct(then.alias("at"), F.array_append(a["out"], F.struct(x["s"].alias("s"), at["lines"].alias("lines"), at["line"].alias("line"), at["sentence"].alias("sentence"))).alias("out"))
+
+    def backward(a: Column, x: Column) -> Column:
+        here = F.when(F.contains(plain(x["s"]), F.lit("\n")), x["base"] + F.length(F.substring_index(plain(x["s"]), "\n", 1))).otherwise(a["at"])
+        return F.struct(here.alias("at"), F.array_append(a["out"], here).alias("out"))
 
+    def table(p: Column) -> Column:
+        zero = F.struct(*(F.lit(0).alias(c) for c in ("lines", "line", "sentence")))
+        starts = fold(p, zero, "struct<s: string, lines: int, line: int, sentence: int>", forward, "struct<lines: int, line: int, sentence: int>")
+        ends = F.reverse(fold(F.reverse(p), F.length(text), "int", backward))
+        return F.zip_with(starts, ends, lambda x, e: F.struct(x["s"].alias("s"), x["lines"].alias("lines"), x["line"].alias("line"), x["sentence"].alias("sentence"), e.alias("ends")))
 
-def sentence_around(text: Column, start: Column, stop: Column) -> Column:
+    return let(pieces_of(text), table)
+
+
+def _piece(table: Column, offset: Column, use) -> Column:
+    """use(piece, its first offset, its characters before the offset); the end of the text lies in the last piece."""
+    number = F.least((offset / WIDTH).cast("int"), F.size(table) - 1)
+    return let(F.struct(number.alias("i"), F.get(table, number).alias("p")), lambda x: use(x["p"], x["i"] * WIDTH, F.left(x["p"]["s"], offset - x["i"] * WIDTH)))
+
+
+def line_col(table: Column, offset: Column) -> tuple[Column, Column]:
+    """1-based line and column of an offset, by the text's place_table()."""
+    newlines = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    line = _piece(table, offset, lambda p, _, before: p["lines"] + newlines(before) + 1)
+    col = _piece(table, offset, lambda p, _, before: F.when(F.contains(before, F.lit("\n")), F.length(F.substring_index(before, "\n", -1))).otherwise(offset - p["line"]) + 1)
+    return line, col
+
+
+def cut(table: Column, start: Column, stop: Column) -> Column:
+    """The text between two offsets, by its place_table() or pieces_of()."""
+    first, last = (start / WIDTH).cast("int"), ((stop - 1) / WIDTH).cast("int")
+    body = F.array_join(F.transform(F.slice(table, first + 1, F.greatest(last - first + 1, F.lit(0))), lambda p: p["s"]), "")
+    return F.when(stop > start, F.substring(body, start - first * WIDTH + 1, stop - start)).otherwise("")
+
+
+def sentence_around(table: Column, length: Column, start: Column, stop: Column) -> Column:
     """From the last terminator before the span, without leading blanks, to the first one after it with its closing marks, or to the end of the line."""
-    head = F.regexp_replace(F.regexp_replace(F.substring(text, F.lit(1), start), r"(?s)\A.*[\n.!?…]", ""), r"\A\s+", "")
-    tail = F.regexp_extract(F.substring(text, stop + 1, F.length(text)), r"""^[^\n.!?…]*(?:[.!?…]["'”’)\]]*)?""", 0)
-    return F.concat(head, F.substring(text, start + 1, stop - start), tail)
+
+    def begin(p: Column, base: Column, before: Column) -> Column:
+        plain = F.translate(before, ".!?…", "\n\n\n\n")
+        return F.when(F.contains(plain, F.lit("\n")), base + F.length(before) - F.length(F.substring_index(plain, "\n", -1))).otherwise(p["sentence"])
+
+    def finish(p: Column, base: Column, before: Column) -> Column:
+        rest = F.translate(F.substring(p["s"], F.length(before) + 1, F.lit(WIDTH)), ".!?…", "\n\n\n\n")
+        later = F.get(table, (base / WIDTH).cast("int") + 1)["ends"]
+        return F.when(F.contains(rest, F.lit("\n")), stop + F.length(F.substring_index(rest, "\n", 1))).otherwise(F.coalesce(later, length))
+
+    def closing(end: Column) -> Column:
+        marks = lambda t: F.regexp_extract(t, r"""^[.!?…]["'”’)\]]*""", 0)
+        near = marks(cut(table, end, F.least(end + WIDTH, length)))
+        return F.concat(cut(table, stop, end), F.when(F.length(near) < WIDTH, near).otherwise(marks(cut(table, end, length))))
+
+    head = let(_piece(table, start, begin), lambda a: F.regexp_replace(cut(table, a, start), r"\A\s+", ""))
+    return F.concat(head, cut(table, start, stop), let(_piece(table, stop, finish), closing))
 
 
-def window_around(text: Column, start: Column, stop: Column, width: int = 34) -> Column:
+def window_around(table: Column, length: Column, start: Column, stop: Column, width: int = 34) -> Column:
     """X11: the span with up to `width` characters on each side."""
-    lo, hi = F.greatest(start - width, F.lit(0)), F.least(stop + width, F.length(text))
-    body = F.trim(F.regexp_replace(F.substring(text, lo + 1, hi - lo), r"\s+", " "))
-    return F.concat(F.when(lo > 0, "…").otherwise(""), body, F.when(hi < F.length(text), "…").otherwise(""))
+    lo, hi = F.greatest(start - width, F.lit(0)), F.least(stop + width, length)
+    body = F.trim(F.regexp_replace(cut(table, lo, hi), r"\s+", " "))
+    return F.concat(F.when(lo > 0, "…").otherwise(""), body, F.when(hi < length, "…").otherwise(""))
 
 
 def totals(found: DataFrame, stats: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ENGLISH, corpus_tokens
+from ..functions.text import ENGLISH, corpus_tokens, each
 
 # Logins of bots; grammar of attribution lines; sentinels.
 BOT = r"(?i)\[bot\]\z|-bot\z|^dependabot|^renovate|^github-actions|^copilot\z|^pull\z|^truecharts-admin\z"
@@ -76,7 +76,7 @@ def usable(docs: DataFrame, least: int = 25, english: float = 0.12) -> DataFrame
 
 def bag(tokens: DataFrame, *keys: str) -> DataFrame:
     """(keys, word, tf) from rows with tokens."""
-    return tokens.select(*keys, F.explode("tokens").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
+    return tokens.select(*keys, F.explode(each("tokens")).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(bags: DataFrame, min_df: int, *within: str) -> DataFrame:

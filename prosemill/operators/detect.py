@@ -1,11 +1,11 @@
-"""Detectors M1-M8: columns of occurrences, or DataFrames where sentences must meet their neighbours."""
+"""Detectors M1-M8: columns of occurrences. Neighbouring sentences meet inside their row, so no detector shuffles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import COMMON_OPENERS, ECHO_WORD, FUNCTION_WORDS, RATE_WORD, RUN_START, SENTENCE, java_pattern, matches, ngrams, occurrences
+from ..functions.text import COMMON_OPENERS, ECHO_WORD, FUNCTION_WORDS, RATE_WORD, RUN_START, SENTENCE, java_pattern, let, matches, ngrams, occurrences
 
 # What separates the items of a chain.
 CHAIN_SEPARATOR = r"(?i)(?:\s*,\s*(?:and\s+|or\s+)?|\s+(?:and|or)\s+|\s*[;&–—]\s*(?:and\s+|or\s+)?|\s+-{1,2}\s+)"
@@ -62,63 +62,109 @@ def sentences(docs: DataFrame, kind: str, text: Column | None = None) -> DataFra
     return docs.select("doc_id", F.posexplode(found).alias("pos", "s")).select("doc_id", "pos", "s.start", "s.stop", "s.value")
 
 
-def _runs(rows: DataFrame, linked: Column, min_run: int, *more: Column) -> DataFrame:
-    """Gaps and islands: consecutive rows of a document that are linked to their predecessor, at least min_run long."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    cut = rows.withColumn("linked", F.coalesce(linked, F.lit(False))).withColumn("island", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(w))
-    return cut.groupBy("doc_id", "island").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("stop").alias("stop"), *more).where(F.col("n") >= min_run).drop("island")
-
-
-def echo(docs: DataFrame, min_gram: int = 4, min_run: int = 2, anchored: str | None = None, min_function_words: int = 0, min_share: float = 0.0) -> DataFrame:
-    """M4: runs of neighbouring sentences that share a word sequence."""
-    s = sentences(docs, "echo").where(F.regexp_count("value", F.lit(r"\S+")) >= 4)
-    s = s.withColumn("words", matches(F.lower("value"), ECHO_WORD)).withColumn("grams", F.array_distinct(ngrams(F.col("words"), min_gram)))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    before, last = F.lag("grams").over(w), F.lag("words").over(w)
-    common = F.array_intersect(before, F.col("grams"))
-    if anchored:
-        head = lambda x: F.array_join(F.slice(x, 1, min_gram), " ")
-        tail = lambda x: F.array_join(F.slice(x, F.greatest(F.size(x) - min_gram + 1, F.lit(1)), min_gram), " ")
-        options = []
-        if anchored != "tail":
-            options.append(F.when((head(last) == head(F.col("words"))) & (head(last) != ""), head(last)))
-        if anchored != "head":
-            options.append(F.when((tail(last) == tail(F.col("words"))) & (tail(last) != ""), tail(last)))
-        common = F.filter(F.array(*options), lambda g: g.isNotNull())
-    if min_function_words:
-        common = F.filter(common, lambda g: F.size(F.filter(F.split(g, " "), lambda x: x.isin(FUNCTION_WORDS))) >= min_function_words)
-    if min_share:
-        shortest = F.greatest(F.least(F.size(last), F.size("words")), F.lit(1))
-        common = F.filter(common, lambda g: F.size(F.split(g, " ")) / shortest >= min_share)
-    rows = s.withColumn("common", common).withColumn("gap", F.col("start") - F.lag("stop").over(w))
-    out = _runs(rows, (F.size("common") > 0) & (F.col("gap") <= 3), min_run, F.max(F.struct("pos", "common", "value")).alias("last"))
-    longest = F.aggregate(F.col("last.common"), F.lit(""), lambda a, g: F.when(F.length(g) > F.length(a), g).otherwise(a))
-    blanks = F.length("last.value") - F.length(F.regexp_replace("last.value", r"\s+\z", ""))
-    return out.select("doc_id", "start", (F.col("stop") - blanks).alias("stop"), "n", longest.alias("shared"))
+def _runs(items: Column, linked, min_run: int, told) -> Column:
+    """Gaps and islands inside a row: told(first item, last item, item before the last, number) of runs in which each item is linked(item, the one before) to its predecessor, at least min_run long."""
+
+    def islands(s: Column) -> Column:
+        # places at which a run begins; a run ends where the next one begins
+        begins = F.filter(F.transform(s, lambda x, i: F.when(~F.coalesce(linked(x, F.get(s, i - 1)), F.lit(False)), i)), lambda i: i.isNotNull())
+        spans = let(begins, lambda b: F.transform(b, lambda i, k: F.struct(i.alias("i"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).alias("n"))))
+        return F.transform(F.filter(spans, lambda r: r["n"] >= min_run), lambda r: told(F.get(s, r["i"]), F.get(s, r["i"] + r["n"] - 1), F.get(s, r["i"] + r["n"] - 2), r["n"].cast("long")))
+
+    return let(items, islands)
+
+
+def _rows(docs: DataFrame, runs: Column) -> DataFrame:
+    return docs.select("doc_id", F.inline(runs))
+
+
+def echo_runs(text: Column, min_gram: int = 4, min_run: int = 2, anchored: str | None = None, min_function_words: int = 0, min_share: float = 0.0) -> Column:
+    """M4: array<struct<start, stop, n, shared>> of runs of neighbouring sentences that share a word sequence."""
+    long_ones = F.filter(occurrences(text, SENTENCE["echo"]), lambda o: F.regexp_count(o["value"], F.lit(r"\S+")) >= 4)
+
+    def cut(o: Column) -> Column:
+        return let(matches(F.lower(o["value"]), ECHO_WORD), lambda w: F.struct(o["start"].alias("start"), o["stop"].alias("stop"), o["value"].alias("value"), w.alias("words"), F.array_distinct(ngrams(w, min_gram)).alias("grams")))
+
+    def head(x: Column) -> Column:
+        return F.array_join(F.slice(x, 1, min_gram), " ")
+
+    def tail(x: Column) -> Column:
+        return F.array_join(F.slice(x, F.greatest(F.size(x) - min_gram + 1, F.lit(1)), min_gram), " ")
+
+    def common(x: Column, before: Column) -> Column:
+        mine, last = x["words"], before["words"]
+        found = F.array_intersect(before["grams"], x["grams"])
+        if anchored:
+            options = []
+            if anchored != "tail":
+                options.append(F.when((head(last) == head(mine)) & (head(last) != ""), head(last)))
+            if anchored != "head":
+                options.append(F.when((tail(last) == tail(mine)) & (tail(last) != ""), tail(last)))
+            found = F.filter(F.array(*options), lambda g: g.isNotNull())
+        if min_function_words:
+            found = F.filter(found, lambda g: F.size(F.filter(F.split(g, " "), lambda w: w.isin(FUNCTION_WORDS))) >= min_function_words)
+        if min_share:
+            shortest = F.greatest(F.least(F.size(last), F.size(mine)), F.lit(1))
+            found = F.filter(found, lambda g: F.size(F.split(g, " ")) / shortest >= min_share)
+        return found
+
+    def told(first: Column, last: Column, before: Column, n: Column) -> Column:
+        longest = F.aggregate(common(last, before), F.lit(""), lambda a, g: F.when(F.length(g) > F.length(a), g).otherwise(a))
+        blanks = F.length(last["value"]) - F.length(F.regexp_replace(last["value"], r"\s+\z", ""))
+        return F.struct(first["start"].alias("start"), (last["stop"] - blanks).alias("stop"), n.alias("n"), longest.alias("shared"))
+
+    return _runs(F.transform(long_ones, cut), lambda x, before: (x["start"] - before["stop"] <= 3) & (F.size(common(x, before)) > 0), min_run, told)
+
+
+def echo(docs: DataFrame, *parameters, **named) -> DataFrame:
+    """M4 by row: doc_id, start, stop, n, shared."""
+    return _rows(docs, echo_runs(F.col("text"), *parameters, **named))
+
+
+def anaphora_runs(text: Column, min_run: int = 3) -> Column:
+    """M6: array<struct<start, stop, n, head>> of neighbouring sentences with one opening word, common openers apart."""
+
+    def opened(o: Column) -> Column:
+        return let(F.regexp_extract(o["value"], r"[A-Za-z'’-]+", 0), lambda w: F.struct((o["start"] + F.instr(o["value"], w) - 1).alias("start"), o["stop"].alias("stop"), F.lower(w).alias("head")))
+
+    items = F.filter(F.transform(occurrences(text, SENTENCE["anaphora"]), opened), lambda x: x["head"] != "")
+    told = lambda first, last, _, n: F.struct(first["start"].alias("start"), last["stop"].alias("stop"), n.alias("n"), first["head"].alias("head"))
+    runs = _runs(items, lambda x, before: (x["head"] == before["head"]) & (x["start"] - before["stop"] < 4), min_run, told)
+    return F.filter(runs, lambda r: ~r["head"].isin(COMMON_OPENERS))
 
 
 def anaphora(docs: DataFrame, min_run: int = 3) -> DataFrame:
-    """M6: neighbouring sentences with one opening word, common openers apart."""
-    head = F.regexp_extract("value", r"[A-Za-z'’-]+", 0)
-    s = sentences(docs, "anaphora").withColumn("head", head).where("head <> ''").withColumn("start", F.col("start") + F.instr("value", F.col("head")) - 1).withColumn("head", F.lower("head"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    linked = (F.col("head") == F.lag("head").over(w)) & (F.col("start") - F.lag("stop").over(w) < 4)
-    return _runs(s, linked, min_run, F.min("head").alias("head")).where(~F.col("head").isin(COMMON_OPENERS)).select("doc_id", "start", "stop", "n", "head")
-
-
-def frames(docs: DataFrame, gram: int = 8, min_run: int = 3, anchors: int = 2, min_letters: int = 13, letter_ratio: float = 0.62) -> DataFrame:
-    """M7: prose sentences in a row whose first tokens have one skeleton of function words and marks."""
-    masked = F.regexp_replace("text", ABBREVIATION, "$1\0")
-    s = sentences(docs.select("doc_id", masked.alias("text")), "frame")
-    s = s.withColumn("value", F.regexp_replace("value", r"^\s+", "")).where("value <> ''").withColumn("start", F.col("stop") - F.length("value")).withColumn("value", F.translate("value", "\0", "."))
-    letters = F.regexp_count("value", F.lit("[A-Za-z]"))
-    prose = (letters >= min_letters) & ~F.col("value").rlike(CODE_MARK) & (F.regexp_count("value", F.lit(r"[A-Za-z\s]")) / F.length("value") >= letter_ratio)
-    token = lambda t: F.when(t.rlike(r'^[,;:()"]\z'), t).when(F.lower(t) == "an", "a").when(F.lower(t).isin(FUNCTION_WORDS), F.lower(t)).otherwise("_")
-    sig = F.transform(F.slice(matches(F.col("value"), r"""[A-Za-z][A-Za-z'’-]*|[,;:()"]"""), 1, gram), token)
-    s = s.where(prose).withColumn("sig", sig)
-    s = s.withColumn("sig", F.when((F.size("sig") >= gram) & (F.size(F.filter("sig", lambda t: t != "_")) >= anchors), F.array_join("sig", " ")))
-    linked = F.col("sig") == F.lag("sig").over(Window.partitionBy("doc_id").orderBy("pos"))
-    return _runs(s, linked, min_run, F.min("sig").alias("sig")).where("sig is not null").select("doc_id", "start", "stop", "n", "sig")
+    """M6 by row: doc_id, start, stop, n, head."""
+    return _rows(docs, anaphora_runs(F.col("text"), min_run))
+
+
+def frame_runs(text: Column, gram: int = 8, min_run: int = 3, anchors: int = 2, min_letters: int = 13, letter_ratio: float = 0.62) -> Column:
+    """M7: array<struct<start, stop, n, sig>> of prose sentences in a row whose first tokens have one skeleton of function words and marks."""
+
+    def trimmed(o: Column) -> Column:
+        return let(F.regexp_replace(o["value"], r"^\s+", ""), lambda v: F.struct((o["stop"] - F.length(v)).alias("start"), o["stop"].alias("stop"), F.translate(v, "\0", ".").alias("value")))
+
+    def prose(o: Column) -> Column:
+        v = o["value"]
+        return (v != "") & (F.regexp_count(v, F.lit("[A-Za-z]")) >= min_letters) & ~v.rlike(CODE_MARK) & (F.regexp_count(v, F.lit(r"[A-Za-z\s]")) / F.length(v) >= letter_ratio)
+
+    def token(t: Column) -> Column:
+        low = F.lower(t)
+        return F.when(t.rlike(r'^[,;:()"]\z'), t).when(low == "an", "a").when(low.isin(FUNCTION_WORDS), low).otherwise("_")
+
+    def signed(o: Column) -> Column:
+        tokens = F.transform(F.slice(matches(o["value"], r"""[A-Za-z][A-Za-z'’-]*|[,;:()"]"""), 1, gram), token)
+        enough = lambda g: F.when((F.size(g) >= gram) & (F.size(F.filter(g, lambda t: t != "_")) >= anchors), F.array_join(g, " "))
+        return F.struct(o["start"].alias("start"), o["stop"].alias("stop"), let(tokens, enough).alias("sig"))
+
+    items = F.transform(F.filter(F.transform(occurrences(F.regexp_replace(text, ABBREVIATION, "$1\0"), SENTENCE["frame"]), trimmed), prose), signed)
+    told = lambda first, last, _, n: F.struct(first["start"].alias("start"), last["stop"].alias("stop"), n.alias("n"), first["sig"].alias("sig"))
+    return F.filter(_runs(items, lambda x, before: x["sig"] == before["sig"], min_run, told), lambda r: r["sig"].isNotNull())
+
+
+def frames(docs: DataFrame, *parameters, **named) -> DataFrame:
+    """M7 by row: doc_id, start, stop, n, sig."""
+    return _rows(docs, frame_runs(F.col("text"), *parameters, **named))
 
 
 def rhythm(text: Column, shortest: int = 1, longest: int = 200) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import RATE_WORD, first_words, matches
+from ..functions.text import RATE_WORD, each, first_words, matches
 
 
 def rates_by_side(counts: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def list_hits(docs: DataFrame, listed: DataFrame, lengths: list[int] = (0,), max
 
     each = docs.select(*keep, F.explode(F.array(*map(cut, lengths))).alias("c")).select(*keep, "c.*")
     small = F.broadcast(listed) if listed.count() <= max_broadcast else listed
-    hits = each.select("doc_id", "length", F.explode("list").alias("word")).join(small, "word").select("doc_id", "length", "rank")
+    hits = each.select("doc_id", "length", F.explode(each("list")).alias("word")).join(small, "word").select("doc_id", "length", "rank")
     return each.drop("list"), hits
 
 

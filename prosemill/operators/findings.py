@@ -1,7 +1,7 @@
 """Assembled findings: anchoring A2, assembly A4, navigation A8, rate presentation A10, and the JSON report K2.
 
-A finding is built where its text is, in one projection; only short rows are shuffled afterwards. Texts may come from
-markup: with the columns src and runs (sources.markup.extracted), places are those of the source.
+Findings are matched, judged, collapsed and finished in one projection over one scan. Texts may come from markup: with
+the columns src and runs (sources.markup.extracted), places are those of the source.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import RATE_WORD
-from . import analyze, detect, rules
+from ..functions.text import RATE_WORD, let
+from . import analyze, rules
 from .verdict import shown
 
-SPAN = "struct<start: int, stop: int, n: int>"
 GLYPH = {">=": "≥", "<=": "≤", ">": ">", "<": "<"}
 
 
@@ -24,24 +23,6 @@ def _number(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
-def spans_of(rule: dict) -> Column:
-    """array<struct<start, stop, n>> of a column rule in the column text; n is null where a match counts once."""
-    m, text = rule["match"], F.col("text")
-    if m["kind"] == "rhythm":
-        return F.expr(f"cast(array() as array<{SPAN}>)")
-    if m["kind"] == "question-chain":
-        found = detect.question_chain(text, m.get("minRun", 2))
-    elif m["kind"] == "chain":
-        found = detect.chain(text, m["pattern"], m["headTest"])
-    else:
-        found = detect.regex(text, m["pattern"], "i" in m.get("flags", ""))
-        if m.get("distinct"):
-            lower = F.transform(found, lambda o: F.lower(o["value"]))
-            found = F.filter(found, lambda o, i: F.array_position(lower, F.lower(o["value"])) == i + 1)
-    count = (lambda o: o["n"].cast("int")) if m["kind"] in ("chain", "question-chain") else (lambda o: F.lit(None).cast("int"))
-    return F.transform(found, lambda o: F.struct(o["start"].alias("start"), o["stop"].alias("stop"), count(o).alias("n")))
-
-
 def _meta(rule_list: list[dict]) -> Column:
     """The rules' words about themselves, as one constant array."""
 
@@ -61,73 +42,103 @@ def source_offset(offset: Column, runs: Column) -> Column:
     return F.when(F.size(runs) == 0, 0).otherwise(inside).cast("int")
 
 
+def placed(docs: DataFrame, rule_list: list[dict]) -> DataFrame:
+    """docs with verdicts, spans (array<array>, by rule) and kept: A1-A3 inside each row.
+
+    kept: array<struct<start, neg, rule_ord, doc_level, n>> in order, neg being minus the end. Every rule's matches are
+    made once; its count is their number. Nothing is shuffled, so texts stay where they were read.
+    """
+    text, kinds = F.col("text"), [r["match"]["kind"] for r in rule_list]
+    metrics = F.array(*(rules.detect.rhythm(text, r["match"].get("minSentenceWords", 1), r["match"].get("maxSentenceWords", 200))[0] if k == "rhythm" else F.lit(None).cast("double") for r, k in zip(rule_list, kinds, strict=True)))
+    rows = rules.with_stats(docs, rule_list).withColumn("spans", F.array(*map(rules.spans_of, rule_list))).withColumn("metrics", metrics if "rhythm" in kinds else F.lit(None).cast("array<double>"))
+
+    def judged(made: Column) -> Column:
+        n = lambda t, k: F.when(t["metric"], F.get(made["m"], k)).otherwise(F.size(F.get(made["s"], k)).cast("double"))
+        return F.transform(rules.terms(rule_list), lambda t, k: let(n(t, k), lambda x: rules.verdict(t, x)))
+
+    # bound outside: put into the lambda by the planner, all spans would be made again for each rule
+    rows = rows.withColumn("verdicts", let(F.struct(F.col("spans").alias("s"), F.col("metrics").alias("m")), judged))
+    first_word = F.regexp_instr(text, F.lit(RATE_WORD)) - 1
+    word_end = first_word + F.length(F.regexp_extract(text, RATE_WORD, 0))
+
+    def item(start: Column, stop: Column, k: Column, doc_level: bool, n: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), (-stop).cast("int").alias("neg"), k.cast("int").alias("rule_ord"), F.lit(doc_level).alias("doc_level"), n.cast("int").alias("n"))
+
+    def items(v: Column, k: Column) -> Column:
+        mine = F.get("spans", k)
+        anchor = F.when(F.size(mine) > 0, item(mine[0]["start"], mine[0]["stop"], k, True, v["n"])).when(first_word < 0, item(F.lit(0), F.lit(0), k, True, v["n"])).otherwise(item(first_word, word_end, k, True, v["n"]))
+        each = F.transform(mine, lambda o: item(o["start"], o["stop"], k, False, o["n"]))
+        return F.when(v["bound"].isNull(), F.expr(f"cast(array() as array<{ITEM}>)")).when(F.get(_doc_level(rule_list), k), F.array(anchor)).otherwise(each)
+
+    return rows.withColumn("kept", analyze.not_overlapped(F.array_sort(F.flatten(F.transform("verdicts", items))), ITEM))
+
+
+def kept_spans(docs: DataFrame, rule_list: list[dict]) -> DataFrame:
+    """A2 A3: (doc_id, rule, rule_ord, start, stop, doc_level) of every finding, for what needs no texts."""
+    names = F.array(*(F.lit(r["id"]) for r in rule_list))
+    one = lambda f: F.struct(F.get(names, f["rule_ord"]).alias("rule"), f["rule_ord"].alias("rule_ord"), f["start"].alias("start"), (-f["neg"]).alias("stop"), f["doc_level"].alias("doc_level"))
+    return placed(docs.select("doc_id", "text"), rule_list).select("doc_id", F.inline(F.transform("kept", one)))
+
+
 def assemble(docs: DataFrame, rule_list: list[dict]) -> DataFrame:
     """A1-A4: one row a finding: doc_id, line, col, end_line, end_col, the rule's words, count, match, sentence, doc_level, measure, rate, occurrences, start, stop.
 
-    docs: doc_id (differs by row) and text; src and runs if text was taken out of markup.
+    docs: doc_id (of any kind, nulls and repeats included) and text; src and runs if text was taken out of markup.
+    Findings are finished inside their row, by a table of the text's places (analyze.place_table), and only then come
+    apart: no text is shuffled or copied.
     """
     lineage = "runs" in docs.columns
-    judged = rules.judged(docs.select("doc_id", "text"), rule_list).where("bound is not null")
-    verdicts = judged.groupBy("doc_id").agg(F.collect_list(F.struct("k", "n", "rate_words", "value", "bound", "limit", "sentences")).alias("verdicts"))
-    rows = docs.select("doc_id", "text", *(["src", "runs"] if lineage else [])).join(verdicts, "doc_id")
-    runs_of = [k for k, r in enumerate(rule_list) if r["match"]["kind"] in rules.FRAME_KINDS]
-    if runs_of:
-        islands = reduce(DataFrame.unionByName, (rules.run_rows(docs.select("doc_id", "text"), rule_list[k]["match"]).select("doc_id", F.lit(k).alias("k"), F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("n").cast("int").alias("n")).alias("o")) for k in runs_of))
-        rows = rows.join(islands.groupBy("doc_id").agg(F.collect_list(F.struct("k", "o")).alias("islands")), "doc_id", "left")
-    each = rows.select("*", F.explode("verdicts").alias("v")).withColumn("r", F.get(_meta(rule_list), F.col("v.k")))
-
-    def spans() -> Column:
-        out = F.expr(f"cast(array() as array<{SPAN}>)")
-        for k, r in enumerate(rule_list):
-            mine = F.array_sort(F.transform(F.filter("islands", lambda x, k=k: x["k"] == k), lambda x: x["o"])) if k in runs_of else spans_of(r)
-            out = F.when(F.col("v.k") == k, mine).otherwise(out)
-        return out
-
-    doc_level = F.col("r.metric") | F.col("r.per").isNotNull() | F.col("r.power").isNotNull()
-    text = F.col("text")
-    first_word = F.regexp_instr(text, F.lit(RATE_WORD)) - 1
-    no_word = first_word < 0
-    anchor = F.struct(
-        F.when(F.size("occ") > 0, F.col("occ")[0]["start"]).when(no_word, 0).otherwise(first_word).cast("int").alias("start"),
-        F.when(F.size("occ") > 0, F.col("occ")[0]["stop"]).when(no_word, 0).otherwise(first_word + F.length(F.regexp_extract(text, RATE_WORD, 0))).cast("int").alias("stop"),
-        F.col("v.n").cast("int").alias("n"),
-    )
-    # places first, without texts: they are sorted and collapsed by document, and what is left meets its text again
-    placed = each.withColumn("occ", spans()).withColumn("doc_level", doc_level)
-    placed = placed.select("doc_id", F.col("v.k").alias("rule_ord"), F.col("r.rule").alias("rule"), "doc_level", F.when(F.col("doc_level"), F.col("v")).alias("v"), F.when(F.col("doc_level"), F.col("occ")).otherwise(F.slice("occ", 1, 0)).alias("spans"), F.explode(F.when(F.col("doc_level"), F.array(anchor)).otherwise(F.col("occ"))).alias("o"))
-    kept = analyze.collapse(placed.select("doc_id", "rule_ord", "rule", "doc_level", "v", "spans", "o.start", "o.stop", F.col("o.n").alias("count")), "v", "spans", "count")
-    rows = kept.join(docs.select("doc_id", "text", *(["src", "runs"] if lineage else [])), "doc_id").withColumn("r", F.get(_meta(rule_list), F.col("rule_ord")))
-    src = F.col("src") if lineage else text
+    rows = placed(docs.select("doc_id", "text", *(["src", "runs"] if lineage else [])), rule_list)
+    text, meta = F.col("text"), _meta(rule_list)
     at = (lambda off: source_offset(off, F.col("runs"))) if lineage else (lambda off: off)
 
-    def place(off: Column, line: str, col: str) -> list[Column]:
-        a, b = analyze.line_col(src, at(off))
-        return [a.cast("int").alias(line), b.cast("int").alias(col)]
+    def finished(table: Column, sources: Column, length: Column) -> Column:
+        def place(off: Column, line: str, col: str) -> list[Column]:
+            a, b = analyze.line_col(sources, at(off))
+            return [a.cast("int").alias(line), b.cast("int").alias(col)]
+
+        def occurrence(o: Column) -> Column:
+            return F.struct(*place(o["start"], "line", "col"), analyze.cut(table, o["start"], o["stop"]).alias("match"), analyze.window_around(table, length, o["start"], o["stop"]).alias("context"))
+
+        def one(f: Column) -> Column:
+            r, v, start, stop = F.get(meta, f["rule_ord"]), F.get("verdicts", f["rule_ord"]), f["start"], -f["neg"]
+            measure, rate = _told(r, v)
+            only = lambda x: F.when(f["doc_level"], x)
+            listed = F.when(f["doc_level"], F.get("spans", f["rule_ord"])).otherwise(F.expr(f"cast(array() as array<{rules.SPAN}>)"))
+            words = [r[c].alias(c) for c in ("rule", "set", "severity", "name", "why", "suggest")]
+            return F.struct(
+                *place(start, "line", "col"), *place(stop, "end_line", "end_col"), *words, f["n"].alias("count"),
+                analyze.cut(table, start, stop).alias("match"), analyze.sentence_around(table, length, start, stop).alias("sentence"),
+                f["doc_level"].alias("doc_level"), only(measure).alias("measure"), only(rate).alias("rate"),
+                F.transform(listed, occurrence).alias("occurrences"), f["rule_ord"].alias("rule_ord"), start.alias("start"), stop.alias("stop"),
+            )
+
+        return F.transform("kept", one)
+
+    tables = F.struct(analyze.place_table(text).alias("text"), F.length(text).alias("n"), *([analyze.place_table(F.col("src")).alias("src")] if lineage else []))
+    found = F.when(F.size("kept") > 0, let(tables, lambda t: finished(t["text"], t["src"] if lineage else t["text"], t["n"])))
+    return rows.select("doc_id", F.inline(found))
+
+
+ITEM = "struct<start: int, neg: int, rule_ord: int, doc_level: boolean, n: int>"
+
 
-    def cut(a: Column, b: Column) -> Column:
-        return F.substring(text, a + 1, b - a)
+def _doc_level(rule_list: list[dict]) -> Column:
+    return F.array(*(F.lit(n.metric or n.per is not None or n.power is not None) for n in map(rules.notable_of, rule_list)))
 
-    def occurrence(o: Column) -> Column:
-        return F.struct(*place(o["start"], "line", "col"), cut(o["start"], o["stop"]).alias("match"), analyze.window_around(text, o["start"], o["stop"]).alias("context"))
 
-    value = shown(F.col("v.value"))
-    where = F.concat_ws(" ", "v.bound", _number(F.col("v.limit")))
-    count, words = F.col("v.n").cast("long"), F.col("v.rate_words")
-    detail = F.when(F.col("r.metric"), F.concat(F.col("v.sentences").cast("string"), F.lit(" sentences averaging "), F.floor(words / F.col("v.sentences") + 0.5).cast("string"), F.lit(" words")))
+def _told(r: Column, v: Column) -> tuple[Column, Column]:
+    """A4: (measure, rate) of a document-level verdict v of the rule r, in the statistics of its row."""
+    value, count, words, sentences = shown(v["value"]), v["n"].cast("long"), F.col("rate_words"), F.col("rhythm_sentences")
+    where = F.concat_ws(" ", v["bound"], _number(v["limit"]))
+    detail = F.when(r["metric"], F.concat(sentences.cast("string"), F.lit(" sentences averaging "), F.floor(words / sentences + 0.5).cast("string"), F.lit(" words")))
     measure = (
-        F.when(F.col("r.metric"), F.concat(detail, F.lit(", variation "), _number(value), F.lit(" "), where))
-        .when(F.col("r.power").isNotNull(), F.concat_ws(" ", count.cast("string"), F.lit("different"), "r.unit", F.lit("in"), F.concat(words.cast("string"), F.lit(",")), _number(value), F.lit("length-adjusted"), where))
-        .otherwise(F.concat_ws(" ", count.cast("string"), F.lit("in"), words.cast("string"), F.concat("r.unit", F.lit(",")), _number(value), F.lit("per"), _number(F.col("r.per")), where))
+        F.when(r["metric"], F.concat(detail, F.lit(", variation "), _number(value), F.lit(" "), where))
+        .when(r["power"].isNotNull(), F.concat_ws(" ", count.cast("string"), F.lit("different"), r["unit"], F.lit("in"), F.concat(words.cast("string"), F.lit(",")), _number(value), F.lit("length-adjusted"), where))
+        .otherwise(F.concat_ws(" ", count.cast("string"), F.lit("in"), words.cast("string"), F.concat(r["unit"], F.lit(",")), _number(value), F.lit("per"), _number(r["per"]), where))
     )
-    fields = {"value": value, "per": F.col("r.per"), "power": F.col("r.power"), "unit": F.col("r.unit"), "op": F.col("v.bound"), "threshold": F.col("v.limit"), "count": count, "words": words, "detail": detail, "kind": F.when(F.col("r.metric"), "variation").otherwise("rate")}
-    rate = F.named_struct(*(x for k, v in fields.items() for x in (F.lit(k), v)))
-    only = lambda x: F.when(F.col("doc_level"), x)
-    return rows.select(
-        "doc_id", *place(F.col("start"), "line", "col"), *place(F.col("stop"), "end_line", "end_col"),
-        "rule", "r.set", "r.severity", "r.name", "r.why", "r.suggest", "count", cut(F.col("start"), F.col("stop")).alias("match"),
-        analyze.sentence_around(text, F.col("start"), F.col("stop")).alias("sentence"),
-        "doc_level", only(measure).alias("measure"), only(rate).alias("rate"), F.transform("spans", occurrence).alias("occurrences"), "rule_ord", "start", "stop",
-    )
+    fields = {"value": value, "per": r["per"], "power": r["power"], "unit": r["unit"], "op": v["bound"], "threshold": v["limit"], "count": count, "words": words, "detail": detail, "kind": F.when(r["metric"], "variation").otherwise("rate")}
+    return measure, F.named_struct(*(x for k, y in fields.items() for x in (F.lit(k), y)))
 
 
 def navigation(found: DataFrame, save) -> DataFrame:

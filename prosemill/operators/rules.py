@@ -13,13 +13,12 @@ import hashlib
 import json
 import re
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.needles import may_match
-from ..functions.text import java_pattern
+from ..functions.text import java_pattern, let
 from . import detect
 from .verdict import Notable, doc_stats
 
@@ -139,10 +138,46 @@ def merge_config(config: dict, flags: dict) -> dict:
     return out
 
 
+SPAN = "struct<start: int, stop: int, n: int>"
+
+
+def run_spans(text: Column, m: dict) -> Column:
+    """M4 M6 M7: runs of neighbouring sentences, as array<struct<start, stop, n, ...>>."""
+    if m["kind"] == "echo":
+        return detect.echo_runs(text, m.get("minGram", 4), m.get("minRun", 2), m.get("anchored") or None, m.get("minFuncWords", 0), m.get("minShare", 0))
+    if m["kind"] == "anaphora":
+        return detect.anaphora_runs(text, m.get("minRun", 3))
+    return detect.frame_runs(text, m.get("gram", 8), m.get("minRun", 3), m.get("anchors", 2), m.get("minLetters", 13), m.get("letterRatio", 0.62))
+
+
+def spans_of(rule: dict) -> Column:
+    """array<SPAN> of a rule in the columns text and lowered; n is null where a match counts once. A metric has none."""
+    m, text = rule["match"], F.col("text")
+    nothing = F.expr(f"cast(array() as array<{SPAN}>)")
+    if m["kind"] == "rhythm":
+        return nothing
+    if m["kind"] in FRAME_KINDS:
+        found = run_spans(text, m)
+    elif m["kind"] == "question-chain":
+        found = F.when(F.contains(text, F.lit("?")), detect.question_chain(text, m.get("minRun", 2)))
+    elif m["kind"] == "chain":
+        found = detect.chain(text, m["pattern"], m["headTest"])
+    else:
+        found = detect.regex(text, m["pattern"], "i" in m.get("flags", ""))
+        if m.get("distinct"):
+            found = let(found, lambda f: let(F.transform(f, lambda o: F.lower(o["value"])), lambda low: F.filter(f, lambda o, i: F.array_position(low, F.lower(o["value"])) == i + 1)))
+    count = (lambda o: F.lit(None)) if m["kind"] == "regex" else (lambda o: o["n"])
+    spans = F.transform(found, lambda o: F.struct(o["start"].alias("start"), o["stop"].alias("stop"), count(o).cast("int").alias("n")))
+    possible = may_match(F.col("lowered"), m["pattern"]) if m["kind"] in ("regex", "chain") else None
+    return F.coalesce(spans if possible is None else F.when(possible, spans), nothing)
+
+
 def _counted(kind: str, rule: dict) -> Column:
     m, text = rule["match"], F.col("text")
     if kind == "rhythm":
         return detect.rhythm(text, m.get("minSentenceWords", 1), m.get("maxSentenceWords", 200))[0]
+    if kind in FRAME_KINDS:
+        return F.size(run_spans(text, m))
     if kind == "question-chain":
         return F.when(F.contains(text, F.lit("?")), F.size(detect.question_chain(text, m.get("minRun", 2)))).otherwise(0)
     if kind == "chain":
@@ -155,14 +190,6 @@ def _counted(kind: str, rule: dict) -> Column:
     return n if possible is None else F.when(possible, n).otherwise(0)
 
 
-def run_rows(docs: DataFrame, m: dict) -> DataFrame:
-    if m["kind"] == "echo":
-        return detect.echo(docs, m.get("minGram", 4), m.get("minRun", 2), m.get("anchored") or None, m.get("minFuncWords", 0), m.get("minShare", 0))
-    if m["kind"] == "anaphora":
-        return detect.anaphora(docs, m.get("minRun", 3))
-    return detect.frames(docs, m.get("gram", 8), m.get("minRun", 3), m.get("anchors", 2), m.get("minLetters", 13), m.get("letterRatio", 0.62))
-
-
 TERMS = "rule string, metric boolean, gt double, ge double, lt double, le double, per double, power double, words double, sentences double, share double, matches double"
 
 
@@ -175,50 +202,60 @@ def _terms(rule: dict) -> Column:
     return F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in zip(names, values)) + ")")
 
 
+def terms(rules: list[dict]) -> Column:
+    """The rules' bounds as one constant array."""
+    return F.array(*map(_terms, rules))
+
+
+def with_stats(docs: DataFrame, rules: list[dict]) -> DataFrame:
+    """docs with statistics, the lowered text and the sentences of the rhythm, which are counted where a rule measures them alone."""
+    sentences = detect.rhythm(F.col("text"))[1] if any(r["match"]["kind"] == "rhythm" for r in rules) else F.lit(None)
+    return doc_stats(docs).withColumn("lowered", F.lower("text")).withColumn("rhythm_sentences", sentences.cast("int"))
+
+
 def counts(docs: DataFrame, rules: list[dict]) -> DataFrame:
     """doc_id, statistics and n, the count (or metric) of every rule in order.
 
-    One scan serves all column rules: each count is made once, and only in texts
-    that hold a needle of its pattern. The run rules share one aggregation and one join.
+    One scan serves all rules, and nothing is shuffled: each count is made once, and only in texts that hold a needle
+    of its pattern.
     """
-    run = [k for k, r in enumerate(rules) if r["match"]["kind"] in FRAME_KINDS]
-    rows = doc_stats(docs).withColumn("lowered", F.lower("text"))
-    n = F.array(*(F.lit(0.0) if k in run else _counted(r["match"]["kind"], r).cast("double") for k, r in enumerate(rules)))
-    # sentences are counted where a rule measures them alone
-    sentences = detect.rhythm(F.col("text"))[1] if any(r["match"]["kind"] == "rhythm" for r in rules) else F.lit(None)
-    rows = rows.select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", sentences.cast("int").alias("rhythm_sentences"), n.alias("n"))
-    if not run:
-        return rows
-    found = reduce(DataFrame.unionByName, (run_rows(docs, rules[k]["match"]).select("doc_id", F.lit(k).alias("k")) for k in run))
-    each = found.groupBy("doc_id").agg(*(F.sum((F.col("k") == k).cast("double")).alias(f"run_{k}") for k in run))
-    held = F.transform("n", lambda x, i: reduce(lambda a, k: F.when(i == k, F.coalesce(f"run_{k}", F.lit(0.0))).otherwise(a), run, x))
-    return rows.join(each, "doc_id", "left").select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", "rhythm_sentences", held.alias("n"))
+    n = F.array(*(_counted(r["match"]["kind"], r).cast("double") for r in rules))
+    return with_stats(docs, rules).select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", "rhythm_sentences", n.alias("n"))
+
+
+def verdict(t: Column, n: Column) -> Column:
+    """struct<n, value, bound, limit> of a count n under the terms t, with the statistics of its row; bound is null where the rule does not fire."""
+    words = F.col("rate_words").cast("double")
+    plain = t["metric"] | (t["power"].isNull() & t["per"].isNull())
+    # count / words * per, in this order, is what the bounds were made for
+    rate = F.when(words <= 0, 0.0).when(t["power"].isNotNull(), n / F.pow(words, t["power"])).otherwise(n / words * t["per"])
+    share = F.when(words > 0, F.col("fn_words") / words).otherwise(0.0)
+    ok = (words >= t["words"]) & (F.col("gate_sentences") >= t["sentences"]) & (share >= t["share"]) & (t["metric"] | (n >= t["matches"]))
+
+    def bounded(v: Column) -> Column:
+        tests = [(v > t["gt"], ">", "gt"), (v >= t["ge"], ">=", "ge"), (v < t["lt"], "<", "lt"), (v <= t["le"], "<=", "le")]
+        crossed = F.coalesce(*(F.when(ok & test, F.struct(F.lit(op).alias("bound"), t[limit].alias("limit"))) for test, op, limit in tests))
+        return let(crossed, lambda c: F.struct(n.alias("n"), v.alias("value"), c["bound"].alias("bound"), c["limit"].alias("limit")))
+
+    return let(F.when(plain, n).otherwise(rate), bounded)
 
 
 def judged(docs: DataFrame, rules: list[dict]) -> DataFrame:
     """A1: (doc_id, k, rule, n, rate_words, sentences, value, bound, limit) of every rule (by place k) and document.
 
-    doc_id differs by row; bound is null where the rule does not fire. The rules' bounds travel as one constant array,
-    so one expression judges any number of rules.
+    bound is null where the rule does not fire. The rules' bounds travel as one constant array, so one expression
+    judges any number of rules.
     """
-    rows = counts(docs, rules).select("doc_id", "rate_words", "gate_sentences", "fn_words", "rhythm_sentences", F.posexplode("n").alias("k", "n"))
-    rows = rows.withColumn("t", F.get(F.array(*map(_terms, rules)), F.col("k")))
-    words = F.col("rate_words").cast("double")
-    plain = F.col("t.metric") | (F.col("t.power").isNull() & F.col("t.per").isNull())
-    # count / words * per, in this order, is what the bounds were made for
-    rate = F.when(words <= 0, 0.0).when(F.col("t.power").isNotNull(), F.col("n") / F.pow(words, F.col("t.power"))).otherwise(F.col("n") / words * F.col("t.per"))
-    rows = rows.withColumn("value", F.when(plain, F.col("n")).otherwise(rate))
-    share = F.when(words > 0, F.col("fn_words") / words).otherwise(0.0)
-    ok = (words >= F.col("t.words")) & (F.col("gate_sentences") >= F.col("t.sentences")) & (share >= F.col("t.share"))
-    v = F.col("value")
-    bound = F.coalesce(F.when(v > F.col("t.gt"), ">"), F.when(v >= F.col("t.ge"), ">="), F.when(v < F.col("t.lt"), "<"), F.when(v <= F.col("t.le"), "<="))
-    rows = rows.withColumn("bound", F.when(ok & (F.col("t.metric") | (F.col("n") >= F.col("t.matches"))), bound))
-    limit = F.when(F.col("bound") == ">", F.col("t.gt")).when(F.col("bound") == ">=", F.col("t.ge")).when(F.col("bound") == "<", F.col("t.lt")).when(F.col("bound") == "<=", F.col("t.le"))
-    return rows.select("doc_id", "k", F.col("t.rule").alias("rule"), "n", "rate_words", F.col("rhythm_sentences").alias("sentences"), "value", "bound", limit.alias("limit"))
+    def one(t: Column, k: Column, n: Column) -> Column:
+        said = lambda v: F.struct(k.alias("k"), t["rule"].alias("rule"), v["n"].alias("n"), F.col("rate_words").alias("rate_words"), F.col("rhythm_sentences").alias("sentences"), v["value"].alias("value"), v["bound"].alias("bound"), v["limit"].alias("limit"))
+        return let(verdict(t, F.get(n, k)), said)
+
+    # n is bound outside: put into the lambda by the planner, all counts would be made again for each rule
+    return counts(docs, rules).select("doc_id", F.inline(let(F.col("n"), lambda n: F.transform(terms(rules), lambda t, k: one(t, k, n)))))
 
 
 def evaluate(docs: DataFrame, rules: list[dict]) -> DataFrame:
-    """A1: (doc_id, rule, value, bound, fires) of every rule and document; doc_id differs by row."""
+    """A1: (doc_id, rule, value, bound, fires) of every rule and document."""
     return judged(docs, rules).select("doc_id", "rule", "value", "bound", F.col("bound").isNotNull().alias("fires"))
 
 

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import COMMON_OPENERS, ENGLISH, FUNCTION_WORDS, RATE_WORD, SPACE, corpus_tokens, first_words, matches
+from ..functions.text import COMMON_OPENERS, ENGLISH, FUNCTION_WORDS, RATE_WORD, SPACE, corpus_tokens, each, first_words, matches
 from ..operators import analyze, corpus, detect, evaluate, library
 from ..operators import rules as rule_sets
 from ..operators.verdict import Notable, crossed, doc_stats, gates, judge, value_of
@@ -425,7 +425,7 @@ def q_redundant(spark, sf_dir):
     """rules that fire on every example of another (division); the examples of a rule are the documents it fires on."""
     fired = F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(k)) for k, p in NESTED.items())), lambda x: x.isNotNull())
     t = docs(spark, sf_dir).select("doc_id", fired.alias("r"))
-    hits = t.select(F.explode("r").alias("example_rule"), F.col("doc_id").alias("example"), "r").select("example_rule", "example", F.explode("r").alias("rule"))
+    hits = t.select(F.explode(each("r")).alias("example_rule"), F.col("doc_id").alias("example"), "r").select("example_rule", "example", F.explode(each("r")).alias("rule"))
     return evaluate.redundant(hits)
 
 
@@ -478,7 +478,7 @@ PLAIN = [r for r in RULES if plain(r)]
 @query("rule_match_counts", f"with {D}, c as (" + " union all ".join(f"select doc_id, '{r['id']}' as rule, cast(len(regexp_extract_all(text, '{re2(r)}')) as bigint) n from d" for r in PLAIN) + ") select doc_id, rule, n from c where n > 0")
 def q_rule_counts(spark, sf_dir):
     """M1 A1: matches of the bundled rules without look-around, for every document with any."""
-    rows = rule_sets.counts(docs(spark, sf_dir), PLAIN).select("doc_id", F.posexplode("n").alias("k", "n")).where("n > 0")
+    rows = rule_sets.counts(docs(spark, sf_dir), PLAIN).select("doc_id", F.posexplode(each("n")).alias("k", "n")).where("n > 0")
     return rows.select("doc_id", F.get(F.array(*(F.lit(r["id"]) for r in PLAIN)), F.col("k")).alias("rule"), F.col("n").cast("long").alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import RATE_WORD
+from ..functions.text import RATE_WORD, let
 from ..operators import analyze, detect, evaluate, findings, publish, rules, selftest
 from ..operators.verdict import doc_stats
 from ..sources.files import findings_annotations, findings_tsv, saved, spread
@@ -43,20 +43,29 @@ def sentence_sql(a: str, b: str) -> str:
     return f"regexp_replace(regexp_extract(substr(text, 1, {a}), '[^\\n.!?…]*$'), '^\\s+', '') || substr(text, {a} + 1, {b} - {a}) || regexp_extract(substr(text, {b} + 1), '^[^\\n.!?…]*(?:[.!?…][\"''”’)\\]]*)?')"
 
 
+def _each(rows, pattern, told):
+    """doc_id and the fields of told(table of places, length of the text, match) for every match, made inside the row of its text."""
+    found = rows.withColumn("o", detect.regex(F.col("text"), pattern, False))
+    made = F.when(F.size("o") > 0, let(F.struct(analyze.place_table(F.col("text")).alias("t"), F.length("text").alias("n")), lambda x: F.transform("o", lambda o: told(x["t"], x["n"], o))))
+    return found.select("doc_id", F.inline(made))
+
+
 @query("line_positions", f"with {D}, {PLACES.format(p='[|]')} select doc_id, cast(stop - n as int) as off, {line_sql('stop - n')} line, {col_sql('stop - n')} col from o")
 def q_lines(spark, sf_dir):
     """Line and column of every table mark."""
-    t = docs(spark, sf_dir).select("doc_id", "text", F.explode(detect.regex(F.col("text"), r"\|", False)).alias("o"))
-    line, col = analyze.line_col(F.col("text"), F.col("o.start"))
-    return t.select("doc_id", F.col("o.start").alias("off"), line.alias("line"), col.alias("col"))
+
+    def place(table, start):
+        line, col = analyze.line_col(table, start)
+        return F.struct(start.alias("off"), line.alias("line"), col.alias("col"))
+
+    return _each(docs(spark, sf_dir), r"\|", lambda table, _, o: place(table, o["start"]))
 
 
 @query("sentence_context", f"""with {D}, {PLACES.format(p='[A-Z]+!!')}, w as (select *, stop - n a, greatest(stop - n - 34, 0) lo, least(stop + 34, length(text)) hi from o)
 select doc_id, cast(a as int) as "start", {sentence_sql('a', 'stop')} sentence, case when lo > 0 then '…' else '' end || trim(regexp_replace(substr(text, lo + 1, hi - lo), '\\s+', ' ', 'g')) || case when hi < length(text) then '…' else '' end context from w""")
 def q_context(spark, sf_dir):
     """The sentence and the window around every shout."""
-    t = docs(spark, sf_dir).select("doc_id", "text", F.explode(detect.regex(F.col("text"), "[A-Z]+!!", False)).alias("o"))
-    return t.select("doc_id", F.col("o.start").alias("start"), analyze.sentence_around(F.col("text"), F.col("o.start"), F.col("o.stop")).alias("sentence"), analyze.window_around(F.col("text"), F.col("o.start"), F.col("o.stop")).alias("context"))
+    return _each(docs(spark, sf_dir), "[A-Z]+!!", lambda table, n, o: F.struct(o["start"].alias("start"), analyze.sentence_around(table, n, o["start"], o["stop"]).alias("sentence"), analyze.window_around(table, n, o["start"], o["stop"]).alias("context")))
 
 
 FOUND_SQL = f"""{STATS}, r(rule, rule_ord, p) as (values ('shout', 0, '[A-Z]+!!'), ('the-word', 1, 'the [a-z]+'), ('percent-run', 2, '%%%'), ('long-word', 3, '[a-z]{{12,}}')),
@@ -85,13 +94,13 @@ def q_findings(spark, sf_dir):
 @query("findings_by_rule", f"with {FOUND_SQL} select rule, count(*) n, count(distinct doc_id) files from fd group by rule")
 def q_by_rule(spark, sf_dir):
     """Findings by rule, and the files that hold them."""
-    return found(spark, sf_dir).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("files"))
+    return findings.kept_spans(docs(spark, sf_dir), RULES).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("files"))
 
 
 @query("finding_navigation", f"""with {FOUND_SQL}, nv as (select doc_id, "start", rule_ord, lag(doc_id) over w pd, lag("start") over w ps, lead(doc_id) over w nd, lead("start") over w ns from fd window w as (order by doc_id, "start", rule_ord)) select doc_id, cast("start" as int) as "start", cast(rule_ord as int) rule_ord, pd before_doc, cast(ps as int) before_start, nd after_doc, cast(ns as int) after_start from nv""")
 def q_navigation(spark, sf_dir):
     """Every finding with the places of the ones before and after it, across documents."""
-    nav = findings.navigation(found(spark, sf_dir), lambda df: saved(df, "navigation"))
+    nav = findings.navigation(findings.kept_spans(docs(spark, sf_dir), RULES), lambda df: saved(df, "navigation"))
     return nav.select("doc_id", "start", "rule_ord", F.col("before.doc_id").alias("before_doc"), F.col("before.start").alias("before_start"), F.col("after.doc_id").alias("after_doc"), F.col("after.start").alias("after_start"))
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from prosemill.functions import text as T
 from prosemill.functions.text import java_pattern
 from prosemill.operators import analyze, corpus, detect
 from prosemill.operators.verdict import Notable, doc_stats, judge
@@ -135,3 +136,28 @@ def test_plain_wraps_long_lines():
     text, runs = extract_plain(src)
     assert max(map(len, text.split("\n"))) <= 2000 and text.replace("\n", "") == src.replace("\n", "")
     assert all(fixed or text[o : o + n] == src[s : s + n] for o, s, n, fixed in runs)
+
+
+def test_a_million_matches_in_one_text(spark):
+    """Places come in one pass: a row of a million matches is a matter of seconds, not of its square."""
+    d = spark.createDataFrame([("ab, " * 1_000_000,), ("",), (None,), ("a,b" * 33,), (",",)], "text string")
+    found = d.select(T.occurrences(F.col("text"), ",").alias("o")).select(F.size("o").alias("n"), F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("sum"), F.try_element_at("o", F.lit(-1))["start"].alias("last"))
+    n = 1_000_000
+    assert sorted(map(tuple, found.where("n is not null").collect())) == sorted([(n, sum(range(2, 4 * n, 4)), 4 * n - 2), (0, 0, None), (33, sum(range(1, 99, 3)), 97), (1, 0, 0)])
+    assert found.where("n is null").count() == 1
+
+
+def test_fold_carries_its_state_over_pieces(spark):
+    d = spark.createDataFrame([(list(range(k)),) for k in (0, 1, 31, 32, 33, 1025, 40_000)], "x array<int>")
+    step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.when(x % 2 == 0, F.array_append(a["out"], a["at"])).otherwise(a["out"]).alias("out"))
+    for r in d.select("x", T.fold(F.col("x"), F.lit(5), "int", step).alias("o")).collect():
+        at, want = 5, []
+        for x in r.x:
+            want += [at] * (x % 2 == 0)
+            at += x
+        assert r.o == want
+
+
+def test_many_runs_in_one_text(spark):
+    d = spark.createDataFrame([(1, "Cats sleep. Cats eat. Cats run.\n\n\n\n\nDogs bark. " * 3000)], "doc_id long, text string")
+    assert detect.anaphora(d).count() == 3000

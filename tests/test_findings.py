@@ -52,3 +52,27 @@ def test_overlaps_collapse_and_reports_are_json(spark):
     assert [f["rule"] for f in lines["1"]["findings"]] == ["long", "short", "list", "list"] and lines["2"] == {"file": "2", "words": 1, "findings": []}
     assert lines[None]["total"] == 4 and lines[None]["per1000"] == 500.0 and lines[None]["vocabularies"] == {"list": words}
     assert findings.vocabulary_of(rs[0]) is None
+
+
+def test_places_in_long_texts_with_many_findings(spark):
+    """A text of 300,000 characters and 60,000 findings, lines and sentences of any length, against Python."""
+    import re
+    import random
+
+    rng = random.Random(1)
+    parts = [rng.choice(["bad ", "x" * rng.choice([1, 200, 700]) + " ", "ok.", "\n", "é😀 ", "bad!”) ", "…"]) for _ in range(8000)]
+    text = "".join(parts) + "bad" + "?" + "”" * 600 + " bad"
+    rs = made({"id": "bad", "match": {"kind": "regex", "pattern": "bad"}, "notable": {">": 0}})
+    d = spark.createDataFrame([(None, text), (None, "bad"), (3, "bad. " * 50_000), (3, "")], "doc_id long, text string")
+    got = findings.assemble(d, rs).select("doc_id", "line", "col", "sentence", "start").collect()
+    assert sum(r.doc_id == 3 for r in got) == 50_000
+    mine = sorted((r.start, r.line, r.col, r.sentence) for r in got if r.doc_id is None)
+
+    def want(t):
+        for m in re.finditer("bad", t):
+            a, b = m.span()
+            head = re.sub(r"\A\s+", "", t[max(t.rfind(c, 0, a) for c in "\n.!?…") + 1 : a])
+            tail = re.match(r"""[^\n.!?…]*(?:[.!?…]["'”’)\]]*)?""", t[b:])[0]
+            yield a, t.count("\n", 0, a) + 1, a - t.rfind("\n", 0, a), head + "bad" + tail
+
+    assert mine == sorted([*want(text), *want("bad")])
