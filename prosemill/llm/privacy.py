@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold, let, occurrences
+from ..operators.analyze import cut, pieces_of
 from .common import saved
 
 # The patterns of the four kinds, in the order in which they are listed.
@@ -40,17 +42,7 @@ SPAN = "array<struct<start: int, stop: int, value: string>>"
 
 def located(text: str, pattern: Column) -> Column:
     """All matches in the text column, in order, with their offsets (0-based, end exclusive)."""
-    m, gaps = F.regexp_extract_all(F.col(text), pattern, F.lit(0)), F.split(F.col(text), pattern, -1)
-    # one pass: every match follows its gap
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        here = a["at"] + F.length(x["gaps"])
-        stop = here + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.array_append(a["out"], F.struct(here.alias("start"), stop.alias("stop"), x["m"].alias("value"))).alias("out"))
-
-    zipped = F.filter(F.arrays_zip(m.alias("m"), gaps.alias("gaps")), lambda x: x["m"].isNotNull())
-    return F.aggregate(zipped, start, step, lambda a: a["out"])
+    return occurrences(F.col(text), pattern)
 
 
 def _digits(x: Column) -> Column:
@@ -103,13 +95,19 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _cleared(spans: Column) -> Column:
     """The text with each span replaced by its mark; of overlapping spans the first, then the longest, counts."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    kind = "struct<start: int, last: int, mark: string>"
 
     def step(a: Column, x: Column) -> Column:
         clear = x["start"] >= a["at"]
-        return F.struct(F.when(clear, -x["last"]).otherwise(a["at"]).alias("at"), F.when(clear, F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), x["mark"])).otherwise(a["out"]).alias("out"))
+        return F.when(clear, F.struct((-x["last"]).alias("at"), F.array_append(a["out"], x).alias("out"))).otherwise(a)
+
+    def joined(text: Column, kept: Column) -> Column:
+        # what lies before each span, and its mark; the text is cut by its pieces, so that no cut walks through it
+        gaps = F.transform(kept, lambda x, i: F.concat(cut(text["pieces"], F.coalesce(-F.get(kept, i - 1)["last"], F.lit(0)), x["start"]), x["mark"]))
+        return F.concat(F.array_join(gaps, ""), cut(text["pieces"], F.coalesce(-F.try_element_at(kept, F.lit(-1))["last"], F.lit(0)), text["n"]))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    kept = fold(F.array_sort(spans), F.lit(0), kind, step)
+    return let(F.struct(pieces_of(F.col("text")).alias("pieces"), F.length("text").alias("n")), lambda text: let(kept, lambda k: joined(text, k)))
 
 
 def _terms() -> Column:

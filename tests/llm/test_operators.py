@@ -501,3 +501,15 @@ def test_distance_is_bounded(spark):
     q = quality_rules._js("array(1L, 0L)", "array(0L, 1L)"), quality_rules._js("array(2L, 2L)", "array(1L, 1L)"), quality_rules._js("array(0L, 0L)", "array(1L, 1L)")
     a, b, c = spark.sql(f"select {q[0]} a, {q[1]} b, {q[2]} c").first()
     assert a == pytest.approx(1) and b == pytest.approx(0) and c == 0
+
+
+def test_many_private_values_in_one_text(spark):
+    """Spans and what lies outside them come in one pass over a long row."""
+    n = 40_000
+    text = "".join(f"write to u{i}@host.example or " for i in range(n))
+    d = spark.createDataFrame([(1, text), (2, "no data"), (None, None)], "doc_id long, text string")
+    found = privacy.find_private(d)
+    r = found.where("doc_id = 1").select(F.size("s_email").alias("n"), F.element_at("s_email", -1)["stop"].alias("last")).head()
+    assert (r.n, r.last) == (n, len(text) - len(" or "))
+    clean = {r.doc_id: r.text for r in privacy.sanitise(found).collect()}
+    assert clean == {1: "write to [EMAIL] or " * n, 2: "no data", None: ""}
