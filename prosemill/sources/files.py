@@ -3,26 +3,42 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
-import zipfile
+from itertools import batched, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line
+from . import zips
 
 # File extensions of prose.
 EXTENSIONS = "md markdown mdown mdx html htm xhtml txt text rst".split()
 KIND = {"html": "html", "htm": "html", "xhtml": "html", "txt": "txt", "text": "txt", "rst": "txt"}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Our folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a folder of this machine serves a local session, as in tests; on a cluster it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="prosemill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/prosemill"
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the folder named in spark.checkpoint.dir and read it back; a local folder only where that is unset."""
+    """Write df to the folder named in spark.checkpoint.dir and read it back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="prosemill-")
-    path = f"{base.rstrip('/')}/prosemill/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,21 +68,67 @@ def read_folder(spark: SparkSession, path: str, exclude: list[str] | None = None
     return kind_of(files)
 
 
-def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Prose entries of zip archives, one task an archive, entries streamed."""
+def zip_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, name, method, flags, crc, packed, size, header) of the prose entries of archives, from their directories alone.
 
-    def entries(frames):
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for e in z.infolist():
-                        parts = e.filename.split("/")
-                        if not e.is_dir() and "__MACOSX" not in parts and not parts[-1].startswith(".") and parts[-1].rpartition(".")[2].lower() in EXTENSIONS:
-                            rows.append((f"{name}!{e.filename}", z.read(e).decode("utf-8", "replace").removeprefix("﻿")))
-                yield pd.DataFrame(rows, columns=["name", "src"])
-
-    return kind_of(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "name string, src string"))
+    path may name several archives, as a glob does. Folders, dot files, what macOS adds and other kinds are left out.
+    """
+    fields = "name string, method int, flags int, crc long, packed long, size long, header long"
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+
+    def listed(batches):
+        for batch in batches:
+            for archive in batch.column(0).to_pylist():
+                fs, name = zips.filesystem(archive)
+                with fs.open_input_file(name) as f:
+                    for some in batched(zips.directory(f, f.size()), 10_000):
+                        columns = zip(*some, strict=True)
+                        yield pa.RecordBatch.from_pydict({"archive": pa.array([archive] * len(some))} | {t.split()[0]: pa.array(c, kinds[t.split()[1]]) for t, c in zip(fields.split(", "), columns, strict=True)})
+
+    archives = spark.read.format("binaryFile").load(path).select("path")  # names alone: no archive is read here
+    leaf = F.element_at(F.split("name", "/"), -1)
+    prose = F.lower(leaf).rlike(r"\.(?:" + "|".join(EXTENSIONS) + r")\z") & ~leaf.startswith(".") & ~F.array_contains(F.split("name", "/"), "__MACOSX")
+    return archives.mapInArrow(listed, f"archive string, {fields}").where(prose)
+
+
+def read_zip(spark: SparkSession, path: str, least: int = 1 << 16, most: int = 1 << 25) -> DataFrame:
+    """(name, src, kind) of the prose entries of zip archives, Zip64 included.
+
+    Entries are dealt over the tasks by the byte range in which they lie, so one archive is read by all of them, each
+    holding one entry at a time. Ranges have least to most bytes. Where only Spark's readers reach the archives, each
+    is one task that streams its entries.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    total, one = listed.agg(F.coalesce(F.sum("length"), F.lit(0)), F.min("path")).head()
+    if one is None or zips.filesystem(one) is None:
+        return kind_of(listed.select("path", "content").mapInPandas(_whole_archives, "name string, src string"))
+    cores = spark.sparkContext.defaultParallelism
+    n = max(cores, -(-total // most))
+    span = min(most, max(least, total // (4 * n)))
+
+    def read(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for archive, some in groupby(rows, key=lambda r: r["archive"]):
+                fs, place = zips.filesystem(archive)
+                with fs.open_input_file(place) as f:
+                    for r in some:
+                        text = zips.read_entry(f, zips.Entry(*(r[k] for k in zips.Entry._fields))).decode("utf-8", "replace").removeprefix("\ufeff")
+                        yield pa.RecordBatch.from_pydict({"name": pa.array([f"{archive}!{r['name']}"]), "src": pa.array([text])})
+
+    entries = zip_entries(spark, path).withColumn("range", F.floor(F.col("header") / span))
+    dealt = entries.repartition(n, "archive", "range").sortWithinPartitions("archive", "header").drop("range")
+    return kind_of(dealt.mapInArrow(read, "name string, src string"))
+
+
+def _whole_archives(frames):
+    for frame in frames:
+        for name, content in zip(frame["path"], frame["content"], strict=True):
+            f = io.BytesIO(content)
+            for e in zips.directory(f, len(content)):
+                parts = e.name.split("/")
+                if "__MACOSX" not in parts and not parts[-1].startswith(".") and "." in parts[-1] and parts[-1].rpartition(".")[2].lower() in EXTENSIONS:
+                    yield pd.DataFrame([(f"{name}!{e.name}", zips.read_entry(f, e).decode("utf-8", "replace").removeprefix("\ufeff"))], columns=["name", "src"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame | None:

@@ -77,8 +77,12 @@ def _packed(data: bytes) -> str:
     return base64.urlsafe_b64encode(gzip.compress(data, mtime=0)).decode().rstrip("=")
 
 
+def _bytes(data: str) -> bytes:
+    return base64.urlsafe_b64decode(data + "=" * (-len(data) % 4))
+
+
 def _unpacked(data: str) -> bytes:
-    return gzip.decompress(base64.urlsafe_b64decode(data + "=" * (-len(data) % 4)))
+    return gzip.decompress(_bytes(data))
 
 
 def share_link(base: str, sources: list[tuple[str, str, str]], select: list[str] = (), ignore: list[str] = (), rules: list[str] = ()) -> tuple[str, bool]:
@@ -95,20 +99,20 @@ def share_link(base: str, sources: list[tuple[str, str, str]], select: list[str]
 
 
 def read_payload(spark: SparkSession, link: str, opener=None) -> tuple[DataFrame, dict]:
-    """The sources a link carries (text, gz, bundle or url), and its select, ignore and rules."""
+    """The sources a link carries (the first of bundle, gz, text and url; all but url in base64url), and its select, ignore and rules."""
     from .report import read_url
 
     got = parse_qs(link.partition("#")[2], keep_blank_values=True)
     one = lambda k, other="": got.get(k, [other])[0]
     options = {"select": [x for x in one("select").split(",") if x], "ignore": [x for x in one("ignore").split(",") if x], "rules": got.get("rules", [])}
     schema = "name string, src string, kind string"
-    if "bundle" in got:
+    if one("bundle"):
         rows = [(d["name"], d["src"], d.get("kind", "md")) for d in json.loads(_unpacked(one("bundle")))]
-    elif "url" in got:
-        return read_url(spark, one("url"), opener), options
-    elif "gz" in got or "text" in got:
-        src = _unpacked(one("gz")).decode() if "gz" in got else one("text")
+    elif one("gz") or one("text"):
+        src = (_unpacked(one("gz")) if one("gz") else _bytes(one("text"))).decode("utf-8", "replace")
         rows = [(one("name", "shared"), src, one("kind", "md"))]
+    elif one("url"):
+        return read_url(spark, one("url"), opener), options
     else:
         rows = []
     return spark.createDataFrame(rows, schema), options
@@ -181,8 +185,13 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
     What is no such object, or of an older shape, has no rows.
     """
+    return parsed_snapshots(spark.read.text(path, wholetext=True))
+
+
+def parsed_snapshots(files: DataFrame) -> DataFrame:
+    """The same of a table with the files' texts in the column value."""
     schema = "generated string, components array<struct<lead: boolean, word_list: array<string>>>"
     body = F.regexp_replace(F.regexp_extract("value", r"(?s)\{.*", 0), r"\s*;\s*\z", "")
-    d = spark.read.text(path, wholetext=True).select(F.from_json(body, schema).alias("d"))
+    d = files.select(F.from_json(body, schema).alias("d"))
     lead = F.try_element_at(F.filter("d.components", lambda c: c["lead"]), F.lit(1))
     return d.select("d.generated", F.posexplode(lead["word_list"]).alias("at", "word")).select(F.to_date("generated").alias("generated"), "word", (F.col("at") + 1).alias("rank"))

@@ -48,7 +48,10 @@ def test_payloads_come_back(spark):
     assert [tuple(r) for r in rows.collect()] == [("a.md", "héllo", "md")] and options == {"select": ["s"], "ignore": ["i", "j"], "rules": ["http://r/s.json"]} and not one[1]
     many = inputs.share_link("http://x/", [("a", "1", "md"), ("b", "2", "html")])
     assert [tuple(r) for r in inputs.read_payload(spark, many[0])[0].collect()] == [("a", "1", "md"), ("b", "2", "html")]
-    assert inputs.read_payload(spark, "http://x/#text=some%20text&kind=txt")[0].first().src == "some text"
+    assert tuple(inputs.read_payload(spark, "http://x/#text=aGVsbG8gdGhlcmU&kind=txt")[0].first()) == ("shared", "hello there", "txt")
+    assert inputs.read_payload(spark, "http://x/#text=w6kg8J-YgA")[0].first().src == "é 😀"
+    # of several, the bundle comes before gz, gz before text, text before url
+    assert inputs.read_payload(spark, one[0] + "&text=aGVsbG8&url=http%3A%2F%2Fnowhere.invalid")[0].first().src != "hello"
     assert inputs.read_payload(spark, "http://x/")[0].count() == 0
     noise = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=150_000))
     assert inputs.share_link("http://x/", [("a", noise, "md")])[1]

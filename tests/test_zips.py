@@ -78,3 +78,30 @@ def test_empty_archive():
 def test_addresses():
     assert zips.filesystem("file:///tmp/x")[1] == "/tmp/x" and zips.filesystem("file:/tmp/x")[1] == "/tmp/x"
     assert zips.filesystem("nosuch://host/x") is None
+
+
+def test_one_archive_is_read_by_all_tasks(spark, tmp_path):
+    """Ten thousand entries of one archive, dealt by byte range; hidden, foreign and other entries stay out."""
+    from pyspark.sql import functions as F
+
+    from prosemill.sources.files import read_zip, zip_entries
+
+    entries = [(f"d/{i}.md", f"text {i}".encode() * (1 + i % 50), zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED) for i in range(10_000)]
+    others = [(n, b"x", zipfile.ZIP_STORED) for n in ("__MACOSX/a.md", "d/.b.md", "c.png", "d/e/", "md")]
+    (tmp_path / "a.zip").write_bytes(packed(entries + others, wide=True))
+    (tmp_path / "b.zip").write_bytes(packed([("only.HTML", "﻿é".encode(), zipfile.ZIP_STORED)]))
+    (tmp_path / "c.zip").write_bytes(packed([]))
+    got = read_zip(spark, str(tmp_path / "*.zip"), least=1 << 10)
+    back = {r.name.rpartition("!")[2]: (r.src, r.kind) for r in got.collect()}
+    assert back == {n: (d.decode(), "md") for n, d, _ in entries} | {"only.HTML": ("é", "html")}
+    by_task = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) == 4 and max(r["count"] for r in by_task) < 5000
+    assert zip_entries(spark, str(tmp_path / "c.zip")).count() == 0 and read_zip(spark, str(tmp_path / "c.zip")).count() == 0
+
+
+def test_archives_that_only_spark_reaches(spark, tmp_path, monkeypatch):
+    from prosemill.sources import files
+
+    (tmp_path / "a.zip").write_bytes(packed([("a.md", b"alpha", zipfile.ZIP_STORED), ("__MACOSX/a.md", b"x", zipfile.ZIP_STORED)]))
+    monkeypatch.setattr(files.zips, "filesystem", lambda _: None)
+    assert [(r.src, r.kind) for r in files.read_zip(spark, str(tmp_path / "a.zip")).collect()] == [("alpha", "md")]
