@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ENGLISH, corpus_tokens, each
+from ..functions.text import ENGLISH, corpus_tokens, let
 
 # Logins of bots; grammar of attribution lines; sentinels.
 BOT = r"(?i)\[bot\]\z|-bot\z|^dependabot|^renovate|^github-actions|^copilot\z|^pull\z|^truecharts-admin\z"
@@ -74,9 +74,19 @@ def usable(docs: DataFrame, least: int = 25, english: float = 0.12) -> DataFrame
     return t.where((F.size("tokens") >= least) & (F.size(F.filter("tokens", lambda w: w.isin(ENGLISH))) >= english * F.size("tokens")))
 
 
+def word_counts(tokens: Column) -> Column:
+    """array<struct<word, tf>> of an array of words: sorted, and cut where the word changes."""
+
+    def counted(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda w, i: F.when(~F.get(s, i - 1).eqNullSafe(w), i)), lambda i: i.isNotNull())
+        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return let(F.array_sort(tokens), counted)
+
+
 def bag(tokens: DataFrame, *keys: str) -> DataFrame:
-    """(keys, word, tf) from rows with tokens."""
-    return tokens.select(*keys, F.explode(each("tokens")).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
+    """(keys, word, tf) from rows with tokens. Each row is a document of its own and counted inside itself: no shuffle."""
+    return tokens.select(*keys, F.inline(word_counts(F.col("tokens"))))
 
 
 def vocabulary(bags: DataFrame, min_df: int, *within: str) -> DataFrame:
@@ -167,32 +177,18 @@ def per_million(rows: DataFrame, week: str, word: str, n: str, *within: str) ->
 def day_archive(docs: DataFrame, *keep: str, min_df: int = 2, least: int = 5) -> DataFrame:
     """Postings (day, doc_id, keep, word, tf) of documents with enough words of their day's vocabulary.
 
-    docs: day, doc_id, tokens. The long form stands in for day files; write_days() partitions it by day.
+    docs: day, doc_id, tokens.
     """
-    each = bag(docs, "day", "doc_id", *keep)
-    known = each.groupBy("day", "word").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).select("day", "word")
-    cut = each.join(known, ["day", "word"])
-    enough = cut.groupBy("day", "doc_id").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("day", "doc_id")
-    return cut.join(enough, ["day", "doc_id"], "left_semi")
+    return day_postings(bag(docs, "day", "doc_id", *keep), min_df, least)
 
 
-def available_days(archive: DataFrame) -> DataFrame:
-    """The days of an archive, in order."""
-    return archive.select("day").distinct().orderBy("day")
+def day_postings(bags: DataFrame, min_df: int = 2, least: int = 5) -> DataFrame:
+    """Bags (day, doc_id, word, tf, ...) cut to their day's vocabulary, without documents that keep fewer than `least` words.
 
-
-def day_summaries(archive: DataFrame, author: str = "author", flag: str = "signed") -> DataFrame:
-    """By day: documents, words of the vocabulary, and documents and authors of either side."""
-    docs = archive.groupBy("day", "doc_id").agg(F.first(author).alias("author"), F.first(flag).alias("flag"))
-    on, off = F.col("flag"), ~F.col("flag")
-    by = docs.groupBy("day").agg(F.count("*").alias("docs"), F.sum(on.cast("long")).alias("signed_docs"), F.countDistinct(F.when(on, F.col("author"))).alias("signed_authors"), F.countDistinct(F.when(off, F.col("author"))).alias("unsigned_authors"))
-    return by.join(archive.select("day", "word").distinct().groupBy("day").agg(F.count("*").alias("words")), "day")
-
-
-def window_postings(archive: DataFrame, first: str, last: str, min_df: int) -> DataFrame:
-    """The postings of a window of days over one vocabulary, of words in min_df documents of the window."""
-    some = archive.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    return some.join(vocabulary(some, min_df).select("word"), "word")
+    The long form stands in for day files; sources.archive keeps it by day. bags are read twice: give a written table.
+    """
+    cut = bags.join(vocabulary(bags, min_df, "day").select("day", "word"), ["day", "word"])
+    return cut.withColumn("k_", F.count("*").over(Window.partitionBy("day", "doc_id"))).where(F.col("k_") >= least).drop("k_")
 
 
 def window_sample(events: DataFrame, windows: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def sections(**tables: DataFrame) -> DataFrame:
 def page_data(clusters: DataFrame, summaries: DataFrame, history: DataFrame) -> DataFrame:
     """The sections of the page: totals of the sample, its weeks, the clusters, and each word's rank by build.
 
-    clusters as of corpus.clusters_of() with words; summaries of corpus.day_summaries(); history: built, word, rank.
+    clusters as of corpus.clusters_of() with words; summaries of sources.archive.summaries(); history: built, word, rank.
     """
     total = summaries.agg(F.count("*").alias("days"), F.min("day").alias("from"), F.max("day").alias("to"), F.sum("docs").alias("docs"), F.sum("signed_docs").alias("signed_docs"))
     ranks = history.groupBy("word").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("built").cast("string").alias("built"), "rank")))).alias("ranks"))  # one entry a build

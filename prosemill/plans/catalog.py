@@ -490,7 +490,7 @@ def q_rule_findings(spark, sf_dir):
 
 def _all() -> None:
     """Register the queries of the other modules."""
-    from . import corpus_queries, evaluation_queries, findings_queries  # noqa: F401
+    from . import corpus_queries, evaluation_queries, findings_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict:

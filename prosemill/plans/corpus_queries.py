@@ -6,12 +6,15 @@ documents get an attribution block of one of five forms, and ids deal documents
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import corpus_tokens
+from ..functions.text import corpus_tokens, let
 from ..operators import corpus, publish
-from ..sources.files import day_windows
+from ..sources import archive as day_files
+from ..sources.files import day_windows, saved, shared_folder
 from .catalog import BAG_SQL, LIFT_SQL, D, bags, docs, million, query, read
 
 # Own forms of attribution blocks: none, at the end, in front, in the last lines.
@@ -83,8 +86,16 @@ def q_tools(spark, sf_dir):
 
 
 def archive(spark, sf_dir):
-    rows = docs(spark, sf_dir, "source").select("doc_id", F.expr("date_add(date'2024-01-01', cast(doc_id % 28 as int))").alias("day"), F.expr(AUTHOR).alias("author"), F.expr("doc_id % 7 = 0").alias("signed"), corpus_tokens(F.col("text")).alias("tokens"))
-    return corpus.day_archive(rows.where(F.size("tokens") >= 25), "author", "signed")
+    """The path of the table's day archive, which is written once a session and read by day from then on."""
+    source = read(spark, sf_dir, "documents")
+    files = hashlib.sha256("\n".join(sorted(source.inputFiles())).encode()).hexdigest()[:16]
+    path = f"{shared_folder(spark)}/archive-{spark.sparkContext.applicationId}-{files}"
+    if day_files.manifest(spark, path).isEmpty():
+        counted = let(corpus_tokens(F.col("text")), lambda t: F.struct(F.size(t).alias("n"), corpus.word_counts(t).alias("bag")))
+        rows = docs(spark, sf_dir, "source").select("doc_id", F.expr("date_add(date'2024-01-01', cast(doc_id % 28 as int))").alias("day"), F.expr(AUTHOR).alias("author"), F.expr("doc_id % 7 = 0").alias("signed"), counted.alias("c"))
+        bags_ = saved(rows, "bags").where("c.n >= 25").select("day", "doc_id", "author", "signed", F.inline("c.bag"))
+        day_files.write_days(corpus.day_postings(bags_), path)
+    return path
 
 
 TOKENS = """list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(lower(text), 'https?://[^ \\t\\n\\x0B\\f\\r<>"''`)\\]}]+', ' ', 'g'), '<[a-z/!][^<>]*>', ' ', 'g'), '[a-z0-9_/-]*[a-z][a-z0-9_/-]*'), lambda w: regexp_replace(regexp_replace(regexp_replace(w, '^[_/]+', ''), '[_/]+$', ''), '-+$', '')), lambda w: len(regexp_extract_all(w, '[a-z]')) >= 3)"""
@@ -96,13 +107,13 @@ kn as (select day, word from pb group by all having count(*) >= 2), cu as (selec
 @query("day_summaries", f"with {ARCHIVE_SQL} select day, count(distinct doc_id) docs, count(distinct doc_id) filter (signed) signed_docs, count(distinct author) filter (signed) signed_authors, count(distinct author) filter (not signed) unsigned_authors, count(distinct word) words from ar group by day")
 def q_day_summaries(spark, sf_dir):
     """The archive of day postings, summed up by day."""
-    return corpus.day_summaries(archive(spark, sf_dir))
+    return day_files.summaries(spark, archive(spark, sf_dir)).drop("postings")
 
 
 @query("window_vocabulary", f"with {ARCHIVE_SQL} select word, count(*) df, cast(sum(tf) as bigint) tf from ar where day between date '2024-01-05' and date '2024-01-18' group by word having count(*) >= 10")
 def q_window(spark, sf_dir):
     """A fortnight of postings on one vocabulary."""
-    return corpus.window_postings(archive(spark, sf_dir), "2024-01-05", "2024-01-18", 10).groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return day_files.window(spark, archive(spark, sf_dir), "2024-01-05", "2024-01-18", 10).groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("window_sample", """with recursive days as (select distinct cast(ts as date) as day from events),
@@ -206,7 +217,7 @@ def q_sweep(spark, sf_dir):
 @query("weekly_sample", f"with {ARCHIVE_SQL}, dy as (select day, count(distinct doc_id) docs, count(distinct doc_id) filter (signed) signed_docs from ar group by day) select cast(date_trunc('week', day) as date) as \"week\", count(*) as days, cast(sum(docs) as bigint) as docs, cast(sum(signed_docs) as bigint) as signed_docs from dy group by 1")
 def q_weekly_sample(spark, sf_dir):
     """The sampled days by week."""
-    return publish.weekly_sample(corpus.day_summaries(archive(spark, sf_dir)))
+    return publish.weekly_sample(day_files.summaries(spark, archive(spark, sf_dir)))
 
 
 @query("page_sections")
@@ -214,4 +225,4 @@ def q_page(spark, sf_dir):
     """The published sections: sample, weeks, clusters and the words' ranks by build, as JSON lines."""
     groups = corpus.lift_rank(bags(spark, sf_dir), "lang").where("rank <= 20").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words"))
     history = snapshots(spark, sf_dir).select(F.col("generated").alias("built"), F.col("word").cast("string").alias("word"), "rank")
-    return publish.page_data(groups, corpus.day_summaries(archive(spark, sf_dir)), history)
+    return publish.page_data(groups, day_files.summaries(spark, archive(spark, sf_dir)), history)

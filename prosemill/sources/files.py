@@ -164,18 +164,6 @@ def day_windows(days: DataFrame, n: int = 10, minutes: int = 5) -> DataFrame:
     return rows.select("day", "window", (F.col("window") * part + F.floor(milliseconds / 1000)).cast("long").alias("start_second"), F.lit(minutes * 60).cast("long").alias("seconds"))
 
 
-def write_days(df: DataFrame, path: str, force: bool = False) -> None:
-    """K8: write rows by day; days that exist stay unless forced."""
-    spark = df.sparkSession
-    if not force:
-        try:
-            df = df.join(spark.read.parquet(path).select("day").distinct(), "day", "left_anti")
-        except Exception as missing:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-
-
 def findings_tsv() -> Column:
     """K3: file, line, col, rule and match (200 characters at most), separated by tabs."""
     return F.concat_ws("\t", "file", F.col("line").cast("string"), F.col("col").cast("string"), "rule", one_line(F.col("match"), 200))
