@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 #: Five-word windows, similarities and so on are parameters of the operators; this is the one token definition they share.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,13 +26,9 @@ def modest_batches(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that setting is unset (tests)."""
+    """A fresh folder below spark.checkpoint.dir; a local session may leave that unset (tests), a cluster may not."""
     modest_batches(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="prosemill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/prosemill/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:

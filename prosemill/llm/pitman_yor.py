@@ -40,6 +40,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -308,11 +309,21 @@ def added(key: tuple, lists: pa.Table, sent: pa.Table, k: int) -> pa.Table:
     return pa.table({"part": pa.array(parts, pa.int32()), "q": pa.array([key[0].as_py()] * len(parts), pa.int32()), "k": pa.array([k] * len(parts), pa.int32()), "vals": pa.array(blobs, pa.binary())})
 
 
+def block_key(ids: list[int | None], raws: list[bytes]) -> int:
+    """63 bits of a block's ids, lengths and texts: blocks that share a key hold the same rows, each with its own text."""
+    h = xxhash.xxh3_64(repr([(i, len(r)) for i, r in zip(ids, raws, strict=True)]).encode())
+    h.update(b"".join(raws))
+    return h.intdigest() >> 1
+
+
 def bucketed(df: DataFrame, n: int, key: str, tag: str) -> DataFrame:
-    """df as a table in n buckets by key, in the shared folder."""
-    name = f"prosemill_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", scratch(df.sparkSession, tag)).option("compression", "none").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    """df as files in n buckets by key, in the shared folder; only their writing needs a name, which goes at once."""
+    spark, name = df.sparkSession, f"prosemill_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", scratch(spark, tag)).option("compression", "none").format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved to its files and buckets by now
+    spark.sql(f"DROP TABLE {name}")  # a table with a path of its own leaves its files
+    return table
 
 
 def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_strength: float = 10.0, held_out_fold: int = 2, folds: int = 7, block_mb: float = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,7 +364,7 @@ def score(docs: DataFrame, samples: int = 2, strength: float = 1.0, parent_stren
                 own = ids[a:b]
                 away = np.array([zlib.crc32(str("" if i is None else i).encode()) % folds == held_out_fold for i in own])
                 tok, ctx, doc = tokens_of(raws, hash_)
-                block = zlib.crc32(repr(own).encode()) << 31 ^ zlib.crc32(b"".join(raws))
+                block = block_key(own, raws)
                 (ha, hot_word), (hc, hot_ctx) = among(hot, tok), among(hot, ctx)
                 stay = hot_word & hot_ctx
                 known_ids = np.array([0 if i is None else i for i in own], "<i8")

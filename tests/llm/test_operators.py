@@ -513,3 +513,22 @@ def test_many_private_values_in_one_text(spark):
     assert (r.n, r.last) == (n, len(text) - len(" or "))
     clean = {r.doc_id: r.text for r in privacy.sanitise(found).collect()}
     assert clean == {1: "write to [EMAIL] or " * n, 2: "no data", None: ""}
+
+
+def test_blocks_of_other_rows_have_other_keys():
+    """Texts that run into each other, ids that do, and the same of both."""
+    cases = [([None, None], [b"ab c", b"d e f"]), ([None, None], [b"ab cd", b" e f"]), ([1, 2], [b"ab c", b"d e f"]), ([2, 1], [b"ab c", b"d e f"]), ([1], [b"ab cd e f"])]
+    assert len({pitman_yor.block_key(*c) for c in cases}) == len(cases) and pitman_yor.block_key(*cases[0]) == pitman_yor.block_key(*cases[0])
+
+
+def test_scores_of_null_and_repeated_ids(spark):
+    """Blocks whose texts only joined are equal: every row has its own counts; no table is left behind."""
+    before = spark.sql("show tables").count()
+    rows = [(None, "ab c"), (None, "d e f"), (None, "ab cd"), (None, " e f"), (7, "x y"), (7, "x"), (7, " y"), (7, "x y"), (9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(5, "text")
+    got = sorted((r.doc_id, r.n_tokens) for r in pitman_yor.score(d).where("doc_id is not null").collect())
+    assert got == sorted((i, len((t or "").split()) + 1) for i, t in rows if i is not None)
+    # two partitions whose joined texts agree
+    a = spark.createDataFrame(rows[:2], "doc_id long, text string").coalesce(1).union(spark.createDataFrame(rows[2:4], "doc_id long, text string").coalesce(1))
+    assert sorted(r.n_tokens for r in pitman_yor.score(a).collect()) == [3, 3, 3, 4]
+    assert spark.sql("show tables").count() == before
