@@ -97,7 +97,7 @@ def words_of(text: Column) -> Column:
 
 
 #: Folds append to arrays of at most so many items; longer ones are folded in pieces of pieces.
-PIECE, LEVELS = 32, 3
+PIECE, LEVELS = 64, 2
 
 
 def let(x: Column, use) -> Column:

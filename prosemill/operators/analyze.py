@@ -38,12 +38,61 @@ def _order(a: Column, b: Column) -> Column:
     return cases
 
 
-def schedule(priorities: Column) -> Column:
-    """Of array<struct<priority, start, stop>> those that overlap nothing kept before, in reading order."""
-    zero = F.expr("cast(array() as array<struct<priority: int, start: int, neg: int>>)")
-    items = F.array_sort(F.transform(priorities, lambda r: F.struct(r["priority"].alias("priority"), r["start"].alias("start"), (-r["stop"]).alias("neg"))))
-    kept = F.aggregate(items, zero, lambda a, r: F.when(F.exists(a, lambda k: (r["start"] < -k["neg"]) & (k["start"] < -r["neg"])), a).otherwise(F.array_append(a, r)))
-    return F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("start"), (-k["neg"]).alias("stop"), k["priority"].alias("priority"))))
+SPOT = "struct<start: int, neg: int, priority: int>"
+TAGGED = "struct<start: int, own: boolean, neg: int, priority: int>"
+
+
+def schedule(rows: DataFrame, ranges: str, priorities: int = 2) -> DataFrame:
+    """Rows with a column array<struct<priority, start, stop>> cut to those that overlap nothing kept before, in reading order.
+
+    Priorities run from 0. Territory is claimed by priority, then start, then length. A level's ranges are held against
+    what is kept, which is in order and free of overlaps, by a merge of both from either side; what passes is free of
+    itself by one more pass. The passes are columns of their own, as one expression of them all would nest too deep.
+    """
+
+    def from_left(a: Column, x: Column) -> Column:
+        # what is kept passes on its end; a range that begins before the last such end is taken out
+        more = F.array_append(a["out"], x)
+        return F.when(~x["own"], F.struct(F.greatest(a["at"], -x["neg"]).alias("at"), more.alias("out"))).when(x["start"] < a["at"], a).otherwise(F.struct(a["at"].alias("at"), more.alias("out")))
+
+    def from_right(a: Column, x: Column) -> Column:
+        spot = F.struct(*(x[c].alias(c) for c in ("start", "neg", "priority")))
+        return F.when(~x["own"], F.struct(x["start"].alias("at"), a["out"].alias("out"))).when(-x["neg"] > a["at"], a).otherwise(F.struct(a["at"].alias("at"), F.array_append(a["out"], spot).alias("out")))
+
+    def greedy(a: Column, x: Column) -> Column:
+        return F.when(x["start"] < a["at"], a).otherwise(F.struct((-x["neg"]).alias("at"), F.array_append(a["out"], x).alias("out")))
+
+    def tagged(spots: Column, own: bool) -> Column:
+        return F.transform(spots, lambda r: F.struct(r["start"].alias("start"), F.lit(own).alias("own"), r["neg"].alias("neg"), r["priority"].alias("priority")))
+
+    spots = F.transform(ranges, lambda r: F.struct(r["start"].cast("int").alias("start"), (-r["stop"]).cast("int").alias("neg"), r["priority"].cast("int").alias("priority")))
+    rows = rows.withColumn("spots_", spots).withColumn("held_", F.expr(f"cast(array() as array<{SPOT}>)"))
+    for p in range(priorities):
+        mine = F.filter("spots_", _of_priority(p))
+        rows = rows.withColumn("left_", fold(F.array_sort(F.concat(tagged(F.col("held_"), False), tagged(mine, True))), F.lit(-1), TAGGED, from_left))
+        rows = rows.withColumn("free_", F.reverse(fold(F.reverse("left_"), F.lit((1 << 31) - 1), SPOT, from_right)))
+        rows = rows.withColumn("held_", F.array_sort(F.concat("held_", fold(F.array_sort("free_"), F.lit(-1), SPOT, greedy))))
+    kept = F.transform("held_", lambda k: F.struct(k["start"].alias("start"), (-k["neg"]).alias("stop"), k["priority"].alias("priority")))
+    return rows.withColumn(ranges, kept).drop("spots_", "held_", "left_", "free_")
+
+
+def _of_priority(p: int):
+    return lambda r: r["priority"] == p
+
+
+def split_by_line(table: Column, text: Column, kept: Column, keep_blank: bool = False) -> Column:
+    """array<struct<line, start, stop, priority>>: ranges in order, cut at the ends of lines; parts in blank lines go unless kept."""
+
+    def parts(r: Column) -> Column:
+        pieces = F.split(cut(table, r["start"], r["stop"]), "\n", -1)
+        step = lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("stop"), F.rlike(x, F.lit(r"\S")).alias("ink"))).alias("out"))
+        made = fold(pieces, r["start"], "struct<start: int, stop: int, ink: boolean>", step)
+        numbered = let(place(table, r["start"]), lambda p: F.transform(made, lambda x, i: F.struct((p["line"] + i).alias("line"), x["start"].alias("start"), x["stop"].alias("stop"), r["priority"].alias("priority"), x["ink"].alias("ink"), F.when(i == 0, p["col"] - 1).otherwise(0).alias("before"))))
+        whole = lambda x: F.substring_index(F.substring(text, x["start"] - x["before"] + 1, F.length(text)), "\n", 1)
+        return F.filter(numbered, lambda x: (x["stop"] > x["start"]) & (F.lit(keep_blank) | x["ink"] | F.rlike(whole(x), F.lit(r"\S"))))
+
+    slim = lambda x: F.struct(x["line"].alias("line"), x["start"].alias("start"), x["stop"].alias("stop"), x["priority"].alias("priority"))
+    return F.transform(F.flatten(F.transform(kept, parts)), slim)
 
 
 #: Characters in a piece of a text's table.
@@ -60,71 +109,81 @@ def place_table(text: Column) -> Column:
     """A text in pieces of WIDTH characters, by which any place is found without walking through the text.
 
     Each piece has what is known at its start: the newlines before it, where its line and its sentence begin, and
-    where the next terminator lies. Two folds over the pieces make it; bind it with let() and use it for all places.
+    where the next terminator lies; t is the piece with terminators turned to newlines, so that the last one is found
+    from the right. Two folds over the pieces make it; bind it with let() and use it for all places.
     """
-    # terminators turned to newlines, so that the last one is found from the right
-    plain = lambda x: F.translate(x, ".!?…", "\n\n\n\n")
+    plain = F.transform(pieces_of(text), lambda x: F.struct(x["s"].alias("s"), F.translate(x["s"], ".!?…", "\n\n\n\n").alias("t"), x["base"].alias("base"), x["n"].alias("n")))
+
     def after(x: Column, value: Column, before: Column) -> Column:
         return F.when(F.contains(value, F.lit("\n")), x["base"] + x["n"] - F.length(F.substring_index(value, "\n", -1))).otherwise(before)
 
     def forward(a: Column, x: Column) -> Column:
         at, newlines = a["at"], x["n"] - F.length(F.replace(x["s"], F.lit("\n"), F.lit("")))
-        then = F.struct((at["lines"] + newlines).alias("lines"), after(x, x["s"], at["line"]).alias("line"), after(x, plain(x["s"]), at["sentence"]).alias("sentence"))
-        return F.struct(then.alias("at"), F.array_append(a["out"], F.struct(x["s"].alias("s"), at["lines"].alias("lines"), at["line"].alias("line"), at["sentence"].alias("sentence"))).alias("out"))
+        then = F.struct((at["lines"] + newlines).alias("lines"), after(x, x["s"], at["line"]).alias("line"), after(x, x["t"], at["sentence"]).alias("sentence"))
+        return F.struct(then.alias("at"), F.array_append(a["out"], at).alias("out"))
 
     def backward(a: Column, x: Column) -> Column:
-        here = F.when(F.contains(plain(x["s"]), F.lit("\n")), x["base"] + F.length(F.substring_index(plain(x["s"]), "\n", 1))).otherwise(a["at"])
-        return F.struct(here.alias("at"), F.array_append(a["out"], here).alias("out"))
+        here = F.when(F.contains(x["t"], F.lit("\n")), x["base"] + F.length(F.substring_index(x["t"], "\n", 1))).otherwise(a["at"])
+        return let(here, lambda h: F.struct(h.alias("at"), F.array_append(a["out"], h).alias("out")))
 
     def table(p: Column) -> Column:
-        zero = F.struct(*(F.lit(0).alias(c) for c in ("lines", "line", "sentence")))
-        starts = fold(p, zero, "struct<s: string, lines: int, line: int, sentence: int>", forward, "struct<lines: int, line: int, sentence: int>")
+        state = "struct<lines: int, line: int, sentence: int>"
+        starts = fold(p, F.struct(*(F.lit(0).alias(c) for c in ("lines", "line", "sentence"))), state, forward, state)
         ends = F.reverse(fold(F.reverse(p), F.length(text), "int", backward))
-        return F.zip_with(starts, ends, lambda x, e: F.struct(x["s"].alias("s"), x["lines"].alias("lines"), x["line"].alias("line"), x["sentence"].alias("sentence"), e.alias("ends")))
+        known = F.zip_with(starts, ends, lambda x, e: F.struct(x["lines"].alias("lines"), x["line"].alias("line"), x["sentence"].alias("sentence"), e.alias("ends")))
+        return F.zip_with(p, known, lambda x, k: F.struct(x["s"].alias("s"), x["t"].alias("t"), *(k[c].alias(c) for c in ("lines", "line", "sentence", "ends"))))
+
+    return let(plain, table)
 
-    return let(pieces_of(text), table)
 
+def place(table: Column, offset: Column) -> Column:
+    """struct<line, col, sentence, ends> of an offset, by the text's place_table().
 
-def _piece(table: Column, offset: Column, use) -> Column:
-    """use(piece, its first offset, its characters before the offset); the end of the text lies in the last piece."""
-    number = F.least((offset / WIDTH).cast("int"), F.size(table) - 1)
-    return let(F.struct(number.alias("i"), F.get(table, number).alias("p")), lambda x: use(x["p"], x["i"] * WIDTH, F.left(x["p"]["s"], offset - x["i"] * WIDTH)))
+    X9: 1-based line and column. X10: where the sentence that holds the offset begins, and where the first terminator at
+    or after it lies. The end of the text is a place in the last piece.
+    """
+    newline = F.lit("\n")
 
+    def told(x: Column) -> Column:
+        p, base, near = x["p"], x["i"] * WIDTH, offset - x["i"] * WIDTH
+        s, t = F.left(p["s"], near), F.left(p["t"], near)
+        rest = F.substring(p["t"], near + 1, F.lit(WIDTH))
+        line = p["lines"] + near - F.length(F.replace(s, newline, F.lit(""))) + 1
+        col = F.when(F.contains(s, newline), F.length(F.substring_index(s, "\n", -1))).otherwise(offset - p["line"]) + 1
+        sentence = F.when(F.contains(t, newline), offset - F.length(F.substring_index(t, "\n", -1))).otherwise(p["sentence"])
+        ends = F.when(F.contains(rest, newline), offset + F.length(F.substring_index(rest, "\n", 1))).otherwise(F.coalesce(F.get(table, x["i"] + 1)["ends"], base + F.length(p["s"])))
+        return F.struct(line.cast("int").alias("line"), col.cast("int").alias("col"), sentence.alias("sentence"), ends.alias("ends"))
 
-def line_col(table: Column, offset: Column) -> tuple[Column, Column]:
-    """1-based line and column of an offset, by the text's place_table()."""
-    newlines = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    line = _piece(table, offset, lambda p, _, before: p["lines"] + newlines(before) + 1)
-    col = _piece(table, offset, lambda p, _, before: F.when(F.contains(before, F.lit("\n")), F.length(F.substring_index(before, "\n", -1))).otherwise(offset - p["line"]) + 1)
-    return line, col
+    number = F.least(F.floor(offset / WIDTH).cast("int"), F.size(table) - 1)
+    return let(let(number, lambda i: F.struct(i.alias("i"), F.get(table, i).alias("p"))), told)
 
 
 def cut(table: Column, start: Column, stop: Column) -> Column:
     """The text between two offsets, by its place_table() or pieces_of()."""
-    first, last = (start / WIDTH).cast("int"), ((stop - 1) / WIDTH).cast("int")
-    body = F.array_join(F.transform(F.slice(table, first + 1, F.greatest(last - first + 1, F.lit(0))), lambda p: p["s"]), "")
-    return F.when(stop > start, F.substring(body, start - first * WIDTH + 1, stop - start)).otherwise("")
+    first, last = F.floor(start / WIDTH).cast("int"), F.floor((stop - 1) / WIDTH).cast("int")
+    from_, n = start - first * WIDTH + 1, stop - start
+    several = F.array_join(F.transform(F.slice(table, first + 1, F.greatest(last - first + 1, F.lit(0))), lambda p: p["s"]), "")
+    return F.when(stop <= start, "").when(first == last, F.substring(F.get(table, first)["s"], from_, n)).otherwise(F.substring(several, from_, n))
 
 
-def sentence_around(table: Column, length: Column, start: Column, stop: Column) -> Column:
-    """From the last terminator before the span, without leading blanks, to the first one after it with its closing marks, or to the end of the line."""
+def sentence_around(table: Column, length: Column, start: Column, begins: Column, ends: Column) -> Column:
+    """struct<body, text>: from the last terminator before the span, without leading blanks, to the first one after it with its closing marks, or to the end of the line.
 
-    def begin(p: Column, base: Column, before: Column) -> Column:
-        plain = F.translate(before, ".!?…", "\n\n\n\n")
-        return F.when(F.contains(plain, F.lit("\n")), base + F.length(before) - F.length(F.substring_index(plain, "\n", -1))).otherwise(p["sentence"])
+    begins: the sentence of place(start); ends: the ends of place(stop), start and stop being the span's. body is the
+    text from begins to ends, which holds the span.
+    """
 
-    def finish(p: Column, base: Column, before: Column) -> Column:
-        rest = F.translate(F.substring(p["s"], F.length(before) + 1, F.lit(WIDTH)), ".!?…", "\n\n\n\n")
-        later = F.get(table, (base / WIDTH).cast("int") + 1)["ends"]
-        return F.when(F.contains(rest, F.lit("\n")), stop + F.length(F.substring_index(rest, "\n", 1))).otherwise(F.coalesce(later, length))
+    def closing(most: Column, *wider: Column) -> Column:
+        """The terminator and its closing marks; a run that fills what was looked at is looked for in more."""
+        near = F.regexp_extract(cut(table, ends, most), r"""^[.!?…]["'”’)\]]*""", 0)
+        return let(near, lambda m: F.when(F.length(m) < most - ends, m).otherwise(closing(*wider))) if wider else near
 
-    def closing(end: Column) -> Column:
-        marks = lambda t: F.regexp_extract(t, r"""^[.!?…]["'”’)\]]*""", 0)
-        near = marks(cut(table, end, F.least(end + WIDTH, length)))
-        return F.concat(cut(table, stop, end), F.when(F.length(near) < WIDTH, near).otherwise(marks(cut(table, end, length))))
+    def told(body: Column) -> Column:
+        head = F.ltrim(F.left(body, start - begins), F.lit(" \t\n\x0b\f\r"))
+        after = closing(F.least(ends + 8, length), F.least(ends + WIDTH, length), length)
+        return F.struct(body.alias("body"), F.concat(head, F.substring(body, start - begins + 1, ends - start), after).alias("text"))
 
-    head = let(_piece(table, start, begin), lambda a: F.regexp_replace(cut(table, a, start), r"\A\s+", ""))
-    return F.concat(head, cut(table, start, stop), let(_piece(table, stop, finish), closing))
+    return let(cut(table, begins, ends), told)
 
 
 def window_around(table: Column, length: Column, start: Column, stop: Column, width: int = 34) -> Column:

@@ -90,25 +90,31 @@ def assemble(docs: DataFrame, rule_list: list[dict]) -> DataFrame:
     lineage = "runs" in docs.columns
     rows = placed(docs.select("doc_id", "text", *(["src", "runs"] if lineage else [])), rule_list)
     text, meta = F.col("text"), _meta(rule_list)
-    at = (lambda off: source_offset(off, F.col("runs"))) if lineage else (lambda off: off)
 
     def finished(table: Column, sources: Column, length: Column) -> Column:
-        def place(off: Column, line: str, col: str) -> list[Column]:
-            a, b = analyze.line_col(sources, at(off))
-            return [a.cast("int").alias(line), b.cast("int").alias(col)]
+        def placed_at(off: Column, use) -> Column:
+            """use(place in the text, place in the source)."""
+            if not lineage:
+                return let(analyze.place(table, off), lambda x: use(x, x))
+            return let(F.struct(analyze.place(table, off).alias("t"), analyze.place(sources, source_offset(off, F.col("runs"))).alias("s")), lambda x: use(x["t"], x["s"]))
 
         def occurrence(o: Column) -> Column:
-            return F.struct(*place(o["start"], "line", "col"), analyze.cut(table, o["start"], o["stop"]).alias("match"), analyze.window_around(table, length, o["start"], o["stop"]).alias("context"))
+            around = [analyze.cut(table, o["start"], o["stop"]).alias("match"), analyze.window_around(table, length, o["start"], o["stop"]).alias("context")]
+            return placed_at(o["start"], lambda _, p: F.struct(p["line"].alias("line"), p["col"].alias("col"), *around))
 
         def one(f: Column) -> Column:
+            sentence = lambda a, b: analyze.sentence_around(table, length, f["start"], a["sentence"], b["ends"])
+            return placed_at(f["start"], lambda a, p: placed_at(-f["neg"], lambda b, q: let(sentence(a, b), lambda x: made(f, x, a["sentence"], p, q))))
+
+        def made(f: Column, x: Column, begins: Column, p: Column, q: Column) -> Column:
             r, v, start, stop = F.get(meta, f["rule_ord"]), F.get("verdicts", f["rule_ord"]), f["start"], -f["neg"]
             measure, rate = _told(r, v)
             only = lambda x: F.when(f["doc_level"], x)
             listed = F.when(f["doc_level"], F.get("spans", f["rule_ord"])).otherwise(F.expr(f"cast(array() as array<{rules.SPAN}>)"))
             words = [r[c].alias(c) for c in ("rule", "set", "severity", "name", "why", "suggest")]
             return F.struct(
-                *place(start, "line", "col"), *place(stop, "end_line", "end_col"), *words, f["n"].alias("count"),
-                analyze.cut(table, start, stop).alias("match"), analyze.sentence_around(table, length, start, stop).alias("sentence"),
+                p["line"].alias("line"), p["col"].alias("col"), q["line"].alias("end_line"), q["col"].alias("end_col"), *words, f["n"].alias("count"),
+                F.substring(x["body"], start - begins + 1, stop - start).alias("match"), x["text"].alias("sentence"),
                 f["doc_level"].alias("doc_level"), only(measure).alias("measure"), only(rate).alias("rate"),
                 F.transform(listed, occurrence).alias("occurrences"), f["rule_ord"].alias("rule_ord"), start.alias("start"), stop.alias("stop"),
             )
@@ -120,6 +126,23 @@ def assemble(docs: DataFrame, rule_list: list[dict]) -> DataFrame:
     return rows.select("doc_id", F.inline(found))
 
 
+def highlights(docs: DataFrame, rule_list: list[dict], keep_blank: bool = False) -> DataFrame:
+    """(doc_id, line, start, stop, priority): what is marked in each line of a text.
+
+    Spans of findings have priority 0, the occurrences behind a document-level finding 1: a flagged phrase is never
+    hidden by the evidence of a measurement.
+    """
+
+    def ranges(f: Column) -> Column:
+        one = lambda o, p: F.struct(F.lit(p).alias("priority"), o["start"].alias("start"), o["stop"].alias("stop"))
+        spans = F.transform(F.get("spans", f["rule_ord"]), lambda o: one(o, 1))
+        return F.when(f["doc_level"], spans).otherwise(F.array(F.struct(F.lit(0).alias("priority"), f["start"].alias("start"), (-f["neg"]).alias("stop"))))
+
+    rows = placed(docs.select("doc_id", "text"), rule_list).select("doc_id", "text", F.flatten(F.transform("kept", ranges)).alias("ranges"))
+    rows = analyze.schedule(rows, "ranges").withColumn("table", F.when(F.size("ranges") > 0, analyze.place_table(F.col("text"))))
+    return rows.select("doc_id", F.inline(analyze.split_by_line(F.col("table"), F.col("text"), F.col("ranges"), keep_blank)))
+
+
 ITEM = "struct<start: int, neg: int, rule_ord: int, doc_level: boolean, n: int>"
 
 
@@ -185,17 +208,8 @@ def json_report(found: DataFrame, stats: DataFrame, rule_list: list[dict], confi
     lines = files.select("file", F.to_json(F.struct("file", "words", listed.alias("findings"))).alias("line"))
     total = stats.agg(F.sum("ws_words").alias("words")).join(found.agg(F.count("*").alias("total"), F.collect_set("rule").alias("fired")))
     per = F.when(F.col("words") > 0, F.floor(F.col("total") / F.col("words") * 100_000 + 0.5) / 100).otherwise(0.0)
-    lists = {r["id"]: w for r in rule_list if (w := vocabulary_of(r))}
+    lists = {r["id"]: w for r in rule_list if (w := rules.vocabulary_of(r))}
     words_ = F.create_map(*(x for k, w in lists.items() for x in (F.lit(k), F.array(*map(F.lit, w))))) if lists else F.expr("cast(map() as map<string, array<string>>)")
     fired = F.map_filter(words_, lambda k, _: F.array_contains("fired", k))
     run = total.select(F.lit(None).cast("string").alias("file"), F.to_json(F.struct("total", "words", per.alias("per1000"), F.array(*(F.lit(r["id"]) for r in rule_list)).alias("rules"), F.lit(config).cast("string").alias("config"), F.when(F.size(fired) > 0, fired).alias("vocabularies"))).alias("line"))
     return lines.unionByName(run)
-
-
-def vocabulary_of(rule: dict, least: int = 20) -> list[str] | None:
-    r"""The words of a rule that is one flat alternation \b(?:a|b|...)\b of at least `least` plain words."""
-    pattern = rule["match"].get("pattern") or ""
-    if rule["match"]["kind"] != "regex" or not (pattern.startswith(r"\b(?:") and pattern.endswith(r")\b")):
-        return None
-    words = pattern[5:-3].split("|")
-    return None if len(words) < least or any(set(w) & set(r"\[]()*+?{}^$") for w in words) else words

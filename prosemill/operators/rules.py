@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.needles import may_match
-from ..functions.text import java_pattern, let
+from ..functions.text import java_pattern, let, matches
 from . import detect
 from .verdict import Notable, doc_stats
 
@@ -138,6 +138,21 @@ def merge_config(config: dict, flags: dict) -> dict:
     return out
 
 
+def vocabulary_of(rule: dict, least: int = 20) -> list[str] | None:
+    r"""The words of a rule that is one flat alternation \b(?:a|b|...)\b of at least `least` plain words."""
+    pattern = rule["match"].get("pattern") or ""
+    if rule["match"]["kind"] != "regex" or not (pattern.startswith(r"\b(?:") and pattern.endswith(r")\b")):
+        return None
+    words = pattern[5:-3].split("|")
+    return None if len(words) < least or any(set(w) & set(r"\[]()*+?{}^$") for w in words) else words
+
+
+def _tokens_suffice(rule: dict) -> list[str] | None:
+    """The lower-cased words of a list whose entries are single tokens, so that looking tokens up finds what its pattern finds."""
+    words = vocabulary_of(rule)
+    return sorted({w.lower() for w in words}) if words and "i" in rule["match"].get("flags", "") and all(re.fullmatch(r"[A-Za-z0-9_]+", w) for w in words) else None
+
+
 SPAN = "struct<start: int, stop: int, n: int>"
 
 
@@ -180,6 +195,9 @@ def _counted(kind: str, rule: dict) -> Column:
         return F.size(run_spans(text, m))
     if kind == "question-chain":
         return F.when(F.contains(text, F.lit("?")), F.size(detect.question_chain(text, m.get("minRun", 2)))).otherwise(0)
+    if words := _tokens_suffice(rule):
+        found = F.filter("tokens", lambda w: w.isin(words))
+        return F.size(F.array_distinct(found) if m.get("distinct") else found)
     if kind == "chain":
         n = F.size(detect.chain(text, m["pattern"], m["headTest"]))
     elif m.get("distinct"):
@@ -220,7 +238,14 @@ def counts(docs: DataFrame, rules: list[dict]) -> DataFrame:
     of its pattern.
     """
     n = F.array(*(_counted(r["match"]["kind"], r).cast("double") for r in rules))
-    return with_stats(docs, rules).select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", "rhythm_sentences", n.alias("n"))
+    rows = with_stats(docs, rules)
+    lists = [w for w in map(_tokens_suffice, rules) if w]
+    if lists:
+        # an index of all lists' words: tokens are looked up in it once, whatever the lists' lengths, and few are left for each list
+        every = sorted(set().union(*lists))
+        tokens = F.transform(matches(F.col("text"), "[A-Za-z0-9_]+"), F.lower)
+        rows = rows.withColumn("tokens", F.filter(tokens, lambda w: w.isin(every)))
+    return rows.select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", "rhythm_sentences", n.alias("n"))
 
 
 def verdict(t: Column, n: Column) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import RATE_WORD, let
-from ..operators import analyze, detect, evaluate, findings, publish, rules, selftest
+from ..operators import analyze, corpus, detect, evaluate, findings, publish, rules, selftest
 from ..operators.verdict import doc_stats
 from ..sources.files import findings_annotations, findings_tsv, saved, spread
 from ..sources.markup import extracted
 from . import rulebook
-from .catalog import STATS, D, docs, query, read
+from .catalog import BAG_SQL, STATS, D, bags, docs, million, query, read
 
 # Own rules without look-around, so that both engines run them as they stand: four of spans and one of the document.
 OWN = {
@@ -53,19 +53,21 @@ def _each(rows, pattern, told):
 @query("line_positions", f"with {D}, {PLACES.format(p='[|]')} select doc_id, cast(stop - n as int) as off, {line_sql('stop - n')} line, {col_sql('stop - n')} col from o")
 def q_lines(spark, sf_dir):
     """Line and column of every table mark."""
-
-    def place(table, start):
-        line, col = analyze.line_col(table, start)
-        return F.struct(start.alias("off"), line.alias("line"), col.alias("col"))
-
-    return _each(docs(spark, sf_dir), r"\|", lambda table, _, o: place(table, o["start"]))
+    told = lambda table, _, o: let(analyze.place(table, o["start"]), lambda p: F.struct(o["start"].alias("off"), p["line"].alias("line"), p["col"].alias("col")))
+    return _each(docs(spark, sf_dir), r"\|", told)
 
 
 @query("sentence_context", f"""with {D}, {PLACES.format(p='[A-Z]+!!')}, w as (select *, stop - n a, greatest(stop - n - 34, 0) lo, least(stop + 34, length(text)) hi from o)
 select doc_id, cast(a as int) as "start", {sentence_sql('a', 'stop')} sentence, case when lo > 0 then '…' else '' end || trim(regexp_replace(substr(text, lo + 1, hi - lo), '\\s+', ' ', 'g')) || case when hi < length(text) then '…' else '' end context from w""")
 def q_context(spark, sf_dir):
     """The sentence and the window around every shout."""
-    return _each(docs(spark, sf_dir), "[A-Z]+!!", lambda table, n, o: F.struct(o["start"].alias("start"), analyze.sentence_around(table, n, o["start"], o["stop"]).alias("sentence"), analyze.window_around(table, n, o["start"], o["stop"]).alias("context")))
+
+    def told(table, n, o):
+        places = F.struct(analyze.place(table, o["start"]).alias("a"), analyze.place(table, o["stop"]).alias("b"))
+        sentence = lambda x: analyze.sentence_around(table, n, o["start"], x["a"]["sentence"], x["b"]["ends"])["text"]
+        return F.struct(o["start"].alias("start"), let(places, sentence).alias("sentence"), analyze.window_around(table, n, o["start"], o["stop"]).alias("context"))
+
+    return _each(docs(spark, sf_dir), "[A-Z]+!!", told)
 
 
 FOUND_SQL = f"""{STATS}, r(rule, rule_ord, p) as (values ('shout', 0, '[A-Z]+!!'), ('the-word', 1, 'the [a-z]+'), ('percent-run', 2, '%%%'), ('long-word', 3, '[a-z]{{12,}}')),
@@ -127,6 +129,40 @@ def q_json(spark, sf_dir):
     return lines.select("file", head.alias("head"), F.size(F.from_json("line", "findings array<struct<rule string, line int>>")["findings"]).alias("n_findings"))
 
 
+# The same rules with one whose matches run over the ends of lines.
+LINE_END = {"id": "line-end", "match": {"kind": "regex", "pattern": "[a-z]+[.]?\\n+[A-Z]"}, "notable": {">": 0}}
+LINE_RULES = rules.resolve([{"name": "lines", "rules": [LINE_END if r["id"] == "percent-run" else r for r in OWN["rules"]]}])
+LINES_SQL = FOUND_SQL.replace("('percent-run', 2, '%%%')", "('line-end', 2, '[a-z]+[.]?\\n+[A-Z]')")
+
+
+@query("highlight_lines", f"""with {LINES_SQL}, {PLACES.format(p=',').replace("p_ as", "cp as").replace("from p_", "from cp").replace("e_ as", "ce as").replace("from e_", "from ce").replace("o as (select doc_id, text, cast", "co as (select doc_id, text, cast")},
+lc as (select doc_id, stop - co.n a, stop b from co join dl using (doc_id)), hi as (select doc_id, "start" a, stop b, 0 priority from sp union all select doc_id, a, b, 1 from lc where not exists (select 1 from sp where sp.doc_id = lc.doc_id and lc.a < sp.stop and sp."start" < lc.b)),
+li as (select doc_id, text, a, priority, string_split(substr(text, a + 1, b - a), chr(10)) x, length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')) l from hi join d using (doc_id)),
+lq as (select doc_id, text, a, priority, l, x, unnest(range(1, len(x) + 1)) i from li), lz as (select doc_id, priority, l + i as line, a + i - 1 + coalesce(list_sum(list_transform(x[1:i-1], lambda y: length(y))), 0) as s, length(x[i]) n, string_split(text, chr(10))[l + i] whole from lq)
+select doc_id, cast(line as int) line, cast(s as int) as "start", cast(s + n as int) stop, priority from lz where n > 0 and regexp_matches(whole, '\\S')""")
+def q_highlights(spark, sf_dir):
+    """What is marked in each line: kept spans of four rules, and commas behind a document's comma rate where they are free."""
+    return findings.highlights(docs(spark, sf_dir), LINE_RULES)
+
+
+# Two lists of the documents' commonest words, of the sizes and bounds of the two word-list rules.
+LISTS = {"words-250": (250, 0.095), "words-1497": (1497, 0.31)}
+TOKENS = "list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: lower(w)))"
+
+
+@query("word_list_verdicts", f"""with {STATS}, {BAG_SQL}, ra as (select word, row_number() over (order by count(*) desc, word) r from bag group by word), li(rule, most, bound) as (values {', '.join(f"('{k}', {n}, {b})" for k, (n, b) in LISTS.items())}),
+t as (select doc_id, unnest({TOKENS}) word from d), h as (select doc_id, rule, count(*) n from t join ra using (word) join li on r <= most group by all),
+v as (select st.doc_id, li.rule, bound, coalesce(h.n, 0) n, case when rate_words > 0 then coalesce(h.n, 0) / pow(rate_words, 0.7) else 0 end x, rate_words, gate_sentences, fn_words from st cross join li left join h on h.doc_id = st.doc_id and h.rule = li.rule)
+select doc_id, rule, n, cast(floor(x * 1e6 + 0.5) as bigint) value_millionths, x >= bound and n >= 10 and rate_words >= 600 and gate_sentences >= 5 and rate_words > 0 and fn_words / greatest(rate_words, 1) >= 0.12 fires from v""")
+def q_word_lists(spark, sf_dir):
+    """Lists of 250 and 1497 words judged in one scan, by looking tokens up."""
+    ranked = corpus.vocabulary(bags(spark, sf_dir), 1).orderBy(F.desc("df"), "word").limit(max(n for n, _ in LISTS.values()))
+    words = [r.word for r in ranked.collect()]  # the lists are part of the rules
+    made = [{"id": k, "match": {"kind": "regex", "pattern": r"\b(?:" + "|".join(words[:n]) + r")\b", "flags": "i", "distinct": True}, "notable": {">=": bound, "power": 0.7, "needs": {"words": 600, "sentences": 5, "matches": 10}}} for k, (n, bound) in LISTS.items()]
+    rows = rules.judged(docs(spark, sf_dir), rules.resolve([{"name": "lists", "rules": made}]))
+    return rows.select("doc_id", "rule", F.col("n").cast("long").alias("n"), million(F.col("value")).alias("value_millionths"), F.col("bound").isNotNull().alias("fires"))
+
+
 # ------------------------------------------------------------------ markup and the bundled rules
 
 

@@ -51,7 +51,7 @@ def test_overlaps_collapse_and_reports_are_json(spark):
     lines = {r.file: json.loads(r.line) for r in findings.json_report(found, stats, rs).collect()}
     assert [f["rule"] for f in lines["1"]["findings"]] == ["long", "short", "list", "list"] and lines["2"] == {"file": "2", "words": 1, "findings": []}
     assert lines[None]["total"] == 4 and lines[None]["per1000"] == 500.0 and lines[None]["vocabularies"] == {"list": words}
-    assert findings.vocabulary_of(rs[0]) is None
+    assert rules.vocabulary_of(rs[0]) is None
 
 
 def test_places_in_long_texts_with_many_findings(spark):
@@ -76,3 +76,42 @@ def test_places_in_long_texts_with_many_findings(spark):
             yield a, t.count("\n", 0, a) + 1, a - t.rfind("\n", 0, a), head + "bad" + tail
 
     assert mine == sorted([*want(text), *want("bad")])
+
+
+def test_word_lists_are_looked_up_by_token(spark):
+    """Lists of single words count as their pattern does: case, repeats, accents and marks around them included."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)] + ["straße"[:4], "x_1"]
+    pattern = r"\b(?:" + "|".join(words) + r")\b"
+    plain = {"kind": "regex", "pattern": pattern, "flags": "i"}
+    rs = made(*({"id": f"{name}{k}", "match": plain | more | ({"pattern": pattern.replace("waa|", "waa|(?:zz)|")} if k else {}), "notable": {">": 0}} for name, more in (("all", {}), ("distinct", {"distinct": True})) for k in (0, 1)))
+    assert rules._tokens_suffice(rs[0]) and not rules._tokens_suffice(rs[1])
+    texts = ["Waa waa WAB, wab-wac x_1 wax_ éwaa waaé w\u212a", "", "stra stra\u00dfe 'wba' wbb.wbc", "K" * 50, "waa" * 9, "WAA_ _waa 1waa waa1 wa\u0131"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rules.counts(d, rs).collect():
+        assert r.n[0] == r.n[1] and r.n[2] == r.n[3], (texts[r.doc_id], r.n)
+
+
+def test_ranges_are_claimed_by_priority(spark):
+    import random
+
+    from prosemill.operators import analyze
+
+    rng, cases = random.Random(2), []
+    for _ in range(60):
+        cases.append([(rng.randrange(2), a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(25)))])
+    d = spark.createDataFrame(list(enumerate(cases)), "k int, r array<struct<priority: int, start: int, stop: int>>")
+    for row in analyze.schedule(d, "r").collect():
+        kept = []
+        for p, a, b in sorted(cases[row.k], key=lambda r: (r[0], r[1], r[1] - r[2])):
+            if not any(a < y and x < b for x, y, _ in kept):
+                kept.append((a, b, p))
+        assert [tuple(x) for x in row.r] == sorted(kept)
+
+
+def test_highlights_come_by_line(spark):
+    rs = made({"id": "pair", "match": {"kind": "regex", "pattern": r"[a-z]+\.\s+[A-Z][a-z]+"}, "notable": {">": 0}}, {"id": "the", "match": {"kind": "regex", "pattern": "[Tt]he"}, "notable": {">=": 1, "per": 1000, "needs": FREE}})
+    d = spark.createDataFrame([(1, "The cat sat.\n \nThe end.  Yes, the"), (2, "x"), (None, "a.\n\nB" + "b" * 300)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.line, r.start, r.stop, r.priority) for r in findings.highlights(d, rs).collect()), key=str)
+    assert got == sorted([(1, 1, 0, 3, 1), (1, 1, 8, 12, 0), (1, 3, 15, 18, 0), (1, 3, 19, 28, 0), (1, 3, 30, 33, 1), (None, 1, 0, 2, 0), (None, 3, 4, 305, 0)], key=str)
+    blank = [(r.line, r.start, r.stop) for r in findings.highlights(d.where("doc_id = 1"), rs, keep_blank=True).collect()]
+    assert (2, 13, 14) in blank
