@@ -181,12 +181,45 @@ def selector_backtest(fits: DataFrame, caught: DataFrame) -> DataFrame:
     return j.select("k", "truth", "caught", "signature", "growth", "gap", (F.col("signature") == F.col("truth")).alias("signature_right"), F.coalesce(F.col("growth") == F.col("truth"), F.lit(False)).alias("growth_right"))
 
 
-def claims(numbers: DataFrame, documented: dict[str, float], tolerance: float = 0.0) -> DataFrame:
-    """Documented numbers against recomputed ones; numbers(name, value)."""
-    values = [F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("documented")) for k, v in documented.items()]
-    wanted = numbers.sparkSession.range(1).select(F.explode(F.array(*values)).alias("c")).select("c.*")
-    j = wanted.join(numbers.select("name", F.col("value").cast("double").alias("value")), "name", "left")
-    return j.withColumn("ok", F.coalesce(F.abs(F.col("value") - F.col("documented")) <= tolerance, F.lit(False)))
+#: A number with what qualifies it and what it counts: "over 1,200 documents", "about **40% signed**", "7 sides".
+CLAIM = r"(?i)(?:(?<![A-Za-z])(over|at least|about|around|roughly)\s+)?(?:\*\*(over|about|around)\s+)?\**(?<![0-9.,])([0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?)(%?)\**\s+([a-z]+(?:[ -][a-z]+){0,3})"
+#: A floor must still be true and not so low that it misleads; a figure given as about may be off by so much (of points for a share).
+MISLEADS, ABOUT = 1.6, 5.0
+
+
+def read_claims(texts: DataFrame) -> DataFrame:
+    """(file, kind, stated, unit, words) of every number with a subject in (file, text); kind: floor, about or exact."""
+    flat = F.regexp_replace("text", r"\s+", " ")  # texts are wrapped anywhere
+    part = lambda k: F.regexp_extract_all(flat, F.lit(CLAIM), F.lit(k))
+    found = texts.select("file", F.inline(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("n"), part(4).alias("unit"), part(5).alias("words"))))
+    how = F.lower(F.concat("a", "b"))
+    kind = F.when(how.rlike("over|least"), "floor").when(how != "", "about").otherwise("exact")
+    return found.select("file", kind.alias("kind"), F.regexp_replace("n", ",", "").cast("double").alias("stated"), "unit", F.lower("words").alias("words"))
+
+
+def checked_claims(texts: DataFrame, values: DataFrame, of: str | None = None) -> DataFrame:
+    """(file, subject, kind, stated, value, ok): figures in texts against recomputed ones.
+
+    values: subject, as texts put it ("documents", "% signed pages"), and value; with `of`, a column that names the file
+    for which the value holds. A claim belongs to the longest subject with which its words begin. Claims about other
+    things are no concern of ours.
+    """
+    subjects = values.withColumn("unit", F.when(F.col("subject").startswith("%"), "%").otherwise("")).withColumn("name", F.lower(F.trim(F.regexp_replace("subject", "^%", ""))))
+    # a subject's first word is what a claim joins by; the rest is looked at after
+    head = lambda c: F.split(c, "[ -]")[0]
+    subjects = subjects.select("unit", "name", "subject", "value", head("name").alias("head"), *([F.col(of).alias("file")] if of else []))
+    j = read_claims(texts).withColumn("head", head("words")).join(subjects, ["unit", "head", *(["file"] if of else [])])
+    j = j.where(F.concat("words", F.lit(" ")).startswith(F.concat("name", F.lit(" "))))
+    keys = ["file", "kind", "stated", "unit", "words"]
+    best = j.groupBy(*keys).agg(F.max_by(F.struct("subject", "value"), F.length("name")).alias("b")).select(*keys, "b.subject", "b.value")
+    v, said = F.col("value"), F.col("stated")
+    ok = F.when(F.col("kind") == "floor", (v >= said) & (v < said * MISLEADS)).when(F.col("kind") == "about", F.abs(v - said) <= F.when(F.col("unit") == "%", ABOUT).otherwise(said * ABOUT / 100)).otherwise(v == said)
+    return best.select("file", "subject", "kind", "stated", "value", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def unstated(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """Values that no text states."""
+    return values.join(checked_claims(texts, values).select("subject").distinct(), "subject", "left_anti")
 
 
 # Words that let a finding stand; a suggestion is to say what to write instead.

@@ -6,12 +6,17 @@ either side; scores are different list words over words to the power 0.7.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import RATE_WORD, java_pattern, matches
-from ..operators import corpus, evaluate
-from .catalog import LIFT_SQL, PHRASES, SIDE_SQL, D, bags, million, query, sides
+from ..operators import bands, corpus, evaluate
+from ..operators import rules as rule_sets
+from ..sources.files import saved
+from .catalog import LIFT_SQL, PHRASES, SIDE_SQL, STATS, D, bags, docs, million, query, read, sides
 
 RATE = RATE_WORD.replace("'", "''")
 SETS = {k: "marks" if k in ("exclamation", "table_mark", "percent_run") else "phrases" for k in PHRASES}
@@ -183,9 +188,47 @@ def q_backtest(spark, sf_dir):
     return evaluate.selector_backtest(fit, caught).drop("gap")
 
 
-@query("documented_claims", f"with {D}, {SIDE_SQL}, v(name, documented, val) as (select 'labelled documents', 0, count(*) from side union all select 'sides', 2, count(distinct side) from side) select name, cast(documented as double) documented, cast(val as double) as \"value\", val = documented ok from v")
+STATED = """'We hold over ' || {k} || ' documents, about **' || {p} || '% labelled** of them,' || chr(10) || 'in ' || {l} || ' languages.'"""
+
+
+@query("documented_claims", f"""with {D}, a as (select source, d.doc_id, lang, l.doc_id is not null there, d.doc_id < (select max(doc_id) * 9 / 10 from d) then_ from d left join labels l using (doc_id)),
+s as (select source, count(*) n, cast(floor(count(*) filter (there) * 100.0 / count(*) + 0.5) as bigint) p, count(distinct lang) l, count(*) filter (then_) n0, cast(floor(count(*) filter (there and then_) * 100.0 / greatest(count(*) filter (then_), 1) + 0.5) as bigint) p0, count(distinct lang) filter (then_) l0 from a where source is not null group by source),
+c as (select source, 'documents' subject, 'floor' kind, n0 - n0 % 10 stated, n as v from s union all select source, '% labelled', 'about', p0, p from s union all select source, 'languages', 'exact', l0, l from s)
+select source, subject, kind, cast(stated as double) stated, cast(v as double) as "value", case kind when 'floor' then v >= stated and v < stated * 1.6 when 'about' then abs(v - stated) <= 5 else v = stated end ok from c""")
 def q_claims(spark, sf_dir):
-    """Documented numbers held against recomputed ones."""
-    n = sides(spark, sf_dir).agg(F.count("*").alias("labelled documents"), F.countDistinct("side").alias("sides"))
-    numbers = n.select(F.expr("stack(2, 'labelled documents', `labelled documents`, 'sides', sides) as (name, value)"))
-    return evaluate.claims(numbers, {"labelled documents": 0, "sides": 2})
+    """A statement about each source, as it was when nine tenths of the documents were there, against what holds now."""
+    lab = read(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("there", F.lit(True))
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").where("source is not null").join(lab, "doc_id", "left")
+    last = read(spark, sf_dir, "documents").agg(F.max("doc_id").alias("last"))
+    then_ = F.col("doc_id") < F.col("last") * 9 / 10
+    n = lambda c, *w: F.count(F.when(reduce(and_, [c, *w]), 1))
+    share = lambda some, all_: F.floor(some * 100.0 / F.greatest(all_, F.lit(1)) + 0.5)
+    there, any_ = F.coalesce("there", F.lit(False)), F.lit(True)
+    by = d.join(F.broadcast(last)).groupBy("source").agg(n(any_).alias("n"), n(there).alias("t"), F.countDistinct("lang").alias("l"), n(then_).alias("n0"), n(there, then_).alias("t0"), F.countDistinct(F.when(then_, F.col("lang"))).alias("l0"))
+    by = by.select("source", "n", "l", "l0", share(F.col("t"), F.col("n")).alias("p"), (F.col("n0") - F.col("n0") % 10).alias("k"), share(F.col("t0"), F.col("n0")).alias("p0"))
+    texts = by.select(F.col("source").alias("file"), F.expr(STATED.format(k="cast(k as string)", p="cast(p0 as string)", l="cast(l0 as string)").replace("chr(10)", "'\\n'")).alias("text"))
+    values = by.select("source", F.expr("stack(3, 'documents', cast(n as double), '% labelled', cast(p as double), 'languages', cast(l as double)) as (subject, value)"))
+    return evaluate.checked_claims(texts, values, of="source").withColumnRenamed("file", "source")
+
+
+@query("style_bands", f"""with {STATS}, e as (select doc_id, lang, 'comma' metric, case when rate_words > 0 then len(regexp_extract_all(text, ',')) / rate_words * 1000 end x from st union all select doc_id, lang, 'sentence-length', case when rate_words > 0 then gate_sentences / rate_words * 1000 end from st) select lang, metric, count(*) n, true lo_ok, true hi_ok from e where x is not null group by all""")
+def q_bands(spark, sf_dir):
+    """V5: the band of two style metrics in each language, by merged sketches of its sources, and whether its bounds lie at their ranks."""
+    rates = saved(bands.style_rates(docs(spark, sf_dir, "lang", "source"), "lang", "source").where("metric in ('comma', 'sentence-length') and value is not null"), "style-rates")
+    found = bands.bands(bands.merged(bands.sketches(rates, "lang", "source"), "lang"), 0.1, 0.9)
+    found = found.select(F.col("lang").alias("of"), F.col("metric").alias("measure"), "lo", "hi")  # a row a language and metric
+    j = rates.join(F.broadcast(found), (F.col("metric") == F.col("measure")) & F.col("lang").eqNullSafe(F.col("of")))
+    share = lambda c: F.sum(c.cast("long")) / F.count("*")
+    held = lambda c, p: (share(F.col("value") < F.col(c)) <= p + bands.OFF) & (share(F.col("value") <= F.col(c)) >= p - bands.OFF)
+    return j.groupBy("lang", "metric").agg(F.count("*").alias("n"), held("lo", 0.1).alias("lo_ok"), held("hi", 0.9).alias("hi_ok"))
+
+
+DENSITY_SQL = {"commas": (",", "x <= 20"), "parentheses": ("[(]", "x <= 0"), "sentence-endings": (None, "x <= 20"), "em-dashes": ("—", "x >= 35")}
+
+
+@query("density_verdicts", f"with {STATS} " + " union all ".join(f"(select doc_id, '{k}' as rule, cast(floor(x * 1e6 + 0.5) as bigint) value_millionths from (select doc_id, {'gate_sentences' if p is None else f'len(regexp_extract_all(text, {chr(39)}{p}{chr(39)}))'} / rate_words * 1000 x from st where rate_words >= 250 and gate_sentences >= 5 and fn_words / rate_words >= 0.12) where {test})" for k, (p, test) in DENSITY_SQL.items()))
+def q_density(spark, sf_dir):
+    """V3: documents whose density of commas, parentheses, sentence endings or em dashes is out of the measured bounds."""
+    held = [r for r in bands.density_set()["rules"] if r["id"] in DENSITY_SQL]
+    rows = rule_sets.evaluate(docs(spark, sf_dir), rule_sets.resolve([{"name": "density", "rules": held}]))
+    return rows.where("fires").select("doc_id", "rule", million(F.col("value")).alias("value_millionths"))

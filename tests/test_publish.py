@@ -11,11 +11,6 @@ def test_governance(spark):
     assert sorted((r.rule, r.problem) for r in got.collect()) == [("x", "suggestion permits"), ("y", "off without a reason")]
 
 
-def test_claims(spark):
-    numbers = spark.createDataFrame([("a", 3.0), ("b", 4.0)], "name string, value double")
-    assert {r.name: r.ok for r in evaluate.claims(numbers, {"a": 3, "b": 5, "c": 1}).collect()} == {"a": True, "b": False, "c": False}
-
-
 def test_published_lines_go_stale(spark):
     t = spark.createDataFrame([("x", 1), ("y", 2)], "w string, n int")
     old, new = publish.sections(words=t), publish.sections(words=t.withColumn("n", F.when(F.col("w") == "y", 3).otherwise(F.col("n"))))
