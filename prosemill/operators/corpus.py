@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,33 +204,52 @@ def tracked(ranked: DataFrame, group: str, top: int) -> DataFrame:
     return ranked.where(F.col("rank") <= top).groupBy("word").agg(F.count("*").alias("groups"), F.min("rank").alias("best"))
 
 
-def _slice_states(counts: list[int], seed: int) -> list[int]:
-    """State of the reference's generator, which multiplies in doubles, before each run of documents."""
-    out = []
-    for n in counts:
-        out.append(seed)
-        for _ in range(n):
-            seed = int(float(seed) * 1103515245.0 + 12345.0) & 0xFFFFFFFF
-    return out
+def generator_states(seed: int) -> tuple[list[int], int]:
+    """The states of the reference's generator, which multiplies in doubles, up to the first that comes again, and the place of its first coming.
 
+    The generator runs into a cycle after some thousand steps, so any state is a look-up and no document is walked past.
+    """
+    states, places = [], {}
+    while seed not in places:
+        places[seed] = len(states)
+        states.append(seed)
+        seed = int(float(seed) * 1103515245.0 + 12345.0) & 0xFFFFFFFF
+    return states, places[seed]
 
-def slices(ids: DataFrame, k: int, seed: int, save) -> DataFrame:
-    """The reference's starting clusters: documents in the order of their ids, dealt by its generator; (doc_id, cluster)."""
+
+def drawn(ids: DataFrame, seed: int, save) -> DataFrame:
+    """(doc_id, u): the generator's number in [0, 1) for each document, in the order of their ids.
+
+    Ranges of ids are numbered from the sizes of those before them: a row a range reaches the driver.
+    """
+    import numpy as np
     import pyarrow as pa
 
-    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = ids.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = save(ids.repartitionByRange(n, "doc_id").withColumn("range", F.spark_partition_id()))
-    counts = sorted((r.range, r.n) for r in ranges.groupBy("range").agg(F.count("*").alias("n")).collect())
-    states = dict(zip((r for r, _ in counts), _slice_states([c for _, c in counts], seed), strict=True))
+    sizes = sorted((r.range, r.n) for r in ranges.groupBy("range").agg(F.count("*").alias("n")).collect())
+    before, at = [], 0
+    for place, size in sizes:
+        before.append((place, at))
+        at += size
+    starts = F.broadcast(spark.createDataFrame(before, "range int, start long"))  # a row a range
+    numbered = ranges.join(starts, "range").select("doc_id", (F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy("doc_id"))).alias("i"))
+    states, cycle = generator_states(seed)
+
+    def look_up(batches):
+        values = np.array(states, np.float64) / 4294967296.0
+        for batch in batches:
+            i = batch.column(1).to_numpy()
+            i = np.where(i < len(values), i, cycle + (i - cycle) % (len(values) - cycle))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values[i])], ["doc_id", "u"])
 
-    def deal(key, rows):
-        state, out = states[key[0].as_py()], []
-        for _ in range(rows.num_rows):
-            state = int(float(state) * 1103515245.0 + 12345.0) & 0xFFFFFFFF
-            out.append(int(state / 4294967296.0 * k))
-        return pa.table({"doc_id": rows.sort_by("doc_id").column("doc_id"), "cluster": pa.array(out, pa.int32())})
+    return numbered.mapInArrow(look_up, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, u double")
 
-    return ranges.groupBy("range").applyInArrow(deal, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, cluster int")
+
+def slices(ids: DataFrame, k: int, seed: int, save) -> DataFrame:
+    """The reference's starting clusters: documents in the order of their ids, dealt by its generator; (doc_id, cluster)."""
+    return drawn(ids, seed, save).select("doc_id", F.floor(F.col("u") * k).cast("int").alias("cluster"))
 
 
 def kmeans(bags: DataFrame, k: int = 10, iterations: int = 25, seed: int = 12345, save=None, max_cells: int = 2_000_000) -> DataFrame:
@@ -238,74 +259,90 @@ def kmeans(bags: DataFrame, k: int = 10, iterations: int = 25, seed: int = 12345
     no document moves. Centres of at most max_cells numbers are broadcast, and a round is one pass over packed
     documents; larger ones are joined by word. `save` (checkpoint() by default) cuts the lineage.
     """
+    return kmeans_of(bags, [k], iterations, seed, save, max_cells).select("doc_id", F.col(f"k{k}").alias("cluster"))
+
+
+def kmeans_of(bags: DataFrame, ks: list[int], iterations: int = 25, seed: int = 12345, save=None, max_cells: int = 2_000_000) -> DataFrame:
+    """The fits of several k at once; doc_id and a column k<k> of clusters for each. A round is one pass for all of them."""
     save = save or (lambda df: df.checkpoint())
     words = save(bags.select("word").distinct())
-    few = words.count() * k <= max_cells
-    return (_packed_kmeans if few else _joined_kmeans)(bags, words, k, iterations, seed, save)
+    if words.count() * sum(ks) <= max_cells:
+        return _packed_kmeans(bags, words, ks, iterations, seed, save)
+    fits = [_joined_kmeans(bags, words, k, iterations, seed, save).withColumnRenamed("cluster", f"k{k}") for k in ks]
+    return reduce(lambda a, b: a.join(b, "doc_id"), fits)
 
 
-def _packed_kmeans(bags: DataFrame, words: DataFrame, k: int, iterations: int, seed: int, save) -> DataFrame:
+def _packed_kmeans(bags: DataFrame, words: DataFrame, ks: list[int], iterations: int, seed: int, save) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
     spark = bags.sparkSession
-    numbered = words.withColumn("i", F.row_number().over(Window.orderBy("word")) - 1)  # at most max_cells / k rows
+    numbered = words.withColumn("i", F.row_number().over(Window.orderBy("word")) - 1)  # at most max_cells words
     v = numbered.count()
     packed = bags.join(F.broadcast(numbered), "word").groupBy("doc_id").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("tf").cast("long")).alias("tf"))
     packed = save(packed)
-    packed = save(packed.join(slices(packed.select("doc_id"), k, seed, save), "doc_id").select("cluster", "i", "tf", "doc_id"))
+    packed = save(packed.join(drawn(packed.select("doc_id"), seed, save), "doc_id").select("u", "i", "tf", "doc_id"))
+    # the cells of a fit: words of its clusters, and how many documents moved
+    starts = dict(zip(ks, np.cumsum([0, *(k * v + 1 for k in ks)])[:-1].tolist(), strict=True))
+    cells = sum(k * v + 1 for k in ks)
 
-    def flat(batch):
-        """Offsets, word numbers and frequencies of a batch's documents."""
-        i, tf = batch.column(1), batch.column(2)
-        return np.diff(i.offsets.to_numpy()), i.flatten().to_numpy(), tf.flatten().to_numpy()
-
-    def nearest(batch, centres):
-        n, i, tf = flat(batch)
+    def nearest(batch, k, centres):
+        """Clusters of a batch's documents: the nearest centres, or the slices before there are any."""
         if centres is None:
-            return batch.column(0).to_numpy()
+            return (batch.column(0).to_numpy() * k).astype(np.int64)
+        i, tf = batch.column(1), batch.column(2)
+        n, word, times = np.diff(i.offsets.to_numpy()), i.flatten().to_numpy(), tf.flatten().to_numpy()
         row = np.repeat(np.arange(len(n)), n)
-        score = np.stack([np.bincount(row, tf * centres[c, i], len(n)) for c in range(k)])
-        return score.argmax(axis=0)
+        return np.stack([np.bincount(row, times * centres[c, word], len(n)) for c in range(k)]).argmax(axis=0)
 
     def counted(old, new):
-        """Word counts of the clusters that the centres `new` make, and (in the cell k * v) how many documents left those of `old`."""
+        """By fit, the word counts of the clusters that the centres `new` make and how many documents left those of `old`; None stands for the slices."""
 
         def run(batches):
-            total = np.zeros(k * v + 1, np.int64)
+            total = np.zeros(cells, np.int64)
+            held = [x if x is None else x.value for x in (old, new)]
             for batch in batches:
-                n, i, tf = flat(batch)
-                cluster = nearest(batch, None if new is None else new.value)
-                total[: k * v] += np.bincount(np.repeat(cluster, n) * v + i, tf, k * v).astype(np.int64)
-                if new is not None:
-                    total[k * v] += (cluster != nearest(batch, None if old is None else old.value)).sum()
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+                n, word, times = np.diff(batch.column(1).offsets.to_numpy()), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+                for k in ks if new is None else held[1]:
+                    at = starts[k]
+                    cluster = nearest(batch, k, None if new is None else held[1][k])
+                    total[at : at + k * v] += np.bincount(np.repeat(cluster, n) * v + word, times, k * v).astype(np.int64)
+                    if new is not None:
+                        total[at + k * v] += (cluster != nearest(batch, k, None if old is None else held[0][k])).sum()
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["at", "n"])
 
         got = packed.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most max_cells rows
-        out = np.zeros(k * v + 1, np.int64)
+        out = np.zeros(cells, np.int64)
         out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-        return out[: k * v].reshape(k, v), int(out[k * v])
+        return {k: (out[at : at + k * v].reshape(k, v), int(out[at + k * v])) for k, at in starts.items()}
 
-    counts, _ = counted(None, None)
     first = packed.orderBy("doc_id").select("i", "tf").limit(1).collect()
-    centres = np.zeros((k, v))
+    sums, centres = counted(None, None), {k: np.zeros((k, v)) for k in ks}
     if first:
-        centres[:, first[0].i] = first[0].tf
-    old = new = None
-    for _ in range(iterations if first else 0):
-        centres = np.where(counts.sum(axis=1, keepdims=True) > 0, counts, centres)
-        old, new = new, spark.sparkContext.broadcast(np.log((centres + 0.01) / (centres.sum(axis=1, keepdims=True) + 0.01 * v)))
-        counts, moved = counted(old, new)
-        if not moved:
+        for k in ks:
+            centres[k][:, first[0].i] = first[0].tf
+    logs: dict = {}
+    open_ = list(ks) if first else []
+    old = None
+    for _ in range(iterations):
+        if not open_:
             break
+        for k in open_:
+            counts = sums[k][0]
+            centres[k] = np.where(counts.sum(axis=1, keepdims=True) > 0, counts, centres[k])
+            logs[k] = np.log((centres[k] + 0.01) / (centres[k].sum(axis=1, keepdims=True) + 0.01 * v))
+        new = spark.sparkContext.broadcast({k: logs[k] for k in open_})
+        sums |= {k: x for k, x in counted(old, new).items() if k in open_}
+        old, open_ = new, [k for k in open_ if sums[k][1]]
+    last = spark.sparkContext.broadcast(logs)
 
     def assign(batches):
         for batch in batches:
-            cluster = nearest(batch, None if new is None else new.value)
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(cluster.astype(np.int32))], ["doc_id", "cluster"])
+            clusters = [pa.array(nearest(batch, k, last.value.get(k)).astype(np.int32)) for k in ks]
+            yield pa.RecordBatch.from_arrays([batch.column(3), *clusters], ["doc_id", *(f"k{k}" for k in ks)])
 
-    return packed.mapInArrow(assign, f"doc_id {packed.schema['doc_id'].dataType.simpleString()}, cluster int")
+    return packed.mapInArrow(assign, ", ".join([f"doc_id {packed.schema['doc_id'].dataType.simpleString()}", *(f"k{k} int" for k in ks)]))
 
 
 def _joined_kmeans(bags: DataFrame, words: DataFrame, k: int, iterations: int, seed: int, save) -> DataFrame:
@@ -344,10 +381,9 @@ def clusters_of(assign: DataFrame, rows: DataFrame, week: str = "week", flag: st
 
 
 def sweep(bags: DataFrame, rows: DataFrame, ks: list[int], save, **options) -> DataFrame:
-    """The cluster statistics of a fit for each k; (k, cluster, ...). judge_fits() decides among them."""
-    from functools import reduce
-
-    fits = (save(clusters_of(kmeans(bags, k, save=save, **options), rows).withColumn("k", F.lit(k))) for k in ks)
+    """The cluster statistics of a fit for each k, all fitted together; (k, cluster, ...). judge_fits() decides among them."""
+    fitted = save(kmeans_of(bags, ks, save=save, **options))
+    fits = (clusters_of(fitted.select("doc_id", F.col(f"k{k}").alias("cluster")), rows).withColumn("k", F.lit(k)) for k in ks)
     return reduce(DataFrame.unionByName, fits)
 
 

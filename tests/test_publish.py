@@ -35,3 +35,30 @@ def test_both_ways_of_kmeans_and_the_sweep(spark):
     info = bags.select("doc_id").distinct().select("doc_id", F.expr("date_add(date'2024-01-01', cast(7 * (doc_id % 10) as int))").alias("week"), F.expr("doc_id % 2 = 0").alias("signed"))
     judged = corpus.judge_fits(corpus.sweep(bags, info, [2, 3], save)).collect()
     assert [r.k for r in sorted(judged)] == [2, 3] and all(r.admitted == 0 and r.growth is None and not r.agree for r in judged)
+
+
+def test_the_generator_is_looked_up(spark):
+    """Any place of the generator's run, tail and cycle, without walking there."""
+    states, cycle = corpus.generator_states(12345)
+    s = 12345
+    for i in range(3 * len(states)):
+        assert states[i if i < len(states) else cycle + (i - cycle) % (len(states) - cycle)] == s
+        s = int(float(s) * 1103515245.0 + 12345.0) & 0xFFFFFFFF
+    ids = spark.range(20_000).select((F.col("id") * 7 % 20_011).alias("doc_id")).repartition(5)
+    got = [r.u for r in corpus.drawn(ids, 12345, lambda df: df.cache()).orderBy("doc_id").collect()]
+    s, want = 12345, []
+    for _ in range(20_000):
+        s = int(float(s) * 1103515245.0 + 12345.0) & 0xFFFFFFFF
+        want.append(s / 4294967296.0)
+    assert got == want
+
+
+def test_fits_together_equal_fits_alone(spark):
+    rows = [(i, f"{'abc'[i % 3]}{(i * k) % 11}", 1 + i % 2) for i in range(80) for k in (1, 2, 3, 5)]
+    bags = spark.createDataFrame(rows, "doc_id long, word string, tf long").groupBy("doc_id", "word").agg(F.sum("tf").alias("tf")).cache()
+    save = lambda df: df.cache()
+    together = {r.doc_id: (r.k2, r.k3, r.k5) for r in corpus.kmeans_of(bags, [2, 3, 5], save=save).collect()}
+    alone = [{r.doc_id: r.cluster for r in corpus.kmeans(bags, k, save=save).collect()} for k in (2, 3, 5)]
+    assert together == {i: tuple(a[i] for a in alone) for i in together} and len(together) == 80
+    nothing = corpus.kmeans_of(bags.limit(0), [2, 3], save=save)
+    assert nothing.collect() == []
