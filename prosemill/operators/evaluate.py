@@ -35,11 +35,22 @@ def word_classes(bags: DataFrame) -> DataFrame:
     return df.withColumn("lift", lift).withColumn("class", F.when(lift > 1.2, "ai").when(lift < 0.83, "human").otherwise("even"))
 
 
-def redundant(hits: DataFrame) -> DataFrame:
-    """rule pairs (a, b) where b fires on every example of a; hits(example_rule, example, rule)."""
-    sizes = hits.select("example_rule", "example").distinct().groupBy("example_rule").agg(F.count("*").alias("n"))
-    both = hits.where("rule <> example_rule").groupBy("example_rule", "rule").agg(F.countDistinct("example").alias("k"))
-    return both.join(sizes, "example_rule").where("k = n").select(F.col("example_rule").alias("rule_a"), F.col("rule").alias("rule_b"), "n")
+def redundant(hits: DataFrame, prefix: int = 3) -> DataFrame:
+    """rule pairs (a, b) where b fires on every example of a; hits(example_rule, example, rule), repeated rows allowed.
+
+    A containment join with prefix filtering: a rule that fires on every example of a fires on those where the fewest
+    rules fire. Only rules met on all of these few (`prefix` of each a) are pairs to be counted; pairs of rules that
+    merely meet somewhere are never made.
+    """
+    hits = hits.select("example_rule", "example", "rule").distinct()
+    load = hits.groupBy("example_rule", "example").agg(F.count("*").alias("rules"))
+    w = Window.partitionBy("example_rule")
+    rare = load.withColumn("place", F.row_number().over(w.orderBy("rules", "example"))).withColumn("n", F.count("*").over(w)).where(F.col("place") <= prefix)
+    rare = rare.select("example_rule", "example", "n")
+    met = hits.where("rule <> example_rule").join(rare, ["example_rule", "example"]).groupBy("example_rule", "rule").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    pairs = met.where(F.col("k") == F.least("n", F.lit(prefix))).select("example_rule", "rule", "n")
+    both = hits.join(pairs, ["example_rule", "rule"]).groupBy("example_rule", "rule").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    return both.where("k = n").select(F.col("example_rule").alias("rule_a"), F.col("rule").alias("rule_b"), "n")
 
 
 def top_samples(rows: DataFrame, k: int, *by: str) -> DataFrame:

@@ -7,6 +7,7 @@ documents get an attribution block of one of five forms, and ids deal documents
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import corpus_tokens, let
 from ..operators import corpus, publish
 from ..sources import archive as day_files
+from ..sources import publication
 from ..sources.files import day_windows, saved, shared_folder
 from .catalog import BAG_SQL, LIFT_SQL, D, bags, docs, million, query, read
 
@@ -226,3 +228,17 @@ def q_page(spark, sf_dir):
     groups = corpus.lift_rank(bags(spark, sf_dir), "lang").where("rank <= 20").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words"))
     history = snapshots(spark, sf_dir).select(F.col("generated").alias("built"), F.col("word").cast("string").alias("word"), "rank")
     return publish.page_data(groups, day_files.summaries(spark, archive(spark, sf_dir)), history)
+
+
+@query("history_upsert", """with r as (select cast(date_trunc('week', ts) as date) built, event_type word, row_number() over (partition by cast(date_trunc('week', ts) as date) order by count(*) desc, event_type) rk from events group by 1, 2), i as (select *, dense_rank() over (order by built) n from r)
+select built, word, cast(case when n < 3 then rk else rk + 10 end as int) as "rank" from i""")
+def q_history(spark, sf_dir):
+    """Weekly ranks published as builds: three weeks, then those from the third on anew; the latest of a week wins."""
+    e = read(spark, sf_dir, "events").groupBy(F.date_trunc("week", "ts").cast("date").alias("built"), F.col("event_type").alias("word")).agg(F.count("*").alias("n"))
+    ranked = e.withColumn("rank", F.row_number().over(Window.partitionBy("built").orderBy(F.desc("n"), "word")))
+    weeks = e.select("built").distinct().withColumn("i", F.row_number().over(Window.orderBy("built")))  # a row a week
+    rows = ranked.join(F.broadcast(weeks), "built")
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    publication.upsert(rows.where("i <= 3").select("built", "word", "rank"), path, "built")
+    publication.upsert(rows.where("i >= 3").select("built", "word", (F.col("rank") + 10).alias("rank")), path, "built")
+    return publication.read(spark, path)
