@@ -103,13 +103,17 @@ def known_documents(bags: DataFrame, words: DataFrame, least: int = 5, *within:
     return cut.join(enough, "doc_id", "left_semi")
 
 
-def lift_rank(bags: DataFrame, group: str, prior: float = 25.0) -> DataFrame:
-    """Document counts of words by group, lift (in / size) / ((all - in + prior) / others), and rank."""
-    docs = bags.select("doc_id", group).distinct().groupBy(group).agg(F.count("*").alias("size"))
+def lift_rank(bags: DataFrame, group: str, prior: float = 25.0, sizes: DataFrame | None = None) -> DataFrame:
+    """Document counts of words by group, lift (in / size) / ((all - in + prior) / others), and rank.
+
+    sizes: group and size, the documents of each group that have a bag; counted from the bags if not given. With it the
+    bags are read once.
+    """
+    docs = bags.select("doc_id", group).distinct().groupBy(group).agg(F.count("*").alias("size")) if sizes is None else sizes
     total = docs.agg(F.sum("size").alias("n"))
     inside = bags.groupBy(group, "word").agg(F.count("*").alias("inside"))
-    every = inside.groupBy("word").agg(F.sum("inside").alias("every"))
-    j = inside.join(every, "word").join(docs, group).join(F.broadcast(total))  # one row
+    # a word has a row a group here
+    j = inside.withColumn("every", F.sum("inside").over(Window.partitionBy("word"))).join(docs, group).join(F.broadcast(total))  # one row
     j = j.withColumn("lift", (F.col("inside") / F.col("size")) / ((F.col("every") - F.col("inside") + prior) / F.greatest(F.col("n") - F.col("size"), F.lit(1))))
     return j.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("lift"), "word"))).select(group, "word", "inside", "every", "lift", "rank")
 

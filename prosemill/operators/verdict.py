@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FUNCTION_WORDS, RATE_WORD, words_of
+from ..functions.text import FUNCTION_WORDS, let, words_of
 
 
 @dataclass(frozen=True)
@@ -39,15 +39,16 @@ class Notable:
 
 
 def doc_stats(docs: DataFrame) -> DataFrame:
-    """docs with ws_words, rate_words, gate_sentences and fn_words, computed once for all rules (V6, V7)."""
-    return docs.withColumns(
+    """docs with ws_words, rate_words, gate_sentences and fn_words, computed once for all rules (V6, V7). Words are found once for their number and for those of function."""
+    counted = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), F.size(F.filter(w, lambda x: F.lower(x).isin(FUNCTION_WORDS))).alias("fn")))
+    rows = docs.withColumns(
         {
             "ws_words": F.regexp_count("text", F.lit(r"\S+")).cast("long"),
-            "rate_words": F.regexp_count("text", F.lit(RATE_WORD)).cast("long"),
+            "words_": counted,
             "gate_sentences": F.regexp_count("text", F.lit(r"[.!?](?=\s|\z)")).cast("long"),
-            "fn_words": F.size(F.filter(words_of(F.col("text")), lambda w: F.lower(w).isin(FUNCTION_WORDS))).cast("long"),
         }
     )
+    return rows.select(*(c for c in rows.columns if c not in ("words_", "gate_sentences")), F.col("words_.n").cast("long").alias("rate_words"), "gate_sentences", F.col("words_.fn").cast("long").alias("fn_words"))
 
 
 def value_of(n: Column, notable: Notable) -> Column:

@@ -251,20 +251,25 @@ r as (select lang, word, inside, cast(every as bigint) every, (inside / sz) / ((
 k as (select *, row_number() over (partition by lang order by lift desc, word) as "rank" from r)"""
 
 
+def lifted(spark, sf_dir):
+    """Words by lift in each language; a language's size is counted without its words."""
+    sizes = docs(spark, sf_dir, "lang").where(F.lower("text").rlike("[a-z]{3,}")).groupBy("lang").agg(F.count("*").alias("size"))
+    return corpus.lift_rank(bags(spark, sf_dir), "lang", sizes=sizes)
+
+
 @query("lift_rank", LIFT_SQL + ' select lang, word, inside, every, cast(floor(lift * 1e6 + 0.5) as bigint) lift_millionths, cast("rank" as int) as "rank" from k where "rank" <= 50')
 def q_lift(spark, sf_dir):
     """The fifty words of highest lift in each language (the limit is the report)."""
-    return corpus.lift_rank(bags(spark, sf_dir), "lang").where("rank <= 50").withColumn("lift_millionths", million(F.col("lift"))).drop("lift")
+    return lifted(spark, sf_dir).where("rank <= 50").withColumn("lift_millionths", million(F.col("lift"))).drop("lift")
 
 
 @query("vocab_verdict", LIFT_SQL + f""", v as (select distinct word from k where "rank" <= 100 and lang = 'en'), h as (select doc_id, count(*) n from bag join v using (word) group by doc_id), {STATS.split(",", 1)[1].split("st as", 1)[0] and "st as" + STATS.split("st as", 1)[1]}
 select st.doc_id, coalesce(n, 0) n_distinct, cast(floor(case when rate_words > 0 then coalesce(n, 0) / pow(rate_words, 0.7) else 0 end * 1e6 + 0.5) as bigint) value_millionths from st left join h using (doc_id)""")
 def q_vocab(spark, sf_dir):
-    """M2 V4: distinct words of a derived list per word count to the power 0.7, by token join."""
-    b = bags(spark, sf_dir)
-    listed = corpus.lift_rank(b, "lang").where("rank <= 100 and lang = 'en'").select("word").distinct()
-    hits = b.join(F.broadcast(listed), "word").groupBy("doc_id").agg(F.count("*").alias("n"))
-    rows = doc_stats(docs(spark, sf_dir)).join(hits, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    """M2 V4: distinct words of a derived list per word count to the power 0.7, by looking tokens up."""
+    listed = [r.word for r in lifted(spark, sf_dir).where("rank <= 100 and lang = 'en'").select("word").collect()]  # a word list is part of a rule
+    found = F.filter(matches(F.lower("text"), "[a-z]{3,}"), lambda w: w.isin(listed))
+    rows = doc_stats(docs(spark, sf_dir)).withColumn("n", F.size(F.array_distinct(found)).cast("long"))
     return rows.select("doc_id", F.col("n").alias("n_distinct"), million(value_of(F.col("n"), Notable({">=": 0.095}, power=0.7))).alias("value_millionths"))
 
 

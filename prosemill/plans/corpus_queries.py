@@ -17,7 +17,7 @@ from ..operators import corpus, publish
 from ..sources import archive as day_files
 from ..sources import publication
 from ..sources.files import day_windows, saved, shared_folder
-from .catalog import BAG_SQL, LIFT_SQL, D, bags, docs, million, query, read
+from .catalog import BAG_SQL, LIFT_SQL, D, bags, docs, lifted, million, query, read
 
 # Own forms of attribution blocks: none, at the end, in front, in the last lines.
 BODY = """case doc_id % 9
@@ -167,7 +167,7 @@ def q_word_rates(spark, sf_dir):
 @query("tracked_words", LIFT_SQL + ' select word, count(*) as groups, cast(min("rank") as int) best from k where "rank" <= 100 group by word')
 def q_tracked(spark, sf_dir):
     """The union of the languages' top hundred words."""
-    return corpus.tracked(corpus.lift_rank(bags(spark, sf_dir), "lang"), "lang", 100)
+    return corpus.tracked(lifted(spark, sf_dir), "lang", 100)
 
 
 def fits(spark, sf_dir):
@@ -225,7 +225,7 @@ def q_weekly_sample(spark, sf_dir):
 @query("page_sections")
 def q_page(spark, sf_dir):
     """The published sections: sample, weeks, clusters and the words' ranks by build, as JSON lines."""
-    groups = corpus.lift_rank(bags(spark, sf_dir), "lang").where("rank <= 20").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words"))
+    groups = lifted(spark, sf_dir).where("rank <= 20").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words"))
     history = snapshots(spark, sf_dir).select(F.col("generated").alias("built"), F.col("word").cast("string").alias("word"), "rank")
     return publish.page_data(groups, day_files.summaries(spark, archive(spark, sf_dir)), history)
 

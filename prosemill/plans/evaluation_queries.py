@@ -16,7 +16,7 @@ from ..functions.text import RATE_WORD, java_pattern, matches
 from ..operators import bands, corpus, evaluate
 from ..operators import rules as rule_sets
 from ..sources.files import saved
-from .catalog import LIFT_SQL, PHRASES, SIDE_SQL, STATS, D, bags, docs, million, query, read, sides
+from .catalog import LIFT_SQL, PHRASES, SIDE_SQL, STATS, D, bags, docs, lifted, million, query, read, sides
 
 RATE = RATE_WORD.replace("'", "''")
 SETS = {k: "marks" if k in ("exclamation", "table_mark", "percent_run") else "phrases" for k in PHRASES}
@@ -178,7 +178,7 @@ select cast(4 as int) as k, cast(truth as int) truth, caught, cast(signature as
 def q_backtest(spark, sf_dir):
     """With languages for clusters, whose words catch most, and whether the two selectors would have picked it."""
     number = F.create_map(*(F.lit(x) for pair in CLUSTERS.items() for x in pair))
-    tops = corpus.lift_rank(bags(spark, sf_dir), "lang").where("rank <= 100").select("lang", "word")
+    tops = lifted(spark, sf_dir).where("rank <= 100").select("lang", "word")
     held = bags(spark, sf_dir).select("doc_id", "word").join(F.broadcast(tops), "word").groupBy("doc_id", "lang").agg(F.count("*").alias("n"))  # 400 rows
     rows = words_by_document(spark, sf_dir).drop("lang").select("doc_id", "side", "words", F.explode(F.array(*map(F.lit, CLUSTERS))).alias("lang")).join(held, ["doc_id", "lang"], "left")
     score = F.when(F.col("words") > 0, F.coalesce("n", F.lit(0)) / F.pow(F.col("words").cast("double"), F.lit(0.7))).otherwise(0.0)
