@@ -212,7 +212,8 @@ def _links_in_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     rows: bucket, id, n, component. A bucket is cut into chunks bounded in rows and in set elements, and each pair of
     chunks is one bounded piece of work, which compares full sets where they are and gives at most one link for every
-    component it holds: neither a task nor the rows grow with the square of a bucket.
+    component it holds. No task grows with a bucket; the rows do, with its square over the size of a chunk, where a
+    bucket still holds several components after the hub rounds.
     """
     chunks = saved(rows.groupBy("bucket").agg(F.expr(f"cast(ceil(greatest(count(*) / {CHUNK}, sum(n) / {CHUNK_IDS})) as int)").alias("c")), "bucket-chunks")
     placed = rows.join(chunks, "bucket").withColumn("own", F.expr("cast(pmod(xxhash64(id), c) as int)"))

@@ -532,3 +532,44 @@ def test_scores_of_null_and_repeated_ids(spark):
     a = spark.createDataFrame(rows[:2], "doc_id long, text string").coalesce(1).union(spark.createDataFrame(rows[2:4], "doc_id long, text string").coalesce(1))
     assert sorted(r.n_tokens for r in pitman_yor.score(a).collect()) == [3, 3, 3, 4]
     assert spark.sql("show tables").count() == before
+
+
+REPEATED = [(None, "one two three four five six seven eight nine ten " * 6), (3, "alpha beta. " * 30), (3, "alpha beta. " * 30), (3, "x"), (None, None), (None, "x"), (5, ""), (5, None), (7, "gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron")]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    return spark.createDataFrame([(i, t, "en", "s", None, 1) for i, t in REPEATED], "doc_id long, text string, lang string, source string, n_chars long, start long").repartition(4)
+
+
+def test_token_files_of_repeated_and_null_ids(spark, repeated):
+    """Every row is a document of its own; starts follow each other without a gap."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = [(i, [*lib.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in REPEATED]
+    got = sorted(tokens.token_files(spark, repeated).collect(), key=lambda r: r.start)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids), key=str)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    known = [r.doc_id for r in got if r.doc_id is not None]
+    assert known == sorted(known)
+
+
+def test_decontamination_of_repeated_and_null_ids(spark, repeated):
+    items = spark.createDataFrame([(1, REPEATED[-1][1]), (1, REPEATED[-1][1]), (None, None), (2, "")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.contaminated) for r in decontaminate.contaminated(repeated, items).collect()), key=str)
+    assert got == sorted(((i, i == 7) for i, _ in REPEATED), key=str)
+    assert decontaminate.clean(repeated, items).count() == len(REPEATED) - 1
+
+
+def test_mixing_of_repeated_and_null_ids(spark, repeated):
+    """With the whole supply as its budget every row is taken once, whatever its id."""
+    got = mixing.mix(repeated, {"language": "lang"}, {("en",): 1.0}, share=1.0, epochs=1)
+    assert sorted(((r.doc_id, r.text, r.mix_epoch) for r in got.collect()), key=str) == sorted(((i, t, 0) for i, t in REPEATED), key=str)
+
+
+def test_quality_rules_of_repeated_and_null_ids(repeated):
+    got = quality_rules.quality_rules(repeated).collect()
+    assert sorted(((r.doc_id, r.n_words) for r in got), key=str) == sorted(((i, len((t or "").split())) for i, t in REPEATED), key=str)
+    assert all(r.base_failed for r in got if r.n_words < 10)
