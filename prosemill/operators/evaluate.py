@@ -115,10 +115,10 @@ def list_hits(docs: DataFrame, listed: DataFrame, lengths: list[int] = (0,), max
         text = first_words(F.col("text"), n) if n else F.col("text")
         return F.struct(F.lit(n).alias("length"), F.regexp_count(text, F.lit(RATE_WORD)).cast("long").alias("words"), F.array_distinct(matches(F.lower(text), "[a-z][a-z'’-]*")).alias("list"))
 
-    each = docs.select(*keep, F.explode(F.array(*map(cut, lengths))).alias("c")).select(*keep, "c.*")
+    rows = docs.select(*keep, F.explode(F.array(*map(cut, lengths))).alias("c")).select(*keep, "c.*")
     small = F.broadcast(listed) if listed.count() <= max_broadcast else listed
-    hits = each.select("doc_id", "length", F.explode(each("list")).alias("word")).join(small, "word").select("doc_id", "length", "rank")
-    return each.drop("list"), hits
+    hits = rows.select("doc_id", "length", F.explode(each("list")).alias("word")).join(small, "word").select("doc_id", "length", "rank")
+    return rows.drop("list"), hits
 
 
 def at_budget(scores: DataFrame, *by: str, budget: int = 1) -> DataFrame:

@@ -54,3 +54,12 @@ def test_claims_are_read_and_held_against_values(spark):
         ("c.md", "documents"): ("floor", 100.0, False),
     }
     assert [r.subject for r in evaluate.unstated(d, values_).collect()] == ["lines"]
+
+
+def test_list_words_of_documents_and_their_beginnings(spark):
+    d = spark.createDataFrame([(1, "human", "aa bb cc aa dd"), (2, "ai", "dd")], "doc_id long, side string, text string")
+    listed = spark.createDataFrame([("aa", 1), ("dd", 2)], "word string, rank int")
+    for most in (10, 0):  # broadcast or not
+        rows, hits = evaluate.list_hits(d, listed, [0, 2], max_broadcast=most)
+        assert sorted((r.doc_id, r.length, r.words) for r in rows.collect()) == [(1, 0, 5), (1, 2, 2), (2, 0, 1), (2, 2, 1)]
+        assert sorted((r.doc_id, r.length, r["rank"]) for r in hits.collect()) == [(1, 0, 1), (1, 0, 2), (1, 2, 1), (2, 0, 2), (2, 2, 2)]
