@@ -80,6 +80,54 @@ def needles_of(pattern: str) -> list[str] | None:
     return sorted(n for n in found if not any(m != n and m in n for m in found))
 
 
+#: Code points of the classes of the rule dialect.
+DIGIT, BLANKS = [(48, 57)], [(9, 13), (32, 32), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
+WORD = [*DIGIT, (65, 90), (95, 95), (97, 122)]
+CLASS = {sre.CATEGORY_DIGIT: DIGIT, sre.CATEGORY_WORD: WORD, sre.CATEGORY_SPACE: BLANKS}
+
+
+def _begins(parts) -> tuple[list[tuple[int, int]], bool, bool]:
+    """(ranges that hold the first character of what parts match, whether a word boundary stands before each, whether parts may match nothing); ValueError if not known."""
+    found, bounded, before = [], True, False
+    for op, arg in parts:
+        if op is sre.AT or op in (sre.ASSERT, sre.ASSERT_NOT):
+            before |= op is sre.AT and arg is sre.AT_BOUNDARY
+            continue
+        some, alone, empty = [], False, False
+        if op is sre.LITERAL:
+            some = [(arg, arg)]
+        elif op is sre.IN and arg[0][0] is not sre.NEGATE:
+            for kind, x in arg:
+                if kind is sre.CATEGORY and x not in CLASS:
+                    raise ValueError(f"no first characters of {x}")
+                some += CLASS[x] if kind is sre.CATEGORY else [(x, x) if kind is sre.LITERAL else x]
+        elif op is sre.SUBPATTERN and not arg[1] and not arg[2]:
+            some, alone, empty = _begins(arg[3])
+        elif op is sre.BRANCH:
+            each = [_begins(x) for x in arg[1]]
+            some, alone, empty = [c for e in each for c in e[0]], all(e[1] for e in each), any(e[2] for e in each)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            some, alone, empty = _begins(arg[2])
+            empty |= arg[0] == 0
+        else:
+            raise ValueError(f"no first characters of {op}")
+        found += some
+        bounded &= before or alone
+        if not empty:
+            return found, bounded, False
+    return found, bounded, True
+
+
+def begins_of(pattern: str) -> tuple[list[tuple[int, int]], bool] | None:
+    """(ranges of code points that hold every match's first character, whether every match begins where a word does); None if not known."""
+    try:
+        found, bounded, empty = _begins(sre_parser.parse(pattern))
+    except (re.error, ValueError):
+        return None
+    within = lambda a, b: any(x <= a and b <= y for x, y in WORD)
+    return None if empty or not found else (sorted(set(found)), bounded and all(within(a, b) for a, b in found))
+
+
 def may_match(lowered: Column, pattern: str) -> Column | None:
     """Whether the lower-cased text holds a needle of the pattern."""
     found = needles_of(pattern)

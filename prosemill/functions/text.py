@@ -5,13 +5,19 @@ Offsets are code points, 0-based, ends exclusive.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .needles import begins_of
+
 # Classes that must agree with the rule dialect.
 RATE_WORD = r"[A-Za-z0-9][A-Za-z0-9'’-]*"
 ECHO_WORD = r"[a-z0-9'’-]+"
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# SPACE outside a class: letters of ASCII fail after three tests, not after ten
+BLANK = r"[\t-\r\x{20}[\x{80}-\x{10FFFF}&&" + SPACE.replace(r"\s", "") + "]]"
 # a match can only start where a run of other characters does, so long lines without a terminator stay linear
 RUN_START = r"(?:(?<![^.!?\n])|\G)"
 SENTENCE = {"echo": r"[^.!?\n]++[.!?]?", "anaphora": RUN_START + r"[^.!?\n]++[.!?]", "frame": RUN_START + r"[^.!?\n]*+[.!?]++"}
@@ -48,7 +54,7 @@ def java_pattern(pattern: str, ignore_case: bool = True) -> str:
             if d == "b" and not in_class:
                 out.append("(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
             elif d == "s":
-                out.append(SPACE[1:-1] if in_class else SPACE)
+                out.append(SPACE[1:-1] if in_class else BLANK)
             elif d == "S" and not in_class:
                 out.append("[^" + SPACE[1:])
             else:
@@ -85,7 +91,20 @@ def java_pattern(pattern: str, ignore_case: bool = True) -> str:
             continue
         out.append(c)
         i += 1
-    return ("(?i)" if ignore_case else "") + "".join(out)
+    return ("(?i)" if ignore_case else "") + _start(pattern, "".join(out))
+
+
+def _start(pattern: str, java: str) -> str:
+    """The translated pattern behind a look-ahead for what its matches begin with, which most places of a text fail at once."""
+    known = begins_of(pattern) if re.search(r"[(|]|\\[bs]", pattern) else None
+    if known is None:
+        return java
+    ranges, at_word = known
+    # single characters of ASCII share one table in the engine; the others are asked after one comparison
+    low = "".join(f"\\x{{{c:X}}}" for a, b in ranges for c in range(a, min(b, 127) + 1))
+    high = "".join(f"\\x{{{max(a, 128):X}}}-\\x{{{b:X}}}" for a, b in ranges if b >= 128)
+    rest = f"[\\x{{80}}-\\x{{10FFFF}}&&[{high}]]" if high else ""
+    return f"(?=[{low}{rest}]){'(?<![A-Za-z0-9_])' if at_word else ''}(?:{java})"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -137,15 +156,20 @@ def fold(items: Column, start: Column, kind: str, step, carried: str = "int") ->
 def occurrences(text: Column, pattern: str | Column) -> Column:
     """All matches as array<struct<start, stop, value>>, in order: every match follows its gap."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
 
     def step(a: Column, x: Column) -> Column:
         here = a["at"] + F.length(x["g"])
         stop = here + F.length(x["m"])
         return F.struct(stop.alias("at"), F.array_append(a["out"], F.struct(here.alias("start"), stop.alias("stop"), x["m"].alias("value"))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
-    return fold(pairs, F.lit(0), "struct<start: int, stop: int, value: string>", step)
+    def located(x: Column) -> Column:
+        text, found = x["t"], x["m"]
+        # only a text with a match is searched a second time
+        gaps = F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(F.expr("cast(array() as array<string>)"))
+        pairs = F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
+        return fold(pairs, F.lit(0), "struct<start: int, stop: int, value: string>", step)
+
+    return let(let(text, lambda t: F.struct(t.alias("t"), F.regexp_extract_all(t, pattern, F.lit(0)).alias("m"))), located)
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -10,8 +10,11 @@ from ..functions.text import COMMON_OPENERS, ECHO_WORD, FUNCTION_WORDS, RATE_WOR
 # What separates the items of a chain.
 CHAIN_SEPARATOR = r"(?i)(?:\s*,\s*(?:and\s+|or\s+)?|\s+(?:and|or)\s+|\s*[;&–—]\s*(?:and\s+|or\s+)?|\s+-{1,2}\s+)"
 QUESTIONS = RUN_START + r"[^.!?\n]++\?(?:\s+[^.!?\n]++\?)++"
-ABBREVIATION = r"(?<![A-Za-z0-9_])(Dr|Mr|Mrs|Ms|Prof|Sr|Jr|St|vs|etc|approx|Fig|No|Inc|Ltd|Co)\.(?=\s)"
+# what a match begins with is looked for first, as most places fail at it
+ABBREVIATION = r"(?=[DMPSJveaFNILC])(?<![A-Za-z0-9_])(Dr|Mr|Mrs|Ms|Prof|Sr|Jr|St|vs|etc|approx|Fig|No|Inc|Ltd|Co)\.(?=\s)"
 CODE_MARK = r'[=\[\]{}|\\<>@#$~^*/]|::|[A-Za-z0-9_]_[A-Za-z0-9_]|"""|`'
+# whether CODE_MARK is anywhere, asked without a look at letters
+MARKED = r'(?=[=\[\]{}|\\<>@#$~^*/:_"`])(?:[^:_"]|::|(?<=[A-Za-z0-9_])_[A-Za-z0-9_]|""")'
 
 
 def regex(text: Column, pattern: str, ignore_case: bool = True) -> Column:
@@ -142,11 +145,14 @@ def frame_runs(text: Column, gram: int = 8, min_run: int = 3, anchors: int = 2,
     """M7: array<struct<start, stop, n, sig>> of prose sentences in a row whose first tokens have one skeleton of function words and marks."""
 
     def trimmed(o: Column) -> Column:
-        return let(F.regexp_replace(o["value"], r"^\s+", ""), lambda v: F.struct((o["stop"] - F.length(v)).alias("start"), o["stop"].alias("stop"), F.translate(v, "\0", ".").alias("value")))
+        return let(F.ltrim(o["value"], F.lit(" \t\n\x0b\f\r")), lambda v: F.struct((o["stop"] - F.length(v)).alias("start"), o["stop"].alias("stop"), F.translate(v, "\0", ".").alias("value")))
+
+    # letters are found in runs: a list of every single one costs far more
+    letters = lambda v, of: F.length(F.array_join(matches(v, f"[{of}]+"), ""))
 
     def prose(o: Column) -> Column:
         v = o["value"]
-        return (v != "") & (F.regexp_count(v, F.lit("[A-Za-z]")) >= min_letters) & ~v.rlike(CODE_MARK) & (F.regexp_count(v, F.lit(r"[A-Za-z\s]")) / F.length(v) >= letter_ratio)
+        return (v != "") & (letters(v, "A-Za-z") >= min_letters) & ~v.rlike(MARKED) & (letters(v, r"A-Za-z\s") / F.length(v) >= letter_ratio)
 
     def token(t: Column) -> Column:
         low = F.lower(t)
@@ -170,10 +176,18 @@ def frames(docs: DataFrame, *parameters, **named) -> DataFrame:
 def rhythm(text: Column, shortest: int = 1, longest: int = 200) -> tuple[Column, Column]:
     """M8: (coefficient of variation of words per sentence, or null; number of sentences)."""
     lengths = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+", -1), lambda p: F.regexp_count(p, F.lit(RATE_WORD))), lambda n: n > 0)
-    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)
-    squares = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n.cast("long") * n)
-    n = F.size(lengths)
-    mean = F.try_divide(total, n)
-    # sd / mean = sqrt(n * squares - total^2) / total, whole numbers until the end
-    value = F.try_divide(F.sqrt((n * squares - total * total).cast("double")), total)
-    return F.when((n > 0) & mean.between(shortest, longest), value), n
+
+    def told(lengths: Column) -> Column:
+        total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)
+        squares = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n.cast("long") * n)
+        return F.struct(F.size(lengths).alias("n"), total.alias("total"), squares.alias("squares"))
+
+    def value(s: Column) -> Column:
+        n, total = s["n"], s["total"]
+        # sd / mean = sqrt(n * squares - total^2) / total, whole numbers until the end
+        cv = F.try_divide(F.sqrt((n * s["squares"] - total * total).cast("double")), total)
+        return F.struct(F.when((n > 0) & F.try_divide(total, n).between(shortest, longest), cv).alias("value"), n.alias("n"))
+
+    # bound by name: the words of a text are found once, whatever is asked of their numbers
+    made = let(let(lengths, told), value)
+    return made["value"], made["n"]

@@ -4,7 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from prosemill.functions.needles import may_match, needles_of
+from prosemill.functions.needles import begins_of, may_match, needles_of
+from prosemill.functions.text import java_pattern
 from prosemill.operators import rules as R
 from prosemill.plans import catalog, rulebook
 
@@ -64,3 +65,32 @@ def test_explicit_gates_hold_for_bare_counts(spark):
     rule = {"id": "g", "match": {"kind": "regex", "pattern": "zz"}, "notable": {">": 0, "needs": {"words": 3}}}
     d = spark.createDataFrame([(1, "zz a"), (2, "zz a b"), (3, "")], "doc_id long, text string")
     assert [r.doc_id for r in R.evaluate(d, [rule]).where("fires").collect()] == [2]
+
+
+def test_matches_begin_with_their_first_characters(spark):
+    """The look-ahead before a pattern changes no match, and holds at every place where one begins."""
+    assert begins_of(r"\b(?:delve|vibrant)\b|\bin\s") == ([(100, 100), (105, 105), (118, 118)], True)
+    assert begins_of(r"(?:^|[.!?]\s+|\n)\s*It")[1] is False and begins_of("a?b") == ([(97, 97), (98, 98)], False)
+    assert begins_of(r"[^a]b") is None and begins_of(r"(?:ab)?") is None and begins_of(r"\Wb") is None and begins_of("(") is None
+    assert java_pattern(r"\bin\b|\bat\b").startswith("(?i)(?=[")
+    texts = ["In x, not xin.\nIT  was dead — at", "caféin à la in_x in", "It is. 😀 it – x -- y", ""]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    for p in [r"\bin\b|\bat\b", r"(?:^|[.!?]\s+|\n)\s*it\b", r"—|\s–\s|\s--\s", r"\b\w+\s+dead\b", r"(?:\bx|é)in"]:
+        word, blank = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))", r"[\s\x{00A0}\x{2003}]"
+        plain = "(?i)" + p.replace(r"\b", word).replace(r"\s", blank)
+        got = d.select(F.regexp_extract_all("text", F.lit(java_pattern(p)), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(plain), F.lit(0)).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got], p
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*WORDS, ", ", ". ", "? ", "'s ", "-", "\n"]), max_size=14))
+def test_first_characters_of_the_bundled_rules(parts):
+    text = " ".join(parts)
+    for r in catalog.RULES:
+        pattern = r["match"].get("pattern")
+        if pattern is None or re.search(r"\(\?<[!=]", pattern):
+            continue
+        known = begins_of(pattern)
+        for m in re.finditer(pattern, text) if known else ():
+            assert any(a <= ord(m[0][0]) <= b for a, b in known[0]), (r["id"], text)
+            assert not known[1] or not re.match(r"[A-Za-z0-9_]", text[m.start() - 1 : m.start()]), (r["id"], text)
