@@ -98,9 +98,14 @@ def vocabulary(bags: DataFrame, min_df: int, *within: str) -> DataFrame:
 
 def known_documents(bags: DataFrame, words: DataFrame, least: int = 5, *within: str) -> DataFrame:
     """Bags cut to the vocabulary, without documents that keep fewer than `least` words."""
-    cut = bags.join(words.select(*within, "word"), [*within, "word"])
-    enough = cut.groupBy("doc_id").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("doc_id")
-    return cut.join(enough, "doc_id", "left_semi")
+    cut = bags.join(words.select(*within, "word"), [*within, "word"]).where("doc_id is not null")
+    return cut.withColumn("k_", F.count("*").over(Window.partitionBy("doc_id"))).where(F.col("k_") >= least).drop("k_")
+
+
+def known_counts(bags: DataFrame, words: DataFrame, least: int = 5) -> DataFrame:
+    """(doc_id, known, tokens) of known_documents(), from sums of each part of the bags: no posting is shuffled for it."""
+    cut = bags.join(words.select("word"), "word").where("doc_id is not null")
+    return cut.groupBy("doc_id").agg(F.count("*").alias("known"), F.sum("tf").alias("tokens")).where(F.col("known") >= least)
 
 
 def lift_rank(bags: DataFrame, group: str, prior: float = 25.0, sizes: DataFrame | None = None) -> DataFrame:
@@ -267,16 +272,16 @@ def kmeans(bags: DataFrame, k: int = 10, iterations: int = 25, seed: int = 12345
 
 
 def kmeans_of(bags: DataFrame, ks: list[int], iterations: int = 25, seed: int = 12345, save=None, max_cells: int = 2_000_000) -> DataFrame:
-    """The fits of several k at once; doc_id and a column k<k> of clusters for each. A round is one pass for all of them."""
+    """The fits of several k at once; doc_id and a column k<k> of clusters for each. A round is one pass for as many of them as max_cells numbers hold."""
     save = save or (lambda df: df.checkpoint())
     words = save(bags.select("word").distinct())
-    if words.count() * sum(ks) <= max_cells:
-        return _packed_kmeans(bags, words, ks, iterations, seed, save)
+    if words.count() * max(ks) <= max_cells:
+        return _packed_kmeans(bags, words, ks, iterations, seed, save, max_cells)
     fits = [_joined_kmeans(bags, words, k, iterations, seed, save).withColumnRenamed("cluster", f"k{k}") for k in ks]
     return reduce(lambda a, b: a.join(b, "doc_id"), fits)
 
 
-def _packed_kmeans(bags: DataFrame, words: DataFrame, ks: list[int], iterations: int, seed: int, save) -> DataFrame:
+def _packed_kmeans(bags: DataFrame, words: DataFrame, ks: list[int], iterations: int, seed: int, save, max_cells: int) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
@@ -286,9 +291,16 @@ def _packed_kmeans(bags: DataFrame, words: DataFrame, ks: list[int], iterations:
     packed = bags.join(F.broadcast(numbered), "word").groupBy("doc_id").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("tf").cast("long")).alias("tf"))
     packed = save(packed)
     packed = save(packed.join(drawn(packed.select("doc_id"), seed, save), "doc_id").select("u", "i", "tf", "doc_id"))
-    # the cells of a fit: words of its clusters, and how many documents moved
-    starts = dict(zip(ks, np.cumsum([0, *(k * v + 1 for k in ks)])[:-1].tolist(), strict=True))
-    cells = sum(k * v + 1 for k in ks)
+
+    def together(some):
+        """The fits in groups of at most max_cells numbers, each of which is one pass."""
+        groups: list[list[int]] = []
+        for k in some:
+            if groups and (sum(groups[-1]) + k) * v <= max_cells:
+                groups[-1].append(k)
+            else:
+                groups.append([k])
+        return groups
 
     def nearest(batch, k, centres):
         """Clusters of a batch's documents: the nearest centres, or the slices before there are any."""
@@ -299,52 +311,60 @@ def _packed_kmeans(bags: DataFrame, words: DataFrame, ks: list[int], iterations:
         row = np.repeat(np.arange(len(n)), n)
         return np.stack([np.bincount(row, times * centres[c, word], len(n)) for c in range(k)]).argmax(axis=0)
 
-    def counted(old, new):
-        """By fit, the word counts of the clusters that the centres `new` make and how many documents left those of `old`; None stands for the slices."""
+    def counted(held, open_):
+        """By fit, the word counts of the clusters that the centres make; None stands for the slices."""
+        # the cells of a fit: words of its clusters
+        starts, cells = dict(zip(open_, np.cumsum([0, *(k * v for k in open_)])[:-1].tolist(), strict=True)), sum(open_) * v
 
         def run(batches):
             total = np.zeros(cells, np.int64)
-            held = [x if x is None else x.value for x in (old, new)]
-            for batch in batches:
-                n, word, times = np.diff(batch.column(1).offsets.to_numpy()), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-                for k in ks if new is None else held[1]:
-                    at = starts[k]
-                    cluster = nearest(batch, k, None if new is None else held[1][k])
-                    total[at : at + k * v] += np.bincount(np.repeat(cluster, n) * v + word, times, k * v).astype(np.int64)
-                    if new is not None:
-                        total[at + k * v] += (cluster != nearest(batch, k, None if old is None else held[0][k])).sum()
+            centres = held and held.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):  # what is gathered at once stays small
+                    batch = whole.slice(at, 1000)
+                    n, word, times = np.diff(batch.column(1).offsets.to_numpy()), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+                    for k in open_:
+                        cluster = nearest(batch, k, centres and centres[k])
+                        total[starts[k] : starts[k] + k * v] += np.bincount(np.repeat(cluster, n) * v + word, times, k * v).astype(np.int64)
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["at", "n"])
 
         got = packed.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most max_cells rows
         out = np.zeros(cells, np.int64)
         out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-        return {k: (out[at : at + k * v].reshape(k, v), int(out[at + k * v])) for k, at in starts.items()}
+        return {k: out[starts[k] : starts[k] + k * v].reshape(k, v) for k in open_}
 
     first = packed.orderBy("doc_id").select("i", "tf").limit(1).collect()
-    sums, centres = counted(None, None), {k: np.zeros((k, v)) for k in ks}
+    sums, centres = {}, {k: np.zeros((k, v)) for k in ks}
+    for group in together(ks):
+        sums |= counted(None, group)
     if first:
         for k in ks:
             centres[k][:, first[0].i] = first[0].tf
     logs: dict = {}
     open_ = list(ks) if first else []
-    old = None
     for _ in range(iterations):
         if not open_:
             break
         for k in open_:
-            counts = sums[k][0]
+            counts = sums[k]
             centres[k] = np.where(counts.sum(axis=1, keepdims=True) > 0, counts, centres[k])
             logs[k] = np.log((centres[k] + 0.01) / (centres[k].sum(axis=1, keepdims=True) + 0.01 * v))
-        new = spark.sparkContext.broadcast({k: logs[k] for k in open_})
-        sums |= {k: x for k, x in counted(old, new).items() if k in open_}
-        old, open_ = new, [k for k in open_ if sums[k][1]]
+        made = {}
+        for group in together(open_):
+            made |= counted(spark.sparkContext.broadcast({k: logs[k] for k in group}), group)
+        # the same counts make the same centres, and these the clusters that are there: no document would move again
+        moved = [k for k in open_ if (made[k] != sums[k]).any()]
+        sums |= made
+        open_ = moved
     last = spark.sparkContext.broadcast(logs)
 
     def assign(batches):
-        for batch in batches:
-            clusters = [pa.array(nearest(batch, k, last.value.get(k)).astype(np.int32)) for k in ks]
-            yield pa.RecordBatch.from_arrays([batch.column(3), *clusters], ["doc_id", *(f"k{k}" for k in ks)])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                clusters = [pa.array(nearest(batch, k, last.value.get(k)).astype(np.int32)) for k in ks]
+                yield pa.RecordBatch.from_arrays([batch.column(3), *clusters], ["doc_id", *(f"k{k}" for k in ks)])
 
     return packed.mapInArrow(assign, ", ".join([f"doc_id {packed.schema['doc_id'].dataType.simpleString()}", *(f"k{k} int" for k in ks)]))
 
