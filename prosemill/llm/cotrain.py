@@ -28,6 +28,8 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -274,8 +276,8 @@ def cotrain(spark, features: DataFrame, labelled: Labelled, rounds: int, per_rou
     return labelled.calibrated(model)
 
 
-def _scored(docs: DataFrame, labels: DataFrame, threshold: float, max_labelled: int, rounds: int, per_round: float, sure: float, steps: int, weight: float, id_col: str) -> DataFrame:
-    """id, view (a hash of what the views see), text_score, meta_score, score and kept of every row of docs."""
+def _fitted(docs: DataFrame, labels: DataFrame, max_labelled: int, rounds: int, per_round: float, sure: float, steps: int, weight: float, id_col: str):
+    """(features of every row of docs as a table of id, idx, dense and y, the model as a broadcast)."""
     spark = docs.sparkSession
     truth = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.expr("cast(min(quality) = 1 and max(toxic) <> 1 as int)").alias("y"))
     hashed = F.expr("(xxhash64(doc_id) & 1048575) / 1048576D")
@@ -283,53 +285,71 @@ def _scored(docs: DataFrame, labels: DataFrame, threshold: float, max_labelled:
     known = truth.join(ids, "doc_id")
     sample = known.where(hashed < 0.97 * max_labelled / max(1, known.count())).limit(max_labelled)
     picked = F.broadcast(sample.select(F.col("doc_id").alias("id"), "y"))  # at most max_labelled short rows
-    seen = docs.select(F.col(id_col).cast("long").alias("id"), _view().alias("view"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    seen = docs.select(F.col(id_col).cast("long").alias("id"), *_seen())
 
     def extract(batches):
         cache = held("words", dict)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                f = [features(*row, cache) for row in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.tobytes() for i, _ in f], pa.binary()), pa.array([d.tobytes() for _, d in f], pa.binary())], ["id", "view", "idx", "dense"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *_extracted(part.columns[1:], cache)], ["id", "idx", "dense"])
 
-    rows = saved(seen.mapInArrow(extract, "id long, view long, idx binary, dense binary").join(picked, "id", "left"), "classifier-features")
+    rows = saved(seen.mapInArrow(extract, "id long, idx binary, dense binary").join(picked, "id", "left"), "classifier-features")
     chosen = rows.where("y is not null").groupBy("id").agg(F.min(F.struct("idx", "dense", "y")).alias("r")).select("id", "r.*")
     labelled = Labelled([(bytes(r.idx), bytes(r.dense), r.y) for r in sorted(chosen.collect())])  # at most max_labelled rows
     model = cotrain(spark, rows, labelled, rounds, per_round, sure, steps, weight) if labelled.usable else None
-    shared = spark.sparkContext.broadcast(model)
+    return rows, spark.sparkContext.broadcast(model)
 
-    def score(batches):
-        got = shared.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                out = np.full((3, part.num_rows), 0.5)
-                if got:
-                    zs = Rows(part.column(2), part.column(3)).scores(got)
-                    c = np.stack([np.clip(zs[v], -30, 30) / 4 * got["platt"][v][0] + got["platt"][v][1] for v in (0, 1)])
-                    out[0], out[1] = _sig(c[0]), _sig(c[1])
-                    out[2] = _sig(np.stack([c[0], c[1], c.min(axis=0)], axis=1) / 4 @ got["mix"][0] + got["mix"][1])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v) for v in out), pa.array(out[2] >= threshold)], ["id", "view", "text_score", "meta_score", "score", "kept"])
 
-    return rows.select("id", "view", "idx", "dense").mapInArrow(score, "id long, view long, text_score double, meta_score double, score double, kept boolean")
+def _seen() -> list:
+    """What the views see of a document."""
+    return [F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")]
 
 
-def _view():
-    return F.xxhash64(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+def _extracted(columns, cache: dict) -> list[pa.Array]:
+    """idx and dense of texts, languages and sources."""
+    f = [features(*row, cache) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
+    return [pa.array([i.tobytes() for i, _ in f], pa.binary()), pa.array([d.tobytes() for _, d in f], pa.binary())]
+
+
+def _scores(got: dict | None, idx: pa.Array, dense: pa.Array) -> np.ndarray:
+    """The two views' scores and the score of all, a row each."""
+    out = np.full((3, len(idx)), 0.5)
+    if got:
+        zs = Rows(idx, dense).scores(got)
+        c = np.stack([np.clip(zs[v], -30, 30) / 4 * got["platt"][v][0] + got["platt"][v][1] for v in (0, 1)])
+        out[0], out[1] = _sig(c[0]), _sig(c[1])
+        out[2] = _sig(np.stack([c[0], c[1], c.min(axis=0)], axis=1) / 4 @ got["mix"][0] + got["mix"][1])
+    return out
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 10_000, rounds: int = 3, per_round: float = 0.05, sure: float = 0.95, steps: int = 3, weight: float = 0.25, id_col: str = "doc_id") -> DataFrame:
     """doc_id, text_score, meta_score, score and kept."""
-    scored = _scored(docs, labels, threshold, max_labelled, rounds, per_round, sure, steps, weight, id_col)
+    rows, shared = _fitted(docs, labels, max_labelled, rounds, per_round, sure, steps, weight, id_col)
+
+    def score(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                out = _scores(shared.value, part.column(1), part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v) for v in out), pa.array(out[2] >= threshold)], ["id", "text_score", "meta_score", "score", "kept"])
+
+    scored = rows.select("id", "idx", "dense").mapInArrow(score, "id long, text_score double, meta_score double, score double, kept boolean")
     return scored.select(F.col("id").alias(id_col), "text_score", "meta_score", "score", "kept")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 10_000, rounds: int = 3, per_round: float = 0.05, sure: float = 0.95, steps: int = 3, weight: float = 0.25, id_col: str = "doc_id") -> DataFrame:
     """The documents that the classifier keeps, with their own columns.
 
-    A score depends on text, language and source alone, so documents meet the rejected ones by a hash of these.
+    A score depends on text, language and source alone, so it is made anew beside the document: to meet the scores made
+    of the features, all texts would have to be shuffled.
     """
-    scored = _scored(docs, labels, threshold, max_labelled, rounds, per_round, sure, steps, weight, id_col)
-    rejected = saved(scored.where("not kept").select("view").distinct(), "rejected-documents")
-    return docs.join(rejected, _view() == rejected.view, "left_anti")
+    _, shared = _fitted(docs, labels, max_labelled, rounds, per_round, sure, steps, weight, id_col)
+
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        cache = held("words", dict)
+        for columns in batches:
+            parts = range(0, max(1, len(columns[0])), 512)
+            yield pa.concat_arrays([pa.array(_scores(shared.value, *_extracted([c.slice(a, 512) for c in columns], cache))[2] >= threshold) for a in parts])
+
+    return docs.where(F.arrow_udf(kept, "boolean")(*_seen()))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from prosemill.llm import decontaminate, mixing
@@ -100,3 +101,17 @@ def test_empty_tables(spark, folder, tmp_path):
     for name, stage in P.STAGES:
         out = stage(spark, docs.limit(0), str(tmp_path))
         assert out.count() == 0 and (name == "token files" or out.columns == docs.columns)
+
+
+def test_kept_documents_meet_no_scores_by_a_join(spark, folder):
+    """Texts stay where they were read: a join with the scores shuffled all of them once a side was too large to broadcast."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    good = P.classify(spark, docs, folder)
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    kept = P.cotrain.score_documents(docs, labels).where("kept").join(docs.select("doc_id", "text"), "doc_id")
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1 and doc_id is not null").select("doc_id")
+    both = lambda rows: sorted(r.doc_id for r in rows.join(unique, "doc_id").select("doc_id").collect())
+    assert both(good) == both(kept)
+    none = P.cotrain.good_documents(docs.limit(0), labels)
+    assert none.count() == 0 and none.schema == docs.schema
