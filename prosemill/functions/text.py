@@ -179,9 +179,10 @@ def ngrams(words: Column, n: int) -> Column:
 def corpus_tokens(text: Column) -> Column:
     """Lower-cased words of the corpus pipeline: no URLs or tags, at least three letters, trimmed of _ and /."""
     rest = F.regexp_replace(F.regexp_replace(F.lower(text), r"""https?://[^\s<>"'`)\]}]+""", " "), r"<[a-z/!][^<>]*>", " ")
-    raw = matches(rest, r"[a-z0-9_/-]*[a-z][a-z0-9_/-]*")
-    trimmed = F.transform(raw, lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "^[_/]+", ""), r"[_/]+\z", ""), r"-+\z", ""))
-    return F.filter(trimmed, lambda w: F.regexp_count(w, F.lit("[a-z]")) >= 3)
+    # whole runs, which hold three letters after trimming as before; all their characters are of ASCII
+    raw = matches(rest, r"[a-z0-9_/-]{3,}+")
+    lettered = F.filter(raw, lambda w: F.length(F.translate(w, "0123456789_/-", "")) >= 3)
+    return F.transform(lettered, lambda w: F.rtrim(F.btrim(w, F.lit("_/")), F.lit("-")))
 
 
 def one_line(text: Column, n: int = 100) -> Column:

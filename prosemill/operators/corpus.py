@@ -80,10 +80,10 @@ def word_counts(tokens: Column) -> Column:
     """array<struct<word, tf>> of an array of words: sorted, and cut where the word changes."""
 
     def counted(s: Column) -> Column:
-        begins = F.filter(F.transform(s, lambda w, i: F.when(~F.get(s, i - 1).eqNullSafe(w), i)), lambda i: i.isNotNull())
+        begins = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | ~F.get(s, i - 1).eqNullSafe(w), i)), lambda i: i.isNotNull())
         return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
 
-    return let(F.array_sort(tokens), counted)
+    return let(F.sort_array(tokens), counted)  # array_sort compares by an interpreted function
 
 
 def bag(tokens: DataFrame, *keys: str) -> DataFrame:
@@ -202,6 +202,27 @@ def day_postings(bags: DataFrame, min_df: int = 2, least: int = 5) -> DataFrame:
     return cut.withColumn("k_", F.count("*").over(Window.partitionBy("day", "doc_id"))).where(F.col("k_") >= least).drop("k_")
 
 
+def day_bags(rows: DataFrame, least: int = 5) -> DataFrame:
+    """(day, doc_id, bag, ...) with bags cut to words of two documents of their day, without documents that keep fewer than `least` words.
+
+    What day_postings() gives at min_df = 2, with postings kept in their documents: a word is cut where one document
+    alone holds it on its day, so the cut words find their document by its id, and no other posting is shuffled by
+    itself. Rows without a day or an id are left out. rows are read twice: give a written table.
+    """
+    rows = rows.where("day is not null and doc_id is not null")
+    held = rows.select("day", "doc_id", F.inline("bag")).groupBy("day", "word").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    alone = held.where("n = 1").groupBy("day", "doc_id").agg(F.collect_list("word").alias("alone"))  # words of one document
+
+    def kept(bag: Column, alone: Column) -> Column:
+        # a mark sorts before the posting of its word
+        marks = F.transform(alone, lambda w: F.struct(w.alias("word"), F.lit(-1).cast("long").alias("tf")))
+        marked = lambda s: F.filter(s, lambda x, i: (x["tf"] >= 0) & ~F.coalesce(F.get(s, i - 1)["word"] == x["word"], F.lit(False)))
+        return F.when(alone.isNull(), bag).otherwise(let(F.sort_array(F.concat(bag, marks)), marked))
+
+    cut = rows.join(alone.hint("shuffle_hash"), ["day", "doc_id"], "left").withColumn("bag", kept(F.col("bag"), F.col("alone"))).drop("alone")
+    return cut.withColumn("k_", F.sum(F.size("bag")).over(Window.partitionBy("day", "doc_id"))).where(F.col("k_") >= least).drop("k_")
+
+
 def window_sample(events: DataFrame, windows: DataFrame) -> DataFrame:
     """The events (day, ts, ...) that fall into a window of their day; windows: day, window, start_second, seconds."""
     at = F.unix_timestamp("ts") - F.unix_timestamp(F.col("day").cast("timestamp"))

@@ -37,13 +37,17 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def write_days(postings: DataFrame, path: str, force: bool = False) -> str:
     """K8: publish (day, doc_id, author, signed, word, tf) by day; days that are there stay unless forced. Returns the stamp.
 
-    Days are gathered into files by a rebalance, which splits large days and joins small ones at run time.
+    Days are gathered into files by a rebalance, which splits large days and joins small ones at run time. Postings may
+    come in their documents, as a column bag in the place of word and tf; they are taken apart behind the rebalance.
     """
     spark, stamp = postings.sparkSession, uuid.uuid4().hex
     if not force:
         postings = postings.join(manifest(spark, path).select("day"), "day", "left_anti")
     names = [c.split()[0] for c in POSTINGS.split(", ")]
-    postings.withColumn("stamp", F.lit(stamp)).select(*names).hint("rebalance", "day").write.mode("append").partitionBy("day", "stamp").parquet(f"{path}/postings")
+    own = [c for c in names if c in postings.columns]
+    dealt = postings.select(*own, *(["bag"] if "bag" in postings.columns else [])).hint("rebalance", "day")
+    apart = dealt.select(*own, F.inline("bag")) if "bag" in postings.columns else dealt
+    apart.withColumn("stamp", F.lit(stamp)).select(*names).write.mode("append").partitionBy("day", "stamp").parquet(f"{path}/postings")
     # what was written is what is summed up: a second look at the source could differ
     written = spark.read.schema(POSTINGS).parquet(f"{path}/postings").where(F.col("stamp") == stamp)
     summary = summed(written).withColumn("stamp", F.lit(stamp))
@@ -53,7 +57,9 @@ def write_days(postings: DataFrame, path: str, force: bool = False) -> str:
 
 def summed(postings: DataFrame) -> DataFrame:
     """By day: documents, documents and authors of either side, words and postings."""
-    docs = postings.groupBy("day", "doc_id").agg(F.first("author").alias("author"), F.first("signed").alias("on"), F.count("*").alias("n"))
+    # texts as keys are counted in a hash table, where their first() would sort all postings
+    some = postings.groupBy("day", "doc_id", "author", "signed").agg(F.count("*").alias("n"))
+    docs = some.groupBy("day", "doc_id").agg(F.first("author").alias("author"), F.first("signed").alias("on"), F.sum("n").alias("n"))
     on, off = F.col("on"), ~F.col("on")
     by = docs.groupBy("day").agg(F.count("*").alias("docs"), F.sum(on.cast("long")).alias("signed_docs"), F.countDistinct(F.when(on, F.col("author"))).alias("signed_authors"), F.countDistinct(F.when(off, F.col("author"))).alias("unsigned_authors"), F.sum("n").alias("postings"))
     return by.join(postings.select("day", "word").distinct().groupBy("day").agg(F.count("*").alias("words")), "day")
@@ -77,6 +83,11 @@ def read_days(spark: SparkSession, path: str, first: str | None = None, last: st
     return rows.join(F.broadcast(held), ["day", "stamp"]).drop("stamp")
 
 
+def window_words(spark: SparkSession, path: str, first: str, last: str, min_df: int) -> DataFrame:
+    """(word, df, tf) of the vocabulary of window(), counted as the postings are read: no posting meets its word by a join."""
+    return read_days(spark, path, first, last).groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= min_df)
+
+
 def window(spark: SparkSession, path: str, first: str, last: str, min_df: int) -> DataFrame:
     """The postings of a window of days over one vocabulary, of words in min_df documents of the window."""
     some = read_days(spark, path, first, last)

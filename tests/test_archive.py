@@ -101,3 +101,38 @@ def test_pairs_of_a_folder(spark, tmp_path):
     (tmp_path / "other.txt").write_text("word " * 300)
     got = sorted((r.pair_id, r.register, r.side) for r in read_pairs(spark, str(tmp_path)).collect())
     assert got == [("essay-one", "essay", "ai"), ("essay-one", "essay", "human"), ("mail-two", "mail", "human")]
+
+
+def test_bags_by_day_are_what_postings_by_day_are(spark, path):
+    """Words of one document alone go, in repeated ids and long bags as well; neither way of writing differs."""
+    rows = [(date(2024, 1, 1 + k % 3), None if k == 9 else k // 2, "ab"[k % 2], k % 2 == 0, [(f"w{(k * j) % 23}", 1 + j) for j in sorted({(k * j) % 23: j for j in range(k + 3)}.values())]) for k in range(40)]
+    rows = [(*r[:4], sorted({w: n for w, n in r[4]}.items())) for r in rows] + [(None, 77, "c", True, [("w1", 1)]), (date(2024, 1, 1), 88, "c", True, [(f"u{i}", 1) for i in range(3000)] + [("w1", 2)])]
+    bags = spark.createDataFrame(rows, "day date, doc_id long, author string, signed boolean, bag array<struct<word string, tf long>>")
+    apart = bags.where("doc_id is not null").selectExpr("day", "doc_id", "author", "signed", "inline(bag)")
+    for least in (1, 5, 9):
+        got = corpus.day_bags(bags, least)
+        assert rows_of(got.selectExpr("day", "doc_id", "author", "signed", "inline(bag)")) == rows_of(corpus.day_postings(apart, 2, least))
+    archive.write_days(corpus.day_bags(bags), path)
+    archive.write_days(corpus.day_postings(apart), f"{path}-apart")
+    assert rows_of(archive.read_days(spark, path)) == rows_of(archive.read_days(spark, f"{path}-apart"))
+    assert sorted(archive.summaries(spark, path).collect()) == sorted(archive.summaries(spark, f"{path}-apart").collect())
+
+
+def test_a_window_is_counted_without_a_join_of_its_words(spark, path):
+    """A frequent word's postings met their word in one partition; now they are summed where they are read."""
+    archive.write_days(spark.createDataFrame(ROWS, SCHEMA), path)
+    got = archive.window_words(spark, path, "2024-01-01", "2024-01-02", 7)
+    assert sorted(tuple(r) for r in got.collect()) == [("one", 12, 18), ("two", 12, 18)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" in plan.split("Join")[0]
+
+
+def test_tokens_as_by_the_rule_of_three_letters(spark):
+    """Runs trimmed in one pass are those trimmed by patterns one after the other."""
+    from prosemill.functions.text import corpus_tokens
+
+    text = "_/ab-c_/- a_b_c 12-34 abc1 --- x/y/z/ _-_abc-_- ab 1a2b3c <b>gone</b> https://x.y/z left-- éabcé /_-/_foo"
+    got = spark.createDataFrame([(text,)], "text string").select(corpus_tokens(F.col("text"))).head()[0]
+    rest = re.sub(r"<[a-z/!][^<>]*>", " ", re.sub(r"""https?://[^\s<>"'`)\]}]+""", " ", text.lower()))
+    raw = [re.sub(r"-+\Z", "", re.sub(r"[_/]+\Z", "", re.sub("^[_/]+", "", w))) for w in re.findall(r"[a-z0-9_/-]*[a-z][a-z0-9_/-]*", rest)]
+    assert got == [w for w in raw if len(re.findall("[a-z]", w)) >= 3]
