@@ -187,7 +187,7 @@ def corpus_tokens(text: Column) -> Column:
 
 def one_line(text: Column, n: int = 100) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > n, F.concat(F.left(flat, F.lit(n - 1)), F.lit("…"))).otherwise(flat)
+    return let(flat, lambda x: F.when(F.length(x) > n, F.concat(F.left(x, F.lit(n - 1)), F.lit("…"))).otherwise(x))
 
 
 def first_words(text: Column, n: int) -> Column:

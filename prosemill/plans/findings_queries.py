@@ -83,14 +83,17 @@ fd as (select doc_id, rule_ord, rule, "start", stop, false doc_level, 0 n_occ, n
   select doc_id, 4, 'commas', strpos(text, ',') - 1, strpos(text, ','), true, n, n || ' in ' || rate_words || ' words, ' || shown || ' per 1000 >= 60' from dl join d using (doc_id))"""
 
 
-def found(spark, sf_dir):
-    return findings.assemble(docs(spark, sf_dir), RULES)
+SHOWN = "rule line col end_line end_col match sentence doc_level n_occurrences".split()
+
+
+def found(spark, sf_dir, *fields):
+    return findings.assemble(docs(spark, sf_dir), RULES, list(fields or findings.FIELDS))
 
 
 @query("findings", f"with {FOUND_SQL} select doc_id, rule, {line_sql('\"start\"')} line, {col_sql('\"start\"')} col, {line_sql('stop')} end_line, {col_sql('stop')} end_col, substr(text, \"start\" + 1, stop - \"start\") as \"match\", {sentence_sql('\"start\"', 'stop')} sentence, doc_level, cast(n_occ as int) n_occurrences, measure from fd join d using (doc_id)")
 def q_findings(spark, sf_dir):
     """Every finding of five rules with its place, sentence and measure; overlapping spans collapsed."""
-    return found(spark, sf_dir).select("doc_id", "rule", "line", "col", "end_line", "end_col", "match", "sentence", "doc_level", F.size("occurrences").alias("n_occurrences"), "measure")
+    return found(spark, sf_dir, *SHOWN, "measure")
 
 
 @query("findings_by_rule", f"with {FOUND_SQL} select rule, count(*) n, count(distinct doc_id) files from fd group by rule")
@@ -109,13 +112,13 @@ def q_navigation(spark, sf_dir):
 @query("rate_blocks", f"with {FOUND_SQL} select doc_id, shown as \"value\", 'per 1000 words' unit, '≥ 60' bound, n || case when n = 1 then ' occurrence' else ' occurrences' end || ' in ' || rate_words || ' words' sub from dl")
 def q_rate_blocks(spark, sf_dir):
     """A10 V8: the rate of each document-level finding in the parts in which it is shown."""
-    return found(spark, sf_dir).where("doc_level").select("doc_id", findings.rate_block(F.col("rate")).alias("b")).select("doc_id", "b.*")
+    return findings.rates(docs(spark, sf_dir), RULES).select("doc_id", findings.rate_block(F.col("rate")).alias("b")).select("doc_id", "b.*")
 
 
 @query("findings_lines", f"with {FOUND_SQL}, x as (select doc_id, rule, {line_sql('\"start\"')} line, {col_sql('\"start\"')} col, trim(regexp_replace(substr(text, \"start\" + 1, stop - \"start\"), '\\s+', ' ', 'g')) ma, case when rule = 'shout' then 'Say it once.' else '' end su from fd join d using (doc_id)) select doc_id, concat_ws(chr(9), doc_id, line, col, rule, ma) tsv, '::warning file=' || doc_id || ',line=' || line || ',col=' || col || ',title=' || rule || '::' || regexp_replace(trim(ma || ' · ' || su), '[\\r\\n%]', ' ', 'g') annotation from x")
 def q_output_lines(spark, sf_dir):
     """K3 K4 K7: findings as tab-separated lines and as CI annotations."""
-    rows = found(spark, sf_dir).withColumn("file", F.col("doc_id").cast("string"))
+    rows = found(spark, sf_dir, "line", "col", "rule", "match", "suggest").withColumn("file", F.col("doc_id").cast("string"))
     return rows.select("doc_id", findings_tsv().alias("tsv"), findings_annotations().alias("annotation"))
 
 
@@ -182,7 +185,7 @@ def q_lineage(spark, sf_dir):
 @query("page_findings")
 def q_page_findings(spark, sf_dir):
     """Findings in pages, at their places in the HTML."""
-    return findings.assemble(pages(spark, sf_dir), RULES).select("doc_id", "rule", "line", "col", "end_line", "end_col", "match", "sentence", "doc_level", F.size("occurrences").alias("n_occurrences"))
+    return findings.assemble(pages(spark, sf_dir), RULES, SHOWN)
 
 
 @query("rule_self_test")
