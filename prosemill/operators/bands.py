@@ -8,6 +8,8 @@ out of the sketches.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,13 @@ FREE = {"words": 0, "sentences": 0, "functionWords": 0, "matches": 0}
 MEASURED = [metric_rule(k, p, {">=": 0}, FREE) for k, p in STYLE.items()]
 
 
-def style_rates(docs: DataFrame, *keep: str) -> DataFrame:
-    """(keep, metric, value) of the style metrics of each document (doc_id and keep columns, text), in one scan; null where there is none."""
+def style_rates(docs: DataFrame, *keep: str, metrics: Collection[str] = tuple(STYLE)) -> DataFrame:
+    """(keep, metric, value) of the style metrics of each document (doc_id and keep columns, text), in one scan; null where there is none.
+
+    metrics: those that are wanted. A filter on the rows comes too late: all counts of a document are one array.
+    """
     keyed = docs.select(F.struct("doc_id", *keep).alias("doc_id"), "text")
-    rows = rules.judged(keyed, rules.resolve([{"name": "measured", "rules": MEASURED}]))
+    rows = rules.judged(keyed, rules.resolve([{"name": "measured", "rules": [r for r in MEASURED if r["id"] in metrics]}]))
     value = F.when(F.col("rate_words") > 0, F.col("value"))
     return rows.select("doc_id.doc_id", *(f"doc_id.{c}" for c in keep), F.col("rule").alias("metric"), value.alias("value"))
 

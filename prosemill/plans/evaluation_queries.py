@@ -214,7 +214,7 @@ def q_claims(spark, sf_dir):
 @query("style_bands", f"""with {STATS}, e as (select doc_id, lang, 'comma' metric, case when rate_words > 0 then len(regexp_extract_all(text, ',')) / rate_words * 1000 end x from st union all select doc_id, lang, 'sentence-length', case when rate_words > 0 then gate_sentences / rate_words * 1000 end from st) select lang, metric, count(*) n, true lo_ok, true hi_ok from e where x is not null group by all""")
 def q_bands(spark, sf_dir):
     """V5: the band of two style metrics in each language, by merged sketches of its sources, and whether its bounds lie at their ranks."""
-    rates = saved(bands.style_rates(docs(spark, sf_dir, "lang", "source"), "lang", "source").where("metric in ('comma', 'sentence-length') and value is not null"), "style-rates")
+    rates = saved(bands.style_rates(docs(spark, sf_dir, "lang", "source"), "lang", "source", metrics=("comma", "sentence-length")).where("value is not null"), "style-rates")
     found = bands.bands(bands.merged(bands.sketches(rates, "lang", "source"), "lang"), 0.1, 0.9)
     found = found.select(F.col("lang").alias("of"), F.col("metric").alias("measure"), "lo", "hi")  # a row a language and metric
     j = rates.join(F.broadcast(found), (F.col("metric") == F.col("measure")) & F.col("lang").eqNullSafe(F.col("of")))
