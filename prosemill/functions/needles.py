@@ -8,7 +8,7 @@ parts whose text is not fixed add nothing.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
 from itertools import product
 from operator import or_
 from re import _constants as sre
@@ -17,32 +17,34 @@ from re import _parser as sre_parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MOST = 64
+MOST, MOST_WORDS = 64, 1024
 
 
 def _worth(needles: frozenset[str] | None) -> tuple[int, int]:
     return (min(map(len, needles)), -len(needles)) if needles else (0, 0)
 
 
-def _exact(parts) -> frozenset[str] | None:
-    """All texts that parts can match, where these are few and fixed."""
+def _exact(parts, most: int = MOST) -> frozenset[str] | None:
+    """All texts that parts can match, where these are few (most) and fixed."""
     texts = [""]
     for op, arg in parts:
         if op is sre.LITERAL and arg < 128:
             options = [chr(arg).lower()]
+        elif op is sre.IN and most > MOST and all(kind is sre.LITERAL and x < 128 for kind, x in arg):
+            options = {chr(x).lower() for _, x in arg}
         elif op is sre.SUBPATTERN:
-            options = _exact(arg[3])
+            options = _exact(arg[3], most)
         elif op is sre.BRANCH:
-            some = [_exact(x) for x in arg[1]]
+            some = [_exact(x, most) for x in arg[1]]
             options = None if None in some else frozenset().union(*some)
         elif op is sre.MAX_REPEAT and arg[1] == 1:
-            once = _exact(arg[2])
+            once = _exact(arg[2], most)
             options = None if once is None else once | {""} if arg[0] == 0 else once
         elif op is sre.AT and arg in (sre.AT_BOUNDARY, sre.AT_BEGINNING):
             options = [""]
         else:
             options = None
-        if options is None or len(texts) * len(options) > MOST:
+        if options is None or len(texts) * len(options) > most:
             return None
         texts = [a + b for a, b in product(texts, options)]
     return frozenset(texts)
@@ -69,6 +71,74 @@ def _needles(parts) -> frozenset[str] | None:
     return best
 
 
+#: Characters of a word, as the translated word boundary has them.
+WORD_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+REPEATS = (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT)
+
+
+def _apart(parts, beyond: bool, step: int) -> bool:
+    """Whether the place beside parts, on the side at which the walk by step begins, is the edge of a word: a boundary is asked for there, or no character of words is taken. beyond: the same for what lies past parts."""
+    for op, arg in list(parts)[::step]:
+        if op in (sre.ASSERT, sre.ASSERT_NOT):
+            continue
+        if op is sre.AT:
+            return arg in (sre.AT_BOUNDARY, sre.AT_BEGINNING, sre.AT_END)
+        if op is sre.LITERAL:
+            return chr(arg) not in WORD_CHARACTERS
+        if op is sre.IN:
+            return all(x is sre.CATEGORY_SPACE if kind is sre.CATEGORY else kind is sre.LITERAL and chr(x) not in WORD_CHARACTERS for kind, x in arg)
+        if op is sre.SUBPATTERN:
+            # parts that may be empty give no answer
+            return _apart(arg[3], False, step)
+        if op is sre.BRANCH:
+            return all(_apart(x, False, step) for x in arg[1])
+        if op in REPEATS:
+            if not _apart(arg[2], False, step):
+                return False
+            if arg[0] == 0:
+                continue
+            return True
+        return False
+    return beyond
+
+
+def _whole(parts, left: bool, right: bool) -> frozenset[str] | None:
+    """The best set of whole words of which every match of parts holds one, or None; left, right: whether words end at the edges of parts."""
+    parts, found = list(parts), []
+    before = [left if i == 0 else _apart(parts[:i], left, -1) for i in range(len(parts) + 1)]
+    behind = [_apart(parts[i:], right, 1) for i in range(len(parts) + 1)]
+    for i in range(len(parts)):
+        for j in range(len(parts), i, -1):
+            if not (texts := _exact(parts[i:j], MOST_WORDS)):
+                continue
+            from_edge = before[i] or parts[i] == (sre.AT, sre.AT_BOUNDARY)
+            to_edge = behind[j] or parts[j - 1] == (sre.AT, sre.AT_BOUNDARY)
+            words = set()
+            for t in texts:
+                own = [m[0] for m in re.finditer("[a-z0-9_]+", t) if (m.start() > 0 or from_edge) and (m.end() < len(t) or to_edge)]
+                words.add(max(own, key=len, default=""))
+            found.append(frozenset(words))
+        op, arg = parts[i]
+        if op is sre.SUBPATTERN:
+            found.append(_whole(arg[3], before[i], behind[i + 1]))
+        elif op in REPEATS and arg[0] > 0:
+            once = arg[1] == 1
+            found.append(_whole(arg[2], before[i] and once, behind[i + 1] and once))
+        elif op is sre.BRANCH:
+            some = [_whole(x, before[i], behind[i + 1]) for x in arg[1]]
+            found.append(None if None in some else frozenset().union(*some))
+    return max((f for f in found if f and "" not in f and len(f) <= MOST_WORDS), key=_worth, default=None)
+
+
+@cache
+def whole_words_of(pattern: str) -> frozenset[str] | None:
+    """Lower-cased words (runs of ASCII letters, digits and _) of which every match of the pattern holds at least one, from edge to edge; None where there are none."""
+    try:
+        return _whole(sre_parser.parse(pattern), False, False)
+    except re.error:
+        return None
+
+
 def needles_of(pattern: str) -> list[str] | None:
     """Lower-cased literals of which every match of the pattern holds at least one; None where there are none of two letters or more."""
     try:

@@ -13,11 +13,13 @@ import hashlib
 import json
 import re
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.needles import may_match
+from ..functions.needles import may_match, whole_words_of
 from ..functions.text import java_pattern, let, matches
 from . import detect
 from .verdict import Notable, doc_stats
@@ -187,7 +189,8 @@ def spans_of(rule: dict) -> Column:
     return F.coalesce(spans if possible is None else F.when(possible, spans), nothing)
 
 
-def _counted(kind: str, rule: dict) -> Column:
+def _counted(kind: str, rule: dict, words: frozenset[str] | None = None) -> Column:
+    """A rule's count; words: whole words of which every match holds one, to be looked for in the column known."""
     m, text = rule["match"], F.col("text")
     if kind == "rhythm":
         return detect.rhythm(text, m.get("minSentenceWords", 1), m.get("maxSentenceWords", 200))[0]
@@ -195,8 +198,8 @@ def _counted(kind: str, rule: dict) -> Column:
         return F.size(run_spans(text, m))
     if kind == "question-chain":
         return F.when(F.contains(text, F.lit("?")), F.size(detect.question_chain(text, m.get("minRun", 2)))).otherwise(0)
-    if words := _tokens_suffice(rule):
-        found = F.filter("tokens", lambda w: w.isin(words))
+    if listed := _tokens_suffice(rule):
+        found = F.filter("tokens", lambda w: w.isin(listed))
         return F.size(F.array_distinct(found) if m.get("distinct") else found)
     if kind == "chain":
         n = F.size(detect.chain(text, m["pattern"], m["headTest"]))
@@ -204,8 +207,20 @@ def _counted(kind: str, rule: dict) -> Column:
         n = F.size(detect.distinct_matches(text, m["pattern"], "i" in m.get("flags", "")))
     else:
         n = F.regexp_count(text, F.lit(java_pattern(m["pattern"], "i" in m.get("flags", ""))))
+    tests = [F.exists("known", lambda w: w.isin(sorted(words)))] if words else []
     possible = may_match(F.col("lowered"), m["pattern"])
-    return n if possible is None else F.when(possible, n).otherwise(0)
+    tests += [] if possible is None else [possible]
+    return F.when(reduce(and_, tests), n).otherwise(0) if tests else n
+
+
+#: From so many rules on, a text's words are found once for all of them, before the needles of each are looked for.
+MANY = 8
+
+
+def _gates(rule_list: list[dict]) -> list[frozenset[str] | None]:
+    """Of each rule the whole words of which its matches hold one, where these are asked for first."""
+    held = [whole_words_of(r["match"]["pattern"]) if r["match"]["kind"] in ("regex", "chain") and not _tokens_suffice(r) else None for r in rule_list]
+    return held if sum(w is not None for w in held) >= MANY else [None] * len(held)
 
 
 TERMS = "rule string, metric boolean, gt double, ge double, lt double, le double, per double, power double, words double, sentences double, share double, matches double"
@@ -234,17 +249,19 @@ def with_stats(docs: DataFrame, rules: list[dict]) -> DataFrame:
 def counts(docs: DataFrame, rules: list[dict]) -> DataFrame:
     """doc_id, statistics and n, the count (or metric) of every rule in order.
 
-    One scan serves all rules, and nothing is shuffled: each count is made once, and only in texts that hold a needle
-    of its pattern.
+    One scan serves all rules, and nothing is shuffled: each count is made once, and only in texts that hold a word
+    and a needle of its pattern.
     """
-    n = F.array(*(_counted(r["match"]["kind"], r).cast("double") for r in rules))
+    gates = _gates(rules)
+    n = F.array(*(_counted(r["match"]["kind"], r, w).cast("double") for r, w in zip(rules, gates, strict=True)))
     rows = with_stats(docs, rules)
     lists = [w for w in map(_tokens_suffice, rules) if w]
-    if lists:
+    asked = [w for w in gates if w]
+    if lists or asked:
         # an index of all lists' words: tokens are looked up in it once, whatever the lists' lengths, and few are left for each list
-        every = sorted(set().union(*lists))
+        every = sorted(set().union(*lists, *asked))
         tokens = F.transform(matches(F.col("text"), "[A-Za-z0-9_]+"), F.lower)
-        rows = rows.withColumn("tokens", F.filter(tokens, lambda w: w.isin(every)))
+        rows = rows.withColumn("tokens", F.filter(tokens, lambda w: w.isin(every))).withColumn("known", F.array_distinct("tokens"))
     return rows.select("doc_id", "ws_words", "rate_words", "gate_sentences", "fn_words", "rhythm_sentences", n.alias("n"))
 
 
