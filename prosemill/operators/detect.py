@@ -141,31 +141,44 @@ def anaphora(docs: DataFrame, min_run: int = 3) -> DataFrame:
     return _rows(docs, anaphora_runs(F.col("text"), min_run))
 
 
+RUN = "struct<start: int, stop: int, n: long, sig: string>"
+
+
 def frame_runs(text: Column, gram: int = 8, min_run: int = 3, anchors: int = 2, min_letters: int = 13, letter_ratio: float = 0.62) -> Column:
     """M7: array<struct<start, stop, n, sig>> of prose sentences in a row whose first tokens have one skeleton of function words and marks."""
 
     def trimmed(o: Column) -> Column:
         return let(F.ltrim(o["value"], F.lit(" \t\n\x0b\f\r")), lambda v: F.struct((o["stop"] - F.length(v)).alias("start"), o["stop"].alias("stop"), F.translate(v, "\0", ".").alias("value")))
 
-    # letters are found in runs: a list of every single one costs far more
-    letters = lambda v, of: F.length(F.array_join(matches(v, f"[{of}]+"), ""))
+    # what is no letter goes in runs: a list of every single one costs far more
+    letters = lambda v, of: F.length(F.regexp_replace(v, f"[^{of}]+", ""))
 
     def prose(o: Column) -> Column:
         v = o["value"]
-        return (v != "") & (letters(v, "A-Za-z") >= min_letters) & ~v.rlike(MARKED) & (letters(v, r"A-Za-z\s") / F.length(v) >= letter_ratio)
+        # blanks one by one: the engine has a table for single characters, not for \s in a class
+        return (v != "") & (letters(v, "A-Za-z") >= min_letters) & ~v.rlike(MARKED) & (letters(v, r"A-Za-z \t\n\x0B\f\r") / F.length(v) >= letter_ratio)
 
     def token(t: Column) -> Column:
         low = F.lower(t)
-        return F.when(t.rlike(r'^[,;:()"]\z'), t).when(low == "an", "a").when(low.isin(FUNCTION_WORDS), low).otherwise("_")
+        return F.when(low == "an", "a").when(low.isin([*FUNCTION_WORDS, *',;:()"']), low).otherwise("_")
 
-    def signed(o: Column) -> Column:
-        tokens = F.transform(F.slice(matches(o["value"], r"""[A-Za-z][A-Za-z'’-]*|[,;:()"]"""), 1, gram), token)
+    def sig(v: Column) -> Column:
+        tokens = F.transform(F.slice(matches(v, r"""[A-Za-z][A-Za-z'’-]*|[,;:()"]"""), 1, gram), token)
         enough = lambda g: F.when((F.size(g) >= gram) & (F.size(F.filter(g, lambda t: t != "_")) >= anchors), F.array_join(g, " "))
-        return F.struct(o["start"].alias("start"), o["stop"].alias("stop"), let(tokens, enough).alias("sig"))
+        return let(tokens, enough)
+
+    def found(text: Column) -> Column:
+        items = F.transform(F.filter(F.transform(occurrences(text, SENTENCE["frame"]), trimmed), prose), lambda o: F.struct(o["start"].alias("start"), o["stop"].alias("stop"), sig(o["value"]).alias("sig")))
+        told = lambda first, last, _, n: F.struct(first["start"].alias("start"), last["stop"].alias("stop"), n.alias("n"), first["sig"].alias("sig"))
+        return F.filter(_runs(items, lambda x, before: x["sig"] == before["sig"], min_run, told), lambda r: r["sig"].isNotNull())
+
+    def repeated(text: Column) -> Column:
+        """Whether one skeleton stands min_run times among all sentences, of prose or not: without that no run is there, and places and letters need not be found."""
+        sigs = F.array_sort(F.filter(F.transform(matches(text, SENTENCE["frame"]), sig), lambda g: g.isNotNull()))
+        return let(sigs, lambda s: F.exists(F.transform(s, lambda g, i: g == F.get(s, i + min_run - 1)), lambda x: x))
 
-    items = F.transform(F.filter(F.transform(occurrences(F.regexp_replace(text, ABBREVIATION, "$1\0"), SENTENCE["frame"]), trimmed), prose), signed)
-    told = lambda first, last, _, n: F.struct(first["start"].alias("start"), last["stop"].alias("stop"), n.alias("n"), first["sig"].alias("sig"))
-    return F.filter(_runs(items, lambda x, before: x["sig"] == before["sig"], min_run, told), lambda r: r["sig"].isNotNull())
+    nothing = F.expr(f"cast(array() as array<{RUN}>)")
+    return let(F.regexp_replace(text, ABBREVIATION, "$1\0"), lambda t: F.when(F.coalesce(repeated(t), t.isNull()), found(t)).otherwise(nothing))
 
 
 def frames(docs: DataFrame, *parameters, **named) -> DataFrame:
