@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import RATE_WORD, each, first_words, matches
+from ..functions.text import RATE_WORD, each, first_words, let, matches
 
 
 def rates_by_side(counts: DataFrame) -> DataFrame:
@@ -103,20 +103,29 @@ def evidence(rates: DataFrame) -> DataFrame:
     return by.withColumn("evidence", kind)
 
 
-def list_hits(docs: DataFrame, listed: DataFrame, lengths: list[int] = (0,), max_broadcast: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def list_hits(docs: DataFrame, listed: DataFrame, lengths: list[int] = (0,), max_broadcast: int = 100_000, save=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """What documents cut to their first words hold of a ranked word list.
 
     docs: doc_id, side, text (and other columns, kept). listed: word, rank. Two tables: (docs' columns but the text,
     length, words) of each document and length, 0 being the whole, and (doc_id, length, rank) of their list words.
+    save() writes a table and reads it back; both parts are read from it.
     """
     keep = [c for c in docs.columns if c != "text"]
 
+    some = [r.word for r in listed.where("word is not null").select("word").limit(max_broadcast + 1).collect()]  # a list is part of the rules; a longer one is joined
+    inside = len(some) <= max_broadcast
+
     def cut(n: int) -> Column:
-        text = first_words(F.col("text"), n) if n else F.col("text")
-        return F.struct(F.lit(n).alias("length"), F.regexp_count(text, F.lit(RATE_WORD)).cast("long").alias("words"), F.array_distinct(matches(F.lower(text), "[a-z][a-z'’-]*")).alias("list"))
+        def told(text: Column) -> Column:
+            every = matches(F.lower(text), "[a-z][a-z'’-]*")
+            found = F.array_distinct(F.filter(every, lambda w: w.isin(some)) if inside else every)
+            return F.struct(F.lit(n).alias("length"), F.regexp_count(text, F.lit(RATE_WORD)).cast("long").alias("words"), found.alias("list"))
+
+        return let(first_words(F.col("text"), n) if n else F.col("text"), told)
 
-    rows = docs.select(*keep, F.explode(F.array(*map(cut, lengths))).alias("c")).select(*keep, "c.*")
-    small = F.broadcast(listed) if listed.count() <= max_broadcast else listed
+    # a table: texts are cut and taken apart once, however often both parts are read
+    rows = save(docs.select(*keep, F.explode(F.array(*map(cut, lengths))).alias("c")).select(*keep, "c.*"))
+    small = F.broadcast(listed) if inside else listed
     hits = rows.select("doc_id", "length", F.explode(each("list")).alias("word")).join(small, "word").select("doc_id", "length", "rank")
     return rows.drop("list"), hits
 

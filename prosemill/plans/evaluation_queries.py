@@ -100,9 +100,9 @@ def word_list(spark, sf_dir):
 
 
 def listed(spark, sf_dir, lengths=(0,)):
-    words = word_list(spark, sf_dir)
+    words = saved(word_list(spark, sf_dir), "word-list")  # 250 rows, made of all texts
     labelled = sides(spark, sf_dir).select("doc_id", "side", F.pmod("doc_id", F.lit(4)).cast("int").alias("fold"), "text")
-    return words, *evaluate.list_hits(labelled, words.select("word", "rank"), lengths)
+    return words, *evaluate.list_hits(labelled, words.select("word", "rank"), lengths, save=lambda df: saved(df, "cut-lists"))
 
 
 def head(n: int) -> str:
