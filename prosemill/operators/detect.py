@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.needles import may_match
 from ..functions.text import COMMON_OPENERS, ECHO_WORD, FUNCTION_WORDS, RATE_WORD, RUN_START, SENTENCE, java_pattern, let, matches, ngrams, occurrences
 
 # What separates the items of a chain.
@@ -22,6 +23,13 @@ def regex(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return occurrences(text, java_pattern(pattern, ignore_case))
 
 
+def counted(text: Column, lowered: Column, pattern: str) -> Column:
+    """M1 for what needs the number alone: matches are looked for only where the lower-cased text holds a needle of the pattern."""
+    n = F.regexp_count(text, F.lit(java_pattern(pattern)))
+    possible = may_match(lowered, pattern)
+    return n if possible is None else F.when(possible, n).otherwise(0)
+
+
 def distinct_matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     """M2: the different matches, lower-cased."""
     return F.array_distinct(F.transform(matches(text, java_pattern(pattern, ignore_case)), F.lower))

@@ -129,12 +129,19 @@ def q_truncate(spark, sf_dir):
 PHRASES = {"testament": r"\btestament to\b", "in_order_to": r"\bin order to\b", "not_only": r"\bnot (?:only|just)\b", "is_the": r"\bis the\b", "of_the": r"\bof the\b", "exclamation": "!", "table_mark": r"\|", "percent_run": "%%%"}
 
 
+def lowered(rows):
+    """rows with the lower-cased text, made once for all phrases."""
+    return rows.withColumn("lowered", F.lower("text"))
+
+
+def phrase_count(pattern):
+    return detect.counted(F.col("text"), F.col("lowered"), pattern)
+
+
 @query("regex_rule_counts", f"with {D} " + " union all ".join(f"select '{k}' as rule, cast(sum(len(regexp_extract_all(text, '(?i){p}'))) as bigint) n, count(*) filter (len(regexp_extract_all(text, '(?i){p}')) > 0) docs_hit from d" for k, p in PHRASES.items()))
 def q_regex_rules(spark, sf_dir):
     """A1 M1 V2: every phrase rule over every document in one scan, zeros included."""
-    from ..functions.text import java_pattern
-
-    counted = docs(spark, sf_dir).select(*(F.regexp_count("text", F.lit(java_pattern(p))).alias(k) for k, p in PHRASES.items()))
+    counted = lowered(docs(spark, sf_dir)).select(*(phrase_count(p).alias(k) for k, p in PHRASES.items()))
     one = counted.agg(*(F.sum(k).cast("long").alias(f"n_{k}") for k in PHRASES), *(F.sum((F.col(k) > 0).cast("long")).alias(f"d_{k}") for k in PHRASES))
     return one.select(F.expr("stack(%d, %s) as (rule, n, docs_hit)" % (len(PHRASES), ", ".join(f"'{k}', n_{k}, d_{k}" for k in PHRASES))))
 
@@ -369,9 +376,7 @@ def sides(spark, sf_dir):
 @query("rule_rates_by_side", f"with {D}, {SIDE_SQL} " + " union all ".join(f"select '{k}' as rule, side, cast(sum(len(regexp_extract_all(text, '(?i){p}'))) as bigint) spans, count(*) filter (len(regexp_extract_all(text, '(?i){p}')) > 0) docs_hit from side group by side" for k, p in PHRASES.items()))
 def q_rates(spark, sf_dir):
     """Spans and documents hit by rule and side, one scan for all rules."""
-    from ..functions.text import java_pattern
-
-    t = sides(spark, sf_dir).select("side", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.regexp_count("text", F.lit(java_pattern(p))).cast("long").alias("n")) for k, p in PHRASES.items()))).alias("r"))
+    t = lowered(sides(spark, sf_dir)).select("side", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), phrase_count(p).cast("long").alias("n")) for k, p in PHRASES.items()))).alias("r"))
     return t.groupBy("r.rule", "side").agg(F.sum("r.n").alias("spans"), F.sum((F.col("r.n") > 0).cast("long")).alias("docs_hit"))
 
 

@@ -12,11 +12,11 @@ from operator import and_
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import RATE_WORD, java_pattern, matches
+from ..functions.text import RATE_WORD, matches
 from ..operators import bands, corpus, evaluate
 from ..operators import rules as rule_sets
 from ..sources.files import saved
-from .catalog import LIFT_SQL, PHRASES, SIDE_SQL, STATS, D, bags, docs, lifted, million, query, read, sides
+from .catalog import LIFT_SQL, PHRASES, SIDE_SQL, STATS, D, bags, docs, lifted, lowered, million, phrase_count, query, read, sides
 
 RATE = RATE_WORD.replace("'", "''")
 SETS = {k: "marks" if k in ("exclamation", "table_mark", "percent_run") else "phrases" for k in PHRASES}
@@ -24,8 +24,8 @@ SETS = {k: "marks" if k in ("exclamation", "table_mark", "percent_run") else "ph
 
 def rule_hits(spark, sf_dir):
     """(doc_id, side, lang, rule, n) with n above 0, every phrase rule in one scan."""
-    found = F.array(*(F.struct(F.lit(k).alias("rule"), F.regexp_count("text", F.lit(java_pattern(p))).cast("long").alias("n")) for k, p in PHRASES.items()))
-    return sides(spark, sf_dir).select("doc_id", "side", "lang", F.explode(found).alias("r")).select("doc_id", "side", "lang", "r.*").where("n > 0")
+    found = F.array(*(F.struct(F.lit(k).alias("rule"), phrase_count(p).cast("long").alias("n")) for k, p in PHRASES.items()))
+    return lowered(sides(spark, sf_dir)).select("doc_id", "side", "lang", F.explode(found).alias("r")).select("doc_id", "side", "lang", "r.*").where("n > 0")
 
 
 def rates(spark, sf_dir):
