@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, let
+from .spans import claimed
 
 
 def collapse(found: DataFrame, *more: str) -> DataFrame:
@@ -38,61 +39,41 @@ def _order(a: Column, b: Column) -> Column:
     return cases
 
 
-SPOT = "struct<start: int, neg: int, priority: int>"
-TAGGED = "struct<start: int, own: boolean, neg: int, priority: int>"
-
-
 def schedule(rows: DataFrame, ranges: str, priorities: int = 2) -> DataFrame:
     """Rows with a column array<struct<priority, start, stop>> cut to those that overlap nothing kept before, in reading order.
 
-    Priorities run from 0. Territory is claimed by priority, then start, then length. A level's ranges are held against
-    what is kept, which is in order and free of overlaps, by a merge of both from either side; what passes is free of
-    itself by one more pass. The passes are columns of their own, as one expression of them all would nest too deep.
+    Priorities run from 0. Territory is claimed by priority, then start, then length.
     """
+    return rows.withColumn(ranges, claimed(F.col(ranges), priorities))
 
-    def from_left(a: Column, x: Column) -> Column:
-        # what is kept passes on its end; a range that begins before the last such end is taken out
-        more = F.array_append(a["out"], x)
-        return F.when(~x["own"], F.struct(F.greatest(a["at"], -x["neg"]).alias("at"), more.alias("out"))).when(x["start"] < a["at"], a).otherwise(F.struct(a["at"].alias("at"), more.alias("out")))
-
-    def from_right(a: Column, x: Column) -> Column:
-        spot = F.struct(*(x[c].alias(c) for c in ("start", "neg", "priority")))
-        return F.when(~x["own"], F.struct(x["start"].alias("at"), a["out"].alias("out"))).when(-x["neg"] > a["at"], a).otherwise(F.struct(a["at"].alias("at"), F.array_append(a["out"], spot).alias("out")))
-
-    def greedy(a: Column, x: Column) -> Column:
-        return F.when(x["start"] < a["at"], a).otherwise(F.struct((-x["neg"]).alias("at"), F.array_append(a["out"], x).alias("out")))
 
-    def tagged(spots: Column, own: bool) -> Column:
-        return F.transform(spots, lambda r: F.struct(r["start"].alias("start"), F.lit(own).alias("own"), r["neg"].alias("neg"), r["priority"].alias("priority")))
-
-    spots = F.transform(ranges, lambda r: F.struct(r["start"].cast("int").alias("start"), (-r["stop"]).cast("int").alias("neg"), r["priority"].cast("int").alias("priority")))
-    rows = rows.withColumn("spots_", spots).withColumn("held_", F.expr(f"cast(array() as array<{SPOT}>)"))
-    for p in range(priorities):
-        mine = F.filter("spots_", _of_priority(p))
-        rows = rows.withColumn("left_", fold(F.array_sort(F.concat(tagged(F.col("held_"), False), tagged(mine, True))), F.lit(-1), TAGGED, from_left))
-        rows = rows.withColumn("free_", F.reverse(fold(F.reverse("left_"), F.lit((1 << 31) - 1), SPOT, from_right)))
-        rows = rows.withColumn("held_", F.array_sort(F.concat("held_", fold(F.array_sort("free_"), F.lit(-1), SPOT, greedy))))
-    kept = F.transform("held_", lambda k: F.struct(k["start"].alias("start"), (-k["neg"]).alias("stop"), k["priority"].alias("priority")))
-    return rows.withColumn(ranges, kept).drop("spots_", "held_", "left_", "free_")
+def split_by_line(table: Column, text: Column, kept: Column, keep_blank: bool = False) -> Column:
+    """array<struct<line, start, stop, priority>>: ranges in order, cut at the ends of lines; parts in blank lines go unless kept."""
 
+    ink = lambda x: F.rlike(x, F.lit(r"\S"))
 
-def _of_priority(p: int):
-    return lambda r: r["priority"] == p
+    def line_of(start: Column) -> Column:
+        """The whole line in which an offset lies."""
+        return F.substring_index(F.substring(text, start - place(table, start, "col")["col"] + 2, F.length(text)), "\n", 1)
 
+    def one(line: Column, start: Column, stop: Column, r: Column) -> Column:
+        return F.struct(line.alias("line"), start.alias("start"), stop.alias("stop"), r["priority"].alias("priority"))
 
-def split_by_line(table: Column, text: Column, kept: Column, keep_blank: bool = False) -> Column:
-    """array<struct<line, start, stop, priority>>: ranges in order, cut at the ends of lines; parts in blank lines go unless kept."""
+    def several(r: Column, x: Column) -> Column:
+        pieces = F.split(x, "\n", -1)
+        step = lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("stop"), ink(x).alias("ink"))).alias("out"))
+        made = fold(pieces, r["start"], "struct<start: int, stop: int, ink: boolean>", step)
+        kept = lambda made: F.transform(made, lambda x, i: F.when((x["stop"] > x["start"]) & (F.lit(keep_blank) | x["ink"] | ink(line_of(x["start"]))), i))
+        told = lambda made, line: F.transform(F.array_compact(kept(made)), lambda i: one(line + i, F.get(made, i)["start"], F.get(made, i)["stop"], r))
+        return let(made, lambda made: told(made, place(table, r["start"], "line")["line"]))
 
     def parts(r: Column) -> Column:
-        pieces = F.split(cut(table, r["start"], r["stop"]), "\n", -1)
-        step = lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("stop"), F.rlike(x, F.lit(r"\S")).alias("ink"))).alias("out"))
-        made = fold(pieces, r["start"], "struct<start: int, stop: int, ink: boolean>", step)
-        numbered = let(place(table, r["start"]), lambda p: F.transform(made, lambda x, i: F.struct((p["line"] + i).alias("line"), x["start"].alias("start"), x["stop"].alias("stop"), r["priority"].alias("priority"), x["ink"].alias("ink"), F.when(i == 0, p["col"] - 1).otherwise(0).alias("before"))))
-        whole = lambda x: F.substring_index(F.substring(text, x["start"] - x["before"] + 1, F.length(text)), "\n", 1)
-        return F.filter(numbered, lambda x: (x["stop"] > x["start"]) & (F.lit(keep_blank) | x["ink"] | F.rlike(whole(x), F.lit(r"\S"))))
+        nothing = F.expr("cast(array() as array<struct<line: int, start: int, stop: int, priority: int>>)")
+        single = lambda x: F.when((r["stop"] > r["start"]) & (F.lit(keep_blank) | ink(x) | ink(line_of(r["start"]))), F.array(one(place(table, r["start"], "line")["line"], r["start"], r["stop"], r))).otherwise(nothing)
+        # most ranges lie in one line, which needs no fold
+        return let(cut(table, r["start"], r["stop"]), lambda x: F.when(F.contains(x, F.lit("\n")), several(r, x)).otherwise(single(x)))
 
-    slim = lambda x: F.struct(x["line"].alias("line"), x["start"].alias("start"), x["stop"].alias("stop"), x["priority"].alias("priority"))
-    return F.transform(F.flatten(F.transform(kept, parts)), slim)
+    return F.flatten(F.transform(kept, parts))
 
 
 #: Characters in a piece of a text's table.
@@ -136,26 +117,31 @@ def place_table(text: Column) -> Column:
     return let(plain, table)
 
 
-def place(table: Column, offset: Column) -> Column:
-    """struct<line, col, sentence, ends> of an offset, by the text's place_table().
+PLACE = ("line", "col", "sentence", "ends")
+
+
+def place(table: Column, offset: Column, *fields: str) -> Column:
+    """struct<line, col, sentence, ends> of an offset, by the text's place_table(), or of those fields that are named.
 
     X9: 1-based line and column. X10: where the sentence that holds the offset begins, and where the first terminator at
     or after it lies. The end of the text is a place in the last piece.
     """
     newline = F.lit("\n")
 
-    def told(x: Column) -> Column:
-        p, base, near = x["p"], x["i"] * WIDTH, offset - x["i"] * WIDTH
+    def told(i: Column) -> Column:
+        # the number alone is bound: a piece would be copied
+        p, base, near = F.get(table, i), i * WIDTH, offset - i * WIDTH
         s, t = F.left(p["s"], near), F.left(p["t"], near)
         rest = F.substring(p["t"], near + 1, F.lit(WIDTH))
-        line = p["lines"] + near - F.length(F.replace(s, newline, F.lit(""))) + 1
-        col = F.when(F.contains(s, newline), F.length(F.substring_index(s, "\n", -1))).otherwise(offset - p["line"]) + 1
-        sentence = F.when(F.contains(t, newline), offset - F.length(F.substring_index(t, "\n", -1))).otherwise(p["sentence"])
-        ends = F.when(F.contains(rest, newline), offset + F.length(F.substring_index(rest, "\n", 1))).otherwise(F.coalesce(F.get(table, x["i"] + 1)["ends"], base + F.length(p["s"])))
-        return F.struct(line.cast("int").alias("line"), col.cast("int").alias("col"), sentence.alias("sentence"), ends.alias("ends"))
+        made = {
+            "line": (p["lines"] + near - F.length(F.replace(s, newline, F.lit(""))) + 1).cast("int"),
+            "col": (F.when(F.contains(s, newline), F.length(F.substring_index(s, "\n", -1))).otherwise(offset - p["line"]) + 1).cast("int"),
+            "sentence": F.when(F.contains(t, newline), offset - F.length(F.substring_index(t, "\n", -1))).otherwise(p["sentence"]),
+            "ends": F.when(F.contains(rest, newline), offset + F.length(F.substring_index(rest, "\n", 1))).otherwise(F.coalesce(F.get(table, i + 1)["ends"], base + F.length(p["s"]))),
+        }
+        return F.struct(*(made[c].alias(c) for c in fields or PLACE))
 
-    number = F.least(F.floor(offset / WIDTH).cast("int"), F.size(table) - 1)
-    return let(let(number, lambda i: F.struct(i.alias("i"), F.get(table, i).alias("p"))), told)
+    return let(F.least(F.floor(offset / WIDTH).cast("int"), F.size(table) - 1), told)
 
 
 def cut(table: Column, start: Column, stop: Column) -> Column:
@@ -178,9 +164,14 @@ def sentence_around(table: Column, length: Column, start: Column, begins: Column
         near = F.regexp_extract(cut(table, ends, most), r"""^[.!?…]["'”’)\]]*""", 0)
         return let(near, lambda m: F.when(F.length(m) < most - ends, m).otherwise(closing(*wider))) if wider else near
 
+    def short(two: Column) -> Column:
+        """The terminator alone, where what follows it is no closing mark: told without a search."""
+        first, second = F.left(two, F.lit(1)), F.substring(two, 2, 1)
+        return F.when((second == "") | F.contains(F.lit("\"'”’)]"), second), closing(F.least(ends + 8, length), F.least(ends + WIDTH, length), length)).when(F.contains(F.lit(".!?…"), first), first).otherwise("")
+
     def told(body: Column) -> Column:
         head = F.ltrim(F.left(body, start - begins), F.lit(" \t\n\x0b\f\r"))
-        after = closing(F.least(ends + 8, length), F.least(ends + WIDTH, length), length)
+        after = let(cut(table, ends, F.least(ends + 2, length)), short)
         return F.struct(body.alias("body"), F.concat(head, F.substring(body, start - begins + 1, ends - start), after).alias("text"))
 
     return let(cut(table, begins, ends), told)

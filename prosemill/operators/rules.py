@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.needles import may_match, whole_words_of
 from ..functions.text import java_pattern, let, matches
 from . import detect
+from .spans import SPAN
 from .verdict import Notable, doc_stats
 
 COLUMN_KINDS = ("regex", "chain", "question-chain", "rhythm")
@@ -155,9 +156,6 @@ def _tokens_suffice(rule: dict) -> list[str] | None:
     return sorted({w.lower() for w in words}) if words and "i" in rule["match"].get("flags", "") and all(re.fullmatch(r"[A-Za-z0-9_]+", w) for w in words) else None
 
 
-SPAN = "struct<start: int, stop: int, n: int>"
-
-
 def run_spans(text: Column, m: dict) -> Column:
     """M4 M6 M7: runs of neighbouring sentences, as array<struct<start, stop, n, ...>>."""
     if m["kind"] == "echo":
@@ -189,6 +187,28 @@ def spans_of(rule: dict) -> Column:
     return F.coalesce(spans if possible is None else F.when(possible, spans), nothing)
 
 
+def in_numbers(rule: dict) -> bool:
+    """Whether a rule's spans are its pattern's matches, whose lengths and gaps tell their places."""
+    return rule["match"]["kind"] == "regex" and not rule["match"].get("distinct")
+
+
+def lengths_of(rule: dict) -> Column:
+    """array<int>: the lengths of a pattern's matches in the columns text and lowered."""
+    m = rule["match"]
+    lengths = F.transform(matches(F.col("text"), java_pattern(m["pattern"], "i" in m.get("flags", ""))), F.length)
+    possible = may_match(F.col("lowered"), m["pattern"])
+    return lengths if possible is None else F.when(possible, lengths)
+
+
+def gaps_of(rule: dict, lengths: Column) -> Column:
+    """array<int>: how much lies before each match, behind the one before it; only a text with a match is searched a second time."""
+    m, n = rule["match"], F.size(lengths)
+    gaps = F.transform(F.split(F.col("text"), java_pattern(m["pattern"], "i" in m.get("flags", "")), -1), F.length)
+    # the engine leaves out the gap before an empty match at the start
+    whole = lambda g: F.when(F.size(g) == n, F.concat(F.array(F.lit(0)), g)).otherwise(g)
+    return F.when(n > 0, let(gaps, lambda g: F.slice(whole(g), F.lit(1), n)))
+
+
 def _counted(kind: str, rule: dict, words: frozenset[str] | None = None) -> Column:
     """A rule's count; words: whole words of which every match holds one, to be looked for in the column known."""
     m, text = rule["match"], F.col("text")
