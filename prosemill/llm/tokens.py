@@ -40,7 +40,7 @@ MAGIC = b"PFR1"
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1))) + 1, 0).astype(np.uint8)
+    return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -244,6 +244,18 @@ def _all_letters(text: str) -> bool:
     return max(text) < "\u0250" or unicodedata.normalize("NFC", text.lower()).isalpha()
 
 
+class _Words(dict):
+    """Ids by word; a missing word is learned."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class WordEncoder:
     """Encodes whole texts with a file of the tokenizers library whose pre-tokenizer drops white space.
 
@@ -261,63 +273,51 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib, self.cache, self.last = Tokenizer.from_file(path), {}, {}
+        self.lib, self.cache, self.last = Tokenizer.from_file(path), _Words(self.learn), {}
+        top = max(self.lib.get_vocab().values(), default=0) + 1
+        self.packed = [struct.pack("<I", i) for i in range(top)]
         with open(path, encoding="utf-8") as f:
             plan = json.load(f)
         self.model = self.lib.model if (plan["normalizer"], plan["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) else None
 
     def _letters(self, core: bytes) -> bytes | None:
         """The ids of a stretch of letters straight from the library's model, where its other steps are known to change nothing but case."""
-        text = core.decode("utf-8", "replace")
-        if self.model is None or max(text) >= "\u0250":
+        if self.model is None:
             return None
-        return array("I", [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        cache, split, seen = self.cache, [], set()
-        for w in words:
-            # marks after letters are one piece of their own, and ASCII letters are lowered anyway
-            core = w.rstrip(MARKS)
-            if core.isalpha() or (core and _all_letters(core.decode("utf-8", "replace"))):
-                mark, core = w[len(core) :], core.lower()
-                if mark or core != w:
-                    split.append((w, core, mark))
-                    if mark and mark not in cache:
-                        seen.add(mark)
-                if core not in cache:
-                    ids = self._letters(core)
-                    if ids is None:
-                        seen.add(core)
-                    else:
-                        cache[core] = ids
-            else:
-                seen.add(w)
-        todo = list(seen)
-        for a in range(0, len(todo), 2048):
-            part = todo[a : a + 2048]
-            for w, e in zip(part, self.lib.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                cache[w] = array("I", e.ids).tobytes()
-        for w, core, mark in split:
-            cache[w] = cache[core] + cache[mark] if mark else cache[core]
+        if core.isascii():
+            text = core.decode()  # lowered before; its bytes stand for themselves
+        else:
+            text = core.decode("utf-8", "replace")
+            if max(text) >= "\u0250":
+                return None
+            text = text.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
+
+    def _whole(self, w: bytes) -> bytes:
+        return array("I", self.lib.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def learn(self, w: bytes) -> bytes:
+        """The ids of a stretch that is not in the cache."""
+        # words in use come back from the last generation as they are met
+        ids = self.last.get(w)
+        if ids is not None:
+            return ids
+        # marks after letters are one piece of their own, and ASCII letters are lowered anyway
+        core = w.rstrip(MARKS)
+        if core.isalpha() or (core and _all_letters(core.decode("utf-8", "replace"))):
+            mark, core = w[len(core) :], core.lower()
+            if mark or core != w:
+                return self.cache[core] + self.cache[mark] if mark else self.cache[core]
+            ids = self._letters(core)
+        return self._whole(w) if ids is None else ids
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and each text's count with it."""
-        end, cache = struct.pack("<I", end_id), self.cache
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(cache) > self.LIMIT:
-            # words in use come back from the last generation as they are met
-            self.last, self.cache = cache, {}
-            cache = self.cache
-        new = set()
-        for words in split:
-            new.update(words)
-        # looked up word by word: the update in place would walk through the whole cache
-        new = new.difference(cache)
-        if self.last:
-            cache.update((w, self.last[w]) for w in new if w in self.last)
-            new = new.difference(cache)
-        self._learn(new)
-        out = [b"".join(map(cache.__getitem__, words)) + end for words in split]
+        if len(self.cache) > self.LIMIT:
+            self.last, self.cache = self.cache, _Words(self.learn)
+        end, known = struct.pack("<I", end_id), self.cache.__getitem__
+        # a word is looked up once: what is missing is learned where it is met
+        out = [b"".join(map(known, (t or "").encode("utf-8", "replace").split())) + end for t in texts]
         return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
 
