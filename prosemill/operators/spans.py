@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<start: int, stop: int, n: int>"
 ITEM = "struct<start: int, neg: int, rule_ord: int, doc_level: boolean, n: int>"
+#: What is told besides of spans and items where their places are wanted.
+SPAN_PLACE = ", line: int, col: int>"
+ITEM_PLACE = ", line: int, col: int, end_line: int, end_col: int, sentence: int, ends: int>"
 SPOT = "struct<start: int, stop: int, priority: int>"
 
 
@@ -56,19 +59,41 @@ def free(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return kept
 
 
-def found(lengths: Column, gaps: Column, others: Column, fires: Column, counts: Column, word: Column, doc_level: list[bool], with_spans: bool) -> Column:
+def _breaks(row: np.ndarray, offset: np.ndarray, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of offsets in their rows: the breaks before each, the last of them (or -1), and the first one at or behind it (or the text's end).
+
+    pieces: by row the lengths of what lies between the breaks of its text.
+    """
+    sizes, n = _flat(pieces)
+    first, ends = np.cumsum(sizes) - sizes, np.concatenate([[0], np.cumsum(_numbers(n) + 1)])
+    at = ends[1:] - 1 - np.repeat(ends[first], sizes)
+    width = max(int(at.max(initial=0)), int(offset.max(initial=0))) + 1
+    i = np.searchsorted(np.repeat(np.arange(len(sizes)), sizes) * width + at, row * width + offset)
+    at = np.append(at, 0)
+    return i - first[row], np.where(i > first[row], at[i - 1], -1), at[i]
+
+
+def found(lengths: Column, gaps: Column, others: Column, fires: Column, counts: Column, word: Column, doc_level: list[bool], with_spans: bool, breaks: Column | None = None) -> Column:
     """A2 A3: struct<spans, kept> of a row, or of kept alone.
 
     By rule: lengths and gaps, array<array<int>> of the matches and of what lies before each; others, array<array<SPAN>>
     of rules whose places are known; fires, array<boolean>; counts, array<int>. word: struct<start, stop> of the first word, at
-    which a rule of the document without a match points.
+    which a rule of the document without a match points. breaks: struct<lines, terms>, array<int> of the lengths between
+    newlines and between terminators, if lines, columns and the bounds of sentences (X9, X10) are wanted.
     """
     many = len(doc_level)
-    kind = f"struct<{f'spans: array<array<{SPAN}>>, ' if with_spans else ''}kept: array<{ITEM}>>"
+    span, item = (SPAN, ITEM) if breaks is None else (SPAN[:-1] + SPAN_PLACE, ITEM[:-1] + ITEM_PLACE)
+    kind = f"struct<{f'spans: array<array<{span}>>, ' if with_spans else ''}kept: array<{item}>>"
 
     @F.arrow_udf(kind)
-    def made(lengths: pa.Array, gaps: pa.Array, others: pa.Array, fires: pa.Array, counts: pa.Array, word: pa.Array) -> pa.Array:
+    def made(lengths: pa.Array, gaps: pa.Array, others: pa.Array, fires: pa.Array, counts: pa.Array, word: pa.Array, *breaks: pa.Array) -> pa.Array:
         rows = len(lengths)
+
+        def places(row: np.ndarray, offset: np.ndarray) -> dict:
+            line, last, _ = _breaks(row, offset, breaks[0].field("lines"))
+            return {"line": line + 1, "col": offset - last}
+
+
         sizes, n = _flat(lengths.flatten())
         n = _numbers(n)
         ends = np.concatenate([[0], np.cumsum(_numbers(_flat(gaps.flatten())[1]) + n)])
@@ -100,14 +125,17 @@ def found(lengths: Column, gaps: Column, others: Column, fires: Column, counts:
         row, spans = (owner // many)[order], ~level[order]
         keep = np.ones(len(order), bool)
         keep[spans] = free(row[spans], a[order][spans], b[order][spans])
-        order = order[keep]
-        kept = _lists(np.bincount(row[keep], minlength=rows), _structs(start=a[order], neg=-b[order], rule_ord=owner[order] % many, doc_level=level[order], n=numbers.take(pa.array(order))))
+        order, row, told = order[keep], row[keep], {}
+        if breaks:
+            terms = breaks[0].field("terms")
+            told = places(row, a[order]) | {f"end_{k}": x for k, x in places(row, b[order]).items()} | {"sentence": _breaks(row, a[order], terms)[1] + 1, "ends": _breaks(row, b[order], terms)[2]}
+        kept = _lists(np.bincount(row, minlength=rows), _structs(start=a[order], neg=-b[order], rule_ord=owner[order] % many, doc_level=level[order], n=numbers.take(pa.array(order)), **told))
         if not with_spans:
             return pa.StructArray.from_arrays([kept], names=["kept"])
-        spans = _lists(np.full(rows, many), _lists(sizes, _structs(start=start, stop=stop, n=count)))
+        spans = _lists(np.full(rows, many), _lists(sizes, _structs(start=start, stop=stop, n=count, **(places(np.repeat(np.arange(len(sizes)), sizes) // many, start) if breaks else {}))))
         return pa.StructArray.from_arrays([spans, kept], names=["spans", "kept"])
 
-    return made(lengths, gaps, others, fires, counts, word)
+    return made(lengths, gaps, others, fires, counts, word, *([] if breaks is None else [breaks]))
 
 
 def claimed(ranges: Column, priorities: int) -> Column:

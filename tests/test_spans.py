@@ -85,3 +85,17 @@ def test_findings_are_made_once_for_navigation(spark):
     plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in tables]
     assert [("made(" in p, "RepartitionByExpression" in p) for p in plans] == [(True, False), (False, True)]
     assert got.count() == sum(len(plain("a ab b")) for _ in range(50)) and got.where(F.col("before").isNull()).count() == 1
+
+def test_places_are_told_beside_the_spans(spark):
+    """Lines, columns and the bounds of sentences of findings and occurrences, without a table of the text's places."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aab .;\n!😀") for _ in range(rng.choice([0, 1, 5, 60, 700]))) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for row in findings.placed(d, own(), with_places=True).collect():
+        text = texts[row.doc_id]
+        place = lambda off: (text[:off].count("\n") + 1, off - text[:off].rfind("\n"))  # noqa: E731, B023
+        for k in row.kept:
+            begins = max(text[: k.start].rfind(c) for c in "\n.!?…") + 1
+            ends = min((i for c in "\n.!?…" if (i := text.find(c, -k.neg)) >= 0), default=len(text))
+            assert (k.line, k.col, k.end_line, k.end_col, k.sentence, k.ends) == (*place(k.start), *place(-k.neg), begins, ends)
+        assert all((s.line, s.col) == place(s.start) for one in row.spans for s in one)
