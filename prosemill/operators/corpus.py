@@ -14,6 +14,9 @@ BOT = r"(?i)\[bot\]\z|-bot\z|^dependabot|^renovate|^github-actions|^copilot\z|^p
 FOOTER = r"(?i)^\s*[^A-Za-z0-9_]{0,4}\s*(?:co-?authored[- ]by|generated (?:with|by)|created (?:with|by)|assisted by|authored by)\b"
 SENTINEL = r"<!--\s*([A-Z][A-Z0-9]*(?:_[A-Z0-9]+){1,})\s*-->"
 
+# Of k-means: centres that are broadcast have at most so many times max_cells numbers (256 MB by default), and counts are summed in parts of so many.
+MODEL, PART = 16, 1 << 17
+
 
 def without_bots(rows: DataFrame, login: str) -> DataFrame:
     return rows.where(~F.coalesce(F.col(login).rlike(BOT), F.lit(False)))
@@ -96,6 +99,19 @@ def vocabulary(bags: DataFrame, min_df: int, *within: str) -> DataFrame:
     return bags.groupBy(*within, "word").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
 
 
+def row_vocabulary(rows: DataFrame, min_df: int) -> DataFrame:
+    """vocabulary() of rows with a bag each, counted in each batch of them before words are shuffled."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def counted(batches):
+        for batch in batches:
+            got = pc.value_counts(batch.column(0).flatten())
+            yield pa.RecordBatch.from_arrays([got.field(0), got.field(1)], ["word", "n"])
+
+    return rows.select(F.col("bag.word").alias("word")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
+
+
 def known_documents(bags: DataFrame, words: DataFrame, least: int = 5, *within: str) -> DataFrame:
     """Bags cut to the vocabulary, without documents that keep fewer than `least` words."""
     cut = bags.join(words.select(*within, "word"), [*within, "word"]).where("doc_id is not null")
@@ -115,8 +131,12 @@ def lift_rank(bags: DataFrame, group: str, prior: float = 25.0, sizes: DataFrame
     bags are read once.
     """
     docs = bags.select("doc_id", group).distinct().groupBy(group).agg(F.count("*").alias("size")) if sizes is None else sizes
+    return lift_of(bags.groupBy(group, "word").agg(F.count("*").alias("inside")), docs, group, prior)
+
+
+def lift_of(inside: DataFrame, docs: DataFrame, group: str, prior: float = 25.0) -> DataFrame:
+    """lift_rank() from the counts (group, word, inside) and the sizes (group, size)."""
     total = docs.agg(F.sum("size").alias("n"))
-    inside = bags.groupBy(group, "word").agg(F.count("*").alias("inside"))
     # a word has a row a group here
     j = inside.withColumn("every", F.sum("inside").over(Window.partitionBy("word"))).join(docs, group).join(F.broadcast(total))  # one row
     j = j.withColumn("lift", (F.col("inside") / F.col("size")) / ((F.col("every") - F.col("inside") + prior) / F.greatest(F.col("n") - F.col("size"), F.lit(1))))
@@ -286,108 +306,319 @@ def kmeans(bags: DataFrame, k: int = 10, iterations: int = 25, seed: int = 12345
     """C14: multinomial k-means; (doc_id, cluster). Ties go to the lowest cluster, empty clusters keep their centre.
 
     Documents start in the reference's slices; an empty slice has the centre of the first document. Rounds end when
-    no document moves. Centres of at most max_cells numbers are broadcast, and a round is one pass over packed
+    no document moves. Centres of at most MODEL times max_cells numbers are broadcast, and a round is one pass over packed
     documents; larger ones are joined by word. `save` (checkpoint() by default) cuts the lineage.
     """
     return kmeans_of(bags, [k], iterations, seed, save, max_cells).select("doc_id", F.col(f"k{k}").alias("cluster"))
 
 
 def kmeans_of(bags: DataFrame, ks: list[int], iterations: int = 25, seed: int = 12345, save=None, max_cells: int = 2_000_000) -> DataFrame:
-    """The fits of several k at once; doc_id and a column k<k> of clusters for each. A round is one pass for as many of them as max_cells numbers hold."""
+    """The fits of several k at once; doc_id and a column k<k> of clusters for each. A round is one pass for as many of them as have centres of MODEL times max_cells numbers together."""
     save = save or (lambda df: df.checkpoint())
     words = save(bags.select("word").distinct())
-    if words.count() * max(ks) <= max_cells:
-        return _packed_kmeans(bags, words, ks, iterations, seed, save, max_cells)
+    if (v := words.count()) * max(ks) <= MODEL * max_cells:
+        numbered = words.withColumn("i", (F.row_number().over(Window.orderBy("word")) - 1).cast("int"))  # at most MODEL * max_cells words
+        pairs = F.sort_array(F.collect_list(F.struct("i", F.col("tf").cast("long").alias("tf"))))
+        packed = save(bags.join(numbered, "word").groupBy("doc_id").agg(pairs.alias("p")).select("doc_id", F.col("p.i").alias("i"), F.col("p.tf").alias("tf")))
+        return _PackedFits(packed, v, v, ks, iterations, seed, save, max_cells).clusters()
     fits = [_joined_kmeans(bags, words, k, iterations, seed, save).withColumnRenamed("cluster", f"k{k}") for k in ks]
     return reduce(lambda a, b: a.join(b, "doc_id"), fits)
 
 
-def _packed_kmeans(bags: DataFrame, words: DataFrame, ks: list[int], iterations: int, seed: int, save, max_cells: int) -> DataFrame:
+def kmeans_rows(rows: DataFrame, words: DataFrame, ks: list[int], iterations: int = 25, seed: int = 12345, save=None, max_cells: int = 2_000_000, least: int = 5, inside: int | None = None):
+    """kmeans_of() the known_documents() of rows with a bag each (doc_id, bag) and a vocabulary; no posting is shuffled by itself.
+
+    With `inside`, one of the ks, also (cluster, word, inside): how many postings the clusters of that fit have of a word.
+    """
+    import pyarrow.compute as pc
+
+    save = save or (lambda df: df.checkpoint())
+    if words.count() * max(ks) > MODEL * max_cells:
+        known = save(known_documents(rows.select("doc_id", F.inline("bag")), words, least).select("doc_id", "word", "tf"))
+        fits = save(kmeans_of(known, ks, iterations, seed, save, max_cells))
+        return (fits, known.join(fits, "doc_id").groupBy(F.col(f"k{inside}").alias("cluster"), "word").agg(F.count("*").alias("inside"))) if inside else fits
+    listed = words.select("word").distinct().toArrow().column("word").combine_chunks()  # at most MODEL * max_cells words
+    listed = listed.take(pc.sort_indices(listed))
+    fits = _PackedFits(_packed_rows(rows, listed, least, save), len(listed), None, ks, iterations, seed, save, max_cells)
+    return (fits.clusters(), fits.inside(inside, listed)) if inside else fits.clusters()
+
+
+def _packed_rows(rows: DataFrame, listed, least: int, save) -> DataFrame:
+    """(doc_id, i, tf) of documents with `least` postings of the listed words, i being places in the list. Rows of one id are one document."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    spark = bags.sparkSession
-    numbered = words.withColumn("i", F.row_number().over(Window.orderBy("word")) - 1)  # at most max_cells words
-    v = numbered.count()
-    packed = bags.join(F.broadcast(numbered), "word").groupBy("doc_id").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("tf").cast("long")).alias("tf"))
-    packed = save(packed)
-    packed = save(packed.join(drawn(packed.select("doc_id"), seed, save), "doc_id").select("u", "i", "tf", "doc_id"))
-
-    def together(some):
-        """The fits in groups of at most max_cells numbers, each of which is one pass."""
+    held = rows.sparkSession.sparkContext.broadcast(listed)
+
+    def numbered(batches):
+        for batch in batches:
+            ids, word, tf = batch.columns
+            at = pc.index_in(word.flatten(), value_set=held.value)
+            known = at.is_valid()
+            bounds = word.offsets.to_numpy()
+            before = np.concatenate([[0], np.cumsum(known.to_numpy(zero_copy_only=False))])[bounds - bounds[0]]
+            cut = pa.array(before.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(cut, at.drop_null()), pa.ListArray.from_arrays(cut, tf.flatten().filter(known)), pa.array(np.diff(before))], ["doc_id", "i", "tf", "n"])
+
+    bags = rows.where("doc_id is not null and size(bag) > 0").select("doc_id", F.col("bag.word").alias("word"), F.col("bag.tf").cast("array<long>").alias("tf"))
+    packed = save(bags.mapInArrow(numbered, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, i array<int>, tf array<long>, n long"))
+    known = save(packed.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where(F.col("n") >= least))
+    if not known.where("rows > 1").isEmpty():
+        packed = packed.groupBy("doc_id").agg(F.flatten(F.collect_list("i")).alias("i"), F.flatten(F.collect_list("tf")).alias("tf"))
+    return packed.join(known.select("doc_id"), "doc_id", "left_semi").select("doc_id", "i", "tf")
+
+
+def _blocks(packed: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """Documents (doc_id, u, i, tf) of about `most` postings as one row, longest first: ids, numbers u, lengths n, and their postings.
+
+    Postings stand by their place in the document: the first ones of all documents, then the second ones of those that
+    have two, and so on. What a sum over each document's words takes is thus one addition of columns for each place.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def block(ids, u, n, starts, word, times, chosen):
+        n = n[chosen]
+        first, live = _places(n)
+        rank = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(rank)) - np.repeat(np.cumsum(n) - n, n)
+        source, target = np.repeat(starts[chosen], n) + place, first[place] + rank
+        i, tf = np.empty(len(rank), np.int32), np.empty(len(rank), np.int64)
+        i[target], tf[target] = word[source], times[source]
+        small = tf.astype(np.uint8)
+        tf = small if (small == tf).all() else tf
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in (u[chosen], n.astype(np.int32), i, tf)]
+        mine = ids.take(pa.array(chosen))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine), *columns], ["doc_id", "u", "n", "i", "tf"])
+
+    def made(held):
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids, u, i, tf = t.columns
+        bounds = i.offsets.to_numpy().astype(np.int64)
+        n, starts = np.diff(bounds), bounds[:-1] - bounds[0]
+        order = np.argsort(-n, kind="stable")
+        group = np.cumsum(n[order]) // most
+        for chosen in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+            yield block(ids, u.to_numpy(), n, starts, i.flatten().to_numpy(), tf.flatten().to_numpy(), chosen)
+
+    def build(batches):
+        held, size = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                held.append(batch)
+                size += len(batch.column(2).flatten())
+                if size >= 16 * most:  # documents of about one length come together
+                    yield from made(held)
+                    held, size = [], 0
+        if held:
+            yield from made(held)
+
+    t = packed.schema["doc_id"].dataType.simpleString()
+    return packed.select("doc_id", "u", "i", "tf").mapInArrow(build, f"doc_id array<{t}>, u binary, n binary, i binary, tf binary")
+
+
+def _places(n):
+    """For documents of n postings, n not rising: where the postings of each place begin, and how many documents have one there."""
+    import numpy as np
+
+    live = np.searchsorted(-n, -np.arange(n[0] if len(n) else 0), "left")
+    return np.cumsum(live) - live, live
+
+
+def _scores(model, n, word, times, few: int = 32):
+    """By document of a block the sums of its words' rows of the model, each as often as the word stands there, added up in the order of the words."""
+    import numpy as np
+
+    first, live = _places(n)
+    sums, rows = np.zeros((len(n), model.shape[1])), np.empty((len(n), model.shape[1]))
+    many = int(np.searchsorted(-live, -few, "right"))  # places that at least `few` documents have
+    for at, m in zip(first[:many].tolist(), live[:many].tolist(), strict=True):
+        got = np.take(model, word[at : at + m], axis=0, out=rows[:m], mode="clip")
+        got *= times[at : at + m, None]
+        sums[:m] += got
+    for d in range(live[many] if many < len(live) else 0):  # the rest of few long documents, one by one
+        for lo in range(many, n[d], 1000):
+            at = first[lo : min(lo + 1000, n[d])] + d
+            sums[d] = np.add.accumulate(np.vstack([sums[d : d + 1], model[word[at]] * times[at, None]]))[-1]
+    return sums
+
+
+class _PackedFits:
+    """C14: the fits of several k over packed documents (doc_id, i, tf); i below width, v of which occur (None: those that are counted).
+
+    The centres of a pass are broadcast, as words by clusters; a task adds up the counts of its documents, and tasks' counts
+    meet in parts of PART numbers.
+    """
+
+    def __init__(self, packed, width, v, ks, iterations, seed, save, max_cells):
+        import numpy as np
+
+        self.spark, self.width, self.ks, self.most = packed.sparkSession, width, ks, MODEL * max_cells
+        self.id_type = packed.schema["doc_id"].dataType.simpleString()
+        self.blocks = save(_blocks(packed.join(drawn(packed.select("doc_id"), seed, save), "doc_id")))
+        least = packed.agg(F.min("doc_id").alias("doc_id")).first().doc_id
+        start = np.zeros((width, 1), np.int64)  # the first document: the centre of empty slices
+        for row in packed.where(F.col("doc_id") == F.lit(least)).select("i", "tf").collect() if least is not None else []:
+            np.add.at(start[:, 0], row.i, row.tf)
+        centres = {k: start for k in ks}
+        used, open_ = dict(centres), list(ks) if least is not None else []
+        for group in self.together(open_):
+            centres |= self.moved(centres, self.counted(None, group))
+        v = int((centres[ks[0]].any(axis=1)).sum()) if v is None else v
+        self.v = v
+        for _ in range(iterations):
+            if not open_:
+                break
+            used |= {k: centres[k] for k in open_}
+            made = {}
+            for group in self.together(open_):
+                made |= self.moved(centres, self.counted({k: centres[k] for k in group}, group))
+            # the same centres make the clusters that are there: no document would move again
+            open_ = [k for k in open_ if (made[k] != centres[k]).any()]
+            centres |= made
+        self.used = used if iterations and least is not None else None
+
+    def together(self, some):
+        """The fits in groups whose centres have at most `most` numbers, each of which is one pass."""
         groups: list[list[int]] = []
         for k in some:
-            if groups and (sum(groups[-1]) + k) * v <= max_cells:
+            if groups and (sum(groups[-1]) + k) * self.width <= self.most:
                 groups[-1].append(k)
             else:
                 groups.append([k])
         return groups
 
-    def nearest(batch, k, centres):
-        """Clusters of a batch's documents: the nearest centres, or the slices before there are any."""
-        if centres is None:
-            return (batch.column(0).to_numpy() * k).astype(np.int64)
-        i, tf = batch.column(1), batch.column(2)
-        n, word, times = np.diff(i.offsets.to_numpy()), i.flatten().to_numpy(), tf.flatten().to_numpy()
-        row = np.repeat(np.arange(len(n)), n)
-        return np.stack([np.bincount(row, times * centres[c, word], len(n)) for c in range(k)]).argmax(axis=0)
+    @staticmethod
+    def moved(centres, counts):
+        """The counts as new centres; a cluster without documents keeps the centre that it has."""
+        import numpy as np
+
+        return {k: np.where(n.sum(axis=0, keepdims=True) > 0, n, centres[k]) for k, n in counts.items()}
+
+    def model(self, centres, group):
+        """The broadcast logarithms of the centres of a group's fits, words by clusters."""
+        import numpy as np
+
+        out = np.empty((self.width, sum(group)))
+        at = 0
+        for k in group:
+            c = centres[k]
+            out[:, at : at + k] = np.log((c + 0.01) / (c.sum(axis=0, keepdims=True) + 0.01 * self.v))
+            at += k
+        return self.spark.sparkContext.broadcast(out)
+
+    def parts(self, held, group, once=False):
+        """(part, n) of the numbers of postings (once) or occurrences by word and cluster, the clusters of a group's fits side by side."""
+        import numpy as np
+        import pyarrow as pa
 
-    def counted(held, open_):
-        """By fit, the word counts of the clusters that the centres make; None stands for the slices."""
-        # the cells of a fit: words of its clusters
-        starts, cells = dict(zip(open_, np.cumsum([0, *(k * v for k in open_)])[:-1].tolist(), strict=True)), sum(open_) * v
+        width, all_, size = self.width, sum(group), PART
 
         def run(batches):
-            total = np.zeros(cells, np.int64)
-            centres = held and held.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1000):  # what is gathered at once stays small
-                    batch = whole.slice(at, 1000)
-                    n, word, times = np.diff(batch.column(1).offsets.to_numpy()), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-                    for k in open_:
-                        cluster = nearest(batch, k, centres and centres[k])
-                        total[starts[k] : starts[k] + k * v] += np.bincount(np.repeat(cluster, n) * v + word, times, k * v).astype(np.int64)
-            found = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["at", "n"])
-
-        got = packed.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most max_cells rows
-        out = np.zeros(cells, np.int64)
-        out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-        return {k: out[starts[k] : starts[k] + k * v].reshape(k, v) for k in open_}
-
-    first = packed.orderBy("doc_id").select("i", "tf").limit(1).collect()
-    sums, centres = {}, {k: np.zeros((k, v)) for k in ks}
-    for group in together(ks):
-        sums |= counted(None, group)
-    if first:
-        for k in ks:
-            centres[k][:, first[0].i] = first[0].tf
-    logs: dict = {}
-    open_ = list(ks) if first else []
-    for _ in range(iterations):
-        if not open_:
-            break
-        for k in open_:
-            counts = sums[k]
-            centres[k] = np.where(counts.sum(axis=1, keepdims=True) > 0, counts, centres[k])
-            logs[k] = np.log((centres[k] + 0.01) / (centres[k].sum(axis=1, keepdims=True) + 0.01 * v))
-        made = {}
-        for group in together(open_):
-            made |= counted(spark.sparkContext.broadcast({k: logs[k] for k in group}), group)
-        # the same counts make the same centres, and these the clusters that are there: no document would move again
-        moved = [k for k in open_ if (made[k] != sums[k]).any()]
-        sums |= made
-        open_ = moved
-    last = spark.sparkContext.broadcast(logs)
-
-    def assign(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                clusters = [pa.array(nearest(batch, k, last.value.get(k)).astype(np.int32)) for k in ks]
-                yield pa.RecordBatch.from_arrays([batch.column(3), *clusters], ["doc_id", *(f"k{k}" for k in ks)])
+            total = np.zeros(width * all_, np.int64)
+            model = held and held.value
+            for batch in batches:
+                for u, n, word, times, _ in _unpacked(batch):
+                    first, live = _places(n)
+                    rank = np.arange(len(word)) - np.repeat(first, live)
+                    cells = word.astype(np.int64) * all_
+                    at = 0
+                    for k, cluster in zip(group, _nearest(model, group, u, n, word, times), strict=True):
+                        np.add.at(total, cells + (at + cluster)[rank], 1 if once else times)
+                        at += k
+            for part, at in enumerate(range(0, len(total), size)):
+                if total[at : at + size].any():
+                    yield sent(part, total[at : at + size])
+
+        def added(batches):
+            sums: dict = {}
+            for batch in batches:
+                for part, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    sums[part] = sums.get(part, 0) + np.frombuffer(n.as_buffer(), np.int64)
+            for part, n in sums.items():
+                yield sent(part, n)
+
+        def sent(part, n):
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n.tobytes()], pa.binary())], ["part", "n"])
+
+        return self.blocks.mapInArrow(run, "part int, n binary").repartition("part").mapInArrow(added, "part int, n binary")
+
+    def counted(self, centres, group):
+        """By fit, the occurrences of words in the clusters that the centres make; None stands for the slices."""
+        import numpy as np
+
+        held = centres and self.model(centres, group)
+        got = self.parts(held, group).toArrow()  # at most `most` numbers
+        out = np.zeros(self.width * sum(group), np.int64)
+        for part, n in zip(got.column("part").to_pylist(), got.column("n"), strict=True):
+            piece = np.frombuffer(n.as_buffer(), np.int64)
+            out[part * PART : part * PART + len(piece)] = piece
+        if held:
+            held.destroy()
+        ends = np.cumsum(group).tolist()
+        return {k: out.reshape(self.width, -1)[:, end - k : end].copy() for k, end in zip(group, ends, strict=True)}
+
+    def clusters(self) -> DataFrame:
+        """doc_id and a column k<k> of clusters for each fit."""
+        import numpy as np
+        import pyarrow as pa
+
+        ids = f"doc_id {self.id_type}"
+
+        def of(group):
+            held = self.used and self.model(self.used, group)
+
+            def assign(batches):
+                for batch in batches:
+                    for u, n, word, times, ids in _unpacked(batch):
+                        found = _nearest(held and held.value, group, u, n, word, times)
+                        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c.astype(np.int32)) for c in found)], ["doc_id", *(f"k{k}" for k in group)])
+
+            return self.blocks.mapInArrow(assign, ", ".join([ids, *(f"k{k} int" for k in group)]))
+
+        return reduce(lambda a, b: a.join(b, "doc_id"), [of(group) for group in self.together(self.ks)])
+
+    def inside(self, k: int, listed) -> DataFrame:
+        """(cluster, word, inside): the postings of each word in the clusters of one fit."""
+        import numpy as np
+        import pyarrow as pa
+
+        words, size = self.spark.sparkContext.broadcast(listed), PART
+
+        def spread(batches):
+            for batch in batches:
+                for part, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    n = np.frombuffer(n.as_buffer(), np.int64)
+                    found = np.flatnonzero(n)
+                    word, cluster = np.divmod(part * size + found, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(cluster.astype(np.int32)), words.value.take(pa.array(word)), pa.array(n[found])], ["cluster", "word", "inside"])
+
+        held = self.used and self.model(self.used, [k])
+        return self.parts(held, [k], once=True).mapInArrow(spread, "cluster int, word string, inside long")
+
+
+def _unpacked(batch):
+    """u, n, word, times and ids of each row of _blocks()."""
+    import numpy as np
 
-    return packed.mapInArrow(assign, ", ".join([f"doc_id {packed.schema['doc_id'].dataType.simpleString()}", *(f"k{k} int" for k in ks)]))
+    for at in range(batch.num_rows):
+        u, n, word, times = (batch.column(c)[at].as_buffer() for c in range(1, 5))
+        word = np.frombuffer(word, np.int32)
+        times = np.frombuffer(times, np.int64 if times.size == 8 * len(word) else np.uint8).astype(np.int64)
+        yield np.frombuffer(u, np.float64), np.frombuffer(n, np.int32).astype(np.int64), word, times, batch.column(0)[at].values
+
+
+def _nearest(model, group, u, n, word, times):
+    """By fit, the clusters of a block's documents: the nearest centres, or the slices where there is no model."""
+    import numpy as np
+
+    if model is None:
+        return [(u * k).astype(np.int64) for k in group]
+    scores = _scores(model, n, word, times.astype(np.float64))
+    ends = np.cumsum(group).tolist()
+    return [scores[:, end - k : end].argmax(axis=1) for k, end in zip(group, ends, strict=True)]
 
 
 def _joined_kmeans(bags: DataFrame, words: DataFrame, k: int, iterations: int, seed: int, save) -> DataFrame:
@@ -427,7 +658,11 @@ def clusters_of(assign: DataFrame, rows: DataFrame, week: str = "week", flag: st
 
 def sweep(bags: DataFrame, rows: DataFrame, ks: list[int], save, **options) -> DataFrame:
     """The cluster statistics of a fit for each k, all fitted together; (k, cluster, ...). judge_fits() decides among them."""
-    fitted = save(kmeans_of(bags, ks, save=save, **options))
+    return swept(save(kmeans_of(bags, ks, save=save, **options)), rows, ks)
+
+
+def swept(fitted: DataFrame, rows: DataFrame, ks: list[int]) -> DataFrame:
+    """The cluster statistics of fits (doc_id, k<k>); (k, cluster, ...)."""
     fits = (clusters_of(fitted.select("doc_id", F.col(f"k{k}").alias("cluster")), rows).withColumn("k", F.lit(k)) for k in ks)
     return reduce(DataFrame.unionByName, fits)
 

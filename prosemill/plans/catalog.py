@@ -62,11 +62,15 @@ def bags(spark, sf_dir, *more):
     return corpus.bag(t, "doc_id", "lang")
 
 
+def rows_and_words(spark, sf_dir):
+    """Rows with a bag each and their vocabulary, both as tables: texts are taken apart once, and the words' size is known before they are joined."""
+    t = saved(docs(spark, sf_dir).select("doc_id", corpus.word_counts(matches(F.lower("text"), "[a-z]{3,}")).alias("bag")), "bags")
+    return t, saved(corpus.row_vocabulary(t, 20).select("word"), "words")
+
+
 def _bags_and_words(spark, sf_dir):
-    """The bags and their vocabulary, both as tables: texts are taken apart once, and the words' size is known before they are joined."""
-    t = docs(spark, sf_dir).select("doc_id", corpus.word_counts(matches(F.lower("text"), "[a-z]{3,}")).alias("bag"))
-    b = saved(t, "bags").select("doc_id", F.inline("bag"))
-    return b, saved(corpus.vocabulary(b, 20).select("word"), "words")
+    t, words = rows_and_words(spark, sf_dir)
+    return t.select("doc_id", F.inline("bag")), words
 
 
 # ------------------------------------------------------------------ text
@@ -351,15 +355,15 @@ def q_trajectory(spark, sf_dir):
     return grid.join(r, ["built", "word"], "left")
 
 
-def _saver(spark):
+def saver(spark):
     return lambda df: saved(df, "kmeans")
 
 
 @query("kmeans_assign")
 def q_kmeans(spark, sf_dir):
     """C14: multinomial k-means over the vocabulary."""
-    known = _saver(spark)(corpus.known_documents(*_bags_and_words(spark, sf_dir)).select("doc_id", "word", "tf"))
-    return corpus.kmeans(known, k=10, iterations=25, save=_saver(spark))
+    known = saver(spark)(corpus.known_documents(*_bags_and_words(spark, sf_dir)).select("doc_id", "word", "tf"))
+    return corpus.kmeans(known, k=10, iterations=25, save=saver(spark))
 
 
 # ------------------------------------------------------------------ evaluation
