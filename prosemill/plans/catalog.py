@@ -362,8 +362,7 @@ def saver(spark):
 @query("kmeans_assign")
 def q_kmeans(spark, sf_dir):
     """C14: multinomial k-means over the vocabulary."""
-    known = saver(spark)(corpus.known_documents(*_bags_and_words(spark, sf_dir)).select("doc_id", "word", "tf"))
-    return corpus.kmeans(known, k=10, iterations=25, save=saver(spark))
+    return corpus.kmeans_rows(*rows_and_words(spark, sf_dir), [10], iterations=25, save=saver(spark)).select("doc_id", F.col("k10").alias("cluster"))
 
 
 # ------------------------------------------------------------------ evaluation
