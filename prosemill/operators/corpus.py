@@ -536,11 +536,13 @@ class _PackedFits:
             sums: dict = {}
             for batch in batches:
                 for part, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    sums[part] = sums.get(part, 0) + np.frombuffer(n.as_buffer(), np.int64)
+                    sums[part] = sums.get(part, 0) + _piece(part, n, width * all_, size)
             for part, n in sums.items():
                 yield sent(part, n)
 
         def sent(part, n):
+            # what is shuffled once a round has the bytes that its largest number needs
+            n = n.astype(next((t for t in (np.uint8, np.uint16, np.uint32) if 0 <= n.min() and n.max() <= np.iinfo(t).max), np.int64))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n.tobytes()], pa.binary())], ["part", "n"])
 
         return self.blocks.mapInArrow(run, "part int, n binary").repartition("part").mapInArrow(added, "part int, n binary")
@@ -553,7 +555,7 @@ class _PackedFits:
         got = self.parts(held, group).toArrow()  # at most `most` numbers
         out = np.zeros(self.width * sum(group), np.int64)
         for part, n in zip(got.column("part").to_pylist(), got.column("n"), strict=True):
-            piece = np.frombuffer(n.as_buffer(), np.int64)
+            piece = _piece(part, n, len(out), PART)
             out[part * PART : part * PART + len(piece)] = piece
         if held:
             held.destroy()
@@ -585,12 +587,12 @@ class _PackedFits:
         import numpy as np
         import pyarrow as pa
 
-        words, size = self.spark.sparkContext.broadcast(listed), PART
+        words, size, cells = self.spark.sparkContext.broadcast(listed), PART, self.width * k
 
         def spread(batches):
             for batch in batches:
                 for part, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    n = np.frombuffer(n.as_buffer(), np.int64)
+                    n = _piece(part, n, cells, size)
                     found = np.flatnonzero(n)
                     word, cluster = np.divmod(part * size + found, k)
                     yield pa.RecordBatch.from_arrays([pa.array(cluster.astype(np.int32)), words.value.take(pa.array(word)), pa.array(n[found])], ["cluster", "word", "inside"])
@@ -599,6 +601,15 @@ class _PackedFits:
         return self.parts(held, [k], once=True).mapInArrow(spread, "cluster int, word string, inside long")
 
 
+def _piece(part, n, cells, size):
+    """The numbers of a part of `size` of all cells, sent in as few bytes as they need."""
+    import numpy as np
+
+    n = n.as_buffer()
+    width = n.size // min(size, cells - part * size)
+    return np.frombuffer(n, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[width]).astype(np.int64)
+
+
 def _unpacked(batch):
     """u, n, word, times and ids of each row of _blocks()."""
     import numpy as np
